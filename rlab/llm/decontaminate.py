@@ -15,7 +15,6 @@ rows that repeat a doc_id are judged each on its own text; extra columns are kep
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

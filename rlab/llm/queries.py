@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rlab.llm import decontaminate, shards
+from rlab.llm import chat, decontaminate, shards, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.shard(_table(spark, sf_dir, "documents")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame(chat.CONTROL_TURNS, turns.schema)
+    return chat.digest(chat.format_turns(turns.unionByName(control)))
+
+
 def op9_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -25,10 +35,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_stratified_shards,
+        op3_token_counts,
+        op7_chat_format,
         op9_benchmark_hits,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op7_chat_format": chat.ORACLE,
     "op9_benchmark_hits": decontaminate.ORACLE,
 }
