@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rlab.llm import chat, decontaminate, mixing, neardup, quality, shards, tokencount
+from rlab.llm import chat, decontaminate, mixing, neardup, quality, shards, substring, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(shards.shard(_table(spark, sf_dir, "documents")))
 
@@ -46,6 +50,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_repeated_bytes,
         op2_stratified_shards,
         op3_token_counts,
         op6_quality_ratio,
