@@ -108,26 +108,25 @@ def mix_rows(docs: DataFrame, budget: int | None = None, target_entropy: float =
 
 def _keyed(docs: DataFrame, row: Column) -> DataFrame:
     source = F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))
-    return docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), source.alias("_src"), n_tokens(F.col("text")).alias("_tokens"))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.select(row.alias("_row"), number.alias("_id"), source.alias("_src"), n_tokens(F.col("text")).alias("_tokens"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mixture, all columns; a document taken k times stands in k rows. The texts are joined to
-    the plan once, at the end."""
-    slim = _keyed(docs, F.col("doc_id"))
-    times = mix_rows(slim, **how).groupBy("_id", "_src", "_tokens").agg(F.count(F.lit(1)).alias("_taken"))
-    copies = slim.groupBy("_id", "_src", "_tokens").agg(F.count(F.lit(1)).alias("_rows"))
-    times = times.join(copies, ["_id", "_src", "_tokens"])
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("\x00null")).alias("_src"), n_tokens(F.col("text")).alias("_tokens"))
-    joined = packed.join(times, packed["_id"].eqNullSafe(times["_id"]) & (packed["_src"] == times["_src"]) & (packed["_tokens"] == times["_tokens"]))
-    # rows that share id, source and size share their takes: the first ones in hash order get one more
-    same = Window.partitionBy(packed["_id"], packed["_src"], packed["_tokens"]).orderBy(F.xxhash64("_row"))
-    spare = F.row_number().over(same) <= F.col("_taken") % F.col("_rows")
-    each = joined.withColumn("_each", F.floor(F.col("_taken") / F.col("_rows")) + spare.cast("long")).where(F.col("_each") > 0)
-    return each.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_each"))).alias("_k")).select("_row.*")
+    the plan once, at the end. Rows that share id, source and size share their takes evenly."""
+    key = ["_id", "_src", "_tokens"]
+    slim = _keyed(docs, F.lit(None).cast("string"))
+    taken = mix_rows(slim, **how).groupBy(*key).agg(F.count(F.lit(1)).alias("_taken"))
+    rows = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    whole = _keyed(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    joined = whole.join(taken.join(rows, key), key)
+    spare = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_row"))) <= F.col("_taken") % F.col("_rows")
+    each = joined.withColumn("_each", F.floor(F.col("_taken") / F.col("_rows")).cast("long") + spare.cast("long")).where(F.col("_each") > 0)
+    return each.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_each")))).select("_row.*")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, source, n_tokens, block, block_order, weight): every take of every document."""
-    taken = mix_rows(_keyed(docs, F.col("source")), **how)
-    return taken.select(F.col("_id").alias("doc_id"), F.col("_row").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"), F.col("_order").alias("block_order"), F.col("_weight").alias("weight"))
+    taken = mix_rows(_keyed(docs, F.struct("doc_id", "source")), **how)
+    return taken.select("_row.*", F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"), F.col("_order").alias("block_order"), F.col("_weight").alias("weight"))
