@@ -165,7 +165,7 @@ def length_report(lengths: DataFrame, value: str, by: str, percents: tuple[int,
     both = lengths.select(F.col(by).cast("string").alias(by), F.col(value).cast("double").alias("_v")).withColumn("_c", F.explode(F.array(F.col(by), F.lit("all"))))
     cuts = both.groupBy("_c").agg(F.percentile("_v", F.array(*[F.lit(p / 100) for p in percents])).alias("_q"))
     spread = cuts.select(F.col("_c").alias(by), F.posexplode("_q").alias("_k", "_x"))
-    return spread.select(by, F.element_at(F.array(*map(F.lit, percents)), F.col("_k") + 1).alias("percent"), F.col("_x").cast("long").alias("value"))
+    return spread.select(by, F.element_at(F.array(*map(F.lit, percents)), F.col("_k") + 1).alias("percent"), F.floor(F.round("_x", 6)).cast("long").alias("value"))
 
 
 def token_stats(df: DataFrame, tokens: Column, project: str, language: str) -> DataFrame:

@@ -27,16 +27,16 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     scenario = F.element_at(F.array(*map(F.lit, SCENARIOS)), (F.col("l_linenumber") % 4 + 1).cast("int"))
     keyed = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model_name"), (F.col("l_suppkey") % 10).alias("source_project"), (F.col("l_partkey") % 13).alias("target_project"), scenario.alias("scenario"), "l_discount", "l_tax", "l_quantity")
     return keyed.groupBy("model_name", "source_project", "target_project", "scenario").agg(
-        F.round(total("l_discount", 100) / (10 * n), 6).alias("MRR"), F.round(total("l_tax", 100) / (10 * n), 6).alias("MAP"), F.round(total("l_quantity", 1) / (50 * n), 6).alias("top_10")
+        F.round(total("l_discount", 100) / (10 * n), 4).alias("MRR"), F.round(total("l_tax", 100) / (10 * n), 4).alias("MAP"), F.round(total("l_quantity", 1) / (50 * n), 4).alias("top_10")
     )
 
 
 GRID = """grid AS (
   SELECT l_returnflag AS model_name, l_suppkey % 10 AS source_project, l_partkey % 13 AS target_project,
          CASE l_linenumber % 4 WHEN 0 THEN 'WP-small' WHEN 1 THEN 'WP-large' WHEN 2 THEN 'CP-cold-start' ELSE 'CP-transfer' END AS scenario,
-         round(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (10 * CAST(count(*) AS DOUBLE)), 6) AS MRR,
-         round(CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / (10 * CAST(count(*) AS DOUBLE)), 6) AS MAP,
-         round(CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS DOUBLE) / (50 * CAST(count(*) AS DOUBLE)), 6) AS top_10
+         round(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (10 * CAST(count(*) AS DOUBLE)), 4) AS MRR,
+         round(CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / (10 * CAST(count(*) AS DOUBLE)), 4) AS MAP,
+         round(CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS DOUBLE) / (50 * CAST(count(*) AS DOUBLE)), 4) AS top_10
   FROM lineitem GROUP BY ALL)"""
 
 
@@ -44,12 +44,12 @@ def reps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetitions of the small budget: line items by flag, part and supplier modulo 3."""
     n = F.count(F.lit(1)).cast("double")
     keyed = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model_name"), (F.col("l_partkey") % 13).alias("target_project"), (F.col("l_suppkey") % 3 + 1).alias("rep"), "l_discount")
-    return keyed.groupBy("model_name", "target_project", "rep").agg(F.round(F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double") / (10 * n), 6).alias("MRR"))
+    return keyed.groupBy("model_name", "target_project", "rep").agg(F.round(F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double") / (10 * n), 4).alias("MRR"))
 
 
 REPS = """reps AS (
   SELECT l_returnflag AS model_name, l_partkey % 13 AS target_project, l_suppkey % 3 + 1 AS rep,
-         round(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (10 * CAST(count(*) AS DOUBLE)), 6) AS MRR
+         round(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / (10 * CAST(count(*) AS DOUBLE)), 4) AS MRR
   FROM lineitem GROUP BY ALL)"""
 
 
