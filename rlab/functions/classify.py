@@ -93,17 +93,21 @@ LANGUAGE_EXTENSIONS = {
 }
 
 
+def _suffix(path: Column) -> Column:
+    """The last dot and what follows it; empty without a dot."""
+    return F.regexp_extract(path, r"(\.[^./]*)$", 1)
+
+
 def is_indexable(path: Column, size: Column, language: Column, max_bytes: int = 2_000_000) -> Column:
     """A file of the language, not larger than ``max_bytes``."""
     known = F.create_map(*[x for lang, exts in LANGUAGE_EXTENSIONS.items() for x in (F.lit(lang), F.array(*map(F.lit, exts)))])
-    suffix = F.concat(F.lit("."), F.substring_index(path, ".", -1))
-    return F.coalesce(F.array_contains(F.try_element_at(known, language), suffix), F.lit(False)) & (size <= max_bytes)
+    return F.coalesce(F.array_contains(F.try_element_at(known, language), _suffix(path)), F.lit(False)) & (size <= max_bytes)
 
 
 def file_language(path: Column, default: Column | None = None) -> Column:
     """The language of an extension, else the project's, else python."""
     known = F.create_map(*[F.lit(x) for lang, exts in LANGUAGE_EXTENSIONS.items() for e in exts for x in (e, lang)])
-    found = F.try_element_at(known, F.concat(F.lit("."), F.substring_index(path, ".", -1)))
+    found = F.try_element_at(known, _suffix(path))
     return F.coalesce(found, default if default is not None else F.lit(None), F.lit("python"))
 
 
