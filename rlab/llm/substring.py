@@ -40,7 +40,7 @@ from rlab.llm.shared import parts_for, text_bytes
 LENGTH = 50
 Q = 20
 SPAN = LENGTH - Q + 1  # windows that can share an anchor
-GROUP_BYTES, RANGE_BYTES = 2 << 20, 16 << 20
+GROUP_BYTES, RANGE_BYTES = 2 << 20, 4 << 20
 HOT_GROUPS = 4096
 _BLOCK = 1 << 20
 _LOW = U64((1 << 22) - 1)
@@ -89,7 +89,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         new = np.concatenate(([low == 0 or at[0] + low != before or not valid[low - 1]], (at[1:] != at[:-1]) | ~valid[low : high - 1]))
         first = np.flatnonzero(new & valid[low:high])
         firsts.append(first + low)
-        hashes.append(grams[at[first]])
+        hashes.append(mix(grams[at[first]] + U64(1)))  # least hashes are small ones: spread them over the ranges again
         anchors.append(at[first] + low)
         before = at[-1] + low
     first, hashed = np.concatenate(firsts), np.concatenate(hashes)
