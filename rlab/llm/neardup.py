@@ -227,3 +227,24 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of one document of each component, with all their columns."""
     dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k : k + 2], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM w
+), x AS (
+  SELECT doc_id, unnest(grams) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS both_have FROM x a JOIN x b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT i, j FROM p JOIN s a ON a.doc_id = i JOIN s b ON b.doc_id = j WHERE 100 * both_have >= 85 * (len(a.grams) + len(b.grams) - both_have)
+), e AS (
+  SELECT i AS f, j AS t FROM l UNION ALL SELECT j, i FROM l
+), reach AS (
+  SELECT doc_id AS n, doc_id AS r FROM s UNION SELECT e.t, reach.r FROM reach JOIN e ON e.f = reach.n
+)
+SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN (SELECT n, min(r) AS c FROM reach GROUP BY n) ON n = doc_id
+"""

@@ -72,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc_index": warc.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op9_benchmark_hits": decontaminate.ORACLE,
+    "op10_near_duplicates": neardup.ORACLE,
 }

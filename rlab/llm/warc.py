@@ -262,11 +262,20 @@ def archive(pages: DataFrame) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"), "captured_at", "capture_pos")
 
 
-#: Without the columns of the index, which SQL does not give.
-ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
-f AS (SELECT digest, min(page_id) AS first FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY digest)
+ORACLE = r"""
+WITH p AS (SELECT page_id, trim(coalesce(url, '')) AS url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE octet_length(encode(html)) >= 100 GROUP BY digest),
+u AS (
+  SELECT *, regexp_matches(url, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//') AS full_url,
+         regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '^www[0-9]*\.', '') AS host,
+         regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS query FROM p
+), k AS (
+  SELECT *, CASE WHEN NOT full_url THEN lower(url) ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+         || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END END AS url_key,
+         strftime(make_timestamp(1704067200000000 + (page_id % 3000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM u
+)
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
-       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
-FROM p LEFT JOIN f USING (digest)
+       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to,
+       url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS capture_pos
+FROM k LEFT JOIN f USING (digest)
 """
