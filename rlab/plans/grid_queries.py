@@ -342,7 +342,7 @@ SELECT len(list_filter(xs[2 : len(xs) - 1], lambda v: v < x)) + 1 AS x_quartile,
         f"""WITH {_WIDE}, h AS (SELECT quantile_cont(CAST(tgt_n_bugs AS DOUBLE), 0.5) AS b, quantile_cont(gap, 0.5) AS g FROM wide), e AS (
 SELECT avg(CASE WHEN win THEN 1.0 ELSE 0 END)::DOUBLE AS E1_win_share, avg(CASE WHEN wp_large - cp_transfer <= 0.02 THEN 1.0 ELSE 0 END)::DOUBLE AS E2_close_to_large, avg(CASE WHEN cp_transfer >= wp_large THEN 1.0 ELSE 0 END)::DOUBLE AS E2_at_least_large,
        avg(cold_start / recall_ceiling) AS E3_cold_to_ceiling, avg(cp_transfer / recall_ceiling) AS E3_model_to_ceiling, avg(gain) FILTER (tgt_n_bugs <= b) AS E4_gain_few_bugs, avg(gain) FILTER (tgt_n_bugs > b) AS E4_gain_many_bugs,
-       avg(CAST(win AS DOUBLE)) FILTER (gap <= g) AS E5_wins_low_gap, avg(CAST(win AS DOUBLE)) FILTER (gap > g) AS E5_wins_high_gap FROM wide, h) UNPIVOT INCLUDE NULLS e ON COLUMNS(*) INTO NAME evidence VALUE value""",
+       avg(CAST(win AS DOUBLE)) FILTER (gap <= g) AS E5_wins_low_gap, avg(CAST(win AS DOUBLE)) FILTER (gap > g) AS E5_wins_high_gap FROM wide, h) SELECT evidence, value FROM e UNPIVOT INCLUDE NULLS (value FOR evidence IN (COLUMNS(*)))""",
         "evidence",
         "value",
     ),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +118,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``; where it is unset, as on one machine,
+    in a temporary one)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rlab-")
+    return f"{at.rstrip('/')}/rlab-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def append_new(df: DataFrame, path: str, key: list[str]) -> DataFrame:
     """Appends the rows whose key is not stored yet, one for each key; returns them. Idempotent; for one writer."""
     spark = df.sparkSession
