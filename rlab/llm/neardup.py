@@ -126,13 +126,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _unband(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets of one batch at a time: (key, smallest id in it) once for each key, and an edge (a, b) to it for every
+    other member. So a bucket that a large share of all documents falls into moves one row for each batch."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            keys = np.frombuffer(b"".join(part.column("bands").to_pylist()), dtype=np.int64)
-            ids = np.repeat(part.column("rep").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "rep"])
+        keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), dtype=np.int64)
+        ids = np.repeat(batch.column("rep").to_numpy(), BANDS)
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        head = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+        least = ids[head][np.cumsum(head) - 1]
+        edges = np.unique(np.stack((ids[~head], least[~head]), axis=1), axis=0)
+        n, m = int(head.sum()), len(edges)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate((keys[head], np.zeros(m, np.int64))), mask=np.arange(n + m) >= n),
+                pa.array(np.concatenate((ids[head], edges[:, 0]))),
+                pa.array(np.concatenate((np.zeros(n, np.int64), edges[:, 1])), mask=np.arange(n + m) < n),
+            ],
+            names=["key", "a", "b"],
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +208,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stored(slim.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, bands binary"), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    bands = reps.select("rep", "bands").mapInArrow(_unband, "key long, rep long")
-    centres = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "centre")
-    stars = bands.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    found = reps.select("rep", "bands").mapInArrow(_stars, "key long, a long, b long")
+    heads = found.where("key is not null").select("key", "a")
+    centres = heads.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "b")
+    across = heads.join(centres, "key").where("a <> b").select("a", "b")
+    stars = found.where("key is null").select("a", "b").union(across).distinct()
     families = components(stars, "families").withColumnRenamed("component", "family")
 
     sizes = reps.select(F.col("rep").alias("id"), "n_shingles")
     members = families.join(sizes, "id")
     total = members.groupBy("family").agg(F.sum("n_shingles").alias("_total"))
     members = stored(members.join(total, "family").select("id", "family", F.ceil(F.col("_total") / BLOCK_SHINGLES).cast("int").alias("blocks")), "members")
-    texts = slim.join(members, slim["doc_id"] == members["id"]).select("family", "blocks", "doc_id", "text")
+    # merged at every size: the members of families grow with the documents, so they are never a broadcast side
+    texts = slim.join(members.hint("merge"), slim["doc_id"] == members["id"]).select("family", "blocks", "doc_id", "text")
     sets = texts.mapInArrow(_sets, "family long, blocks int, doc_id long, shingles binary")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
