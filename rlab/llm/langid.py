@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from rlab.llm.scan import flat, pieces
 
 HIDDEN, WINDOW, BATCH = 8, 64, 2048
-TRAIN_ROWS, EXCERPT, EPOCHS, RATE, SEED = 2400, 256, 8, 0.01, 5
-MIN_SCORE = 0.4
+TRAIN_ROWS, EXCERPT, EPOCHS, RATE, SEED, SPARE = 2400, 256, 8, 0.01, 5, 4
+MIN_SCORE = 0.3
 UNKNOWN = "und"
 
 
@@ -193,11 +193,17 @@ def has_letter(text: F.Column) -> F.Column:
 
 
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(lang, excerpt): at most ``rows`` labelled rows outside the held-out quarter, evenly from all languages."""
-    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
+    """(lang, excerpt): at most ``rows`` labelled rows outside the held-out quarter, evenly from all languages, those of
+    least hash. Rows are counted by language first, and only hashes below a bound that leaves about ``SPARE * rows`` of
+    each language are ranked, so a language that holds most rows does not fill one task."""
     known = docs.where(F.col("lang").isNotNull() & ~held_out(docs) & has_letter(F.col("text")))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
+    bounds = [(lang, min((1 << 63) - 1, -(1 << 63) + (SPARE * rows << 64) // n)) for lang, n in counts.items()]
+    bound = docs.sparkSession.createDataFrame(bounds, "lang string, _bound long")
+    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
     excerpts = known.select("lang", F.xxhash64("doc_id").alias("_h"), F.substring(F.col("text"), place, F.lit(EXCERPT)).alias("excerpt"))
-    ranked = excerpts.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "excerpt"))).where(F.col("_k") <= rows)
+    near = excerpts.join(F.broadcast(bound), "lang").where(F.col("_h") <= F.col("_bound"))
+    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "excerpt"))).where(F.col("_k") <= rows)
     return ranked.orderBy("_k", "lang").limit(rows).select("lang", "excerpt")
 
 
