@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each component, with all their columns."""
     dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    return docs.join(dropped.hint("merge"), docs[id_col] == dropped["_dropped"], "left_anti")  # they grow with the documents
 
 
 ORACLE = r"""
