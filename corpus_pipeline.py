@@ -6,6 +6,8 @@ and read again as the next one's ``docs``. All but the last return the columns o
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rlab.llm import decontaminate, langid, mixing, neardup, shards
@@ -37,10 +39,25 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shards.digest(shards.shard(docs))
 
 
+#: Bytes of one Arrow batch of whole rows: long documents would make batches of default row counts large.
+BATCH_BYTES = 8 << 20
+
+
+def _small_batches(stage):
+    """The stage, with Arrow batches of bounded bytes."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
+    ("language", _small_batches(language)),
+    ("near_duplicates", _small_batches(near_duplicates)),
+    ("decontamination", _small_batches(decontamination)),
     ("mixture", mixture),
     ("sharding", sharding),
 ]
