@@ -19,9 +19,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs)
 
 
+#: Words of a shingle, percent of shingles that near-duplicates share, and bins of a band of the near-duplicate stage.
+SHINGLE, THRESHOLD, ROWS = 5, 80, 7
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id."""
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, shingle=SHINGLE, threshold=THRESHOLD, rows=ROWS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """MinHash near-duplicates: one-permutation hashing with optimal densification, banded buckets, star-shaped edges.
 
-A document's set is its distinct 3-word shingles (A-Z lower-cased, words between ASCII white space; a text of fewer
-words is one shingle). One hash of each shingle serves all ``BINS`` bins: the smallest value in each part of the hash
-range is that bin's minimum; an empty bin takes the value of the first filled one in its own fixed random order of
-bins. Bands of ``ROWS`` bins are bucket keys. In each bucket every document gets one edge, to the smallest id in it: a
-star, so a bucket of m documents makes m - 1 edges.
+A document's set is its distinct shingles of 3 words or as many as asked (A-Z lower-cased, words between ASCII white
+space; a text of fewer words is one shingle). One hash of each shingle serves all bins: the smallest value in each part
+of the hash range is that bin's minimum; an empty bin takes the value of the first filled one in its own fixed random
+order of bins. Bands of ``ROWS`` bins, or as many as asked, are bucket keys. In each bucket every document gets one
+edge, to the smallest id in it: a star, so a bucket of m documents makes m - 1 edges.
 
 Stars only propose: the components of the star edges are families, and two documents that share any bucket are in one
 family. Links are then confirmed inside families on the full sets: members, ordered by set size, become centres in
@@ -14,7 +14,8 @@ components. A family whose sets exceed ``BLOCK_SHINGLES`` is dealt into blocks b
 task.
 
 Documents of equal sets are collapsed to their smallest id first, with pre-aggregation, so thousands of copies cost
-one. The chance that a pair at the threshold shares no bucket is (1 - 0.85 ** 8) ** 40, about 3 in a million.
+one. The number of bands follows from the threshold: a pair at it shares no bucket with a chance of at most ``MISS``, as
+(1 - 0.85 ** 8) ** 40 and (1 - 0.8 ** 7) ** 55.
 
 Defined cases: texts without words, empty or null, have an empty set, are linked with nothing and kept; ties: the
 smallest id stays; rows that repeat an id are one node, and each row gets that node's component; a row without id is
@@ -23,7 +24,9 @@ kept and has no component; an empty table gives no rows; other columns are not r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +39,27 @@ from rlab.llm.shared import stored
 
 SHINGLE = 3
 THRESHOLD = 85  # percent
-BANDS, ROWS = 40, 8
-BINS = BANDS * ROWS
+ROWS = 8
+#: The largest chance that a pair at the threshold shares no bucket.
+MISS = 3e-6
 #: Shingles of one block of a large family, 8 bytes each; a task holds two blocks.
 BLOCK_SHINGLES = 1_000_000
 _TRIES = 32
 
 
-def _orders() -> tuple[np.ndarray, np.ndarray]:
+def bands_for(threshold: int = THRESHOLD, rows: int = ROWS) -> int:
+    """The fewest bands of ``rows`` bins that miss a pair at the threshold with a chance of at most ``MISS``."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-((threshold / 100) ** rows)))) if threshold < 100 else 1
+
+
+@functools.cache
+def _orders(bins: int) -> tuple[np.ndarray, np.ndarray]:
     """For every bin, all bins in a fixed random order, and the rank of each in it."""
-    keys = mix(np.arange(BINS * BINS, dtype=U64) + U64(0x5851F42D4C957F2D)).reshape(BINS, BINS)
+    keys = mix(np.arange(bins * bins, dtype=U64) + U64(0x5851F42D4C957F2D)).reshape(bins, bins)
     order = np.argsort(keys, axis=1)
     return order, np.argsort(order, axis=1)
 
 
-_ORDER, _RANK = _orders()
-
-
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after another, and the size of each set."""
     raw, offsets = flat(texts, lower=True)
@@ -72,58 +79,60 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.concatenate(sets) if sets else np.zeros(0, U64), sizes
 
 
-def signatures(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def signatures(hashes: np.ndarray, sizes: np.ndarray, bins: int = bands_for() * ROWS) -> np.ndarray:
     """One-permutation signatures (sets x bins) of non-empty sets of sorted hashes, densified."""
-    doc = owners(sizes)
-    bins = ((hashes >> U64(32)) * U64(BINS) >> U64(32)).astype(np.int64)
-    cell = doc * BINS + bins
+    order, rank = _orders(bins)
+    cell = owners(sizes) * bins + ((hashes >> U64(32)) * U64(bins) >> U64(32)).astype(np.int64)
     first = np.concatenate(([True], cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, bool)
-    out = np.zeros(len(sizes) * BINS, dtype=U64)
-    filled = np.zeros(len(sizes) * BINS, dtype=bool)
+    out = np.zeros(len(sizes) * bins, dtype=U64)
+    filled = np.zeros(len(sizes) * bins, dtype=bool)
     out[cell[first]], filled[cell[first]] = hashes[first], True
-    filled = filled.reshape(-1, BINS)
+    filled = filled.reshape(-1, bins)
     row, col = np.nonzero(~filled)
-    out = out.reshape(-1, BINS)
+    out = out.reshape(-1, bins)
     given = out.copy()
     for t in range(_TRIES):
         if not len(row):
             return given
-        source = _ORDER[col, t]
+        source = order[col, t]
         hit = filled[row, source]
         given[row[hit], col[hit]] = out[row[hit], source[hit]]
         row, col = row[~hit], col[~hit]
     for r in np.unique(row):  # sparse sets: the filled bin of least rank, which is what further tries would find
         empty, full = col[row == r], np.flatnonzero(filled[r])
-        given[r, empty] = out[r, full[np.argmin(_RANK[empty][:, full], axis=1)]]
+        given[r, empty] = out[r, full[np.argmin(rank[empty][:, full], axis=1)]]
     return given
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    parts = signature.reshape(-1, BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), parts.shape[:2]).copy()
-    for k in range(ROWS):
+def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    parts = signature.reshape(len(signature), -1, rows)
+    key = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=U64), parts.shape[:2]).copy()
+    for k in range(rows):
         key = mix(key * U64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return key
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch, "text"):
-            hashes, sizes = shingle_sets(piece.column("text"))
-            some = np.flatnonzero(sizes)
-            ends = np.cumsum(sizes[some])
-            one, two = np.zeros(len(sizes), dtype=U64), np.zeros(len(sizes), dtype=U64)
-            bands: list[bytes | None] = [None] * len(sizes)
-            if len(some):
-                at = ends - sizes[some]
-                one[some] = np.add.reduceat(mix(hashes), at)
-                two[some] = np.add.reduceat(mix(hashes ^ U64(0xA0761D6478BD642F)), at)
-                for doc, keys in zip(some, band_keys(signatures(hashes, sizes[some])), strict=True):
-                    bands[doc] = keys.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bands, pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands"],
-            )
+def _sign(shingle: int, threshold: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                hashes, sizes = shingle_sets(piece.column("text"), shingle)
+                some = np.flatnonzero(sizes)
+                ends = np.cumsum(sizes[some])
+                one, two = np.zeros(len(sizes), dtype=U64), np.zeros(len(sizes), dtype=U64)
+                bands: list[bytes | None] = [None] * len(sizes)
+                if len(some):
+                    at = ends - sizes[some]
+                    one[some] = np.add.reduceat(mix(hashes), at)
+                    two[some] = np.add.reduceat(mix(hashes ^ U64(0xA0761D6478BD642F)), at)
+                    for doc, keys in zip(some, band_keys(signatures(hashes, sizes[some], bands_for(threshold, rows) * rows), rows), strict=True):
+                        bands[doc] = keys.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bands, pa.binary())],
+                    names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                )
+
+    return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +140,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     other member. So a bucket that a large share of all documents falls into moves one row for each batch."""
     for batch in batches:
         keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), dtype=np.int64)
-        ids = np.repeat(batch.column("rep").to_numpy(), BANDS)
+        ids = np.repeat(batch.column("rep").to_numpy(), len(keys) // max(1, batch.num_rows))
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         head = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
@@ -148,14 +157,17 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch, "text"):
-            hashes, sizes = shingle_sets(piece.column("text"))
-            data, ends = hashes.tobytes(), np.cumsum(sizes) * 8
-            cut = [data[e - 8 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            names = ["family", "blocks", "doc_id"]
-            yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(cut, pa.binary())], names=[*names, "shingles"])
+def _sets(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                hashes, sizes = shingle_sets(piece.column("text"), shingle)
+                data, ends = hashes.tobytes(), np.cumsum(sizes) * 8
+                cut = [data[e - 8 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                names = ["family", "blocks", "doc_id"]
+                yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(cut, pa.binary())], names=[*names, "shingles"])
+
+    return run
 
 
 def confirm(ids: np.ndarray, sets: list[np.ndarray], threshold: int = THRESHOLD) -> np.ndarray:
@@ -194,18 +206,22 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], threshold: int = THRESHOLD)
     return out
 
 
-def _confirm_group(table: pa.Table) -> pa.Table:
-    ids = table.column("doc_id").to_numpy()
-    sets = [np.frombuffer(x, dtype=U64) for x in table.column("shingles").to_pylist()]
-    least = confirm(ids, sets)
-    linked = least != ids
-    return pa.table({"a": pa.array(ids[linked], pa.int64()), "b": pa.array(least[linked], pa.int64())})
+def _confirm_group(threshold: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        sets = [np.frombuffer(x, dtype=U64) for x in table.column("shingles").to_pylist()]
+        least = confirm(ids, sets, threshold)
+        linked = least != ids
+        return pa.table({"a": pa.array(ids[linked], pa.int64()), "b": pa.array(least[linked], pa.int64())})
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row. ``shingle``: words; ``threshold``: percent; ``rows``: bins of
+    a band."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(slim.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, bands binary"), "signatures")
+    signed = stored(slim.mapInArrow(_sign(shingle, threshold, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands binary"), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     found = reps.select("rep", "bands").mapInArrow(_stars, "key long, a long, b long")
@@ -221,12 +237,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(members.join(total, "family").select("id", "family", F.ceil(F.col("_total") / BLOCK_SHINGLES).cast("int").alias("blocks")), "members")
     # merged at every size: the members of families grow with the documents, so they are never a broadcast side
     texts = slim.join(members.hint("merge"), slim["doc_id"] == members["id"]).select("family", "blocks", "doc_id", "text")
-    sets = texts.mapInArrow(_sets, "family long, blocks int, doc_id long, shingles binary")
+    sets = texts.mapInArrow(_sets(shingle), "family long, blocks int, doc_id long, shingles binary")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
     dealt = sets.withColumn("own", own).withColumn("other", other)
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "shingles")
-    links = stored(dealt.groupBy("family", "i", "j").applyInArrow(_confirm_group, "a long, b long"), "links")
+    links = stored(dealt.groupBy("family", "i", "j").applyInArrow(_confirm_group(threshold), "a long, b long"), "links")
     if members.where("blocks > 1").isEmpty():
         linked = links.select(F.col("a").alias("_rep"), F.col("b").alias("_least"))  # one group saw the whole family
     else:
@@ -239,9 +255,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
     """The rows of one document of each component, with all their columns."""
-    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
+    dropped = near_duplicates(docs, id_col, text_col, shingle, threshold, rows).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
     return docs.join(dropped.hint("merge"), docs[id_col] == dropped["_dropped"], "left_anti")  # they grow with the documents
 
 

@@ -52,7 +52,7 @@ def op9_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

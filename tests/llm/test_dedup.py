@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from rlab.llm import neardup, substring
 from rlab.llm.components import components
 
@@ -118,6 +119,37 @@ def test_a_link_survives_a_centre_that_is_unlike_both():
     assert neardup.confirm(np.array([1, 2, 3]), arrays, 95).tolist() == [1, 2, 2]
 
 
+def pipeline_kept_by_hand(rows):
+    cut = lambda w: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    sets = {i: cut(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))) for i, t, *_ in rows}
+    part = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and 10 * len(a & b) >= 8 * len(a | b):
+                low, high = sorted((part[i], part[j]))
+                part = {k: low if v == high else v for k, v in part.items()}
+    return sorted(i for i in sets if part[i] == i)
+
+
+def test_pipeline_stage_by_brute_force_at_five_words_and_four_fifths(spark, docs, rows):
+    words = [f"w{k}" for k in range(1200)]
+    odd = [f"odd{k}" for k in range(100)]
+    # one block appended: 996 of 1196 shingles of five words, but 998 of 1198 of three words, which is less than 85 %
+    # exactly at the threshold: 8 of 10 shingles
+    more = [(900, " ".join(words[:1000])), (901, " ".join(words)), (902, " ".join(odd[:12])), (903, " ".join(odd[:14])), (904, " ".join(odd[:15])), (905, " ".join(odd[50:58])), (906, " ".join(odd[50:61]))]
+    all_rows = rows + [(i, t, "en", "src0", len(t)) for i, t in more]
+    df = docs.unionByName(spark.createDataFrame(all_rows[len(rows) :], docs.schema))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == pipeline_kept_by_hand(all_rows)
+    assert 901 not in got and 903 not in got and {905, 906} <= set(got)
+
+
+@pytest.mark.parametrize(("threshold", "rows"), [(85, 8), (80, 7), (50, 4), (100, 8)])
+def test_bands_follow_from_the_threshold(threshold, rows):
+    assert (1 - (threshold / 100) ** rows) ** neardup.bands_for(threshold, rows) <= neardup.MISS
+    assert neardup.bands_for() == 40
+
+
 def test_densified_bins_agree_as_often_as_sets():
     rng = np.random.default_rng(3)
     for size in (12, 60, 3000):
