@@ -217,6 +217,16 @@ def _confirm_group(threshold: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _repeated(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ids of more than one row, and those of them whose rows have unlike sets."""
+    cells = ("n_shingles", "h1", "h2")
+    ends = [f(c).alias(f"{k}_{c}") for c in cells for k, f in (("low", F.min), ("high", F.max))]
+    found = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), *ends).where("_n > 1")
+    unlike = functools.reduce(lambda x, y: x | y, (F.col(f"low_{c}") != F.col(f"high_{c}") for c in cells))
+    found = stored(found.select("doc_id", unlike.alias("unlike")), "repeated")
+    return found.select("doc_id"), found.where("unlike").select("doc_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row. ``shingle``: words; ``threshold``: percent; ``rows``: bins of
     a band."""
@@ -231,27 +241,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = found.where("key is null").select("a", "b").union(across).distinct()
     families = components(stars, "families").withColumnRenamed("component", "family")
 
-    sizes = reps.select(F.col("rep").alias("id"), "n_shingles")
+    repeated, unlike = _repeated(signed)
+    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n_shingles"))  # an id may stand for several sets
     members = families.join(sizes, "id")
     total = members.groupBy("family").agg(F.sum("n_shingles").alias("_total"))
     members = stored(members.join(total, "family").select("id", "family", F.ceil(F.col("_total") / BLOCK_SHINGLES).cast("int").alias("blocks")), "members")
     # merged at every size: the members of families grow with the documents, so they are never a broadcast side
     texts = slim.join(members.hint("merge"), slim["doc_id"] == members["id"]).select("family", "blocks", "doc_id", "text")
     sets = texts.mapInArrow(_sets(shingle), "family long, blocks int, doc_id long, shingles binary")
+    if not repeated.isEmpty():
+        sets = sets.dropDuplicates(["doc_id", "shingles"])
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
     dealt = sets.withColumn("own", own).withColumn("other", other)
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "shingles")
     links = stored(dealt.groupBy("family", "i", "j").applyInArrow(_confirm_group(threshold), "a long, b long"), "links")
-    if members.where("blocks > 1").isEmpty():
-        linked = links.select(F.col("a").alias("_rep"), F.col("b").alias("_least"))  # one group saw the whole family
-    else:
+    keys = reps.select("n_shingles", "h1", "h2", "rep")
+    placed = signed.drop("bands").join(keys, ["n_shingles", "h1", "h2"], "left")
+    several = not unlike.isEmpty()
+    if several:  # the sets of such an id are one node: the smallest of their representatives, with a link from the others
+        own_reps = stored(placed.where("rep is not null").join(unlike, "doc_id", "left_semi").select("doc_id", "rep").distinct(), "own_reps")
+        nodes = own_reps.groupBy("doc_id").agg(F.min("rep").alias("_node"))
+        links = links.union(own_reps.join(nodes, "doc_id").where("rep <> _node").select("rep", "_node"))
+        placed = placed.join(nodes, "doc_id", "left").withColumn("rep", F.coalesce("_node", "rep"))
+    if several or not members.where("blocks > 1").isEmpty():
         linked = components(links, "links").select(F.col("id").alias("_rep"), F.col("component").alias("_least"))
+    else:  # one group saw the whole family, and each id in it has one set
+        linked = links.groupBy(F.col("a").alias("_rep")).agg(F.min("b").alias("_least"))
 
-    keys = reps.select("n_shingles", "h1", "h2", "rep")
-    placed = signed.drop("bands").join(keys, ["n_shingles", "h1", "h2"], "left").join(linked, F.col("rep") == F.col("_rep"), "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("_least", "rep"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    placed = placed.join(linked, F.col("rep") == F.col("_rep"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "rep", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

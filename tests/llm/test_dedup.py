@@ -119,6 +119,33 @@ def test_a_link_survives_a_centre_that_is_unlike_both():
     assert neardup.confirm(np.array([1, 2, 3]), arrays, 95).tolist() == [1, 2, 2]
 
 
+def classes_of_repeated_ids(rows):
+    """As ``classes_by_hand``, for rows that may repeat an id: an id is one node, linked by any of its texts."""
+    part = {i: i for i, _ in rows}
+    sets = [(i, shingles(t)) for i, t in rows]
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and a and b and 100 * len(a & b) >= 85 * len(a | b):
+                low, high = sorted((part[i], part[j]))
+                part = {k: low if v == high else v for k, v in part.items()}
+    return sorted((i, len(a), part[i], part[i] == i) for i, a in sets)
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK_SHINGLES, 200])
+@pytest.mark.parametrize("unlike", [False, True])
+def test_rows_that_repeat_an_id_by_brute_force(spark, monkeypatch, block, unlike):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
+    words = [[f"{name}{k}" for k in range(100)] for name in "abcdef"]
+    text = [" ".join(w) for w in words]
+    near = [" ".join([*w[:99], "edit"]) for w in words]
+    rows = [(5, text[0]), (7, near[0]), (7, near[0]), (8, text[1]), (8, text[1]), (8, text[1]), (9, text[2])]
+    if unlike:
+        # 20 joins b and c; 30 has only copies' texts, of d and of e; 40 has an empty text and a near copy of f; 50 repeats two texts
+        rows += [(20, near[1]), (20, near[2]), (25, text[3]), (26, text[4]), (30, text[3]), (30, text[4]), (35, text[5]), (40, ""), (40, near[5]), (40, near[5]), (50, near[0]), (50, near[4])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == classes_of_repeated_ids(rows)
+
+
 def pipeline_kept_by_hand(rows):
     cut = lambda w: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
     sets = {i: cut(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))) for i, t, *_ in rows}
