@@ -6,9 +6,8 @@ over trusted ones (labelled of good quality). A document scores the mean of log
 features, so length does not matter. The threshold is the mean score of the trusted documents less ``SPREAD`` standard
 deviations; a document at or above it is kept, unless the base rules already failed it.
 
-Counts of the raw corpus cover every document. The trusted set is a sample of at most ``TRUSTED_ROWS`` labelled rows
-(by hash of the id), a documented bound: its ids are broadcast, so no text is shuffled. Both count vectors have a fixed
-length.
+Counts cover every document, those of trusted ones and the threshold every trusted document: documents are joined to the
+distinct ids of good labels. Both count vectors have a fixed length.
 
 Defined cases: a null or empty text has no words and fails the base rules; without any trusted document there is no
 ratio, the score is 0 and the base rules decide alone; labels that repeat an id count once, null labels not at all;
@@ -25,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rlab.llm.scan import NOT_SPACE, U64, flat, mix, ngrams, owners, pieces, prefix_hash, span_hash, words
+from rlab.llm.shared import stored
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 SPREAD = 4.0
-TRUSTED_ROWS = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -99,13 +98,13 @@ class Scan:
         return total / np.maximum(1, self.n_words + np.maximum(self.n_words - 1, 0))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``rows`` ids labelled of good quality, chosen by hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids labelled of good quality, once each."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
-    return good.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    return good.hint("merge")  # they grow with the documents, so they are never a broadcast side
 
 
-def feature_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS) -> DataFrame:
+def feature_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, raw, trusted): feature counts over all documents and over the trusted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +120,7 @@ def feature_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, r
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(trusted[some])], names=["bucket", "raw", "trusted"])
 
-    ids = F.broadcast(trusted_ids(labels, rows))
+    ids = trusted_ids(labels)
     flagged = docs.join(ids, docs["doc_id"] == ids["_id"], "left").select("text", F.col("_id").isNotNull().alias("good"))
     return flagged.mapInArrow(run, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
@@ -158,16 +157,16 @@ def score_documents(docs: DataFrame, ratio: np.ndarray | None, buckets: int = BU
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA)
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, rows: int = TRUSTED_ROWS, spread: float = SPREAD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, spread: float = SPREAD) -> DataFrame:
     """Base counts, score, base_failed, threshold and kept of every document."""
-    ratio = log_ratio(feature_counts(docs, labels, buckets, rows), buckets)
+    ratio = log_ratio(feature_counts(docs, labels, buckets), buckets)
     threshold = None
+    scored = stored(score_documents(docs, ratio, buckets), "scored")
     if ratio is not None:
-        ids = F.broadcast(trusted_ids(labels, rows))
-        trusted = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
-        mean, deviation = score_documents(trusted, ratio, buckets).where(F.col("n_words") > 0).agg(F.avg("score"), F.stddev_pop("score")).first()
+        ids = trusted_ids(labels)
+        trusted = scored.join(ids, scored["doc_id"] == ids["_id"], "left_semi")
+        mean, deviation = trusted.where(F.col("n_words") > 0).agg(F.avg("score"), F.stddev_pop("score")).first()
         threshold = None if mean is None else mean - spread * deviation
-    scored = score_documents(docs, ratio, buckets)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     passed = F.lit(True) if threshold is None else F.col("score") >= F.lit(threshold)
     return scored.select(

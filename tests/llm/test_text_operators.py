@@ -77,6 +77,17 @@ def test_quality_counts_do_not_depend_on_partitions(docs, spark):
     assert (one == two).all()
 
 
+def test_quality_takes_every_trusted_row(spark):
+    n = 20_500
+    docs = spark.range(n + 500).selectExpr("id AS doc_id", "concat_ws(' ', 'w', concat('x', id % 11), concat('y', id % 700), 'z') AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    counts = quality.feature_counts(docs, labels.union(labels)).agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).first()
+    assert (counts.raw, counts.trusted) == (7 * (n + 500), 7 * n)  # four words and three pairs of each
+    out = quality.judge(docs, labels)
+    mean, deviation = out.where(f"doc_id < {n}").agg(F.avg("score"), F.stddev_pop("score")).first()
+    assert out.first().threshold == pytest.approx(mean - 4 * deviation, abs=1e-9)
+
+
 def test_quality_without_trusted_rows_and_documents(docs, no_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept != r.base_failed and r.score == 0 and r.threshold is None for r in quality.judge(docs, none).collect())
