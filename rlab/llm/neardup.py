@@ -18,8 +18,11 @@ one. The number of bands follows from the threshold: a pair at it shares no buck
 (1 - 0.85 ** 8) ** 40 and (1 - 0.8 ** 7) ** 55.
 
 Defined cases: texts without words, empty or null, have an empty set, are linked with nothing and kept; ties: the
-smallest id stays; rows that repeat an id are one node, and each row gets that node's component; a row without id is
-kept and has no component; an empty table gives no rows; other columns are not read, and ``deduplicate`` keeps them.
+smallest id stays; a row without id is linked with nothing, is kept and has no component; an empty table gives no rows;
+other columns, of any name and type, are not read, and ``deduplicate`` keeps them. Where rows repeat an id, the two
+functions differ on purpose: ``near_duplicates`` judges ids, so all rows of an id have one component, that of all its
+texts; ``deduplicate`` judges texts, so of the rows whose texts are linked, directly or through others, exactly one stays
+(that of the smallest id, then digest; of equal rows one), and no text goes without a kept copy or near copy of it.
 """
 
 from __future__ import annotations
@@ -128,8 +131,8 @@ def _sign(shingle: int, threshold: int, rows: int) -> Callable[[Iterator[pa.Reco
                     for doc, keys in zip(some, band_keys(signatures(hashes, sizes[some], bands_for(threshold, rows) * rows), rows), strict=True):
                         bands[doc] = keys.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bands, pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [piece.column("doc_id"), piece.column("sha"), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bands, pa.binary())],
+                    names=["doc_id", "sha", "n_shingles", "h1", "h2", "bands"],
                 )
 
     return run
@@ -140,7 +143,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     other member. So a bucket that a large share of all documents falls into moves one row for each batch."""
     for batch in batches:
         keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), dtype=np.int64)
-        ids = np.repeat(batch.column("rep").to_numpy(), len(keys) // max(1, batch.num_rows))
+        ids = np.repeat(batch.column("node").to_numpy(), len(keys) // max(1, batch.num_rows))
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         head = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
@@ -164,7 +167,7 @@ def _sets(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 hashes, sizes = shingle_sets(piece.column("text"), shingle)
                 data, ends = hashes.tobytes(), np.cumsum(sizes) * 8
                 cut = [data[e - 8 * n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                names = ["family", "blocks", "doc_id"]
+                names = ["family", "blocks", "node"]
                 yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), pa.array(cut, pa.binary())], names=[*names, "shingles"])
 
     return run
@@ -208,7 +211,7 @@ def confirm(ids: np.ndarray, sets: list[np.ndarray], threshold: int = THRESHOLD)
 
 def _confirm_group(threshold: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("node").to_numpy()
         sets = [np.frombuffer(x, dtype=U64) for x in table.column("shingles").to_pylist()]
         least = confirm(ids, sets, threshold)
         linked = least != ids
@@ -217,67 +220,97 @@ def _confirm_group(threshold: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _repeated(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The ids of more than one row, and those of them whose rows have unlike sets."""
-    cells = ("n_shingles", "h1", "h2")
-    ends = [f(c).alias(f"{k}_{c}") for c in cells for k, f in (("low", F.min), ("high", F.max))]
-    found = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), *ends).where("_n > 1")
-    unlike = functools.reduce(lambda x, y: x | y, (F.col(f"low_{c}") != F.col(f"high_{c}") for c in cells))
-    found = stored(found.select("doc_id", unlike.alias("unlike")), "repeated")
-    return found.select("doc_id"), found.where("unlike").select("doc_id")
+_SIGNED = "doc_id long, sha binary, n_shingles long, h1 long, h2 long, bands binary"
+_KEY = ["n_shingles", "h1", "h2"]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row. ``shingle``: words; ``threshold``: percent; ``rows``: bins of
-    a band."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(slim.mapInArrow(_sign(shingle, threshold, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands binary"), "signatures")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("sha"), text.alias("text"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, sha, n_shingles, node, root, least, best): node is the row that stands for its set, root the least
+    node linked to it, least the smallest id with its set, best the (doc_id, sha) that stays of all texts linked to it.
+    And the ids of more than one row."""
+    slim = _keyed(docs, id_col, text_col)
+    # rows are numbered in a written table, so that the numbers hold if a task runs again
+    signed = stored(slim.mapInArrow(_sign(shingle, threshold, rows), _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    found = reps.select("rep", "bands").mapInArrow(_stars, "key long, a long, b long")
+    first = F.min(F.struct("doc_id", "sha", "row")).alias("r")
+    reps = full.groupBy(*_KEY).agg(first, F.first("bands").alias("bands"))
+    reps = stored(reps.select(*_KEY, F.col("r.row").alias("node"), F.struct("r.doc_id", "r.sha").alias("text_key"), "bands"), "sets")
+    found = reps.select("node", "bands").mapInArrow(_stars, "key long, a long, b long")
     heads = found.where("key is not null").select("key", "a")
     centres = heads.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "b")
     across = heads.join(centres, "key").where("a <> b").select("a", "b")
     stars = found.where("key is null").select("a", "b").union(across).distinct()
-    families = components(stars, "families").withColumnRenamed("component", "family")
+    families = components(stars, "families").select(F.col("id").alias("node"), F.col("component").alias("family"))
 
-    repeated, unlike = _repeated(signed)
-    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.sum("n_shingles").alias("n_shingles"))  # an id may stand for several sets
-    members = families.join(sizes, "id")
-    total = members.groupBy("family").agg(F.sum("n_shingles").alias("_total"))
-    members = stored(members.join(total, "family").select("id", "family", F.ceil(F.col("_total") / BLOCK_SHINGLES).cast("int").alias("blocks")), "members")
+    members = families.join(reps.select("node", "n_shingles", "text_key"), "node")
+    total = stored(members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")), "families")
+    members = stored(members.join(total, "family").select("node", "family", "blocks", F.col("text_key.doc_id").alias("_id"), F.col("text_key.sha").alias("_sha")), "members")
     # merged at every size: the members of families grow with the documents, so they are never a broadcast side
-    texts = slim.join(members.hint("merge"), slim["doc_id"] == members["id"]).select("family", "blocks", "doc_id", "text")
-    sets = texts.mapInArrow(_sets(shingle), "family long, blocks int, doc_id long, shingles binary")
-    if not repeated.isEmpty():
-        sets = sets.dropDuplicates(["doc_id", "shingles"])
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    texts = slim.join(members.hint("merge"), (slim["doc_id"] == members["_id"]) & (slim["sha"] == members["_sha"])).select("family", "blocks", "node", "text")
+    sets = texts.mapInArrow(_sets(shingle), "family long, blocks int, node long, shingles binary")
+    repeated = stored(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():  # equal rows of one id: one of them stands for the set
+        sets = sets.dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
     dealt = sets.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "shingles")
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
     links = stored(dealt.groupBy("family", "i", "j").applyInArrow(_confirm_group(threshold), "a long, b long"), "links")
-    keys = reps.select("n_shingles", "h1", "h2", "rep")
-    placed = signed.drop("bands").join(keys, ["n_shingles", "h1", "h2"], "left")
-    several = not unlike.isEmpty()
-    if several:  # the sets of such an id are one node: the smallest of their representatives, with a link from the others
-        own_reps = stored(placed.where("rep is not null").join(unlike, "doc_id", "left_semi").select("doc_id", "rep").distinct(), "own_reps")
-        nodes = own_reps.groupBy("doc_id").agg(F.min("rep").alias("_node"))
-        links = links.union(own_reps.join(nodes, "doc_id").where("rep <> _node").select("rep", "_node"))
-        placed = placed.join(nodes, "doc_id", "left").withColumn("rep", F.coalesce("_node", "rep"))
-    if several or not members.where("blocks > 1").isEmpty():
-        linked = components(links, "links").select(F.col("id").alias("_rep"), F.col("component").alias("_least"))
-    else:  # one group saw the whole family, and each id in it has one set
-        linked = links.groupBy(F.col("a").alias("_rep")).agg(F.min("b").alias("_least"))
-
-    placed = placed.join(linked, F.col("rep") == F.col("_rep"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "rep", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    if total.where("blocks > 1").isEmpty():  # one group saw the whole family, and gave each node its least one
+        linked = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    else:
+        linked = components(links, "links").where("id <> component").select(F.col("id").alias("node"), F.col("component").alias("root"))
+    linked = stored(linked, "linked")
+    linked = linked.union(linked.select("root", "root").distinct()).join(reps.select("node", "text_key"), "node")
+    best = stored(linked.groupBy("root").agg(F.min("text_key").alias("best")), "best")
+    linked = linked.join(best, "root").select("node", "root", "best")
+
+    # what a hot key is joined to is a written table, so that Spark can split the side of many rows
+    placed = signed.drop("bands", "row").join(reps.drop("bands"), _KEY, "left").join(linked, "node", "left")
+    known = F.col("doc_id").isNotNull()
+    node, least = F.when(known, F.col("node")), F.when(known, F.coalesce("best.doc_id", "text_key.doc_id", "doc_id"))
+    return placed.select("doc_id", "sha", "n_shingles", node.alias("node"), F.coalesce("root", "node").alias("root"), least.alias("least"), F.coalesce("best", "text_key").alias("best")), repeated
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row. ``shingle``: words; ``threshold``: percent; ``rows``: bins of
+    a band."""
+    placed, repeated = _classes(docs, id_col, text_col, shingle, threshold, rows)
+    placed = placed.select("doc_id", "n_shingles", "node", "least")
+    if not repeated.isEmpty():  # the texts of one id are one: their components are joined
+        placed = stored(placed, "placed")
+        own = stored(placed.where("node is not null").join(repeated, "doc_id", "left_semi").select("doc_id", "least").distinct(), "own")
+        heads = stored(own.groupBy("doc_id").agg(F.min("least").alias("_head")), "heads")
+        merged = components(own.join(heads, "doc_id").select(F.col("least").alias("a"), F.col("_head").alias("b")), "merged")
+        merged = merged.select(F.col("id").alias("_from"), F.col("component").alias("_to"))
+        placed = placed.join(heads, "doc_id", "left").withColumn("_from", F.coalesce("_head", "least")).join(merged, "_from", "left").withColumn("least", F.coalesce("_to", "_from"))
+    return placed.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("least"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
-    """The rows of one document of each component, with all their columns."""
-    dropped = near_duplicates(docs, id_col, text_col, shingle, threshold, rows).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped.hint("merge"), docs[id_col] == dropped["_dropped"], "left_anti")  # they grow with the documents
+    """One row of each group of linked texts, with all its columns, and all rows that are linked with nothing."""
+    placed, repeated = _classes(docs, id_col, text_col, shingle, threshold, rows)
+    known = placed.where("node is not null").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), ((F.col("doc_id") != F.col("best.doc_id")) | (F.col("sha") != F.col("best.sha"))).alias("_goes"))
+    again = not repeated.isEmpty()
+    if again:
+        known = stored(known, "known")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"))
+    row_id, text = F.col("_all").getField(id_col).cast("long"), F.col("_all").getField(text_col)
+    keyed = keyed.withColumn("_doc", row_id)
+    goes = known.where("_goes")
+    if not again:  # every id stands in one row: no digest is needed, and the ids grow with the documents
+        return keyed.join(goes.hint("merge"), F.col("_doc") == F.col("_id"), "left_anti").select("_all.*")
+    keyed = keyed.withColumn("_digest", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
+    same = (F.col("_doc") == F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    left = keyed.join(goes.distinct().hint("merge"), same, "left_anti")
+    several = stored(known.where("not _goes").groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "several")
+    one = left.join(several, same, "left_semi").groupBy("_doc", "_digest").agg(F.min_by("_all", F.to_json("_all")).alias("_all"))
+    return left.join(several, same, "left_anti").select("_all.*").unionByName(one.select("_all.*"))
 
 
 ORACLE = r"""

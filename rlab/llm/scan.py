@@ -1,4 +1,4 @@
-"""Vectorised scanning of Arrow text batches inside Spark tasks: flat bytes, words and their 64-bit hashes.
+"""Vectorised scanning of Arrow text batches inside Spark tasks: flat bytes, words and their hashes.
 
 Every helper works on whole texts. A null text counts as empty. Batches are cut into pieces of about ``max_bytes``,
 so that the memory of a task does not grow with the batch; one text is never cut.
@@ -37,7 +37,8 @@ _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand and kept per process."""
+    """Powers of a hash base and of its inverse modulo 2**64, grown on demand and kept per process. Hashes modulo 2**64
+    only deal work out: long strings that collide for every base are known, so they never decide equality."""
 
     up = np.ones(1, dtype=U64)
     down = np.ones(1, dtype=U64)
@@ -54,6 +55,53 @@ class _Powers:
         return cls.up, cls.down
 
 
+#: The prime 2**61 - 1 and a base drawn once at random: two strings of n bytes collide with a chance of n / 2**61.
+PRIME = (1 << 61) - 1
+_PRIME_BASE = 0x0B7C4E1D93A85F27
+_M61, _M31, _M30 = U64(PRIME), U64((1 << 31) - 1), U64((1 << 30) - 1)
+_S61, _S31, _S30, _ONE = U64(61), U64(31), U64(30), U64(1)
+#: Bytes summed at once: few enough to stay in the cache, and that products of halves sum up without overflow.
+_SUM_BYTES = 1 << 14
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _M61) + (x >> _S61)
+    return np.where(x >= _M61, x - _M61, x)
+
+
+def _times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, by halves of 31 bits: 2**61 is 1 and 2**62 is 2 there."""
+    high, low, y_high, y_low = x >> _S31, x & _M31, y >> _S31, y & _M31
+    mid = high * y_low + low * y_high
+    return _reduced(((high * y_high) << _ONE) + (mid >> _S30) + ((mid & _M30) << _S31) + low * y_low)
+
+
+class _PrimePowers:
+    """Powers of the base, in halves of 31 bits, and of its inverse modulo the prime; grown on demand."""
+
+    low = high = np.zeros(0, dtype=U64)
+    down = np.zeros(0, dtype=U64)
+
+    @staticmethod
+    def _row(base: int, n: int) -> np.ndarray:
+        out = np.ones(n, dtype=U64)
+        size = 1
+        while size < n:
+            more = min(size, n - size)
+            out[size : size + more] = _times(out[:more], np.full(1, pow(base, size, PRIME), dtype=U64))
+            size += more
+        return out
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(cls.down) < n:
+            n = max(n, PIECE_BYTES + (PIECE_BYTES >> 2))
+            up = cls._row(_PRIME_BASE, n)
+            cls.low, cls.high, cls.down = up & _M31, up >> _S31, cls._row(pow(_PRIME_BASE, -1, PRIME), n)
+        return cls.low, cls.high, cls.down
+
+
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of the batch whose texts hold about ``max_bytes``; a longer text is a piece of its own."""
     if not batch.num_rows:
@@ -87,18 +135,38 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Sums such that ``span_hash`` gives the hash of any span in constant time."""
-    up, _ = _Powers.upto(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, dtype=U64)
-    sums[0] = 0
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    """Sums such that ``span_hash`` gives the hash of any span in constant time: a polynomial modulo 2**61 - 1. The sums
+    are below 2**61 + 8, not fully reduced."""
+    low, high, _ = _PrimePowers.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=U64)
+    for at in range(0, len(raw), _SUM_BYTES):
+        to = min(at + _SUM_BYTES, len(raw))
+        digit = raw[at:to].astype(U64)
+        digit += _ONE
+        upper = np.cumsum(digit * high[at:to])
+        digit *= low[at:to]
+        total = np.cumsum(digit, out=digit)
+        total += sums[at]
+        total += (upper & _M30) << _S31  # upper is below 2**61
+        total += upper >> _S30
+        np.bitwise_and(total, _M61, out=sums[at + 1 : to + 1])
+        sums[at + 1 : to + 1] += total >> _S61
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal spans have equal hashes wherever they stand."""
-    _, down = _Powers.upto(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    """Hash of each span of bytes; equal spans have equal hashes wherever they stand."""
+    down = _PrimePowers.upto(len(sums))[2]
+    return mix(_times(_reduced(sums[ends] + U64(2 * PRIME) - sums[starts]), down[starts]) + _ONE)
+
+
+def rolling_hash(raw: np.ndarray, size: int) -> np.ndarray:
+    """Cheap hash of every span of ``size`` bytes, modulo 2**64: to deal spans out, not to compare them."""
+    up, down = _Powers.upto(len(raw) + 1)
+    sums = np.empty(len(raw) + 1, dtype=U64)
+    sums[0] = 0
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[: len(raw) - size + 1] + U64(size))
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,14 +5,19 @@ have to be ordered to that depth, and only where strings can be equal, so they a
 
 1. Every window of ``LENGTH`` bytes names one of its q-grams as its anchor: the one of least hash, the leftmost of
    these. Equal windows have equal anchors at equal places. Neighbouring windows of one anchor form a segment.
-2. Anchors are the initial q-gram buckets. Each group of documents sends its distinct anchor hashes, packed, to hash
-   ranges; the reply is a bitmap of those that occur in two documents. Most text ends here.
+2. Anchors are the initial q-gram buckets. Each group of documents sends its distinct anchor hashes, packed, to the hash
+   ranges that it has any for; the reply flags those that occur in two documents. Most text ends here.
 3. Segments of repeated anchors are sent, distinct within a group, with the smallest id that holds them. In a range,
    equal segments are merged; a bucket of one distinct segment is final. All others are refined: bucket identifiers of
    8 bytes are sorted together with those 8 bytes later, which gives identifiers of 16 bytes, and these are reused for 32
-   and for the full depth. Windows in one final bucket are equal, and the smallest id of the bucket decides.
+   and for the full depth. In each pass only buckets that still hold two positions are sorted; settled ones keep their
+   identifier. Windows in one final bucket are equal, and the smallest id of the bucket decides.
 4. The reply says, for each segment, who holds it first and which of its windows a smaller id has as well.
 
+A group sends at most one message for each anchor that it holds, so messages are linear in the bytes however many groups
+and ranges there are; they are built and read as whole columns. Segments are equal where a polynomial hash modulo
+2**61 - 1 of all their bytes and the hash of their anchor are.
+
 Equal texts are found first by digest; of these only the smallest id takes part, so thousands of copies cost one. An
 anchor that more than ``HOT_GROUPS`` groups hold is dealt out by whole windows instead of by anchor, so no bucket gathers
 a common passage with all its surroundings. Groups are dealt by a hash of the id, and each scan reuses one shuffle of the
@@ -34,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rlab.llm.scan import U64, _Powers, flat, mix, prefix_hash, runs
-from rlab.llm.shared import parts_for, text_bytes
+from rlab.llm.scan import U64, flat, mix, prefix_hash, rolling_hash, runs, span_hash
+from rlab.llm.shared import parts_for, stored, text_bytes
 
 LENGTH = 50
 Q = 20
@@ -55,13 +60,12 @@ def _hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if a == b:
             continue
         sums = prefix_hash(raw[low : int(ends[a:b].max())])
-        s, e = starts[a:b] - low, ends[a:b] - low
-        out[a:b] = mix((sums[e] - sums[s]) * _Powers.upto(len(sums))[1][s] + (e - s).astype(U64))
+        out[a:b] = span_hash(sums, starts[a:b] - low, ends[a:b] - low)
     return out
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start, anchor hash and document of every segment, in order."""
+    """First and last window start, anchor hash (even) and document of every segment, in order."""
     n = len(raw) - LENGTH + 1
     none = np.zeros(0, dtype=np.int64)
     if n <= 0:
@@ -76,8 +80,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for low in range(0, n, _BLOCK):
         high = min(low + _BLOCK, n)
         part = raw[low : high + LENGTH - 1]
-        sums = prefix_hash(part)
-        grams = mix((sums[Q:] - sums[:-Q]) * _Powers.upto(len(sums))[1][: len(part) - Q + 1] + U64(Q))
+        grams = rolling_hash(part, Q)
         least = (grams & ~_LOW) | np.arange(len(grams), dtype=U64)
         width = 1
         while width * 2 <= SPAN:
@@ -89,7 +92,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         new = np.concatenate(([low == 0 or at[0] + low != before or not valid[low - 1]], (at[1:] != at[:-1]) | ~valid[low : high - 1]))
         first = np.flatnonzero(new & valid[low:high])
         firsts.append(first + low)
-        hashes.append(mix(grams[at[first]] + U64(1)))  # least hashes are small ones: spread them over the ranges again
+        hashes.append(mix(grams[at[first]] + U64(1)) & ~U64(1))  # least hashes are small ones: spread them over the ranges again
         anchors.append(at[first] + low)
         before = at[-1] + low
     first, hashed = np.concatenate(firsts), np.concatenate(hashes)
@@ -99,9 +102,28 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, last, hashed, np.searchsorted(offsets, first, side="right") - 1
 
 
-def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of n hash ranges in sorted hashes."""
-    return np.searchsorted((hashes >> U64(32)) * U64(n) >> U64(32), np.arange(n + 1, dtype=U64))
+def _cuts(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash ranges, of n, that sorted hashes fall into, and where each begins (with the total at the end)."""
+    ranges = (hashes >> U64(32)) * U64(n) >> U64(32)
+    starts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))) if len(ranges) else np.zeros(0, np.int64)
+    return ranges[starts].astype(np.int64), np.append(starts, len(hashes))
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Neighbouring slices of an array as binary values, without copies."""
+    data = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _values(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The binary values of a column, one after another."""
+    parts = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and at[-1] > at[0]:
+            parts.append(np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]])
+    return np.concatenate(parts).view(kind) if parts else np.zeros(0, kind)
 
 
 class Group:
@@ -135,12 +157,8 @@ class Group:
     def keep_repeated(self, side: pa.Table) -> None:
         """Only the segments of anchors that the replies call repeated; those of hot ones as single windows."""
         known, _ = self.distinct_anchors()
-        repeated, hot = np.zeros(len(known), dtype=bool), np.zeros(len(known), dtype=bool)
-        bounds = _ranges(known, int(side.column("ranges")[0].as_py()))
-        for row in _rows(side, 1):
-            low, high = bounds[row["slot"]], bounds[row["slot"] + 1]
-            bits = np.unpackbits(np.frombuffer(row["data"], dtype=np.uint8))
-            repeated[low:high], hot[low:high] = bits[: high - low], bits[high - low : 2 * (high - low)]
+        flags = _values(_rows(side, 1).column("data"), np.uint8)  # in the order of the ranges, so of the known anchors
+        repeated, hot = flags > 0, flags > 1
         at = np.searchsorted(known, self.anchor)
         some, many = repeated[at] & ~hot[at], np.flatnonzero(repeated[at] & hot[at])
         first, last, anchor, ids = self.first[some], self.last[some], self.anchor[some], self.id_of[some]
@@ -162,8 +180,10 @@ class Group:
         self.record[order] = np.cumsum(new) - 1
 
 
-def _rows(side: pa.Table, kind: int) -> list[dict]:
-    return [r for r in side.filter(pa.compute.equal(side.column("kind"), kind)).to_pylist()] if side.num_rows else []
+def _rows(side: pa.Table, kind: int) -> pa.Table:
+    """The messages of one kind, in the order of their ranges."""
+    some = side.filter(pa.compute.equal(side.column("kind"), kind))
+    return some.take(pa.array(np.argsort(some.column("slot").to_numpy(), kind="stable")))
 
 
 def _cut(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -172,43 +192,46 @@ def _cut(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return raw[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_SIDE = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("slot", pa.int64()), ("n", pa.int64()), ("ranges", pa.int32()), ("data", pa.binary())])
-_SIDE_SQL = "g int, kind int, slot long, n long, ranges int, data binary"
+_SIDE_SQL = "g int, kind int, slot long, n long, data binary, more binary"
+_SEGMENTS_SQL = "g int, slot long, n long, anchors binary, ids binary, sizes binary, data binary"
+
 
+def _side(g: pa.Array, kind: int, slot: pa.Array, n: pa.Array, data: pa.Array, more: pa.Array | None = None) -> pa.Table:
+    names = ["g", "kind", "slot", "n", "data", "more"]
+    return pa.Table.from_arrays([g, pa.array(np.full(len(g), kind, np.int32)), slot, n, data, pa.nulls(len(g), pa.binary()) if more is None else more], names=names)
 
-def _packed(rows: list[tuple], ranges: int) -> pa.Table:
-    columns = list(zip(*[(g, kind, slot, n, ranges, data) for g, kind, slot, n, data in rows], strict=True)) or [()] * 6
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SIDE, strict=True)], schema=_SIDE)
+
+def _none(types: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in types.split(", "))]).empty_table()
 
 
 def _send_anchors(ranges: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _packed([], ranges)
+            return _none(_SIDE_SQL)
         group, g = Group(docs, side), docs.column("g")[0].as_py()
         known, many = group.distinct_anchors()
-        bounds = _ranges(known, ranges)
-        cuts = [(r, bounds[r], bounds[r + 1]) for r in range(ranges) if bounds[r] < bounds[r + 1]]
-        return _packed([(g, 1, r, int(b - a), known[a:b].tobytes() + np.packbits(many[a:b]).tobytes()) for r, a, b in cuts], ranges)
+        slots, bounds = _cuts(known, ranges)
+        # an anchor is even: the last bit says that two documents of the group have it
+        return _side(pa.array(np.full(len(slots), g, np.int32)), 1, pa.array(slots), pa.array(np.diff(bounds)), _binary(known | many.astype(U64), bounds))
 
     return run
 
 
-def _find_repeated(ranges: int, hot_groups: int):
+def _find_repeated(hot_groups: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        counts = np.array([r["n"] for r in rows])
-        hashes = np.concatenate([np.frombuffer(r["data"], dtype=U64, count=r["n"]) for r in rows])
-        many = np.concatenate([np.unpackbits(np.frombuffer(r["data"], dtype=np.uint8, offset=8 * r["n"]), count=r["n"]) for r in rows]).astype(bool)
+        packed = _values(table.column("data"), U64)
+        hashes, many = packed & ~U64(1), (packed & U64(1)).astype(bool)
         order = np.argsort(hashes, kind="stable")
-        start = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
-        bucket = np.cumsum(start) - 1
+        bucket = np.cumsum(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) - 1
         size = np.bincount(bucket)
         some = np.bincount(bucket, weights=many[order]) > 0
-        repeated, hot = np.empty(len(order), dtype=bool), np.empty(len(order), dtype=bool)
-        repeated[order], hot[order] = ((size > 1) | some)[bucket], (size > hot_groups)[bucket]
-        ends = np.cumsum(counts)
-        return _packed([(r["g"], 1, r["slot"], r["n"], np.packbits(np.concatenate((repeated[e - r["n"] : e], hot[e - r["n"] : e]))).tobytes()) for r, e in zip(rows, ends, strict=True)], ranges)
+        flags = np.empty(len(order), dtype=np.uint8)  # 0: in one document, 1: in several, 2: and in very many groups
+        flags[order] = np.where(size > hot_groups, 2, (size > 1) | some)[bucket]
+        bounds = np.concatenate(([0], np.cumsum(table.column("n").to_numpy())))
+        g, slot, n = (table.column(c).combine_chunks() for c in ("g", "slot", "n"))
+        return _side(g, 1, slot, n, _binary(flags, bounds))
 
     return run
 
@@ -216,21 +239,22 @@ def _find_repeated(ranges: int, hot_groups: int):
 def _send_segments(ranges: int):
     def run(docs: pa.Table, side: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _packed([], ranges)
+            return _none(_SEGMENTS_SQL)
         group, g = Group(docs, side), docs.column("g")[0].as_py()
         if not len(group.first):
-            return _packed([], ranges)
+            return _none(_SEGMENTS_SQL)
         group.keep_repeated(side)
         head = group.head
-        bounds = _ranges(group.anchor[head], ranges)
-        out = []
-        for r in range(ranges):
-            some = head[bounds[r] : bounds[r + 1]]
-            if len(some):
-                sizes = group.last[some] - group.first[some] + LENGTH
-                data = _cut(group.raw, group.first[some], sizes)
-                out.append((g, 2, r, len(some), group.anchor[some].tobytes() + group.id_of[some].tobytes() + sizes.astype(np.uint8).tobytes() + data.tobytes()))
-        return _packed(out, ranges)
+        slots, bounds = _cuts(group.anchor[head], ranges)
+        sizes = group.last[head] - group.first[head] + LENGTH
+        text = np.concatenate(([0], np.cumsum(sizes)))[bounds]
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.full(len(slots), g, np.int32)), pa.array(slots), pa.array(np.diff(bounds)), _binary(group.anchor[head], bounds), _binary(group.id_of[head], bounds),
+                _binary(sizes.astype(np.uint8), bounds), _binary(_cut(group.raw, group.first[head], sizes), text),
+            ],
+            names=["g", "slot", "n", "anchors", "ids", "sizes", "data"],
+        )
 
     return run
 
@@ -240,62 +264,63 @@ def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.unique(left.astype(U64) << U64(32) | right.astype(U64), return_inverse=True)[1]
 
 
+def _refined(ids: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Sorts pairs of identifiers and gives ``ids`` at ``at`` new ones, above all that are there."""
+    if len(at):
+        ids[at] = int(ids.max()) + 1 + _pairs(left, right)
+
+
 def refine(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Final bucket identifiers of the strings of ``LENGTH`` bytes at ``starts``: equal strings have equal identifiers.
-    Identifiers of a depth are pairs of those of the depth before, at an offset and later."""
+    Identifiers of a depth are pairs of those of the depth before, at an offset and later; a position that is alone in
+    its bucket is settled and keeps its identifier."""
     padded = np.concatenate((data, np.zeros(LENGTH, np.uint8)))
     codes = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view(U64).ravel()
     ids, depth = np.unique(codes, return_inverse=True)[1], 8
     while depth * 2 <= LENGTH:
-        ids = _pairs(ids, np.concatenate((ids[depth:], np.zeros(depth, ids.dtype))))
+        open_ = np.flatnonzero((np.bincount(ids) > 1)[ids])
+        later = np.where(open_ + depth < len(ids), ids[np.minimum(open_ + depth, len(ids) - 1)], 0)
+        _refined(ids, open_, ids[open_], later)
         depth *= 2
-    return _pairs(ids[starts], ids[starts + LENGTH - depth])
-
-
-def _decide(ranges: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        anchor, ids, sizes, parts = [], [], [], []
-        for r in rows:
-            n = r["n"]
-            anchor.append(np.frombuffer(r["data"], dtype=U64, count=n))
-            ids.append(np.frombuffer(r["data"], dtype=np.int64, count=n, offset=8 * n))
-            sizes.append(np.frombuffer(r["data"], dtype=np.uint8, count=n, offset=16 * n))
-            parts.append(np.frombuffer(r["data"], dtype=np.uint8, offset=17 * n))
-        anchor, ids, sizes, data = np.concatenate(anchor), np.concatenate(ids), np.concatenate(sizes).astype(np.int64), np.concatenate(parts)
-        starts = np.cumsum(sizes) - sizes
-        content = _hash_spans(data, starts, starts + sizes)
-        order = np.lexsort((content, anchor))
-        a, c = anchor[order], content[order]
-        new_anchor = np.concatenate(([True], a[1:] != a[:-1]))
-        new = new_anchor | np.concatenate(([True], c[1:] != c[:-1]))
-        heads = np.flatnonzero(new)
-        least = np.minimum.reduceat(ids[order], heads)  # of each distinct segment
-        of_anchor = (np.cumsum(new_anchor) - 1)[heads]
-        open_ = np.bincount(of_anchor)[of_anchor] > 1  # buckets of one distinct segment are final
-        mask = np.zeros(len(heads), dtype=np.uint32)
-        todo = np.flatnonzero(open_)
-        if len(todo):
-            chosen = order[heads[todo]]
-            text = _cut(data, starts[chosen], sizes[chosen])
-            begin, windows = np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen] - LENGTH + 1
-            segment = np.repeat(np.arange(len(todo)), windows)
-            place = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
-            bucket = refine(text, begin[segment] + place)
-            first = np.full(int(bucket.max()) + 1, NO_ID, dtype=np.int64)
-            np.minimum.at(first, bucket, least[todo][segment])
-            seen = first[bucket] < least[todo][segment]
-            np.bitwise_or.at(mask, todo[segment[seen]], (np.uint32(1) << place[seen].astype(np.uint32)))
-        record = np.empty(len(order), dtype=np.int64)
-        record[order] = np.cumsum(new) - 1
-        ends = np.cumsum([r["n"] for r in rows])
-        out = []
-        for r, e in zip(rows, ends, strict=True):
-            mine = record[e - r["n"] : e]
-            out.append((r["g"], 2, r["slot"], r["n"], least[mine].tobytes() + mask[mine].tobytes()))
-        return _packed(out, ranges)
-
-    return run
+    final = ids[starts]
+    open_ = np.flatnonzero((np.bincount(final) > 1)[final])
+    _refined(final, open_, final[open_], ids[starts[open_] + LENGTH - depth])
+    return np.unique(final, return_inverse=True)[1]
+
+
+def _decide(table: pa.Table) -> pa.Table:
+    """Of each segment, the smallest id that holds it (``data``) and a bit for each window that a smaller id has (``more``)."""
+    counts = table.column("n").to_numpy()
+    anchor, ids = _values(table.column("anchors"), U64), _values(table.column("ids"), np.int64)
+    sizes, data = _values(table.column("sizes"), np.uint8).astype(np.int64), _values(table.column("data"), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    content = _hash_spans(data, starts, starts + sizes)
+    order = np.lexsort((content, anchor))
+    a, c = anchor[order], content[order]
+    new_anchor = np.concatenate(([True], a[1:] != a[:-1]))
+    new = new_anchor | np.concatenate(([True], c[1:] != c[:-1]))
+    heads = np.flatnonzero(new)
+    least = np.minimum.reduceat(ids[order], heads)  # of each distinct segment
+    of_anchor = (np.cumsum(new_anchor) - 1)[heads]
+    open_ = np.bincount(of_anchor)[of_anchor] > 1  # buckets of one distinct segment are final
+    mask = np.zeros(len(heads), dtype=np.uint32)
+    todo = np.flatnonzero(open_)
+    if len(todo):
+        chosen = order[heads[todo]]
+        text = _cut(data, starts[chosen], sizes[chosen])
+        begin, windows = np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen] - LENGTH + 1
+        segment = np.repeat(np.arange(len(todo)), windows)
+        place = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
+        bucket = refine(text, begin[segment] + place)
+        first = np.full(int(bucket.max()) + 1, NO_ID, dtype=np.int64)
+        np.minimum.at(first, bucket, least[todo][segment])
+        seen = first[bucket] < least[todo][segment]
+        np.bitwise_or.at(mask, todo[segment[seen]], (np.uint32(1) << place[seen].astype(np.uint32)))
+    record = np.empty(len(order), dtype=np.int64)
+    record[order] = np.cumsum(new) - 1
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    g, slot, n = (table.column(c).combine_chunks() for c in ("g", "slot", "n"))
+    return _side(g, 2, slot, n, _binary(least[record], bounds), _binary(mask[record], bounds))
 
 
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
@@ -309,12 +334,8 @@ def _apply(docs: pa.Table, side: pa.Table) -> pa.Table:
     edges = np.zeros(len(group.raw) + 1, dtype=np.int32)
     if len(group.first):
         group.keep_repeated(side)
-        bounds = _ranges(group.anchor[group.head], int(side.column("ranges")[0].as_py()))
-        least, mask = np.full(len(group.head), NO_ID, dtype=np.int64), np.zeros(len(group.head), dtype=np.uint32)
-        for row in _rows(side, 2):
-            low, high = bounds[row["slot"]], bounds[row["slot"] + 1]
-            least[low:high] = np.frombuffer(row["data"], dtype=np.int64, count=high - low)
-            mask[low:high] = np.frombuffer(row["data"], dtype=np.uint32, offset=8 * (high - low))
+        replies = _rows(side, 2)  # in the order of the ranges, so of the group's distinct segments
+        least, mask = _values(replies.column("data"), np.int64), _values(replies.column("more"), np.uint32)
         whole = least[group.record] < group.id_of
         np.add.at(edges, group.first[whole], 1)
         np.add.at(edges, group.last[whole] + LENGTH, -1)
@@ -348,15 +369,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     texts = slim.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "text")
 
     digests = slim.where(F.octet_length("text") >= LENGTH).select("id", F.unhex(F.sha2("text", 256)).alias("sha"), F.crc32(F.col("text").cast("binary")).alias("n"))
-    firsts = digests.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("sha", "least")
-    copies = digests.join(firsts, "sha").where("id > least").select(
-        F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("id").alias("slot"), "n", F.lit(ranges).alias("ranges"), F.lit(None).cast("binary").alias("data")
-    )
+    # a written table, so that Spark can split the copies of a very common text in the join
+    firsts = stored(digests.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("sha", "least"), "firsts")
+    none = F.lit(None).cast("binary")
+    copies = digests.join(firsts, "sha").where("id > least").select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("id").alias("slot"), "n", none.alias("data"), none.alias("more"))
     by_group = texts.groupBy("g")
     anchors = by_group.cogroup(copies.groupBy("g")).applyInArrow(_send_anchors(ranges), _SIDE_SQL)
-    repeated = anchors.groupBy("slot").applyInArrow(_find_repeated(ranges, hot_groups), _SIDE_SQL)
-    sent = by_group.cogroup(copies.union(repeated).groupBy("g")).applyInArrow(_send_segments(ranges), _SIDE_SQL)
-    decided = sent.groupBy("slot").applyInArrow(_decide(ranges), _SIDE_SQL)
+    repeated = anchors.groupBy("slot").applyInArrow(_find_repeated(hot_groups), _SIDE_SQL)
+    sent = by_group.cogroup(copies.union(repeated).groupBy("g")).applyInArrow(_send_segments(ranges), _SEGMENTS_SQL)
+    decided = sent.groupBy("slot").applyInArrow(_decide, _SIDE_SQL)
     out = by_group.cogroup(copies.union(repeated).union(decided).groupBy("g")).applyInArrow(_apply, _OUT_SQL)
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rlab.llm import neardup, substring
@@ -146,6 +147,74 @@ def test_rows_that_repeat_an_id_by_brute_force(spark, monkeypatch, block, unlike
     assert sorted(map(tuple, got.collect())) == classes_of_repeated_ids(rows)
 
 
+def kept_texts_by_hand(rows):
+    """The rows (id, text) that stay: of linked texts the one of the smallest id, then digest, once."""
+    sets = [shingles(t) if i is not None else frozenset() for i, t in rows]
+    part = list(range(len(rows)))
+    for x, a in enumerate(sets):
+        for y in range(x):
+            b = sets[y]
+            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                low, high = sorted((part[x], part[y]))
+                part = [low if v == high else v for v in part]
+    order = lambda k: (rows[k][0], hashlib.sha256((rows[k][1] or "").encode()).digest())
+    best = {v: min((k for k in range(len(rows)) if part[k] == v and sets[k]), key=order) for v in set(part) if sets[v]}
+    return sorted((rows[k] for k in range(len(rows)) if not sets[k] or best[part[k]] == k), key=str)
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK_SHINGLES, 200])
+def test_deduplicate_keeps_one_row_of_linked_texts_where_ids_repeat(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
+    words = [[f"{name}{k}" for k in range(100)] for name in "abcdef"]
+    text = [" ".join(w) for w in words]
+    near = [" ".join([*w[:99], "edit"]) for w in words]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (3, near[1]), (5, text[2]), (5, text[2]), (5, text[2]), (6, near[2]), (7, text[3]), (7, near[3]), (8, "  a  b c"), (8, "a b c")]
+    rows += [(9, ""), (9, ""), (9, None), (None, text[0]), (None, text[0]), (10, text[4]), (11, text[5]), (12, near[5]), (12, near[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("_all", F.lit(1))
+    out = neardup.deduplicate(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == kept_texts_by_hand(rows)
+
+
+def thue_morse(n, one, two):
+    """Two strings of 2 ** n characters whose polynomial hashes are equal modulo 2 ** 64 for every odd base."""
+    a, b = one, two
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_unlike_words_of_equal_weak_hashes(spark):
+    x, y = thue_morse(11, "p", "q")
+    common = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, f"{x} {common}"), (2, f"{y} {common}"), (3, f"{x} {x} {y}"), (4, f"{y} {y} {x}"), (5, f"u v {x}"), (6, f"u v {y}")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == classes_by_hand(rows)
+    x, y = thue_morse(12, "p", "q")
+    pair = [(1, x + "tail"), (2, y + "tail"), (3, "head" + x)]
+    assert measured(substring.repeats(spark.createDataFrame(pair, "doc_id long, text string"))) == repeats_by_hand(pair)
+
+
+@pytest.mark.parametrize("scale", [1, 64])
+def test_messages_of_anchors_are_linear(spark, docs, scale):
+    """No more messages than anchors, and no empty ones, for any number of ranges."""
+    table = docs.select(F.lit(0).alias("g"), F.col("doc_id").alias("id"), "text").toArrow()
+    side = substring._none(substring._SIDE_SQL)
+    known, _ = substring.Group(table, side).distinct_anchors()
+    sent = substring._send_anchors(1000 * scale)(table, side)
+    assert sent.num_rows == len(set(sent.column("slot").to_pylist())) <= len(known)
+    assert sum(sent.column("n").to_pylist()) == len(known) and min(sent.column("n").to_pylist()) > 0
+
+
+def test_other_columns_may_clash(spark, rows):
+    few = [(i, t) for i, t, *_ in rows if len(t or "") < 5000]
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    odd = df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("g", "id", "sha", "n", "node", "slot", "row", "_id", "least"))], F.create_map(F.lit(1), F.lit(2)).alias("family"))
+    assert measured(substring.repeats(odd)) == repeats_by_hand(few)
+    assert sorted(map(tuple, neardup.near_duplicates(odd).collect())) == classes_by_hand(few)
+    assert neardup.deduplicate(odd).columns == odd.columns
+
+
 def pipeline_kept_by_hand(rows):
     cut = lambda w: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
     sets = {i: cut(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))) for i, t, *_ in rows}
