@@ -1,17 +1,22 @@
 """Quality rules by a hashed n-gram log-likelihood ratio between trusted documents and the raw corpus.
 
 Words are the runs of anything but ASCII white space; features are the words and the pairs of neighbouring words of a
-document, hashed into ``BUCKETS`` bins. Two multinomials with additive smoothing are counted: over all documents, and
-over trusted ones (labelled of good quality). A document scores the mean of log p_trusted - log p_raw over its
-features, so length does not matter. The threshold is the mean score of the trusted documents less ``SPREAD`` standard
-deviations; a document at or above it is kept, unless the base rules already failed it.
+document, hashed into ``BUCKETS`` bins. Multinomials are counted over all documents and over trusted ones (labelled of
+good quality). A document scores the mean of log p_trusted - log p_raw over its features, so length does not matter.
+
+No document is judged by itself: trusted documents fall into ``FOLDS`` folds by a hash of their id, and a document of a
+fold is scored with the trusted counts of the other folds. So trusted documents score as unseen ones of their kind do, and
+the threshold, the mean of their scores less ``SPREAD`` standard deviations, holds for documents without a label too. The
+trusted multinomial is smoothed towards the raw one with ``PRIOR`` times the trusted counts, so a feature that no trusted
+document has costs log(PRIOR / (1 + PRIOR)) at every size of the corpus. A document at or above the threshold is kept,
+unless the base rules already failed it.
 
 Counts cover every document, those of trusted ones and the threshold every trusted document: documents are joined to the
-distinct ids of good labels. Both count vectors have a fixed length.
+distinct ids of good labels. All count vectors have a fixed length.
 
-Defined cases: a null or empty text has no words and fails the base rules; without any trusted document there is no
-ratio, the score is 0 and the base rules decide alone; labels that repeat an id count once, null labels not at all;
-repeated rows are judged each; an empty table gives no rows; other columns are not read.
+Defined cases: a null or empty text has no words and fails the base rules; without a trusted document in every fold's
+complement there is no ratio, the score is 0 and the base rules decide alone; labels that repeat an id count once, null
+labels and null ids not at all; repeated rows are judged each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rlab.llm.scan import NOT_SPACE, U64, flat, mix, ngrams, owners, pieces, prefix_hash, span_hash, words
 from rlab.llm.shared import stored
 
 BUCKETS = 1 << 16
-SMOOTHING = 0.5
+FOLDS = 2
+#: Weight of the raw corpus in the trusted multinomial, as a share of the trusted counts.
+PRIOR = 0.25
 SPREAD = 4.0
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
@@ -90,71 +97,87 @@ class Scan:
         self.pairs = (pairs[same] >> shift).astype(np.int64)
         self.pair_bounds = np.concatenate(([0], np.cumsum(np.maximum(self.n_words - 1, 0))))
 
-    def scores(self, ratio: np.ndarray) -> np.ndarray:
+    def scores(self, ratio: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """The mean ratio of each text's features, in the row of its fold."""
         total = np.zeros(len(self.n_words))
         for bins, bounds in ((self.singles, self.single_bounds), (self.pairs, self.pair_bounds)):
-            sums = np.concatenate(([0.0], np.cumsum(ratio[bins])))
-            total += sums[bounds[1:]] - sums[bounds[:-1]]
+            doc = owners(np.diff(bounds))  # a text's sum is taken in its own order, whatever stands beside it
+            total += np.bincount(doc, weights=ratio[fold[doc], bins], minlength=len(total))
         return total / np.maximum(1, self.n_words + np.maximum(self.n_words - 1, 0))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """The ids labelled of good quality, once each."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct()
     return good.hint("merge")  # they grow with the documents, so they are never a broadcast side
 
 
+def fold_of(doc_id: Column) -> Column:
+    """The fold of an id (a null id has the first)."""
+    return F.coalesce(F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(FOLDS)), F.lit(FOLDS)), F.lit(0)).cast("int")
+
+
 def feature_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, trusted): feature counts over all documents and over the trusted ones."""
+    """(bucket, raw, trusted): feature counts over all documents, and over the trusted ones of each fold (an array)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        raw, trusted = np.zeros(buckets, dtype=np.int64), np.zeros((FOLDS, buckets), dtype=np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 scan = Scan(piece.column("text"), buckets)
-                good = np.asarray(piece.column("good").to_numpy(zero_copy_only=False), dtype=bool)
-                pair_counts = np.maximum(scan.n_words - 1, 0)
-                for bins, counts in ((scan.singles, scan.n_words), (scan.pairs, pair_counts)):
+                fold = np.asarray(piece.column("fold").to_numpy(zero_copy_only=False))  # -1: not trusted
+                for bins, counts in ((scan.singles, scan.n_words), (scan.pairs, np.maximum(scan.n_words - 1, 0))):
                     raw += np.bincount(bins, minlength=buckets)
-                    trusted += np.bincount(bins[np.repeat(good, counts)], minlength=buckets)
+                    of = np.repeat(fold, counts)
+                    for k in range(FOLDS):
+                        trusted[k] += np.bincount(bins[of == k], minlength=buckets)
         some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(trusted[some])], names=["bucket", "raw", "trusted"])
+        folds = pa.array(list(trusted[:, some].T), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), folds], names=["bucket", "raw", "trusted"])
 
     ids = trusted_ids(labels)
-    flagged = docs.join(ids, docs["doc_id"] == ids["_id"], "left").select("text", F.col("_id").isNotNull().alias("good"))
-    return flagged.mapInArrow(run, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
+    fold = F.when(F.col("_id").isNotNull(), fold_of(F.col("_doc"))).otherwise(-1)
+    flagged = slim.join(ids, F.col("_doc") == F.col("_id"), "left").select("text", fold.alias("fold"))
+    sums = [F.sum(F.col("trusted")[k]) for k in range(FOLDS)]
+    return flagged.mapInArrow(run, "bucket int, raw long, trusted array<long>").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.array(*sums).alias("trusted"))
 
 
 def log_ratio(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray | None:
-    """log p_trusted - log p_raw of every bin (a vector of fixed length); None without trusted documents."""
-    raw, trusted = np.zeros(buckets), np.zeros(buckets)
+    """log p_trusted - log p_raw of every bin for the documents of each fold (an array of fixed size: fold, bin); None if a
+    fold has no trusted documents outside it."""
+    raw, trusted = np.zeros(buckets), np.zeros((FOLDS, buckets))
     for row in counts.collect():
-        raw[row.bucket], trusted[row.bucket] = row.raw, row.trusted
-    if not trusted.sum():
+        raw[row.bucket], trusted[:, row.bucket] = row.raw, row.trusted
+    others = trusted.sum(axis=0) - trusted
+    if not others.sum(axis=1).all():
         return None
-    smooth = lambda c: np.log(c + SMOOTHING) - np.log(c.sum() + SMOOTHING * buckets)
-    return smooth(trusted) - smooth(raw)
+    share = others / others.sum(axis=1, keepdims=True)
+    plain = np.maximum(raw, 1) / max(1.0, raw.sum())
+    return np.log((share + PRIOR * plain) / ((1 + PRIOR) * plain))
 
 
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
 def score_documents(docs: DataFrame, ratio: np.ndarray | None, buckets: int = BUCKETS) -> DataFrame:
-    """Base counts and score of every document."""
+    """Base counts and score of every document, with the ratio of its fold."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 scan = Scan(piece.column("text"), buckets)
-                scores = scan.scores(shared.value) if shared.value is not None else np.zeros(piece.num_rows)
+                scores = np.zeros(piece.num_rows)
+                if shared.value is not None:
+                    scores = scan.scores(shared.value, np.asarray(piece.column("fold").to_numpy(zero_copy_only=False)))
                 counts = (scan.n_words, scan.word_chars, scan.n_symbols, scan.n_dup_lines, scan.n_repeat_words)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(scores)],
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold_of(F.col("doc_id")).alias("fold")).mapInArrow(run, _SCHEMA)
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, spread: float = SPREAD) -> DataFrame:
