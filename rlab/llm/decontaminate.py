@@ -5,8 +5,9 @@ Texts are lower-cased (A-Z only) and cut into words of digits, ASCII letters and
 document is looked up by its 64-bit hash; hits are verified word by word. Words inside hits can be removed as spans,
 or the documents that have any can be dropped.
 
-The broadcast set is bounded: items are dealt into blocks of at most ``BLOCK_WINDOWS`` windows (their number is
-counted first); each block is one pass over the documents and the hits of all passes are merged by document.
+The broadcast set is bounded: windows are dealt into blocks of about ``BLOCK_WINDOWS`` (they are counted first). One block
+is one pass. With more, each pass gives only the texts that it hits, by digest; these are merged and joined to the
+documents, with the same spans whatever the size of a block.
 
 Defined cases: a null or empty text has no words, no hits and is kept; null or wordless items never occur; repeated
 items each count; equal windows of several items count for each of them; empty tables give no hits or no rows;
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rlab.llm.scan import ALNUM, flat, ngrams, owners, pieces, prefix_hash, span_hash, words
+from rlab.llm.shared import stored
 
 WINDOW = 10
 #: Most windows in one broadcast block: about 16 MB of hashes and texts of 10 words.
@@ -136,30 +138,39 @@ def _scan_block(docs: DataFrame, rows: list[tuple[int, int, str]]) -> DataFrame:
     return docs.mapInArrow(run, f"{kept}, {HITS}")
 
 
+def _hits_by_text(texts: DataFrame, windows: DataFrame, blocks: int) -> DataFrame:
+    """(_sha, item_ids, spans) of every text (_sha, text) that any block hits."""
+    dealt = windows.withColumn("_b", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    passes = None
+    for b in range(blocks):  # equal windows share a block; a block holds about as many windows as are asked, whatever the total
+        hit = _scan_block(texts, [tuple(r) for r in dealt.where(F.col("_b") == b).drop("_b").collect()]).where("n_hit > 0").select("_sha", "item_ids", "spans")
+        passes = hit if passes is None else passes.unionByName(hit)
+    # equal texts give equal hits, so sets of them are what one of them has
+    merged = passes.groupBy("_sha").agg(F.flatten(F.collect_set("item_ids")).alias("item_ids"), F.flatten(F.collect_set("spans")).alias("spans"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_merge([(s["start"], s["stop"]) for s in found]) for found in batch.column("spans").to_pylist()]
+            n_hit = pa.array([sum(s["stop"] - s["start"] for s in found) for found in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_sha"), n_hit, batch.column("item_ids"), pa.array(spans, _HIT_TYPE.field("spans").type)], names=["_sha", "n_hit", "item_ids", "spans"])
+
+    listed = merged.select("_sha", F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), "spans")
+    return stored(listed.mapInArrow(merge, f"_sha binary, n_hit long, item_ids array<long>, spans {_SPANS}"), "hits")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", n: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: ``id_cols``, n_words, n_hit, item_ids (sorted) and the merged spans of hit words."""
     slim = docs.select(*id_cols, F.col(text_col).alias("text"))
     windows = benchmark_windows(benchmark, n)
-    total = windows.count()
-    blocks = max(1, -(-total // block))
+    blocks = max(1, -(-windows.count() // block))
     if blocks == 1:
         return _scan_block(slim, [tuple(r) for r in windows.collect()])
-    keyed = slim.select(F.struct(*id_cols, F.md5(F.coalesce("text", F.lit("")))).alias("_key"), *id_cols, "text")
-    dealt = windows.withColumn("_b", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    passes = None
-    for b in range(blocks):  # equal windows share a block; a block holds about `block` windows, whatever the total
-        hit = _scan_block(keyed, [tuple(r) for r in dealt.where(F.col("_b") == b).drop("_b").collect()])
-        passes = hit if passes is None else passes.unionByName(hit)
-    merged = passes.groupBy("_key", *id_cols).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("_all"),
-        F.count(F.lit(1)).alias("_passes"),
-    )
-    words_hit = F.flatten(F.transform("_all", lambda s: F.sequence(s["start"], s["stop"] - 1)))
-    hit = F.when(F.size("_all") > 0, F.size(F.array_distinct(words_hit))).otherwise(0).cast("long")
-    copies = F.explode(F.sequence(F.lit(1), (F.col("_passes") / blocks).cast("int")))
-    return merged.select(*id_cols, "n_words", hit.alias("n_hit"), "item_ids", F.col("_all").alias("spans"), copies.alias("_c")).drop("_c")
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    hits = _hits_by_text(slim.select(sha.alias("_sha"), "text"), windows, blocks)
+    counted = _scan_block(slim.select(*id_cols, sha.alias("_sha"), "text"), []).drop("n_hit", "item_ids", "spans")
+    joined = counted.join(hits, "_sha", "left")
+    none = [F.array().cast(kind) for kind in ("array<long>", _SPANS)]
+    return joined.select(*id_cols, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", none[0]).alias("item_ids"), F.coalesce("spans", none[1]).alias("spans"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, n: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
@@ -169,32 +180,27 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, n: int
     return hits.where(F.col("n_hit") <= max_share * F.col("n_words")).select("_row.*")
 
 
-def strip_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+def strip_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, text): the texts without the words of verified hits, and without what stands between those words."""
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in benchmark_windows(benchmark, n).limit(BLOCK_WINDOWS + 1).collect()])
-    if len(shared.value) > BLOCK_WINDOWS:
-        raise ValueError("strip_spans takes one block of windows; deal the benchmark into several calls")
+    found = find_hits(docs.select("doc_id", "text", F.col("text").alias("_text")), benchmark, ("doc_id", "_text"), "text", n, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = WindowSet(shared.value)
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                texts = piece.column("text")
-                spans = _summaries(found, texts).field("spans").to_pylist()
-                out = []
-                for text, cut in zip(texts.to_pylist(), spans, strict=True):
-                    if cut:
-                        raw, offsets = flat(pa.array([text], pa.string()), lower=True)
-                        starts, ends, _ = words(raw, offsets, ALNUM)
-                        data, at, kept = text.encode(), 0, []
-                        for s in cut:
-                            kept.append(data[at : starts[s["start"]]])
-                            at = int(ends[s["stop"] - 1])
-                        text = b"".join([*kept, data[at:]]).decode()
-                    out.append(text)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+            out = []
+            for text, cut in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                if cut:
+                    raw, offsets = flat(pa.array([text], pa.string()), lower=True)
+                    starts, ends, _ = words(raw, offsets, ALNUM)
+                    data, at, kept = text.encode(), 0, []
+                    for s in cut:
+                        kept.append(data[at : starts[s["start"]]])
+                        at = int(ends[s["stop"] - 1])
+                    text = b"".join([*kept, data[at:]]).decode()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return found.select("doc_id", "_text", "spans").mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def digest(hits: DataFrame) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,13 +84,73 @@ def test_quality_takes_every_trusted_row(spark):
     n = 20_500
     docs = spark.range(n + 500).selectExpr("id AS doc_id", "concat_ws(' ', 'w', concat('x', id % 11), concat('y', id % 700), 'z') AS text")
     labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
-    counts = quality.feature_counts(docs, labels.union(labels)).agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).first()
+    counts = quality.feature_counts(docs, labels.union(labels)).agg(F.sum("raw").alias("raw"), F.sum(F.col("trusted")[0] + F.col("trusted")[1]).alias("trusted")).first()
     assert (counts.raw, counts.trusted) == (7 * (n + 500), 7 * n)  # four words and three pairs of each
     out = quality.judge(docs, labels)
     mean, deviation = out.where(f"doc_id < {n}").agg(F.avg("score"), F.stddev_pop("score")).first()
     assert out.first().threshold == pytest.approx(mean - 4 * deviation, abs=1e-9)
 
 
+def test_quality_score_and_threshold_by_plain_counting(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(24)]
+    rows = [(i, " ".join(rng.choices(vocabulary[i % 5 :], k=rng.randint(1, 60))) if i % 9 else None) for i in range(80)]
+    few = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fold = {r.doc_id: r.fold for r in few.select("doc_id", quality.fold_of(F.col("doc_id")).alias("fold")).collect()}
+    good = set(range(0, 60, 2))
+    labels = spark.createDataFrame([(k, 1 if k in good else 0) for k in range(60)], "doc_id long, quality int")
+    features = {}
+    for i, text in rows:
+        w = re.findall(SPACE, text or "")
+        features[i] = w + list(zip(w, w[1:], strict=False))
+    raw = Counter(f for own in features.values() for f in own)
+    n_raw, scores = sum(raw.values()), {}
+    for k in range(quality.FOLDS):
+        other = Counter(f for i, own in features.items() if i in good and fold[i] != k for f in own)
+        n, prior = sum(other.values()), quality.PRIOR
+        for i, own in features.items():
+            if fold[i] == k:
+                ratios = [math.log((other[f] / n + prior * raw[f] / n_raw) / ((1 + prior) * raw[f] / n_raw)) for f in own]
+                scores[i] = sum(ratios) / max(1, len(own))
+    trusted = np.array([scores[i] for i in features if i in good and features[i]])
+    threshold = trusted.mean() - quality.SPREAD * trusted.std()
+    got = {r.doc_id: r for r in quality.judge(few, labels, buckets=1 << 20).collect()}
+    assert set(got) == set(scores)
+    for i, r in got.items():
+        assert r.score == pytest.approx(scores[i], abs=1e-9) and r.threshold == pytest.approx(threshold, abs=1e-9)
+        assert r.kept == (not r.base_failed and scores[i] >= threshold)
+
+
+def test_quality_keeps_unseen_documents_as_it_keeps_trusted_ones(spark, sf):
+    """Half of the good labels are hidden; both halves are kept alike."""
+    docs, labels = (spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("hidden", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+    out = quality.judge(docs, labels.where("not hidden")).join(labels.where("quality = 1"), "doc_id").where("not base_failed")
+    share = {r.hidden: r.share for r in out.groupBy("hidden").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert abs(share[True] - share[False]) <= 0.05 and share[True] > 0.9
+
+
+def test_unlike_lines_and_words_of_equal_weak_hashes(spark):
+    a, b = "p", "q"
+    for _ in range(12):
+        a, b = a + b, b + a
+    w = [f"w{k}" for k in range(4)]
+    texts = [f"{a}\n{b}", " ".join([*w, a, *w, b]), f"{a}\n{a}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    for r in quality.judge(docs, none).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_by_hand(texts[r.doc_id])
+
+
+def test_quality_with_clashing_columns(docs, rows, spark):
+    labels = spark.createDataFrame([(k, 1, "x") for k in range(40)], "doc_id long, quality int, text string")
+    odd = docs
+    for c in ("quality", "fold", "_id", "good", "score", "kept", "raw"):
+        odd = odd.withColumn(c, F.lit(c))
+    want = sorted(map(tuple, quality.judge(docs, labels.drop("text")).collect()))
+    assert sorted(map(tuple, quality.judge(odd, labels).collect())) == want
+
+
 def test_quality_without_trusted_rows_and_documents(docs, no_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept != r.base_failed and r.score == 0 and r.threshold is None for r in quality.judge(docs, none).collect())
@@ -112,13 +175,49 @@ def hits_by_hand(text, items, n=10):
     return len(words), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 5])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 40, 5])
 def test_benchmark_hits(docs, rows, spark, block):
-    items = [*ITEMS, (20, rows[5][1][3:150]), (21, rows[6][1]), (22, rows[6][1])]
+    long = rows[-1][1]
+    items = [*ITEMS, (20, rows[5][1][3:150]), (21, rows[6][1]), (22, rows[6][1]), (23, long[70_000:70_200]), (24, long[-90:])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(decontaminate.find_hits(docs, bench, block=block)).collect()}
+    found = decontaminate.find_hits(docs, bench, block=block)
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(found).collect()}
     short = [r for r in rows if len(r[1] or "") < 50_000]
     assert {r[0]: got[r[0]] for r in short} == {i: hits_by_hand(t, items) for i, t, *_ in short}
+    assert got[rows[-1][0]] == hits_by_words(long, items)
+    whole = decontaminate.find_hits(docs, bench).collect()
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole))  # spans too
+    cut = {r.doc_id: r.text for r in decontaminate.strip_spans(docs, bench, block=block).collect()}
+    assert cut == {r.doc_id: r.text for r in decontaminate.strip_spans(docs, bench).collect()} and len(cut[rows[-1][0]]) < len(long)
+
+
+def hits_by_words(text, items, n=10):
+    """As ``hits_by_hand``, by an index of all windows of the text, for long ones."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    words, hit, found = cut(text), set(), set()
+    at = {size: {} for size in range(1, n + 1)}
+    for size in at:
+        for k in range(len(words) - size + 1):
+            at[size].setdefault(tuple(words[k : k + size]), []).append(k)
+    for item, content in items:
+        own = cut(content)
+        size = min(n, len(own))
+        for k in range(len(own) - size + 1 if own else 0):
+            for start in at[size].get(tuple(own[k : k + size]), ()):
+                hit |= set(range(start, start + size))
+                found.add(item)
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("block", [3, 10**6])
+def test_copies_and_overlaps_in_any_block(spark, block):
+    words = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words[:18])), (2, " ".join(words[12:30]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words))] * 3 + [(2, " ".join(words)), (None, " ".join(words[:18])), (3, None), (4, "")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), tuple((s.start, s.stop) for s in r.spans)) for r in decontaminate.find_hits(docs, bench, block=block).collect())
+    both = (40, 30, (1, 2), ((0, 30),))
+    assert got == {(1, *both): 3, (2, *both): 1, (None, 18, 18, (1,), ((0, 18),)): 1, (3, 0, 0, (), ()): 1, (4, 0, 0, (), ()): 1}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs.withColumn("m", F.create_map(F.lit(1), F.lit(2))), bench, block=block).collect()) == [3, 4]
 
 
 def test_clean_keeps_columns_of_any_name(docs, rows, spark):
