@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a new temporary one on a local master, which is one
+    machine; on a cluster that is an error, as executors would each write to their own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="rlab-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
