@@ -1,12 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text's UTF-8 bytes are cut into windows of ``WINDOW`` positions. In each window one gated recurrent network runs
-forwards and one backwards; their states at a position give the probability of every language there (a label for every
-position), and the mean over all positions of the whole text is the document's probability.
+A text's UTF-8 bytes are cut into windows of ``WINDOW`` positions, read together with the ``MARGIN`` positions before and
+behind them, so that windows can be run side by side and every position still has seen as much of the text on both sides.
+One gated recurrent network runs forwards and one backwards; their states at a position give the probability of every
+language there (a label for every position), and the mean over all positions of the whole text is the document's.
 
-Training is backpropagation through time with Adam, on the driver, on a bounded sample: at most ``TRAIN_ROWS`` labelled
-rows, taken evenly from all languages by hash, one excerpt of ``EXCERPT`` characters at a hashed place in each. The
-weights (a fixed size for each language) are broadcast; prediction runs in Arrow batches over every byte of every text.
+Training is backpropagation through time with Adam, on the driver, on a bounded sample of labelled rows: at most
+``TRAIN_ROWS``, taken evenly from all languages by hash, and of all windows of their whole texts at most ``TRAIN_WINDOWS``,
+again by hash. The weights (a fixed size for each language) are broadcast; prediction runs in Arrow batches over every byte
+of every text.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any labelled row everything is
 `und`; ties go to the first language by name; rows with a null label are not trained on; repeated rows are predicted
@@ -15,17 +17,19 @@ each; an empty table gives no rows; language, source and id are never inputs; ex
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rlab.llm.scan import flat, pieces
+from rlab.llm.scan import U64, flat, mix, pieces
 
-HIDDEN, WINDOW, BATCH = 8, 64, 2048
-TRAIN_ROWS, EXCERPT, EPOCHS, RATE, SEED, SPARE = 2400, 256, 8, 0.01, 5, 4
+HIDDEN, WINDOW, MARGIN, BATCH = 8, 128, 16, 1024
+TRAIN_ROWS, TRAIN_WINDOWS, EPOCHS, RATE, SEED, SPARE = 1200, 8_000, 3, 0.012, 5, 4
 MIN_SCORE = 0.3
 UNKNOWN = "und"
 
@@ -78,22 +82,24 @@ class Network:
             out[:, t] = state
         return out
 
-    def probabilities(self, states: np.ndarray) -> np.ndarray:
-        """(position, language, window)"""
+    def probabilities(self, states: np.ndarray, at: slice = slice(None)) -> np.ndarray:
+        """(position, language, window) of the positions ``at``"""
         h = self.hidden
-        logits = self.w["out"][:, :h] @ states[0] + self.w["out"][:, h:] @ states[1, ::-1] + self.w["base"]
+        logits = self.w["out"][:, :h] @ states[0][at] + self.w["out"][:, h:] @ states[1, ::-1][at] + self.w["base"]
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
-    def gradients(self, data: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all positions, and its gradients by backpropagation through time."""
+    def gradients(self, data: np.ndarray, mask: np.ndarray, labels: np.ndarray, core: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over all positions (or those in ``core``), and its gradients by backpropagation through time.
+        ``mask`` is 0 where a window reaches over its text."""
         h, size, n = self.hidden, *data.shape
         keep: list = []
         states = self.states(data, mask, keep)
         p = self.probabilities(states)
-        weight = (mask / mask.sum())[:, None, :]
+        core = mask if core is None else core
+        weight = (core / core.sum())[:, None, :]
         loss = -float((np.log(p[:, labels, np.arange(n)] + 1e-9) * weight[:, 0]).sum())
         error = p * weight
         error[:, labels, np.arange(n)] -= weight[:, 0]
@@ -123,19 +129,19 @@ class Network:
                 d["table"][way, k] = np.bincount(seen.ravel(), weights=inputs[way, k].ravel(), minlength=256)
         return loss, d
 
-    def train(self, windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 128, seed: int = SEED) -> list[float]:
-        """Adam over shuffled batches of windows (window, position); the mean loss of every epoch."""
+    def train(self, windows: Windows, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 128, seed: int = SEED) -> list[float]:
+        """Adam over shuffled batches of windows; the mean loss of every epoch."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step, losses = 0, []
-        steps = epochs * -(-len(windows) // batch)
+        steps = epochs * -(-len(labels) // batch)
         for _ in range(epochs):
-            order, total = rng.permutation(len(windows)), 0.0
+            order, total = rng.permutation(len(labels)), 0.0
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
-                mask = (np.arange(windows.shape[1])[:, None] < sizes[some]).astype(np.float32)
-                loss, grads = self.gradients(np.ascontiguousarray(windows[some].T), mask, labels[some])
+                data, mask, core = windows.batch(some)
+                loss, grads = self.gradients(data, mask, labels[some], core)
                 total += loss * len(some)
                 step += 1
                 now = rate * (1 - 0.9 * step / steps)
@@ -149,19 +155,21 @@ class Network:
     def pool(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Mean probabilities of every text (text, language), and the share of its positions with each label."""
         raw, offsets = flat(texts)
-        data, sizes, doc = cut(raw, offsets)
+        windows, doc = Windows.cut(raw, offsets)
         n, k = len(offsets) - 1, len(self.languages)
         total, votes = np.zeros((n, k)), np.zeros((n, k))
-        full = np.argsort(sizes < WINDOW, kind="stable")  # whole windows need no mask
-        for at in range(0, len(full), BATCH):
-            some = full[at : at + BATCH]
-            short = sizes[some[-1]] < WINDOW
-            mask = (np.arange(WINDOW)[:, None] < sizes[some]).astype(np.float32) if short else None
-            p = self.probabilities(self.states(np.ascontiguousarray(data[some].T), mask))
+        inner = slice(MARGIN, MARGIN + WINDOW)
+        whole = (windows.low == 0) & (windows.high == WINDOW + 2 * MARGIN)
+        order = np.argsort(~whole, kind="stable")  # windows inside a text need no mask
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            data, mask, core = windows.batch(some)
+            plain = bool(whole[some[-1]])
+            p = self.probabilities(self.states(data, None if plain else mask), inner)
             best = p.argmax(axis=1)
-            if short:
-                p *= mask[:, None, :]
-                best[mask == 0] = -1
+            if not plain:
+                p *= core[inner, None, :]
+                best[core[inner] == 0] = -1
             sums = p.sum(axis=0)
             for j in range(k):
                 total[:, j] += np.bincount(doc[some], weights=sums[j], minlength=n)
@@ -170,17 +178,37 @@ class Network:
         return total / length, votes / length
 
 
-def cut(raw: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all texts (window, position; zeros behind the end), the bytes in each and the text of each."""
-    lengths = np.diff(offsets) - 1  # without the line feed behind each text
-    counts = -(-lengths // size)
-    doc = np.repeat(np.arange(len(lengths)), counts)
-    starts = offsets[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * size
-    sizes = np.minimum(size, offsets[doc] + lengths[doc] - starts)
-    padded = np.concatenate((raw, np.zeros(size, np.uint8)))
-    data = padded[starts[:, None] + np.arange(size)]
-    data[np.arange(size) >= sizes[:, None]] = 0
-    return data, sizes, doc
+@dataclass
+class Windows:
+    """Windows of texts with their margins (window, position; zeros outside the text) and the positions inside the text,
+    from ``low`` on and below ``high``."""
+
+    data: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def cut(cls, raw: np.ndarray, offsets: np.ndarray, size: int = WINDOW, margin: int = MARGIN) -> tuple[Windows, np.ndarray]:
+        """All windows of all texts, and the text of each."""
+        lengths = np.diff(offsets) - 1  # without the line feed behind each text
+        counts = -(-lengths // size)
+        doc = np.repeat(np.arange(len(lengths)), counts)
+        at = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * size
+        wide = size + 2 * margin
+        low, high = np.maximum(0, margin - at), np.minimum(wide, lengths[doc] - at + margin)
+        padded = np.concatenate((np.zeros(margin, np.uint8), raw, np.zeros(wide, np.uint8)))
+        data = padded[(offsets[doc] + at)[:, None] + np.arange(wide)]
+        edge = np.flatnonzero((low > 0) | (high < wide))
+        place = np.arange(wide)
+        data[edge] *= (place >= low[edge, None]) & (place < high[edge, None])
+        return cls(data, low, high), doc
+
+    def batch(self, some: np.ndarray, size: int = WINDOW, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, live positions and those of the windows without their margins (position, window)."""
+        place = np.arange(size + 2 * margin)[:, None]
+        mask = ((place >= self.low[some]) & (place < self.high[some])).astype(np.float32)
+        core = mask * ((place >= margin) & (place < margin + size))
+        return np.ascontiguousarray(self.data[some].T), mask, core.astype(np.float32)
 
 
 def held_out(docs: DataFrame) -> F.Column:
@@ -193,30 +221,49 @@ def has_letter(text: F.Column) -> F.Column:
 
 
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(lang, excerpt): at most ``rows`` labelled rows outside the held-out quarter, evenly from all languages, those of
-    least hash. Rows are counted by language first, and only hashes below a bound that leaves about ``SPARE * rows`` of
-    each language are ranked, so a language that holds most rows does not fill one task."""
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(docs) & has_letter(F.col("text")))
+    """(lang, text): about ``rows`` labelled rows outside the held-out quarter, evenly from all languages, those of least
+    hash. Rows are counted by language first, and only hashes below a bound that leaves about ``SPARE * rows`` of each
+    language are ranked, so a language that holds most rows does not fill one task. Texts move only when they are chosen."""
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(docs) & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
     bounds = [(lang, min((1 << 63) - 1, -(1 << 63) + (SPARE * rows << 64) // n)) for lang, n in counts.items()]
     bound = docs.sparkSession.createDataFrame(bounds, "lang string, _bound long")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
-    excerpts = known.select("lang", F.xxhash64("doc_id").alias("_h"), F.substring(F.col("text"), place, F.lit(EXCERPT)).alias("excerpt"))
-    near = excerpts.join(F.broadcast(bound), "lang").where(F.col("_h") <= F.col("_bound"))
-    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "excerpt"))).where(F.col("_k") <= rows)
-    return ranked.orderBy("_k", "lang").limit(rows).select("lang", "excerpt")
+    near = known.select("lang", "_h").join(F.broadcast(bound), "lang").where(F.col("_h") <= F.col("_bound")).distinct()
+    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_k") <= rows)
+    chosen = ranked.orderBy("_k", "lang").limit(rows).select("lang", "_h")
+    return known.join(F.broadcast(chosen), ["lang", "_h"], "left_semi").select("lang", "text")
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network | None:
+_WINDOW = pa.schema([("lang", pa.string()), ("data", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("h", pa.int64())])
+
+
+def training_windows(sample: DataFrame, most: int = TRAIN_WINDOWS) -> DataFrame:
+    """(lang, data, low, high): of all windows of the whole texts of a sample at most ``most``, those of least hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                raw, offsets = flat(piece.column("text"))
+                windows, doc = Windows.cut(raw, offsets)
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                seed = np.array([zlib.crc32(t.as_buffer()) for t in piece.column("text").cast(pa.binary())], dtype=U64)
+                h = mix(mix(seed[doc] + U64(SEED)) + place.astype(U64)) >> U64(1)
+                columns = [piece.column("lang").take(pa.array(doc)), pa.array([w.tobytes() for w in windows.data], pa.binary()), *(pa.array(x.astype(np.int32)) for x in (windows.low, windows.high)), pa.array(h.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, schema=_WINDOW)
+
+    found = sample.select("lang", "text").mapInArrow(run, "lang string, data binary, low int, high int, h long")
+    return found.orderBy("h", "lang", "data").limit(most).drop("h")
+
+
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_WINDOWS) -> Network | None:
     """A network trained on the bounded sample; None without any labelled row."""
-    sample = sorted((r.lang, r.excerpt) for r in training_sample(docs, rows).collect())
+    sample = sorted(tuple(r) for r in training_windows(training_sample(docs, rows), most).collect())
     if not sample:
         return None
-    network = Network(sorted({lang for lang, _ in sample}))
-    raw, offsets = flat(pa.array([text for _, text in sample], pa.string()))
-    data, sizes, doc = cut(raw, offsets)
-    labels = np.array([network.languages.index(lang) for lang, _ in sample])[doc]
-    network.train(data, sizes, labels)
+    languages, data, low, high = zip(*sample, strict=True)
+    network = Network(sorted(set(languages)))
+    windows = Windows(np.frombuffer(b"".join(map(bytes, data)), dtype=np.uint8).reshape(len(data), -1), np.array(low), np.array(high))
+    network.train(windows, np.array([network.languages.index(lang) for lang in languages]))
     return network
 
 
