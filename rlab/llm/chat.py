@@ -11,8 +11,9 @@ back, a backslash and the character behind it stand for that character.
 
 Defined cases: null texts and parts are empty, a null role is an empty role; turns are ordered by turn (null first), and
 turns that tie by role and text, so repeated rows stay as repeated turns; a null conv_id is a conversation of its own;
-an empty table gives no rows; an attachment without a reference keeps its placeholder and has an empty one; other
-columns are not read.
+an empty table gives no rows; an attachment without a reference keeps its placeholder and has an empty one; a part of any
+other type is an attachment of kind `other` that expands to no token; a size that is null, negative or not finite counts
+as 0, and the tokens of a part stop at ``MOST_TOKENS``; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ CONTROL = re.compile(r"<\||</?s>|\[/?INST\]|\[/?SYS\]|<</?SYS>>")
 LOSS_ROLE = "assistant"
 #: Tokens that one attachment expands to: image patches, audio frames a second, tokens a document page.
 PATCH, FRAMES_PER_S, PAGE_TOKENS = 14, 25, 512
+MOST_TOKENS = 1 << 53
 
 PARTS = "array<struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
 SEGMENTS = (
     "conv_id long, turn long, segment string, loss array<struct<start:int,stop:int>>, "
-    "attachments array<struct<placeholder:string,kind:string,uri:string,tokens:int>>"
+    "attachments array<struct<placeholder:string,kind:string,uri:string,tokens:long>>"
 )
 
 
@@ -56,7 +58,8 @@ class PartVisitor:
         self.at, self.out, self.text_spans, self.attachments = at, [], [], []
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
+        visit = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        visit.get(part.get("type") or "text", self.visit_other)(part)
 
     def _add(self, text: str) -> None:
         self.out.append(text)
@@ -64,7 +67,7 @@ class PartVisitor:
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         mark = f"<|{kind}:{len(self.attachments)}|>"
-        self.attachments.append({"placeholder": mark, "kind": kind, "uri": part.get("uri") or "", "tokens": tokens})
+        self.attachments.append({"placeholder": mark, "kind": kind, "uri": part.get("uri") or "", "tokens": min(tokens, MOST_TOKENS)})
         self._add(mark)
 
     def visit_text(self, part: dict) -> None:
@@ -74,16 +77,29 @@ class PartVisitor:
             self._add(text)
 
     def visit_image(self, part: dict) -> None:
-        self._attach("image", part, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
+        self._attach("image", part, _patches(part.get("width")) * _patches(part.get("height")))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0) * FRAMES_PER_S))
+        self._attach("audio", part, _units(part.get("seconds"), FRAMES_PER_S))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, (part.get("pages") or 0) * PAGE_TOKENS)
+        self._attach("document", part, _units(part.get("pages"), PAGE_TOKENS))
 
     def visit_other(self, part: dict) -> None:
-        raise ValueError(f"unknown part type {part.get('type')!r}")
+        self._attach("other", part, 0)
+
+
+def _size(size: float | None) -> float:
+    return size if size is not None and math.isfinite(size) and size > 0 else 0
+
+
+def _patches(size: int | None) -> int:
+    return math.ceil(_size(size) / PATCH)
+
+
+def _units(size: float | None, each: int) -> int:
+    """Tokens of a size at so many each, rounded up."""
+    return math.ceil(min(_size(size) * each, MOST_TOKENS))
 
 
 def format_turn(role: str | None, parts: list[dict] | None) -> tuple[str, list[dict], list[dict]]:
@@ -122,7 +138,7 @@ def format_turns(turns: DataFrame, content: str = "text") -> DataFrame:
                     turn,
                     pa.array([r[0] for r in rows], pa.string()),
                     pa.array([r[1] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array([r[2] for r in rows], pa.list_(pa.struct([("placeholder", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("tokens", pa.int32())]))),
+                    pa.array([r[2] for r in rows], pa.list_(pa.struct([("placeholder", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("tokens", pa.int64())]))),
                 ],
                 names=["conv_id", "turn", "segment", "loss", "attachments"],
             )
