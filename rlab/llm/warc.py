@@ -8,7 +8,9 @@ by a k-way loser tree, which gives the globally ordered capture histories.
 
 Tasks write through ``pyarrow.fs``, so the shared folder may be any file system that it opens. An archive's name is new
 in each attempt, and only archives in the manifest that Spark committed are read, so lost executors and repeated
-attempts leave nothing in the index. Payloads are never gathered: a task holds one record of an archive at a time.
+attempts leave nothing in the index. Pages move once, in the join to the first page of their payload; a task holds one
+record of an archive at a time. A run is cut into segments only for the ranges that it has captures in, so there are
+never more segments than captures.
 
 Defined cases: a null payload is empty; payloads below the limit, empty ones among them, are all responses; a null URL
 is left out of the record and has an empty key; rows that repeat a page id and a payload are each a response or refer to
@@ -35,7 +37,9 @@ from rlab.llm.shared import fresh_dir, stored
 
 MIN_PAYLOAD = 100
 ARCHIVE_BYTES = 8 << 20
-RANGE_ROWS, SAMPLED_KEYS, RUN_ROWS = 5_000, 20_000, 1_000
+#: Captures of one range, captures of one part of a run, and the most keys that the driver draws to cut the ranges: four for
+#: each range, so beyond 250 million captures ranges grow (to 200,000 captures at 10 thousand million).
+RANGE_ROWS, RUN_ROWS, SAMPLED_KEYS = 5_000, 1_000, 200_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -107,10 +111,11 @@ def read_record(data: bytes) -> dict:
 
 
 def revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """(page_id, digest, first): the pages whose payload a smaller id has. Hot payloads are aggregated before the
-    shuffle, and only ids and digests move."""
+    """(page_id, digest, first): the pages whose payload a smaller id has. Only ids and digests move; the first pages are a
+    written table, so that Spark can split the pages of a very common payload in the join."""
     slim = pages.where(F.octet_length("html") >= min_payload).select("page_id", F.sha2("html", 256).alias("digest")).where("page_id is not null")
     firsts = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    firsts = stored(firsts, "firsts")
     return slim.join(firsts, "digest").where("page_id > first").distinct()
 
 
