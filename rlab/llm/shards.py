@@ -18,16 +18,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rlab.llm.shared import stored
+
 SHARDS = 8
 SEED = 17
 #: Rows aimed at in one bucket, and so in one window partition.
 BUCKET_ROWS = 10_000
+#: Buckets whose counts are summed up before they are ordered.
+SPAN = 1000
 
 
 def _offsets(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
-    """Rows in all earlier buckets. ``counts`` has one row for each bucket."""
-    order = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    """Rows in all earlier buckets. ``counts`` has one row for each bucket; buckets are summed up in spans of ``SPAN``, so no
+    window holds all of them."""
+    spans = counts.withColumn("_span", F.expr(f"{bucket} div {SPAN}"))
+    earlier = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = spans.groupBy(*by, "_span").agg(F.sum("n").alias("_sum"))
+    ahead = sums.select(*by, "_span", F.coalesce(F.sum("_sum").over(earlier(by, "_span")), F.lit(0)).alias("_ahead_span"))
+    inside = spans.withColumn("_inside", F.coalesce(F.sum("n").over(earlier([*by, "_span"], bucket)), F.lit(0)))
+    return inside.join(ahead, [*by, "_span"]).select(*by, bucket, (F.col("_ahead_span") + F.col("_inside")).alias("before"))
 
 
 def interleave(rows: DataFrame, source: Column, order: Column, total: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -42,12 +51,13 @@ def interleave(rows: DataFrame, source: Column, order: Column, total: int, bucke
     offsets = _offsets(counts, ["_src"], "_b").withColumnRenamed("before", "_before")
     totals = counts.groupBy("_src").agg(F.sum("n").alias("_n"))
     within = F.row_number().over(Window.partitionBy("_src", "_b").orderBy("_h", *tie))
-    ranked = keyed.withColumn("_in", within).join(offsets.drop("n"), ["_src", "_b"]).join(totals, "_src")
+    ranked = keyed.withColumn("_in", within).join(offsets, ["_src", "_b"]).join(totals, "_src")
     ranked = ranked.withColumn("_frac", (F.col("_before") + F.col("_in") - 0.5) / F.col("_n"))
     ranked = ranked.withColumn("_c", F.least(F.floor(F.col("_frac") * buckets), F.lit(buckets - 1)).cast("long"))
+    ranked = stored(ranked.drop("_b", "_before", "_in", "_n"), "ranked")
     ahead = _offsets(ranked.groupBy("_c").agg(F.count(F.lit(1)).alias("n")), [], "_c").withColumnRenamed("before", "_ahead")
     place = F.row_number().over(Window.partitionBy("_c").orderBy("_frac", "_h", "_src", *tie))
-    placed = ranked.withColumn("_place", place).join(ahead.drop("n"), "_c")
+    placed = ranked.withColumn("_place", place).join(ahead, "_c")
     return placed.select(*columns, (F.col("_ahead") + F.col("_place") - 1).alias("pos"))
 
 
