@@ -56,41 +56,86 @@ def test_shards_of_copies_few_and_no_rows(spark, no_docs):
     assert shards.shard(no_docs).collect() == []
 
 
+def test_shards_in_many_spans_of_buckets(docs, monkeypatch):
+    total = docs.count()
+    slim = docs.select("doc_id", "source")
+    placed = lambda: {r.doc_id: r.pos for r in shards.interleave(slim, F.col("source"), F.xxhash64("doc_id"), total, bucket_rows=5).collect()}
+    one = placed()
+    monkeypatch.setattr(shards, "SPAN", 3)
+    assert placed() == one and sorted(one.values()) == list(range(total))
+
+
+def test_shards_of_odd_rows_with_clashing_columns(spark):
+    rows = [(None, None, None, "x"), (None, None, None, "x"), (1, "é" * 9, "a", "y"), (1, "é" * 9, "a", "y"), (2, "", "a", "z"), (3, "w " * 50_000, "b", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string").withColumn("_src", F.create_map(F.lit(1), F.lit(2))).withColumn("n", F.lit(1)).withColumn("pos", F.lit(2))
+    out = shards.digest(shards.shard(df, 2)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.source) for r in out) == Counter((i, len((t or "").encode()) + 1, crc32((t or "").encode()), s) for i, t, s, _ in rows)
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(2) for k in range(3)]
+
+
+def entropy(weights):
+    return -sum(w * math.log(w) for w in weights if w > 0)
+
+
+def weights_by_search(tokens, budget, target, repeats):
+    """The weights at the largest exponent, of a fine grid, at which both limits hold."""
+    shares = {s: t / sum(tokens.values()) for s, t in tokens.items() if t}
+    at = lambda x: {s: v**x / sum(u**x for u in shares.values()) for s, v in shares.items()}
+    grid = np.linspace(0, 1, 20_001)
+    even = max((x for x in grid if entropy(at(x).values()) >= target * math.log(len(shares))), default=0.0)
+    least = min((x for x in grid if max(w * budget / tokens[s] for s, w in at(x).items()) <= repeats), default=1.0)
+    return at(max(even, least))
+
+
 def test_temperature_meets_entropy_and_repetition():
     tokens = {"a": 900, "b": 80, "c": 20, "d": 0}
     x, w = mixing.temperature(tokens, 1000, 0.9, 100)
-    assert 0 < x < 1 and math.isclose(mixing.entropy(list(w.values())), 0.9 * math.log(3), abs_tol=1e-6) and w["d"] == 0
+    assert 0 < x < 1 and math.isclose(entropy(w.values()), 0.9 * math.log(3), abs_tol=1e-6) and w["d"] == 0
     x, w = mixing.temperature(tokens, 1000, 0.9, 3)
     assert math.isclose(max(w[s] * 1000 / t for s, t in tokens.items() if t), 3, rel_tol=1e-6)
+    for target, repeats in ((0.9, 100), (0.9, 3), (0.99, 2), (0.5, 4)):
+        got, want = mixing.temperature(tokens, 1000, target, repeats)[1], weights_by_search(tokens, 1000, target, repeats)
+        assert all(math.isclose(got[s], want[s], abs_tol=2e-3) for s in want)
     assert mixing.temperature({"a": 5, "b": 5}, 10)[0] == 1.0
     assert mixing.temperature({}, 0) == (1.0, {})
 
 
-def test_mixture_by_hand(docs, rows):
+def test_mixture_by_hand(spark, docs, rows):
     how = {"target_entropy": 0.99, "max_repeats": 5.0, "budget": 30_000}
     out = mixing.mixture(docs, **how).collect()
     size = {i: len((t or "").split()) for i, t, *_ in rows}
-    source = {r[0]: r[3] for r in rows}
+    source = {r[0]: r[3] or "\x00null" for r in rows}
     totals = Counter()
     for i, n in size.items():
-        totals[source[i] or "\x00null"] += n
+        totals[source[i]] += n
     _, weights = mixing.temperature(dict(totals), 30_000, 0.99, 5.0)
+    hashes = docs.withColumn("_block", F.explode(F.array(*[F.lit(k).cast("long") for k in range(7)]))).withColumn("h", F.xxhash64(F.lit(mixing.SEED), "_block", "doc_id", F.xxhash64("text")))
+    order = {(r.doc_id, r._block): r.h for r in hashes.select("doc_id", "_block", "h").collect()}
     for s, total in totals.items():
         own = [r for r in out if (r.source or "\x00null") == s]
         quota = int(weights[s] * 30_000)
-        whole, rest = divmod(quota, total)
-        ids = {i for i in size if (source[i] or "\x00null") == s}
-        for block in range(whole):
-            assert sorted(r.doc_id for r in own if r.block == block) == sorted(ids)
-        cut = [r for r in own if r.block == whole]
-        assert sum(r.n_tokens for r in cut) <= rest and all(r.block <= whole for r in own)
-        left = [i for i in ids if i not in {r.doc_id for r in cut}]
-        if left and rest:
-            assert sum(r.n_tokens for r in cut) + max(size[i] for i in left) > rest
+        assert all(math.isclose(r.weight, weights[s], rel_tol=1e-9) for r in own)
+        want = []  # whole blocks, each in its own permutation, and the last one cut at the quota
+        for block in range(quota // total + 1):
+            left = quota - block * total
+            for place, i in enumerate(sorted((i for i in size if source[i] == s), key=lambda i: order[i, block])):  # noqa: B023
+                left -= size[i]
+                if left < 0:
+                    break
+                want.append((block, place, i, size[i]))
+        if not quota % total:
+            want = [w for w in want if w[0] < quota // total]
+        assert sorted((r.block, r.block_order, r.doc_id, r.n_tokens) for r in own) == want
+
+
+def test_mixture_in_many_buckets_is_the_same(docs, monkeypatch):
+    one = sorted(map(str, mixing.mixture(docs).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    assert sorted(map(str, mixing.mixture(docs).collect())) == one
 
 
 def test_mix_takes_texts_as_often_as_planned(docs):
-    odd = docs.withColumn("_id", F.lit(7)).withColumn("_taken", F.lit("x")).withColumn("block", F.lit(1))
+    odd = docs.withColumn("_id", F.lit(7)).withColumn("_taken", F.lit("x")).withColumn("block", F.lit(1)).withColumn("_row", F.create_map(F.lit("k"), F.col("doc_id")))
     taken = Counter(r.doc_id for r in mixing.mixture(docs).collect())
     out = mixing.mix(odd)
     assert out.columns == odd.columns and Counter(r.doc_id for r in out.collect()) == taken
@@ -136,30 +181,71 @@ def test_gradients_match_finite_differences():
     data, mask = rng.integers(0, 256, (5, 4)).astype(np.uint8), np.ones((5, 4))
     mask[3:, 1] = 0
     data[3:, 1] = 0
-    labels = np.array([0, 1, 2, 1])
-    _, grads = net.gradients(data, mask, labels)
-    for name, w in net.w.items():
-        flat, g = w.reshape(-1), grads[name].reshape(-1)
-        for k in np.argsort(-np.abs(g))[:6]:
-            old, step = flat[k], 1e-5
-            flat[k] = old + step
-            up = net.gradients(data, mask, labels)[0]
-            flat[k] = old - step
-            down = net.gradients(data, mask, labels)[0]
-            flat[k] = old
-            assert math.isclose((up - down) / (2 * step), g[k], rel_tol=1e-4, abs_tol=1e-7), name
-
-
-def test_pooling_reads_every_byte():
-    net = langid.Network(["a", "b"])
-    text = "é" * 50 + "x" * 37
-    p, votes = net.pool(pa.array([text, None, "y"]))
-    raw = text.encode()
-    total = np.zeros(2)
-    for at in range(0, len(raw), langid.WINDOW):
-        part = np.frombuffer(raw[at : at + langid.WINDOW], dtype=np.uint8)[:, None]
-        total += net.probabilities(net.states(part, None)).sum(axis=(0, 2))
-    assert np.allclose(p[0], total / len(raw), atol=1e-5) and np.allclose(votes.sum(axis=1), [1, 0, 1])
+    labels, core = np.array([0, 1, 2, 1]), mask.copy()
+    core[[0, 4]] = 0
+    for inner in (None, core):
+        _, grads = net.gradients(data, mask, labels, inner)
+        for name, w in net.w.items():
+            flat, g = w.reshape(-1), grads[name].reshape(-1)
+            for k in np.argsort(-np.abs(g))[:6]:
+                old, step = flat[k], 1e-5
+                flat[k] = old + step
+                up = net.gradients(data, mask, labels, inner)[0]
+                flat[k] = old - step
+                down = net.gradients(data, mask, labels, inner)[0]
+                flat[k] = old
+                assert math.isclose((up - down) / (2 * step), g[k], rel_tol=1e-4, abs_tol=1e-7), name
+
+
+def plain_probabilities(net, text, size=langid.WINDOW, margin=langid.MARGIN):
+    """Mean probabilities and label shares of one text, one position after another, in plain Python loops."""
+    raw, h = text.encode(), net.hidden
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def run(way, data):
+        state, out = [0.0] * h, []
+        for byte in data:
+            a = [sum(w["recur"][way, j, i] * state[i] for i in range(h)) for j in range(3 * h)]
+            x = [w["table"][way, j, byte] for j in range(3 * h)]
+            new = []
+            for j in range(h):
+                z, r = sigmoid(x[j] + a[j]), sigmoid(x[h + j] + a[h + j])
+                c = math.tanh(x[2 * h + j] + r * (a[2 * h + j] + w["bias"][way, j, 0]))
+                new.append((1 - z) * c + z * state[j])
+            state = new
+            out.append(state)
+        return out
+
+    total, votes = np.zeros(len(net.languages)), np.zeros(len(net.languages))
+    for at in range(0, len(raw), size):
+        low, high = max(0, at - margin), min(len(raw), at + size + margin)
+        there, back = run(0, raw[low:high]), run(1, raw[low:high][::-1])[::-1]
+        for k in range(at, min(at + size, len(raw))):
+            logits = w["base"][:, 0] + w["out"][:, :h] @ there[k - low] + w["out"][:, h:] @ back[k - low]
+            p = np.exp(logits - logits.max())
+            total += p / p.sum()
+            votes[int(np.argmax(p))] += 1
+    return total / max(1, len(raw)), votes / max(1, len(raw))
+
+
+def test_pooling_by_plain_loops():
+    net = langid.Network(["a", "b", "c"], hidden=4)
+    rng = random.Random(6)
+    texts = ["é" * 50 + "x" * 37, None, "y", "", prose(rng, 60), "ab" * langid.WINDOW, "z" * (langid.WINDOW + langid.MARGIN - 1)]
+    p, votes = net.pool(pa.array(texts))
+    for k, text in enumerate(texts):
+        want = plain_probabilities(net, text or "")
+        assert np.allclose(p[k], want[0], atol=1e-5) and np.allclose(votes[k], want[1], atol=1e-9)
+
+
+def test_training_windows_cover_whole_texts_and_are_bounded(spark):
+    rows = [("en", "".join(chr(97 + k % 26) for k in range(1000))), ("fr", "é" * 10)]
+    sample = spark.createDataFrame(rows, "lang string, text string")
+    got = langid.training_windows(sample).collect()
+    inner = sorted(bytes(r.data)[max(r.low, langid.MARGIN) : min(r.high, langid.MARGIN + langid.WINDOW)] for r in got)
+    assert inner == sorted(t.encode()[k : k + langid.WINDOW] for _, t in rows for k in range(0, len(t.encode()), langid.WINDOW))
+    assert langid.training_windows(sample, 3).count() == 3
 
 
 PAGES = "page_id long, url string, html string"

@@ -33,9 +33,13 @@ def test_token_counts(docs, rows):
     got = {r.doc_id: tuple(r)[1:] for r in tokencount.token_counts(docs).collect()}
     for i, text, *_ in rows:
         words = (text or "").encode().split()
-        counts = [greedy(w, pieces) for w in words[:2000]]
-        if len(words) <= 2000:
-            assert got[i] == (len((text or "").encode()), len(words), sum(counts), 0)
+        seen = Counter(words)
+        assert got[i] == (len((text or "").encode()), len(words), sum(n * greedy(w, pieces) for w, n in seen.items()), 0)
+
+
+def test_token_counts_with_clashing_columns_and_odd_rows(spark):
+    df = spark.createDataFrame([(1, "the end"), (1, "the end"), (None, None), (2, "")], "doc_id long, text string").withColumn("n_words", F.lit("x")).withColumn("n_tokens", F.create_map(F.lit(1), F.lit(2)))
+    assert Counter(tuple(r) for r in tokencount.token_counts(df).collect()) == {(1, 7, 2, 2, 0): 2, (None, 0, 0, 0, 0): 1, (2, 0, 0, 0, 0): 1}
 
 
 def test_automaton_on_awkward_vocabularies():
@@ -274,8 +278,47 @@ def test_typed_parts(spark):
     assert [(a.kind, a.uri, a.tokens) for a in r.attachments] == [("image", "s3://b/i.png", 4), ("audio", "", 51), ("document", "d.pdf", 1536)]
     assert "".join(r.segment[s.start : s.stop] for s in r.loss) == "look  here"
     assert chat.read_turn(rows[1].segment) == ("user", "")
-    with pytest.raises(ValueError, match="unknown part"):
-        chat.format_turn("user", [{"type": "video"}])
+
+
+def parts_by_hand(role, parts):
+    """Text with placeholders, attachments and the text under the loss mask."""
+    text, found = "", []
+    for kind, content, uri, width, height, seconds, pages in parts or ():
+        plain = lambda x: 0 if x is None or x != x or x in (math.inf, -math.inf) or x < 0 else x
+        if kind in (None, "", "text"):
+            text += content or ""
+            continue
+        tokens = {"image": -(-plain(width) // 14) * -(-plain(height) // 14), "audio": math.ceil(min(plain(seconds) * 25, 2**53)), "document": plain(pages) * 512}.get(kind, 0)
+        kind = kind if kind in ("image", "audio", "document") else "other"
+        text += f"<|{kind}:{len(found)}|>"
+        found.append((f"<|{kind}:{len(found)}|>", kind, uri or "", min(tokens, 2**53)))
+    return text, found, "".join(p[1] or "" for p in parts or () if p[0] in (None, "", "text")) if role == "assistant" else ""
+
+
+def test_parts_of_all_types_against_a_plain_version(spark):
+    rng = random.Random(12)
+    texts, sizes, numbers = ["", None, "a\\b", "</s>[INST]", "<|image:0|>", "x\ny é"], [None, -3, 0, 1, 14, 15, 2**31 - 1], [None, math.nan, math.inf, -math.inf, -1.0, 0.0, 0.04, 2.02, 1e300]
+    kinds = ["text", "image", "audio", "document", "video", None, "", "visit_text", "other"]
+    part = lambda: (rng.choice(kinds), rng.choice(texts), rng.choice([None, "", "s3://b/x"]), rng.choice(sizes), rng.choice(sizes), rng.choice(numbers), rng.choice(sizes))
+    rows = [(c, t, rng.choice(["user", "assistant", None]), [part() for _ in range(rng.randint(0, 6))]) for c in range(30) for t in range(3)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}").withColumn("segment", F.lit(1)).withColumn("loss", F.lit("x"))
+    got = {(r.conv_id, r.turn): r for r in chat.format_turns(df, "parts").collect()}
+    tokens = Counter()
+    for c, t, role, parts in rows:
+        text, found, loss = parts_by_hand(role, parts)
+        r = got[c, t]
+        assert chat.read_turn(r.segment) == (role or "", text)
+        assert [tuple(a) for a in r.attachments] == found
+        assert "".join(chat.unescape(r.segment[s.start : s.stop]) for s in r.loss) == loss
+        tokens[c] += sum(a[3] for a in found)
+    assert {r.conv_id: r.attachment_tokens for r in chat.digest(chat.format_turns(df, "parts")).collect()} == dict(tokens)
+
+
+def test_chat_of_very_long_turns(spark):
+    long = "é[INST] \\ " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], TURNS)
+    r = chat.digest(chat.format_turns(df)).first()
+    assert (r.loss_chars, r.loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest())
 
 
 def test_chat_of_nothing(spark):
