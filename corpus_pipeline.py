@@ -24,7 +24,8 @@ SHINGLE, THRESHOLD, ROWS = 5, 80, 7
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id. Where rows repeat an id, one row of each
+    group of linked texts."""
     return neardup.deduplicate(docs, shingle=SHINGLE, threshold=THRESHOLD, rows=ROWS)
 
 
@@ -47,12 +48,16 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
+_BATCH_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def _small_batches(stage):
-    """The stage, with Arrow batches of bounded bytes."""
+    """The stage, with Arrow batches of bounded bytes. Spark reads the option when the result is written, so it stays set in
+    the session; ``run`` puts it back at its end."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        spark.conf.set(_BATCH_OPTION, BATCH_BYTES)
         return stage(spark, docs, sf_dir)
 
     return run_stage
@@ -72,6 +77,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    before = spark.conf.get(_BATCH_OPTION)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(_BATCH_OPTION, before)
     return STAGES[-1][1](spark, docs, sf_dir)
