@@ -94,19 +94,21 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column], only_keyed:
 def dedupe_hierarchical(reports: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Four levels: fix URL, then (repo, fix commit), (repo, id), (repo, text). The first three only touch rows that have
     the key. A level puts the rows that have its key first, so a later level prefers rows with more of the earlier
-    keys, and then the earliest arrival."""
+    keys, and then the earliest arrival. ``arrival`` tells rows apart; levels move keys and digests, texts only once."""
     url, sha, number = (F.col(c).isNull() for c in ("fix_url", "fix_commit_sha", "bug_id"))
     at = F.col(arrival)
-    out = keep_first(reports, ["fix_url"], [at], only_keyed=True)
+    text = F.unhex(F.sha2("bug_report_text", 256)).alias("_sha")
+    out = keep_first(reports.select(arrival, "repo_name", "fix_url", "fix_commit_sha", "bug_id", text), ["fix_url"], [at], only_keyed=True)
     out = keep_first(out, ["repo_name", "fix_commit_sha"], [url, at], only_keyed=True)
     out = keep_first(out, ["repo_name", "bug_id"], [sha, url, at], only_keyed=True)
-    return keep_first(out, ["repo_name", "bug_report_text"], [number, sha, url, at])
+    return reports.join(keep_first(out, ["repo_name", "_sha"], [number, sha, url, at]).select(arrival), arrival, "left_semi")
 
 
 def content_dedupe(df: DataFrame, content: str, order: str) -> DataFrame:
-    """One row for each content, that of the least ``order``. Contents are compared by digest, so only digests move."""
-    firsts = df.groupBy(F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("_sha")).agg(F.min(order).alias(order))
-    return df.join(firsts.select(order), order, "left_semi")
+    """One row for each content, that of the least ``order`` (of equal ones all). Contents are compared by digest."""
+    keyed = df.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(content), F.lit("")), 256)))
+    firsts = keyed.groupBy("_sha").agg(F.min(order).alias(order))
+    return keyed.join(firsts, ["_sha", order], "left_semi").drop("_sha")
 
 
 def distinct_ids(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

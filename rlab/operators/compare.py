@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rlab.functions.classify import VIABLE, direction, domain_type
+from rlab.functions.classify import VIABLE, direction, domain_type, mean
 from rlab.operators.joins import SCENARIOS, paired_delta, reps_wide, reverse_pairs
 from rlab.operators.rank import quartile_bins
 
@@ -19,7 +19,7 @@ def unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 def scenario_means(results: DataFrame, metrics: list[str] = METRICS, scenarios: list[str] = SCENARIOS) -> DataFrame:
     """Mean, median and sample deviation of every metric by model and scenario; absent cells stay with n = 0."""
     tall = unpivot(results, ["model_name", "scenario"], metrics)
-    found = tall.groupBy("model_name", "scenario", "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("std"))
+    found = tall.groupBy("model_name", "scenario", "metric").agg(F.count("value").alias("n"), mean(F.col("value")).alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("std"))
     grid = results.select("model_name").distinct().withColumn("scenario", F.explode(F.array(*map(F.lit, scenarios)))).withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
     return grid.join(found, ["model_name", "scenario", "metric"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -29,7 +29,7 @@ def gain_summary(deltas: DataFrame, by: list[str], cutoff: float = 0.0) -> DataF
     d = F.col("delta")
     median = lambda c: F.percentile(F.when(c, d), F.lit(0.5))
     out = deltas.groupBy(*by).agg(
-        F.count(d).alias("n"), F.count(F.when(d > cutoff, 1)).alias("wins"), F.count(F.when(d < -cutoff, 1)).alias("losses"), F.avg(d).alias("mean_delta"),
+        F.count(d).alias("n"), F.count(F.when(d > cutoff, 1)).alias("wins"), F.count(F.when(d < -cutoff, 1)).alias("losses"), mean(d).alias("mean_delta"),
         F.percentile(d, F.lit(0.5)).alias("median_delta"), median(d > cutoff).alias("median_win"), median(d < -cutoff).alias("median_loss"),
     )
     return out.withColumn("win_rate", F.col("wins") / F.col("n")).withColumn("asymmetry", F.abs("median_win") / F.when(F.col("median_loss") != 0, F.abs("median_loss")))
@@ -38,13 +38,13 @@ def gain_summary(deltas: DataFrame, by: list[str], cutoff: float = 0.0) -> DataF
 def stratified_means(results: DataFrame, size: str, metric: str) -> DataFrame:
     """(model, scenario, size, n, mean): by size class and over all of them (`All`), in one pass of grouping sets."""
     sets = results.groupingSets([["model_name", "scenario"], ["model_name", "scenario", size]], "model_name", "scenario", size)
-    out = sets.agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"), F.grouping(size).alias("_all"))
+    out = sets.agg(F.count(metric).alias("n"), mean(F.col(metric)).alias("mean"), F.grouping(size).alias("_all"))
     return out.select("model_name", "scenario", F.when(F.col("_all") == 1, "All").otherwise(F.col(size)).alias("size"), "n", "mean")
 
 
 def rep_summary(reps: DataFrame, metrics: list[str], by: tuple[str, ...] = ("model_name", "target_project")) -> DataFrame:
     """Median, least, largest, mean and sample deviation of every metric over repetitions."""
-    aggs = [f.alias(f"{m}_{n}") for m in metrics for n, f in (("median", F.percentile(m, F.lit(0.5))), ("min", F.min(m)), ("max", F.max(m)), ("mean", F.avg(m)), ("std", F.stddev_samp(m)))]
+    aggs = [f.alias(f"{m}_{n}") for m in metrics for n, f in (("median", F.percentile(m, F.lit(0.5))), ("min", F.min(m)), ("max", F.max(m)), ("mean", mean(F.col(m))), ("std", F.stddev_samp(m)))]
     return reps.groupBy(*by).agg(F.count(F.lit(1)).alias("n_reps"), *aggs)
 
 
@@ -57,7 +57,7 @@ def transfer_summary(deltas: DataFrame, by: list[str]) -> DataFrame:
     """Cases by direction and the range of deltas."""
     kind = direction(F.col("delta"))
     counts = [F.count(F.when(kind == k, 1)).alias(k) for k in ("positive", "negative", "neutral")]
-    return deltas.groupBy(*by).agg(*counts, F.min("delta").alias("least"), F.max("delta").alias("most"), F.avg("delta").alias("mean"), F.percentile("delta", F.lit(0.5)).alias("median"))
+    return deltas.groupBy(*by).agg(*counts, F.min("delta").alias("least"), F.max("delta").alias("most"), mean(F.col("delta")).alias("mean"), F.percentile("delta", F.lit(0.5)).alias("median"))
 
 
 def negative_cases(deltas: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def noise_bands(deltas: DataFrame, reps: DataFrame, metric: str) -> DataFrame:
     joined = deltas.join(spread, ["model_name", "target_project"])
     d = F.col("delta")
     band = lambda k: F.count(F.when(d < -k * F.col("spread"), 1))
-    return joined.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(d < 0, 1)).alias("negative"), band(0.5).alias("beyond_half"), band(1.0).alias("beyond_full"), band(2**0.5).alias("beyond_sqrt2"), F.avg("spread").alias("mean_spread"))
+    return joined.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(d < 0, 1)).alias("negative"), band(0.5).alias("beyond_half"), band(1.0).alias("beyond_full"), band(2**0.5).alias("beyond_sqrt2"), mean(F.col("spread")).alias("mean_spread"))
 
 
 def relabel_counts(transfer: DataFrame, reps: DataFrame, metric: str, numbers: list[int]) -> DataFrame:
@@ -82,12 +82,12 @@ def relabel_counts(transfer: DataFrame, reps: DataFrame, metric: str, numbers: l
 
 def noise_spread(reps: DataFrame, metric: str) -> DataFrame:
     spread = reps.groupBy("model_name", "target_project").agg((F.max(metric) - F.min(metric)).alias("_s"))
-    return spread.groupBy("model_name").agg(F.count(F.lit(1)).alias("targets"), F.avg("_s").alias("mean_spread"), F.max("_s").alias("max_spread"))
+    return spread.groupBy("model_name").agg(F.count(F.lit(1)).alias("targets"), mean(F.col("_s")).alias("mean_spread"), F.max("_s").alias("max_spread"))
 
 
 def target_profile(wide: DataFrame) -> DataFrame:
     """By target over ``scenario_wide``: mean score, size and reports, mean gain and share of wins."""
-    return wide.groupBy("target_project").agg(F.avg("cp_transfer").alias("mean_mrr"), F.max("tgt_LoC").alias("LoC"), F.max("tgt_n_bugs").alias("n_bugs"), F.avg("gain").alias("mean_gain"), F.avg(F.col("win").cast("double")).alias("win_share"))
+    return wide.groupBy("target_project").agg(mean(F.col("cp_transfer")).alias("mean_mrr"), F.max("tgt_LoC").alias("LoC"), F.max("tgt_n_bugs").alias("n_bugs"), mean(F.col("gain")).alias("mean_gain"), F.avg(F.col("win").cast("double")).alias("win_share"))
 
 
 def desirability_evidence(wide: DataFrame, close: float = 0.02) -> DataFrame:
@@ -97,14 +97,14 @@ def desirability_evidence(wide: DataFrame, close: float = 0.02) -> DataFrame:
     halves = wide.agg(F.percentile(F.col("tgt_n_bugs").cast("double"), F.lit(0.5)).alias("_bugs"), F.percentile("gap", F.lit(0.5)).alias("_gap"))
     x = wide.crossJoin(F.broadcast(halves))
     rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    only = lambda c, v: F.avg(F.when(c, v))
+    only = lambda c, v: mean(F.when(c, v))
     few, low, win = F.col("tgt_n_bugs") <= F.col("_bugs"), F.col("gap") <= F.col("_gap"), F.col("win").cast("double")
     values = {
         "E1_win_share": rate(F.col("win")),
         "E2_close_to_large": rate(F.col("wp_large") - F.col("cp_transfer") <= close),
         "E2_at_least_large": rate(F.col("cp_transfer") >= F.col("wp_large")),
-        "E3_cold_to_ceiling": F.avg(F.try_divide(F.col("cold_start"), F.col("recall_ceiling"))),
-        "E3_model_to_ceiling": F.avg(F.try_divide(F.col("cp_transfer"), F.col("recall_ceiling"))),
+        "E3_cold_to_ceiling": mean(F.try_divide(F.col("cold_start"), F.col("recall_ceiling"))),
+        "E3_model_to_ceiling": mean(F.try_divide(F.col("cp_transfer"), F.col("recall_ceiling"))),
         "E4_gain_few_bugs": only(few, F.col("gain")),
         "E4_gain_many_bugs": only(~few, F.col("gain")),
         "E5_wins_low_gap": only(low, win),
@@ -116,13 +116,13 @@ def desirability_evidence(wide: DataFrame, close: float = 0.02) -> DataFrame:
 
 def asymmetry(results: DataFrame, metric: str = "MRR", top: int = 10) -> DataFrame:
     """The pairs whose two directions differ most, over all scenarios and models."""
-    pairs = reverse_pairs(results, metric).groupBy("project_a", "project_b").agg(F.avg("asymmetry").alias("mean_asymmetry"), F.count(F.lit(1)).alias("n"))
+    pairs = reverse_pairs(results, metric).groupBy("project_a", "project_b").agg(mean(F.col("asymmetry")).alias("mean_asymmetry"), F.count(F.lit(1)).alias("n"))
     return pairs.orderBy(F.desc("mean_asymmetry"), "project_a", "project_b").limit(top)
 
 
 def pivot_scores(results: DataFrame, metric: str = "MRR", scenarios: list[str] = SCENARIOS) -> DataFrame:
     """Pair x scenario means with their row mean."""
-    cells = results.groupBy("source_project", "target_project").pivot("scenario", scenarios).agg(F.avg(metric))
+    cells = results.groupBy("source_project", "target_project").pivot("scenario", scenarios).agg(mean(F.col(metric)))
     have = [F.col(f"`{s}`") for s in scenarios]
     total, n = F.lit(0.0), F.lit(0)
     for c in have:
@@ -133,7 +133,7 @@ def pivot_scores(results: DataFrame, metric: str = "MRR", scenarios: list[str] =
 def quartile_grid(results: DataFrame, x: str, y: str, metric: str) -> DataFrame:
     """Mean and count by quartile of one column and quartile of another."""
     both = quartile_bins(quartile_bins(results, x, "x_quartile"), y, "y_quartile")
-    return both.groupBy("x_quartile", "y_quartile").agg(F.avg(metric).alias("mean"), F.count(metric).alias("n"))
+    return both.groupBy("x_quartile", "y_quartile").agg(mean(F.col(metric)).alias("mean"), F.count(metric).alias("n"))
 
 
 def median_threshold_profile(results: DataFrame, loc: str, metrics: dict[str, float] = VIABLE) -> DataFrame:
@@ -145,21 +145,22 @@ def median_threshold_profile(results: DataFrame, loc: str, metrics: dict[str, fl
 
 def quality_extremes(rows: DataFrame, n: int = 3) -> DataFrame:
     """The n sources of best and of worst quality, one row each, with their mean delta."""
-    means = rows.groupBy("source_project").agg(F.max("source_quality").alias("quality"), F.avg("delta").alias("mean_delta"))
-    best, worst = Window.orderBy(F.desc("quality"), "source_project"), Window.orderBy("quality", "source_project")
-    ranked = means.where(F.col("quality").isNotNull()).withColumns({"_b": F.row_number().over(best), "_w": F.row_number().over(worst)})
-    return ranked.where((F.col("_b") <= n) | (F.col("_w") <= n)).select("source_project", "quality", "mean_delta", F.when(F.col("_b") <= n, "best").otherwise("worst").alias("end"))
+    means = rows.groupBy("source_project").agg(F.max("source_quality").alias("quality"), mean(F.col("delta")).alias("mean_delta"))
+    means = means.where(F.col("quality").isNotNull())
+    best = means.orderBy(F.desc("quality"), "source_project").limit(n).withColumn("end", F.lit("best"))
+    worst = means.orderBy("quality", "source_project").limit(n).withColumn("end", F.lit("worst"))
+    return best.unionByName(worst.join(best.select("source_project"), "source_project", "left_anti")).select("source_project", "quality", "mean_delta", "end")
 
 
 def scenario_profile(summaries: DataFrame, shares: list[str]) -> DataFrame:
     """Mean shares by scenario and over all."""
-    out = summaries.groupingSets([["scenario"], []], "scenario").agg(*[F.avg(s).alias(s) for s in shares], F.count(F.lit(1)).alias("n"), F.grouping("scenario").alias("_all"))
+    out = summaries.groupingSets([["scenario"], []], "scenario").agg(*[mean(F.col(s)).alias(s) for s in shares], F.count(F.lit(1)).alias("n"), F.grouping("scenario").alias("_all"))
     return out.withColumn("scenario", F.when(F.col("_all") == 1, "All").otherwise(F.col("scenario"))).drop("_all")
 
 
 def size_group_means(results: DataFrame, sizes: DataFrame, metric: str) -> DataFrame:
     large = results.where(F.col("scenario") == "WP-large")
-    return large.join(sizes.select("target_project", "size"), "target_project").groupBy("model_name", "size").agg(F.avg(metric).alias("mean"), F.count(metric).alias("n"))
+    return large.join(sizes.select("target_project", "size"), "target_project").groupBy("model_name", "size").agg(mean(F.col(metric)).alias("mean"), F.count(metric).alias("n"))
 
 
 def win_rates(results: DataFrame, first: str, second: str, metrics: list[str] = METRICS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rlab.functions.classify import pair_key, safe_ratio
+from rlab.functions.classify import mean, pair_key, safe_ratio
 
 #: The scenarios of the results table, in their order.
 SCENARIOS = ["WP-small", "WP-large", "CP-cold-start", "CP-transfer"]
@@ -27,7 +27,7 @@ def with_metadata(results: DataFrame, projects: DataFrame, key: str = "repo_name
 
 def with_pair_value(results: DataFrame, values: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """A value of an unordered pair: of (a, b) or of (b, a), the mean if both are there."""
-    table = values.groupBy(pair_key(F.col(a), F.col(b)).alias("_pair")).agg(F.avg(value).alias(value))
+    table = values.groupBy(pair_key(F.col(a), F.col(b)).alias("_pair")).agg(mean(F.col(value)).alias(value))
     keyed = results.withColumn("_pair", pair_key(F.col("source_project"), F.col("target_project")))
     return keyed.join(table, "_pair", "left").drop("_pair")
 
@@ -163,5 +163,5 @@ def reps_wide(reps: DataFrame, metric: str, numbers: list[int]) -> DataFrame:
 
 def with_source_quality(results: DataFrame, metric: str = "MRR") -> DataFrame:
     """Each row with the mean large-budget score that its source reaches as a target."""
-    quality = results.where(F.col("scenario") == "WP-large").groupBy("model_name", F.col("target_project").alias("source_project")).agg(F.avg(metric).alias("source_quality"))
+    quality = results.where(F.col("scenario") == "WP-large").groupBy("model_name", F.col("target_project").alias("source_project")).agg(mean(F.col(metric)).alias("source_quality"))
     return results.join(quality, ["model_name", "source_project"], "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +12,14 @@ from pyspark.sql import functions as F
 from rlab.functions import text as X
 from rlab.functions import vectors as V
 from rlab.operators.rank import topk_per_query
+from rlab.sources.io import scratch_dir, stored
 
 #: Depths at which recall is reported.
 RECALL_KS = [30, 40, 50, 60, 70, 80, 90, 100, 200, 300, 400, 500, 700]
-#: Most bytes of query vectors in one broadcast block, and most texts that ``containing`` broadcasts.
-BLOCK_BYTES, MAX_PASSAGES = 32 << 20, 100_000
+#: Most bytes of query vectors in one broadcast block.
+BLOCK_BYTES = 32 << 20
+#: Vectors in one part of a snapshot, and queries in one block, of ``cosine_topk_by``.
+PART_ROWS, QUERY_ROWS = 20_000, 2_000
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -25,21 +27,31 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def term_statistics(corpus: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(by, term, df) and (by, n_docs, avgdl) of a corpus with a ``tokens`` column. Distinct terms of a document are
-    taken in its row, so the only shuffle is the pre-aggregated count by term."""
-    terms = corpus.select(*by, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = corpus.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens").cast("double")).alias("avgdl"))
-    return terms, sizes
+def postings(corpus: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, item_id, dl, term, tf) of a corpus with a ``tokens`` column: texts are cut into tokens once, and all statistics
+    come from this written table. ``dl``: tokens of the item."""
+    by = by or []
+    tall = corpus.select(*by, "item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return stored(tall.groupBy(*by, "item_id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf")), "postings")
+
 
+def term_statistics(corpus: DataFrame, by: list[str], posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(by, term, df) and (by, n_docs, avgdl) of a corpus and its postings."""
+    terms = posted.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    items, tokens = corpus.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs")), posted.groupBy(*by).agg(F.sum("tf").alias("_all"))
+    both = items.join(tokens, by, "left") if by else attach(items, tokens)
+    return terms, both.withColumn("avgdl", F.coalesce("_all", F.lit(0)) / F.col("n_docs")).drop("_all")
 
-def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
+
+def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None) -> DataFrame:
     """(by, query_id, item_id, score, n_terms) of all pairs that share a term. ``queries`` and ``corpus`` have an id and
     ``tokens``; a query's repeated tokens count each; n_terms: distinct terms shared. Okapi BM25: terms of negative idf
-    get ``eps`` times the mean idf of the whole vocabulary. Postings are cut to query terms before they are shuffled."""
+    get ``eps`` times the mean idf of the whole vocabulary. ``posted``: the corpus' postings, where several scorers share
+    them. Postings are cut to query terms before they are shuffled."""
     by = by or []
+    posted = postings(corpus, by) if posted is None else posted
     query_terms = queries.select(*by, "query_id", F.explode("tokens").alias("term")).groupBy(*by, "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms, sizes = term_statistics(corpus, by)
+    terms, sizes = term_statistics(corpus, by, posted)
     terms = terms.join(sizes, by) if by else attach(terms, sizes)
     idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = terms.withColumn("raw_idf", idf)
@@ -47,51 +59,71 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = No
     wanted = terms.join(query_terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
     wanted = wanted.join(mean, by) if by else attach(wanted, mean)
     wanted = wanted.select(*by, "term", "avgdl", F.when(F.col("raw_idf") < 0, eps * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    postings = corpus.select(*by, "item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = postings.join(wanted, [*by, "term"]).groupBy(*by, "item_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    pairs = postings.withColumn("weight", weight).join(query_terms, [*by, "term"])
+    pairs = posted.join(wanted, [*by, "term"]).withColumn("weight", weight).join(query_terms, [*by, "term"])
     return pairs.groupBy(*by, "query_id", "item_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"), F.count(F.lit(1)).alias("n_terms"))
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None) -> DataFrame:
     """The k best items of every query with rank and score. Items that share no term are not listed. Scores are rounded
     to 9 places before they are ranked, so that the order does not hang on the order of a sum."""
-    scores = bm25_scores(queries, corpus, by, k1, b, eps).withColumn("score", F.round("score", 9))
+    scores = bm25_scores(queries, corpus, by, k1, b, eps, posted).withColumn("score", F.round("score", 9))
     return topk_per_query(scores, k)
 
 
-def _blocks(rows: list, dim: int) -> list[list]:
-    size = max(1, BLOCK_BYTES // (8 * max(dim, 1)))
-    return [rows[at : at + size] for at in range(0, len(rows), size)]
+def _best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best items of each query in a matrix of scores (query, item), ties by item."""
+    order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
+    best = np.take_along_axis(scores, order, axis=1)
+    found = np.isfinite(best)
+    return pd.DataFrame({"query_id": np.repeat(ids, found.sum(axis=1)), "item_id": items[order[found]], "score": best[found]})
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(query_id, item_id, score, rank): exact cosine of a stated query set against all vectors. Query vectors are
-    broadcast in blocks of bounded size; each Arrow batch of vectors is one matrix product per block and keeps its own k
-    best, and the k best of all batches are taken with a window."""
-    rows = [(r.query_id, r.vec) for r in queries.select("query_id", "vec").toLocalIterator()]
+def _best_of_batches(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False, several: bool = False) -> DataFrame:
+    """(query_id, item_id, score, rank). Query vectors go out in blocks of bounded size, one at a time; each Arrow batch of
+    vectors is one matrix product and keeps its own k best items, which hold every item that can be among the k best.
+    ``several``: an item may have several vectors, of which the best counts."""
+    spark = vectors.sparkSession
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {vectors.schema['item_id'].dataType.simpleString()}, score double"
-    out = vectors.sparkSession.createDataFrame([], schema)
-    for block in _blocks(rows, len(rows[0][1]) if rows else 1):
-        shared = vectors.sparkSession.sparkContext.broadcast(block)
+    known = vectors.select("item_id", "vec").where("vec is not null")
+    asked = queries.select("query_id", "vec").where("vec is not null")
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids = np.array([q for q, _ in shared.value])
-            left = _unit(np.array([v for _, v in shared.value], dtype=np.float64))
+    def of_block(block: DataFrame) -> DataFrame:
+        rows = block.collect()
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), _unit(np.array([r.vec for r in rows], dtype=np.float64)) if rows else None))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, left = shared.value
             for batch in batches:
+                if left is None or not len(batch):
+                    continue
                 items = batch["item_id"].to_numpy()
                 scores = np.round(left @ _unit(np.stack(batch["vec"].to_numpy()).astype(np.float64)).T, 9)
+                if several:
+                    names, place = np.unique(items, return_inverse=True)
+                    order = np.argsort(place, kind="stable")
+                    scores = np.maximum.reduceat(scores[:, order], np.searchsorted(place[order], np.arange(len(names))), axis=1)
+                    items = names
                 if exclude_self:
                     scores[ids[:, None] == items[None, :]] = -np.inf
-                # stable order by score, then item; one more than k would never be needed
-                order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                found = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(ids, found.sum(axis=1)), "item_id": items[order[found]], "score": best[found]})
+                yield _best(ids, items, scores, k)
+
+        found = known.mapInPandas(run, schema)
+        return topk_per_query(found.groupBy("query_id", "item_id").agg(F.max("score").alias("score")) if several else found, k)
+
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("dim")).first()
+    blocks = max(1, -(-size.n * 8 * size.dim // BLOCK_BYTES))
+    if blocks == 1:
+        return of_block(asked)
+    path = scratch_dir(spark, "topk")
+    for b in range(blocks):
+        of_block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
-        out = out.unionByName(vectors.select("item_id", "vec").where("vec is not null").mapInPandas(run, schema))
-    return topk_per_query(out, k)
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """(query_id, item_id, score, rank): exact cosine of a stated query set against all vectors."""
+    return _best_of_batches(queries, vectors, k, exclude_self)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -99,36 +131,48 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(size == 0, 1, size)
 
 
-def cosine_topk_by(queries: DataFrame, vectors: DataFrame, by: str, k: int, salts: int = 16) -> DataFrame:
-    """As ``cosine_topk``, each query only inside its snapshot. The vectors of a snapshot are dealt into ``salts`` parts
-    and its queries copied to each, so a large snapshot is many groups; every part keeps its k best."""
+def cosine_topk_by(queries: DataFrame, vectors: DataFrame, by: str, k: int, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """As ``cosine_topk``, each query only inside its snapshot. The vectors of a snapshot are dealt into parts of about
+    ``part_rows`` and its queries into blocks of about ``query_rows``, by their counts; every block meets every part in a
+    group of its own, which keeps its k best."""
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {vectors.schema['item_id'].dataType.simpleString()}, score double"
-    left = queries.select(by, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), "query_id", "vec")
-    right = vectors.select(by, F.pmod(F.xxhash64("item_id"), F.lit(salts)).cast("int").alias("_salt"), "item_id", "vec")
+    parts = vectors.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("_parts"))
+    blocks = queries.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("_blocks"))
+    sizes = stored(parts.join(blocks, by), "snapshot-sizes")
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(sizes, by).withColumn("_block", own("query_id", "_blocks")).select(F.col(by).alias("_by"), "_block", every("_parts").alias("_part"), "query_id", F.col("vec").alias("_vec"))
+    right = vectors.join(sizes, by).withColumn("_part", own("item_id", "_parts")).select(F.col(by).alias("_by"), every("_blocks").alias("_block"), "_part", "item_id", "vec")
 
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": q["query_id"].dtype, "item_id": v["item_id"].dtype})
-        items, parts = v["item_id"].to_numpy(), []
+        items, found = v["item_id"].to_numpy(), []
         right_units = _unit(np.stack(v["vec"].to_numpy()).astype(np.float64)).T
         for at in range(0, len(q), 256):
-            ids = q["query_id"].to_numpy()[at : at + 256]
-            scores = np.round(_unit(np.stack(q["vec"].to_numpy()[at : at + 256]).astype(np.float64)) @ right_units, 9)
-            order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
-            parts.append(pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "item_id": items[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()}))
-        return pd.concat(parts)
+            scores = np.round(_unit(np.stack(q["_vec"].to_numpy()[at : at + 256]).astype(np.float64)) @ right_units, 9)
+            found.append(_best(q["query_id"].to_numpy()[at : at + 256], items, scores, k))
+        return pd.concat(found)
 
-    found = left.groupBy(by, "_salt").cogroup(right.groupBy(by, "_salt")).applyInPandas(run, schema)
-    return topk_per_query(found, k)
+    key = ["_by", "_block", "_part"]
+    return topk_per_query(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema), k)
 
 
 def containing(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, item_id) of all items whose text holds the query's whole text: a stated query set against all rows.
-    The passages are broadcast; their number is bounded."""
-    passages = queries.where(F.length("text") > 0).select("query_id", F.col("text").alias("_passage"))
-    if passages.limit(MAX_PASSAGES + 1).count() > MAX_PASSAGES:
-        raise ValueError(f"more than {MAX_PASSAGES} passages; call it for parts of them")
-    return corpus.join(F.broadcast(passages), F.contains(F.col("text"), F.col("_passage"))).select("query_id", "item_id")
+    """(query_id, item_id) of all items whose text holds the query's whole text. The words of a passage but its first and
+    last are whole words wherever it stands, so items are found by an equi-join on the longest of these, and verified.
+    Passages of fewer than three words have no such word and are held against every item."""
+    cut = lambda c: F.split(c, r"[ \t\n]+")
+    passages = queries.where(F.length("text") > 0).select("query_id", F.col("text").alias("_passage"), cut(F.col("text")).alias("_words"))
+    inner = F.transform(F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0))), lambda w: F.struct(F.length(w), w.alias("w")))
+    anchored = passages.select("query_id", "_passage", F.array_max(inner)["w"].alias("_word"))
+    anchors = anchored.where("_word <> ''").select("query_id", "_word").distinct()
+    words = corpus.select("item_id", F.explode(F.array_distinct(cut(F.col("text")))).alias("_word"))
+    found = words.join(anchors, "_word").select("query_id", "item_id").distinct()
+    texts, held = corpus.select("item_id", "text"), F.contains(F.col("text"), F.col("_passage"))
+    sure = found.join(anchored.select("query_id", "_passage"), "query_id").join(texts, "item_id").where(held)
+    short = texts.join(anchored.where("_word is null or _word = ''").select("query_id", "_passage"), held)
+    return sure.select("query_id", "item_id").union(short.select("query_id", "item_id")).distinct()
 
 
 def mark_relevant(ranked: DataFrame, truth: DataFrame) -> DataFrame:
@@ -145,11 +189,10 @@ def chunk_encode_pool(df: DataFrame, encoder, size: int = 512, step: int = 462,
     return V.vec_mean(V.encode(texts, "text", encoder), ["id"], "vec")
 
 
-def chunk_max_sim(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, item_id, score): an item's score is the largest cosine of its chunks (item_id, vec). A stated query set
-    is compared in the JVM; use ``cosine_topk`` on chunks where only the best count."""
-    pairs = chunks.join(F.broadcast(queries.select("query_id", F.col("vec").alias("_q"))))
-    return pairs.groupBy("query_id", "item_id").agg(F.max(V.cosine(F.col("_q"), F.col("vec"))).alias("score"))
+def chunk_max_sim(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, score, rank): the k best items of a stated query set, by the largest cosine of an item's chunks
+    (item_id, vec)."""
+    return _best_of_batches(queries, chunks, k, several=True)
 
 
 def function_features(reports: DataFrame, functions: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
@@ -202,16 +245,21 @@ def hashed_sample(df: DataFrame, by: list[str], key: str, limit: int, seed: int
 
 
 def pair_similarity(vectors: DataFrame, project: str, key: str, limit: int = 500, seed: int = 7) -> DataFrame:
-    """(project_a, project_b, n_a, n_b, mean, std, median) of the cosines between samples of two projects. Samples are
-    bounded by ``limit``, the feature of this operator, and so are the pairs of two projects."""
-    sample = hashed_sample(vectors, [project], key, limit, seed).select(F.col(project).alias("p"), V.l2_normalise(F.col("vec")).alias("u"))
-    sizes = sample.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    a, b = sample.select(F.col("p").alias("project_a"), F.col("u").alias("ua")), sample.select(F.col("p").alias("project_b"), F.col("u").alias("ub"))
-    cos = a.join(b, F.col("project_a") < F.col("project_b")).select("project_a", "project_b", V.dot(F.col("ua"), F.col("ub")).alias("c"))
-    out = cos.groupBy("project_a", "project_b").agg(F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_pop("c"), 6).alias("std"), F.round(F.percentile("c", F.lit(0.5)), 6).alias("median"))
-    for side in "ab":
-        out = out.join(sizes.select(F.col("p").alias(f"project_{side}"), F.col("n").alias(f"n_{side}")), f"project_{side}")
-    return out.select("project_a", "project_b", "n_a", "n_b", "mean", "std", "median")
+    """(project_a, project_b, n_a, n_b, mean, std, median) of the cosines between samples of two projects: one matrix
+    product for each pair. Samples are bounded by ``limit``, the feature of this operator, and so is a group."""
+    sample = hashed_sample(vectors, [project], key, limit, seed).select(F.col(project).alias("p"), "vec")
+    names = sample.select("p").distinct()
+    pairs = names.select(F.col("p").alias("project_a")).join(names.select(F.col("p").alias("project_b")), F.col("project_a") < F.col("project_b"))
+    both = pairs.withColumn("p", F.explode(F.array("project_a", "project_b"))).join(sample, "p")
+    kind = sample.schema["p"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["project_a"].iloc[0], pdf["project_b"].iloc[0]
+        one, two = (_unit(np.stack(pdf["vec"][pdf["p"] == p].to_numpy()).astype(np.float64)) for p in (a, b))
+        c = one @ two.T
+        return pd.DataFrame({"project_a": [a], "project_b": [b], "n_a": [len(one)], "n_b": [len(two)], "mean": [round(c.mean(), 6)], "std": [round(c.std(), 6)], "median": [round(float(np.median(c)), 6)]})
+
+    return both.groupBy("project_a", "project_b").applyInPandas(run, f"project_a {kind}, project_b {kind}, n_a long, n_b long, mean double, std double, median double")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
@@ -224,28 +272,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.5,
 
 
 def domain_gap(vectors: DataFrame, project: str, key: str, limit: int = 400, test: float = 0.2, seed: int = 7) -> DataFrame:
-    """(project_a, project_b, n_a, n_b, domain_gap_accuracy): test accuracy of a linear classifier between samples of two
-    projects, split 80/20 in each. One small fit for each pair, all of them in parallel; a project without vectors has
-    no pair."""
-    sample = hashed_sample(vectors, [project], key, limit, seed)
-    order = Window.partitionBy(project).orderBy(X.seeded(seed + 1, F.col(key)), key)
-    total = F.count(F.lit(1)).over(Window.partitionBy(project))
-    split = sample.select(F.col(project).alias("p"), "vec", (F.row_number().over(order) <= F.ceil(total * test)).alias("is_test"))
-    names = split.select("p").distinct()
-    pairs = names.select(F.col("p").alias("project_a")).join(names.select(F.col("p").alias("project_b")), F.col("project_a") < F.col("project_b"))
-    both = pairs.withColumn("p", F.explode(F.array("project_a", "project_b"))).join(split, "p")
-    kind = split.schema["p"].dataType.simpleString()
+    """(project_a, project_b, n_a, n_b, domain_gap_accuracy): how well a linear classifier tells the held-out vectors of two
+    projects apart. A share ``test`` of the rows, by hash, is held out, and all of it is scored; the fit takes at most
+    ``limit`` other rows of each project, by hash. One small fit for each pair; a project without vectors has no pair."""
+    rows = vectors.select(F.col(project).alias("p"), F.col(key).alias("_key"), "vec").where("vec is not null").withColumn("_held", F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1000)) < int(1000 * test))
+    sample = hashed_sample(rows.where("not _held"), ["p"], "_key", limit, seed).select("p", "vec")
+    names = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda s: names.select(F.col("p").alias(f"project_{s}"), F.col("n").alias(f"n_{s}"))
+    pairs = side("a").join(side("b"), F.col("project_a") < F.col("project_b"))
+    each = F.explode(F.array("project_a", "project_b"))
+    kind = rows.schema["p"].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["project_a"].iloc[0], pdf["project_b"].iloc[0]
-        x, y, held = np.stack(pdf["vec"].to_numpy()).astype(float), (pdf["p"] == b).to_numpy(float), pdf["is_test"].to_numpy(bool)
-        mean, std = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-9
-        x = (x - mean) / std
-        w = _logistic(x[~held], y[~held])
-        right = ((x[held] @ w[:-1] + w[-1] > 0) == (y[held] > 0.5)).mean() if held.any() else math.nan
-        return pd.DataFrame({"project_a": [a], "project_b": [b], "n_a": [int((y < 0.5).sum())], "n_b": [int((y > 0.5).sum())], "domain_gap_accuracy": [float(right)]})
-
-    return both.groupBy("project_a", "project_b").applyInPandas(fit, f"project_a {kind}, project_b {kind}, n_a long, n_b long, domain_gap_accuracy double")
+        x, y = np.stack(pdf["vec"].to_numpy()).astype(float), (pdf["p"] == b).to_numpy(float)
+        mean, std = x.mean(axis=0), x.std(axis=0) + 1e-9
+        w = _logistic((x - mean) / std, y)
+        slope = w[:-1] / std
+        return pd.DataFrame({"project_a": [a], "project_b": [b], "_slope": [slope.tolist()], "_base": [float(w[-1] - slope @ mean)]})
+
+    fits = pairs.select("project_a", "project_b", each.alias("p")).join(sample, "p").groupBy("project_a", "project_b").applyInPandas(fit, f"project_a {kind}, project_b {kind}, _slope array<double>, _base double")
+    asked = stored(pairs.join(fits, ["project_a", "project_b"], "left"), "gap-fits")
+    scored = asked.select("project_a", "project_b", "_slope", "_base", each.alias("p")).join(rows.where("_held").select("p", "vec"), "p")
+    right = (V.dot(F.col("vec"), F.col("_slope")) + F.col("_base") > 0) == (F.col("p") == F.col("project_b"))
+    accuracy = scored.groupBy("project_a", "project_b").agg(F.avg(right.cast("int")).alias("domain_gap_accuracy"))
+    return asked.drop("_slope", "_base").join(accuracy, ["project_a", "project_b"], "left").select("project_a", "project_b", "n_a", "n_b", "domain_gap_accuracy")
 
 
 def word_vector_pool(tokens: DataFrame, table: DataFrame, id_col: str = "id") -> DataFrame:

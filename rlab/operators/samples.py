@@ -1,13 +1,7 @@
-"""Training tables: splits, scenarios, labelled samples, contrastive samples, triplets, parsed functions and trees."""
+"""Training tables: splits, scenarios, labelled samples, contrastive samples, triplets, folder trees."""
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,214 +145,3 @@ def report_sequences(reports: DataFrame, table: DataFrame, max_len: int) -> Data
     """(query_id, ids, length, commit_sha) of every report, labelled or not."""
     tokens = reports.select(F.col("query_id").alias("id"), X.text_tokens(F.col("text")).alias("tokens"))
     return encode_tokens(tokens, table, max_len).withColumnRenamed("id", "query_id").join(reports.select("query_id", "commit_sha"), "query_id")
-
-
-_BRACED = re.compile(r"[\w<>\[\],\s]+?\([^;{}()]*\)\s*(?:throws [\w, .]+)?\{")
-
-
-def functions_of(text: str, language: str) -> list[str]:
-    """Bodies of functions: by syntax tree for Python (over 10 characters), by matched braces for Java (over 20), else
-    the whole file."""
-    found: list[str] = []
-    if language == "python":
-        try:
-            nodes = [n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            nodes = []
-        lines = text.splitlines()
-        found = [b for n in sorted(nodes, key=lambda n: (n.lineno, n.col_offset)) if len(b := "\n".join(lines[n.lineno - 1 : n.end_lineno])) > 10]
-    elif language == "java":
-        for head in _BRACED.finditer(text):
-            depth, at = 1, head.end()
-            while at < len(text) and depth:
-                depth += {"{": 1, "}": -1}.get(text[at], 0)
-                at += 1
-            if depth == 0 and at - head.start() > 20:
-                found.append(text[head.start() : at].strip())
-    return found or [text]
-
-
-def function_table(blobs: DataFrame) -> DataFrame:
-    """(id, fn_no, text) over a corpus (id, text, language), parsed in Arrow batches."""
-    kind = blobs.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, k, body) for i, t, lang in zip(batch["id"], batch["text"], batch["language"], strict=True) for k, body in enumerate(functions_of(t or "", lang))]
-            yield pd.DataFrame(rows, columns=["id", "fn_no", "text"])
-
-    return blobs.select("id", "text", "language").mapInPandas(run, f"id {kind}, fn_no int, text string")
-
-
-#: Cost of starting a chunk at a class, a function or any other line.
-SPLIT_COST = {"class": 3, "function": 5, "other": 10}
-_STARTS = [("class", re.compile(r"\s*(?:public |private |final |abstract )*(?:class|interface|enum)\b")), ("function", re.compile(r"\s*(?:def|func|function|async def)\b|\s*(?:public|private|protected|static)[^;=]*\("))]
-
-
-def cheapest_cuts(lines: list[str], window: int) -> list[int]:
-    """Starts of chunks of at most ``window`` lines whose summed start costs are least; of equal ones, fewer and earlier
-    chunks win."""
-    n = len(lines)
-    cost = [next((SPLIT_COST[k] for k, p in _STARTS if p.match(line)), SPLIT_COST["other"]) for line in lines]
-    best: list[tuple[int, int, int]] = [(0, 0, 0)] * (n + 1)  # of the lines from here: cost, chunks, end of the first
-    for at in range(n - 1, -1, -1):
-        best[at] = min((cost[at] + best[end][0], 1 + best[end][1], end) for end in range(at + 1, min(n, at + window) + 1))
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at = best[at][2]
-    return starts
-
-
-def chunk_table(blobs: DataFrame, window: int = 20) -> DataFrame:
-    """(id, chunk_no, text): cheapest line chunks of every blob, parsed in Arrow batches; blank blobs give their start."""
-    kind = blobs.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                lines = (text or "").split("\n")
-                starts = [*cheapest_cuts(lines, window), len(lines)]
-                chunks = [c for a, b in zip(starts, starts[1:], strict=False) if (c := "\n".join(lines[a:b])).strip()]
-                rows += [(i, k, c) for k, c in enumerate(chunks or [(text or "")[:2000]])]
-            yield pd.DataFrame(rows, columns=["id", "chunk_no", "text"])
-
-    return blobs.select("id", "text").mapInPandas(run, f"id {kind}, chunk_no int, text string")
-
-
-def _tree(text: str, most: int) -> tuple[list[tuple], list[tuple]]:
-    try:
-        root = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return [(0, "", "empty")], []
-    nodes, edges, queue = [], [], [(root, -1)]
-    while queue and len(nodes) < most:
-        node, above = queue.pop(0)
-        at = len(nodes)
-        token = next((str(getattr(node, f)) for f in ("name", "id", "attr", "arg", "value") if isinstance(getattr(node, f, None), str | int | float)), "")
-        nodes.append((at, token, type(node).__name__))
-        if above >= 0:
-            edges.append((above, at))
-        queue += [(child, at) for child in ast.iter_child_nodes(node)]
-    return nodes, edges
-
-
-def ast_tables(blobs: DataFrame, max_nodes: int = 500) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, node, token, type) and edges (id, source, target) of every blob's syntax tree, breadth first up to
-    ``max_nodes``; what does not parse is one empty node."""
-    kind = blobs.schema["id"].dataType.simpleString()
-
-    def parse(which: int, columns: list[str]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(i, *r) for i, t in zip(batch["id"], batch["text"], strict=True) for r in _tree(t or "", max_nodes)[which]]
-                yield pd.DataFrame(rows, columns=columns)
-
-        return run
-
-    slim = blobs.select("id", "text")
-    nodes = slim.mapInPandas(parse(0, ["id", "node", "token", "type"]), f"id {kind}, node int, token string, type string")
-    edges = slim.mapInPandas(parse(1, ["id", "source", "target"]), f"id {kind}, source int, target int")
-    return nodes, edges
-
-
-FEATURES = ["f1", "f2", "f3", "f4"]
-
-
-def _weightings(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Feature weights, each summing to 1: gain of the best single split (a stump for each feature), the same on what the
-    first stumps leave, chi-squared and mutual information over quartile bins, and constant."""
-    edges = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
-    base = y.mean()
-
-    def gains(target: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape[1])
-        for f in range(x.shape[1]):
-            for cut in edges[:, f]:
-                left = x[:, f] <= cut
-                if left.any() and not left.all():
-                    out[f] = max(out[f], left.mean() * (1 - left.mean()) * (target[left].mean() - target[~left].mean()) ** 2)
-        return out
-
-    tree = gains(y)
-    f = int(tree.argmax())
-    left = x[:, f] <= edges[1, f]
-    rest = y - np.where(left, y[left].mean() if left.any() else base, y[~left].mean() if not left.all() else base)
-    chi, mutual = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    for k in range(x.shape[1]):
-        bins = np.searchsorted(edges[:, k], x[:, k])
-        for b in np.unique(bins):
-            for label in (0, 1):
-                seen, want = ((bins == b) & (y == label)).mean(), (bins == b).mean() * (y == label).mean()
-                if want > 0:
-                    chi[k] += (seen - want) ** 2 / want
-                    mutual[k] += seen * np.log(seen / want) if seen > 0 else 0
-    raw = {"tree": tree, "boosting": tree + gains(rest), "chi2": chi, "mutual_information": mutual, "constant": np.ones(x.shape[1])}
-    return {k: v / v.sum() if v.sum() > 0 else np.full(len(v), 1 / len(v)) for k, v in raw.items()}
-
-
-def _regressors(x: np.ndarray, t: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights (last: intercept) of six linear regressors."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-
-    def ridge(strength: float, w: np.ndarray | None = None) -> np.ndarray:
-        weight = np.ones(len(a)) if w is None else w
-        return np.linalg.solve(a.T @ (a * weight[:, None]) + strength * np.diag([1.0] * x.shape[1] + [1e-9]), a.T @ (t * weight))
-
-    def shrunk(l1: float, l2: float) -> np.ndarray:
-        w, step = np.zeros(a.shape[1]), 1 / (np.linalg.norm(a, 2) ** 2 / len(a) + l2)
-        for _ in range(200):
-            w -= step * (a.T @ (a @ w - t) / len(a) + l2 * np.append(w[:-1], 0))
-            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step * l1, 0)
-        return w
-
-    huber = ridge(1e-6)
-    for _ in range(10):
-        r = np.abs(a @ huber - t)
-        huber = ridge(1e-6, np.minimum(1, 1.35 * (np.median(r) + 1e-9) / np.maximum(r, 1e-12)))
-    return {"least_squares": ridge(1e-6), "ridge": ridge(1.0), "strong_ridge": ridge(10.0), "lasso": shrunk(1e-3, 0), "elastic_net": shrunk(5e-4, 5e-4), "huber": huber}
-
-
-def _map(pdf: pd.DataFrame, score: np.ndarray) -> float:
-    """Mean average precision over queries with ground truth; ties by item."""
-    rows = pdf.assign(_s=score).sort_values(["query_id", "_s", "item_id"], ascending=[True, False, True])
-    out = []
-    for _, group in rows.groupby("query_id"):
-        hits = group["label"].to_numpy()
-        if hits.any():
-            ranks = np.flatnonzero(hits) + 1
-            out.append((np.arange(1, len(ranks) + 1) / ranks).mean())
-    return float(np.mean(out)) if out else 0.0
-
-
-def adaptive_ltr(features: DataFrame, group: str, seed: int = 13) -> DataFrame:
-    """(group, weighting, regressor, map_weighting, map_regressor, chosen) by two folds of queries: the best of five
-    feature weightings by MAP, then the best of six linear regressors on base + label * max|base|; the regressor is
-    used only if it is at least as good. One group is one training set, and all groups are fitted in parallel."""
-    kind = features.schema[group].dataType.simpleString()
-    schema = f"{group} {kind}, weighting string, regressor string, map_weighting double, map_regressor double, chosen string"
-    rows = features.select(group, "query_id", "item_id", "label", *FEATURES, (F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(2))).alias("_fold"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_weight: dict[str, list[float]] = {}
-        by_regressor: dict[str, list[float]] = {}
-        for fold in (0, 1):
-            train, test = pdf[pdf["_fold"] != fold], pdf[pdf["_fold"] == fold]
-            if train.empty or test.empty:
-                continue
-            x, y, z = train[FEATURES].to_numpy(float), train["label"].to_numpy(float), test[FEATURES].to_numpy(float)
-            weights = _weightings(x, y)
-            inner = {k: _map(train, x @ w) for k, w in weights.items()}
-            base = x @ weights[max(inner, key=inner.get)]
-            for k, w in weights.items():
-                by_weight.setdefault(k, []).append(_map(test, z @ w))
-            for k, w in _regressors(x, base + y * np.abs(base).max()).items():
-                by_regressor.setdefault(k, []).append(_map(test, z @ w[:-1] + w[-1]))
-        if not by_weight:
-            return pd.DataFrame({group: [pdf[group].iloc[0]], "weighting": ["constant"], "regressor": [None], "map_weighting": [0.0], "map_regressor": [0.0], "chosen": ["weighting"]})
-        mean = lambda d: max(((float(np.mean(v)), k) for k, v in d.items()), key=lambda p: p[0])
-        (mw, w), (mr, r) = mean(by_weight), mean(by_regressor)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "weighting": [w], "regressor": [r], "map_weighting": [mw], "map_regressor": [mr], "chosen": ["regressor" if mr >= mw else "weighting"]})
-
-    return rows.groupBy(group).applyInPandas(fit, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rlab.functions.classify import agreement, direction, stars
+from rlab.functions.classify import agreement, direction, mean, stars
 from rlab.operators.joins import paired_delta, reps_wide
 from rlab.operators.rank import avg_rank
 
@@ -96,7 +96,7 @@ def tost(deltas: DataFrame, by: list[str], margin: float = 0.05) -> DataFrame:
 
 def cohens_dz(deltas: DataFrame, by: list[str]) -> DataFrame:
     d = F.col("delta")
-    out = deltas.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"))
+    out = deltas.groupBy(*by).agg(F.count(d).alias("n"), mean(d).alias("mean"), F.stddev_samp(d).alias("std"))
     return out.withColumn("dz", F.when((F.col("n") >= 2) & (F.col("std") > 0), F.col("mean") / F.col("std")))
 
 
@@ -236,7 +236,7 @@ def rep_sensitivity(transfer: DataFrame, reps: DataFrame, metric: str, numbers:
 def feature_screen(df: DataFrame, features: list[str], outcome: str, k: int) -> DataFrame:
     """The k features of largest absolute rank correlation with an outcome."""
     tall = df.unpivot([outcome], features, "feature", "value")
-    return spearman(tall, "value", outcome, ["feature"]).where(F.col("rho").isNotNull()).orderBy(F.desc(F.abs("rho")), "feature").limit(k)
+    return spearman(tall, "value", outcome, ["feature"]).where(F.col("rho").isNotNull()).orderBy(F.desc(F.round(F.abs("rho"), 9)), "feature").limit(k)
 
 
 def effect_grid(results: DataFrame, comparisons: list[tuple[str, str]], metrics: list[str]) -> DataFrame:

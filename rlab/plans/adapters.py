@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,35 @@ def rounded(sql: str, keep: str, doubles: str = "", places: int = 6) -> str:
     return f"SELECT {', '.join([*keep.split(), *shaped])} FROM ({sql})"
 
 
+def rounded_means(sql: str, keep: str, doubles: str = "", places: int = 6) -> str:
+    return rounded(exact_means(sql), keep, doubles, places)
+
+
+def _closed(sql: str, at: int) -> int:
+    """The place behind the bracket that closes the one at ``at``."""
+    depth = 0
+    for k in range(at, len(sql)):
+        depth += (sql[k] == "(") - (sql[k] == ")")
+        if not depth:
+            return k + 1
+    raise ValueError("open bracket")
+
+
+def exact_means(sql: str) -> str:
+    """The query with every mean over whole numbers of 1e-9, as ``compare.mean`` takes it."""
+    out, at = "", 0
+    for found in re.finditer(r"\bavg\(", sql):
+        if found.start() < at:
+            continue
+        end = _closed(sql, found.end() - 1)
+        value, rest = sql[found.end() : end - 1], re.match(r" FILTER (?=\()", sql[end:])
+        stop = _closed(sql, end + rest.end()) if rest else end
+        only = sql[end:stop]
+        out += sql[at : found.start()] + f"(CAST(sum(CAST(round(CAST({value} AS DOUBLE) * 1e9::DOUBLE) AS HUGEINT)){only} AS DOUBLE) / count({value}){only} / 1e9::DOUBLE)"
+        at = stop
+    return out + sql[at:]
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results grid: line items by flag, supplier, part and line number. Sums are of whole numbers, so both engines
     get the same means."""
@@ -101,7 +132,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Vectors whose id is a multiple of this are the stated query set.
-QUERY_EVERY = 50
+QUERY_EVERY = 20
 
 
 def cosine_sql(name: str, k: int) -> str:
@@ -126,12 +157,12 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, n = F.col("doc_id"), F.col("n_chars")
     return table(spark, sf_dir, "documents").select(
         F.when(d % 3 != 0, F.concat(F.lit("https://host/"), F.col("source"), F.lit("/pull/"), (n % 400).cast("string"))).alias("fix_url"),
-        F.when(d % 4 != 0, F.md5(F.substring("text", 1, 40))).alias("fix_commit_sha"), F.when(d % 5 != 0, (n % 900).cast("string")).alias("bug_id"),
+        F.when(d % 4 != 0, F.md5("text")).alias("fix_commit_sha"), F.when(d % 5 != 0, (n % 900).cast("string")).alias("bug_id"),
         F.col("source").alias("repo_name"), F.col("text").alias("bug_report_text"), F.col("lang").alias("language"), d.alias("arrival"),
     )
 
 
 REPORTS = """reports AS (
   SELECT CASE WHEN doc_id % 3 <> 0 THEN 'https://host/' || source || '/pull/' || CAST(n_chars % 400 AS VARCHAR) END AS fix_url,
-         CASE WHEN doc_id % 4 <> 0 THEN md5(substring(text, 1, 40)) END AS fix_commit_sha, CASE WHEN doc_id % 5 <> 0 THEN CAST(n_chars % 900 AS VARCHAR) END AS bug_id,
+         CASE WHEN doc_id % 4 <> 0 THEN md5(text) END AS fix_commit_sha, CASE WHEN doc_id % 5 <> 0 THEN CAST(n_chars % 900 AS VARCHAR) END AS bug_id,
          source AS repo_name, text AS bug_report_text, lang AS language, doc_id AS arrival FROM documents)"""

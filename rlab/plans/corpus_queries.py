@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rlab.functions import classify as C
@@ -15,9 +15,12 @@ from rlab.operators import retrieve as R
 from rlab.operators import samples as S
 from rlab.operators.stats import round_columns
 from rlab.plans import adapters as A
-from rlab.plans.retrieval_queries import TOP
+from rlab.plans.retrieval_queries import POOL, TOP
 from rlab.streaming import streams
 
+#: Tokens of a vocabulary and of a sequence over it.
+VOCABULARY, LENGTH = 50_000, 256
+
 
 def hierarchical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = L.dedupe_hierarchical(A.reports(spark, sf_dir))
@@ -31,8 +34,8 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, pages and conversations in the canonical report table."""
     docs = A.table(spark, sf_dir, "documents").select(F.col("source").alias("repo_name"), F.col("doc_id").alias("bug_id"), F.col("text").alias("summary"), F.lit(None).cast("string").alias("description"), F.lit("['a.py', 'b.py']").alias("files"), (F.col("doc_id") * 86_400_000).alias("report_timestamp"), F.lit(None).cast("long").alias("commit_timestamp"), F.md5("text").alias("before_fix_sha"), F.lit(None).cast("string").alias("after_fix_sha"), F.col("lang").alias("language"))
-    pages = A.table(spark, sf_dir, "pages").select(F.lit(" Web/Crawl ").alias("repo_name"), F.col("page_id").alias("issue_id"), F.col("url").alias("issue_url"), F.lit(None).cast("string").alias("pull_url"), F.substring("html", 1, 50).alias("title"), F.lit(None).cast("string").alias("body"), F.lit("x.html y.html").alias("updated_files"), F.lit("2024-01-02 03:04:05").alias("report_datetime"), F.lit("not a date").alias("commit_datetime"), F.lit(None).cast("string").alias("before_fix_sha"), F.lit(None).cast("string").alias("after_fix_sha"), F.lit("html").alias("language"))
-    turns = A.table(spark, sf_dir, "conversations").where("turn = 0").select(F.lit("chat").alias("repo"), F.col("conv_id").alias("instance_id"), F.col("text").alias("problem_statement"), F.lit("hint").alias("hints_text"), F.lit("--- a/one.py\n+++ b/two.py\n").alias("patch"), F.lit("2024-05-06T07:08:09").alias("created_at"), F.lit("abc").alias("base_commit"))
+    pages = A.table(spark, sf_dir, "pages").select(F.lit(" Web/Crawl ").alias("repo_name"), F.col("page_id").alias("issue_id"), F.col("url").alias("issue_url"), F.lit(None).cast("string").alias("pull_url"), F.col("html").alias("title"), F.lit(None).cast("string").alias("body"), F.lit("x.html y.html").alias("updated_files"), F.lit("2024-01-02 03:04:05").alias("report_datetime"), F.lit("not a date").alias("commit_datetime"), F.lit(None).cast("string").alias("before_fix_sha"), F.lit(None).cast("string").alias("after_fix_sha"), F.lit("html").alias("language"))
+    turns = A.table(spark, sf_dir, "conversations").select(F.lit("chat").alias("repo"), F.col("conv_id").alias("instance_id"), F.col("text").alias("problem_statement"), F.lit("hint").alias("hints_text"), F.lit("--- a/one.py\n+++ b/two.py\n").alias("patch"), F.lit("2024-05-06T07:08:09").alias("created_at"), F.lit("abc").alias("base_commit"))
     both = L.union_sources(L.canonicalise_ye(docs), L.canonicalise_beetle(pages), L.canonicalise_swe(turns))
     return both.select("source_dataset", "repo_name", "bug_id", F.md5("bug_report_text").alias("text_md5"), F.array_join("ground_truth_files", ",").alias("files"), F.unix_timestamp("creation_date").alias("created"), F.unix_timestamp("fix_date").alias("fixed"), "language", "bug_report_url")
 
@@ -177,7 +180,7 @@ def scenario_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labeled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.bm25_topk(A.queries(spark, sf_dir), A.corpus(spark, sf_dir), 20)
+    ranked = R.bm25_topk(A.queries(spark, sf_dir), A.corpus(spark, sf_dir), POOL)
     return round_columns(S.labeled_samples(ranked, R.containing(A.queries(spark, sf_dir), A.corpus(spark, sf_dir))))
 
 
@@ -199,12 +202,12 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = A.table(spark, sf_dir, "documents").select(F.explode(X.text_tokens(F.col("text"))).alias("token"))
-    return P.vocab(tokens, 2000, 2, ("zzz", "aaa"))
+    return P.vocab(tokens, VOCABULARY, 2, ("zzz", "aaa"))
 
 
 def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.text_tokens(F.col("text")).alias("tokens"))
-    out = P.encode_tokens(docs, vocab(spark, sf_dir), 16)
+    out = P.encode_tokens(docs, vocab(spark, sf_dir), LENGTH)
     return out.select(F.col("id").alias("doc_id"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), F.col("length").cast("long").alias("length"))
 
 
@@ -233,24 +236,17 @@ def dir_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dir_tree(files).select("commit_sha", "path", "parent", F.col("depth").cast("long").alias("depth"), "is_leaf")
 
 
-def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events' results, of which one for each user and day is kept: the batch answer of ``streams.first_of_each``."""
-    rows = A.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    order = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
-    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("event_id", "user_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
-
-
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means of events by type: the batch answer of ``streams.stream_scores``."""
     out = streams.window_scores(A.table(spark, sf_dir, "events"), "ts", "value", ["event_type"])
     return round_columns(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "mean", "n"))
 
 
-QUERIES = {f.__name__: f for f in (hierarchical_dedup, content_dedup, source_union, file_list_parse, repo_link, file_ext_modes, patch_paths, path_tokens, dup_profile, split_profile, date_profile, year_counts, loss_profile, reconcile_counts, missing_keys, asof_latest, latest_snapshot, first_parent, project_metrics, terciles_by_group, impute_group_median, quartile_bins, ext_counts, fix_types, size_classes, split_ids, scenario_budgets, labeled_samples, triplets, contrastive_samples, stratified_sample, vocab, encode_tokens, chunk_windows, length_percentiles, token_stats, split_report, dir_tree, stream_results, stream_scores)}
+QUERIES = {f.__name__: f for f in (hierarchical_dedup, content_dedup, source_union, file_list_parse, repo_link, file_ext_modes, patch_paths, path_tokens, dup_profile, split_profile, date_profile, year_counts, loss_profile, reconcile_counts, missing_keys, asof_latest, latest_snapshot, first_parent, project_metrics, terciles_by_group, impute_group_median, quartile_bins, ext_counts, fix_types, size_classes, split_ids, scenario_budgets, labeled_samples, triplets, contrastive_samples, stratified_sample, vocab, encode_tokens, chunk_windows, length_percentiles, token_stats, split_report, dir_tree, stream_scores)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda t: t <> '')"
 _VOCAB = r"""tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+') AS t FROM documents),
-usual AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM tok) WHERE token NOT IN ('aaa', 'zzz') GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 1996),
+usual AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM tok) WHERE token NOT IN ('aaa', 'zzz') GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 49996),
 vocab AS (SELECT '<PAD>' AS token, 0 AS id, NULL::BIGINT AS n UNION ALL SELECT '<UNK>', 1, NULL UNION ALL SELECT 'aaa', 2, NULL UNION ALL SELECT 'zzz', 3, NULL
           UNION ALL SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER), n FROM usual)"""
 _LINES = r"string_split(coalesce(text, ''), chr(10))"
@@ -267,8 +263,8 @@ l4 AS (SELECT *, row_number() OVER (PARTITION BY repo_name, bug_report_text ORDE
 SELECT arrival, repo_name, bug_id, fix_url, fix_commit_sha FROM l4 WHERE r4 = 1""",
     "content_dedup": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY coalesce(text, ''))",
     "source_union": """SELECT 'ye' AS source_dataset, lower(trim(source)) AS repo_name, CAST(doc_id AS VARCHAR) AS bug_id, md5(coalesce(text, '') || chr(10)) AS text_md5, 'a.py,b.py' AS files, doc_id * 86400 AS created, NULL::BIGINT AS fixed, lang AS language, NULL::VARCHAR AS bug_report_url FROM documents
-UNION ALL SELECT 'beetle', 'web/crawl', CAST(page_id AS VARCHAR), md5(substring(html, 1, 50) || chr(10)), 'x.html,y.html', 1704164645, NULL, 'html', url FROM pages
-UNION ALL SELECT 'swe', 'chat', CAST(conv_id AS VARCHAR), md5(coalesce(text, '') || chr(10) || 'hint'), 'one.py,two.py', 1714979289, NULL, 'python', NULL FROM conversations WHERE turn = 0""",
+UNION ALL SELECT 'beetle', 'web/crawl', CAST(page_id AS VARCHAR), md5(coalesce(html, '') || chr(10)), 'x.html,y.html', 1704164645, NULL, 'html', url FROM pages
+UNION ALL SELECT 'swe', 'chat', CAST(conv_id AS VARCHAR), md5(coalesce(text, '') || chr(10) || 'hint'), 'one.py,two.py', 1714979289, NULL, 'python', NULL FROM conversations""",
     "file_list_parse": f"""WITH {A.PATHS}, f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN [path, 'b.py'] WHEN 1 THEN list_filter([path, 'c.java'], lambda x: x <> '') WHEN 2 THEN ['x' || path] ELSE [] END AS files FROM paths)
 SELECT page_id, CAST(len(files) AS BIGINT) AS n_files, array_to_string(files, '|') AS files FROM f""",
     "repo_link": "SELECT page_id, coalesce(array_to_string(string_split(url, '/')[1:5], '/'), '') AS link FROM pages",
@@ -311,7 +307,7 @@ rows AS (SELECT 'WP-small' AS scenario, 'train' AS role, 'target' AS side, doc_i
 UNION ALL SELECT 'CP-transfer', 'train', 'source', doc_id FROM src UNION ALL SELECT 'CP-transfer', 'train', 'target', doc_id FROM small UNION ALL SELECT s, 'test', 'target', doc_id FROM test, (SELECT unnest(['WP-small', 'WP-large', 'CP-cold-start', 'CP-transfer']) AS s))
 SELECT scenario, role, side, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM rows GROUP BY ALL""",
     "labeled_samples": A.rounded(
-        f"""WITH {A.TOKENS}, {A.TRUTH}, {A.bm25_sql("ranked", 20)} SELECT query_id, item_id, CASE WHEN t.gt = 1 THEN 1 ELSE 0 END AS label, coalesce(score, -1) AS retrieval_score, 'target' AS project_type
+        f"""WITH {A.TOKENS}, {A.TRUTH}, {A.bm25_sql("ranked", POOL)} SELECT query_id, item_id, CASE WHEN t.gt = 1 THEN 1 ELSE 0 END AS label, coalesce(score, -1) AS retrieval_score, 'target' AS project_type
 FROM ranked FULL JOIN (SELECT DISTINCT query_id, item_id, 1 AS gt FROM truth) t USING (query_id, item_id)""",
         "query_id item_id label project_type",
         "retrieval_score",
@@ -325,8 +321,8 @@ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('3:' || doc_
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS report_no, doc_id, chunk_no, md5(chunk) AS chunk_md5 FROM p WHERE r = 1""",
     "stratified_sample": "SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM documents) WHERE r <= 2",
     "vocab": f"WITH {_VOCAB} SELECT * FROM vocab",
-    "encode_tokens": f"""WITH {_VOCAB}, p AS (SELECT doc_id, unnest(t[1:16]) AS token, unnest(range(1, len(t[1:16]) + 1)) AS k FROM tok), c AS (SELECT doc_id, list(CAST(coalesce(id, 1) AS VARCHAR) ORDER BY k) AS ids FROM p LEFT JOIN vocab USING (token) GROUP BY doc_id),
-d AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN c USING (doc_id)) SELECT doc_id, array_to_string(list_concat(ids, ['0', '0', '0', '0', '0', '0', '0', '0', '0', '0', '0', '0', '0', '0', '0', '0'])[1:16], ' ') AS ids, CAST(greatest(len(ids), 1) AS BIGINT) AS length FROM d""",
+    "encode_tokens": f"""WITH {_VOCAB}, p AS (SELECT doc_id, unnest(t[1:256]) AS token, unnest(range(1, len(t[1:256]) + 1)) AS k FROM tok), c AS (SELECT doc_id, list(CAST(coalesce(id, 1) AS VARCHAR) ORDER BY k) AS ids FROM p LEFT JOIN vocab USING (token) GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN c USING (doc_id)) SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(256), lambda x: '0'))[1:256], ' ') AS ids, CAST(greatest(len(ids), 1) AS BIGINT) AS length FROM d""",
     "chunk_windows": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, w, CASE WHEN len(w) <= 512 THEN [0] ELSE range(0, len(w), 462) END AS starts FROM w WHERE len(w) > 0), c AS (SELECT doc_id, w, unnest(starts) AS s FROM s)
 SELECT doc_id, s // 462 AS chunk_no, CAST(len(w[s + 1 : s + 512]) AS BIGINT) AS n_tokens, md5(array_to_string(w[s + 1 : s + 512], ' ')) AS chunk_md5 FROM c""",
     "length_percentiles": """WITH b AS (SELECT lang, CAST(n_chars AS DOUBLE) AS v FROM documents UNION ALL SELECT 'all', n_chars FROM documents), q AS (SELECT lang, quantile_cont(v, list_transform(range(50, 97, 2), lambda p: p / 100.0::DOUBLE)) AS q FROM b GROUP BY lang)
@@ -338,6 +334,5 @@ round(100.0 * avg(CASE WHEN n <= 1024 THEN 1.0 ELSE 0 END), 6) AS pct_le_1024, C
 SELECT conv_id, turn, md5(CASE WHEN len(lines) = 0 THEN substring(text, 1, 300) ELSE trim(lines[1]) END) AS summary_md5, md5(CASE WHEN len(lines) <= 1 THEN text ELSE array_to_string(lines[2:], chr(10)) END) AS description_md5 FROM l""",
     "dir_tree": f"""WITH {A.PATHS}, f AS (SELECT DISTINCT commit_sha, path FROM paths WHERE path <> '' AND path NOT LIKE '%/'), r AS (SELECT *, row_number() OVER (PARTITION BY commit_sha ORDER BY path) AS r FROM f), s AS (SELECT commit_sha, string_split(path, '/') AS p FROM r WHERE r <= 1000),
 n AS (SELECT commit_sha, p, unnest(range(1, len(p) + 1)) AS k FROM s) SELECT commit_sha, array_to_string(p[1:k], '/') AS path, min(array_to_string(p[1 : k - 1], '/')) AS parent, min(k) AS depth, bool_and(k = len(p)) AS is_leaf FROM n GROUP BY commit_sha, path""",
-    "stream_results": "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1",
     "stream_scores": A.rounded("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, avg(value) AS mean, count(value) AS n FROM events GROUP BY ALL", "day event_type n", "mean"),
 }

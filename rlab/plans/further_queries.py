@@ -19,6 +19,7 @@ from rlab.operators import stats as T
 from rlab.operators.stats import round_columns
 from rlab.plans import adapters as A
 from rlab.plans import retrieval_queries as RQ
+from rlab.plans.corpus_queries import LENGTH, VOCABULARY
 from rlab.sources.io import scratch_dir
 from rlab.streaming import streams
 
@@ -194,7 +195,7 @@ def report_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages as token sequences over the documents' vocabulary."""
     tokens = A.table(spark, sf_dir, "documents").select(F.explode(X.text_tokens(F.col("text"))).alias("token"))
     reports = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.md5("text").alias("commit_sha"))
-    out = S.report_sequences(reports, P.vocab(tokens, 500, 2), 8)
+    out = S.report_sequences(reports, P.vocab(tokens, VOCABULARY, 2), LENGTH)
     return out.select("query_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), F.col("length").cast("long").alias("length"), "commit_sha")
 
 
@@ -223,7 +224,7 @@ def cosine_topk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact top 5 inside the query's own label."""
     vectors = A.vectors(spark, sf_dir)
     asked = vectors.where(F.col("item_id") % A.QUERY_EVERY == 0).select(F.col("item_id").alias("query_id"), "vec", "label")
-    return round_columns(R.cosine_topk_by(asked, vectors, "label", 5, salts=4)).select("query_id", "item_id", "score", "rank")
+    return round_columns(R.cosine_topk_by(asked, vectors, "label", 5)).select("query_id", "item_id", "score", "rank")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,9 +307,9 @@ SELECT s.*, gap AS domain_gap_accuracy, x.LoC AS src_LoC, y.LoC AS tgt_LoC, coal
         "source_project target_project scenario n_rows n_queries src_LoC tgt_LoC same_domain",
         "share_unreachable share_improved mean_displacement model_mrr baseline_top_10 domain_gap_accuracy",
     ),
-    "scenario_profile": A.rounded(f"WITH {A.GRID} SELECT CASE WHEN GROUPING(scenario) = 1 THEN 'All' ELSE scenario END AS scenario, avg(MRR) AS MRR, avg(MAP) AS MAP, avg(top_10) AS top_10, count(*) AS n FROM grid GROUP BY GROUPING SETS ((scenario), ())", "scenario n", "MRR MAP top_10"),
-    "size_group_means": A.rounded(f"WITH {A.GRID} SELECT model_name, CASE WHEN target_project < 6 THEN 'small' ELSE 'large' END AS size, avg(MRR) AS mean, count(MRR) AS n FROM grid WHERE scenario = 'WP-large' GROUP BY ALL", "model_name size n", "mean"),
-    "quality_extremes": A.rounded(
+    "scenario_profile": A.rounded_means(f"WITH {A.GRID} SELECT CASE WHEN GROUPING(scenario) = 1 THEN 'All' ELSE scenario END AS scenario, avg(MRR) AS MRR, avg(MAP) AS MAP, avg(top_10) AS top_10, count(*) AS n FROM grid GROUP BY GROUPING SETS ((scenario), ())", "scenario n", "MRR MAP top_10"),
+    "size_group_means": A.rounded_means(f"WITH {A.GRID} SELECT model_name, CASE WHEN target_project < 6 THEN 'small' ELSE 'large' END AS size, avg(MRR) AS mean, count(MRR) AS n FROM grid WHERE scenario = 'WP-large' GROUP BY ALL", "model_name size n", "mean"),
+    "quality_extremes": A.rounded_means(
         f"""WITH {A.GRID}, q AS (SELECT model_name, target_project AS source_project, avg(MRR) AS sq FROM grid WHERE scenario = 'WP-large' GROUP BY ALL), m AS (SELECT source_project, max(sq) AS quality, avg(MRR - MAP) AS mean_delta FROM grid LEFT JOIN q USING (model_name, source_project) WHERE scenario = 'CP-transfer' GROUP BY source_project),
 r AS (SELECT *, row_number() OVER (ORDER BY quality DESC, source_project) AS b, row_number() OVER (ORDER BY quality, source_project) AS w FROM m WHERE quality IS NOT NULL) SELECT source_project, quality, mean_delta, CASE WHEN b <= 3 THEN 'best' ELSE 'worst' END AS "end" FROM r WHERE b <= 3 OR w <= 3""",
         'source_project "end"',
@@ -329,10 +330,10 @@ SELECT query_id, item_id, fn_no, CAST(quality AS BIGINT) AS label FROM n WHERE c
     "line_chunks": r"""WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), c AS (SELECT doc_id, k, array_to_string(lines[k : k + 2], chr(10)) AS c FROM (SELECT *, unnest(range(1, len(lines) + 1, 3)) AS k FROM l)),
 f AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_no FROM c WHERE trim(replace(c, chr(10), '')) <> '') SELECT doc_id, chunk_no, md5(c) AS chunk_md5 FROM f
 UNION ALL SELECT doc_id, 0, md5(substring(coalesce(text, ''), 1, 2000)) FROM l WHERE trim(replace(coalesce(text, ''), chr(10), '')) = ''""",
-    "report_sequences": r"""WITH tok AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+')) AS token FROM documents), usual AS (SELECT token, count(*) AS n FROM tok GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 498),
-v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM usual), b AS (SELECT item_id AS query_id, md5(text) AS commit_sha, regexp_extract_all(lower(text), '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+')[1:8] AS t FROM benchmark),
+    "report_sequences": r"""WITH tok AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+')) AS token FROM documents), usual AS (SELECT token, count(*) AS n FROM tok GROUP BY token HAVING count(*) >= 2 ORDER BY n DESC, token LIMIT 49998),
+v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM usual), b AS (SELECT item_id AS query_id, md5(text) AS commit_sha, regexp_extract_all(lower(text), '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+')[1:256] AS t FROM benchmark),
 p AS (SELECT query_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS k FROM b), c AS (SELECT query_id, list(CAST(coalesce(id, 1) AS VARCHAR) ORDER BY k) AS ids FROM p LEFT JOIN v USING (token) GROUP BY query_id)
-SELECT query_id, array_to_string(list_concat(coalesce(ids, []), ['0', '0', '0', '0', '0', '0', '0', '0'])[1:8], ' ') AS ids, CAST(greatest(len(t), 1) AS BIGINT) AS length, commit_sha FROM b LEFT JOIN c USING (query_id)""",
+SELECT query_id, array_to_string(list_concat(coalesce(ids, []), list_transform(range(256), lambda x: '0'))[1:256], ' ') AS ids, CAST(greatest(len(t), 1) AS BIGINT) AS length, commit_sha FROM b LEFT JOIN c USING (query_id)""",
     "vec_mean": A.rounded("SELECT label, place, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL", "label place", "x"),
     "similarity_matrix": A.rounded(
         """WITH m AS (SELECT label, place, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL), v AS (SELECT label AS id, list(x ORDER BY place) AS v FROM m GROUP BY label)

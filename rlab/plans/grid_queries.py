@@ -267,51 +267,51 @@ def _spearman_sql(x: str, y: str) -> str:
 
 
 ORACLES = {
-    "scenario_means": A.rounded(
+    "scenario_means": A.rounded_means(
         f"""WITH {A.GRID}, tall AS (UNPIVOT grid ON MRR, MAP, top_10 INTO NAME metric VALUE value),
 cells AS (SELECT * FROM (SELECT DISTINCT model_name FROM grid), (SELECT unnest(['WP-small', 'WP-large', 'CP-cold-start', 'CP-transfer']) AS scenario), (SELECT unnest(['MRR', 'MAP', 'top_10']) AS metric))
 SELECT model_name, scenario, metric, count(value) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_samp(value) AS std FROM cells LEFT JOIN tall USING (model_name, scenario, metric) GROUP BY ALL""",
         "model_name scenario metric n",
         "mean median std",
     ),
-    "stratified_grouping_sets": A.rounded(
+    "stratified_grouping_sets": A.rounded_means(
         f"""WITH {A.GRID}, {A.PROJECTS}, s AS (SELECT g.*, CASE WHEN LoC <= 3750000 THEN 'small' WHEN LoC <= 4000000 THEN 'medium' ELSE 'large' END AS size FROM grid g LEFT JOIN projects ON repo_name = target_project)
 SELECT model_name, scenario, CASE WHEN GROUPING(size) = 1 THEN 'All' ELSE size END AS size, count(MRR) AS n, avg(MRR) AS mean FROM s GROUP BY GROUPING SETS ((model_name, scenario), (model_name, scenario, size))""",
         "model_name scenario size n",
         "mean",
     ),
-    "gain_summary": A.rounded(f"{_D} SELECT *, abs(median_win) / abs(median_loss) AS asymmetry FROM (SELECT model_name, {_GAIN} FROM deltas GROUP BY model_name)", "model_name n wins losses", "mean_delta median_delta median_win median_loss win_rate asymmetry"),
-    "win_rates": A.rounded(
+    "gain_summary": A.rounded_means(f"{_D} SELECT *, abs(median_win) / abs(median_loss) AS asymmetry FROM (SELECT model_name, {_GAIN} FROM deltas GROUP BY model_name)", "model_name n wins losses", "mean_delta median_delta median_win median_loss win_rate asymmetry"),
+    "win_rates": A.rounded_means(
         f"""WITH {A.GRID}, tall AS (UNPIVOT grid ON MRR, MAP, top_10 INTO NAME metric VALUE value),
 d AS (SELECT model_name, metric, max(value) FILTER (scenario = 'CP-transfer') - max(value) FILTER (scenario = 'WP-small') AS delta FROM tall GROUP BY model_name, metric, source_project, target_project)
 SELECT model_name, metric, avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0 END) AS win_rate, count(*) AS n FROM d WHERE delta IS NOT NULL GROUP BY ALL""",
         "model_name metric n",
         "win_rate",
     ),
-    "rep_summary": A.rounded(f"WITH {A.REPS} SELECT model_name, target_project, count(*) AS n_reps, quantile_cont(MRR, 0.5) AS MRR_median, min(MRR) AS MRR_min, max(MRR) AS MRR_max, avg(MRR) AS MRR_mean, stddev_samp(MRR) AS MRR_std FROM reps GROUP BY ALL", "model_name target_project n_reps", "MRR_median MRR_min MRR_max MRR_mean MRR_std"),
-    "noise_bands": A.rounded(
+    "rep_summary": A.rounded_means(f"WITH {A.REPS} SELECT model_name, target_project, count(*) AS n_reps, quantile_cont(MRR, 0.5) AS MRR_median, min(MRR) AS MRR_min, max(MRR) AS MRR_max, avg(MRR) AS MRR_mean, stddev_samp(MRR) AS MRR_std FROM reps GROUP BY ALL", "model_name target_project n_reps", "MRR_median MRR_min MRR_max MRR_mean MRR_std"),
+    "noise_bands": A.rounded_means(
         f"""WITH {A.GRID}, {A.DELTAS}, {A.REPS}, s AS (SELECT model_name, target_project, max(MRR) - min(MRR) AS spread FROM reps GROUP BY ALL)
 SELECT model_name, count(*) AS n, count(*) FILTER (delta < 0) AS negative, count(*) FILTER (delta < -0.5::DOUBLE * spread) AS beyond_half, count(*) FILTER (delta < -spread) AS beyond_full, count(*) FILTER (delta < -sqrt(2.0::DOUBLE) * spread) AS beyond_sqrt2, avg(spread) AS mean_spread
 FROM deltas JOIN s USING (model_name, target_project) GROUP BY model_name""",
         "model_name n negative beyond_half beyond_full beyond_sqrt2",
         "mean_spread",
     ),
-    "noise_spread": A.rounded(f"WITH {A.REPS} SELECT model_name, count(*) AS targets, avg(s) AS mean_spread, max(s) AS max_spread FROM (SELECT model_name, target_project, max(MRR) - min(MRR) AS s FROM reps GROUP BY ALL) GROUP BY model_name", "model_name targets", "mean_spread max_spread"),
+    "noise_spread": A.rounded_means(f"WITH {A.REPS} SELECT model_name, count(*) AS targets, avg(s) AS mean_spread, max(s) AS max_spread FROM (SELECT model_name, target_project, max(MRR) - min(MRR) AS s FROM reps GROUP BY ALL) GROUP BY model_name", "model_name targets", "mean_spread max_spread"),
     "reps_wide": f"WITH {A.REPS} SELECT model_name, target_project, max(MRR) FILTER (rep = 1) AS MRR_rep1, max(MRR) FILTER (rep = 2) AS MRR_rep2, max(MRR) FILTER (rep = 3) AS MRR_rep3 FROM reps GROUP BY ALL",
     "relabel_counts": f"""WITH {A.GRID}, {A.REPS}, w AS (SELECT model_name, target_project, max(MRR) FILTER (rep = 1) AS r1, max(MRR) FILTER (rep = 2) AS r2, max(MRR) FILTER (rep = 3) AS r3 FROM reps GROUP BY ALL)
 SELECT model_name, count(*) FILTER (MRR - r1 < -0.01) AS negative_rep1, count(*) FILTER (MRR - r2 < -0.01) AS negative_rep2, count(*) FILTER (MRR - r3 < -0.01) AS negative_rep3 FROM grid JOIN w USING (model_name, target_project) WHERE scenario = 'CP-transfer' GROUP BY model_name""",
-    "cross_domain_breakdown": A.rounded(f"{_D} SELECT model_name, CASE WHEN source_project IN (0, 1, 2, 3) AND target_project IN (0, 1, 2, 3) THEN 'within' ELSE 'cross' END AS domain_type, {_GAIN} FROM deltas GROUP BY ALL", "model_name domain_type n", "mean_delta median_delta win_rate"),
-    "transfer_summary": A.rounded(f"{_D} SELECT model_name, count(*) FILTER (delta > 0.01) AS positive, count(*) FILTER (delta < -0.01) AS negative, count(*) FILTER (delta BETWEEN -0.01 AND 0.01) AS neutral, min(delta) AS least, max(delta) AS most, avg(delta) AS mean, quantile_cont(delta, 0.5) AS median FROM deltas GROUP BY model_name", "model_name positive negative neutral", "least most mean median"),
-    "negative_cases": A.rounded(f"{_D} SELECT * FROM deltas WHERE delta < -0.01", "model_name source_project target_project", "first_value second_value delta"),
-    "paired_delta": A.rounded(f"{_D} SELECT * FROM deltas", "model_name source_project target_project", "first_value second_value delta"),
-    "reverse_pairs": A.rounded(
+    "cross_domain_breakdown": A.rounded_means(f"{_D} SELECT model_name, CASE WHEN source_project IN (0, 1, 2, 3) AND target_project IN (0, 1, 2, 3) THEN 'within' ELSE 'cross' END AS domain_type, {_GAIN} FROM deltas GROUP BY ALL", "model_name domain_type n", "mean_delta median_delta win_rate"),
+    "transfer_summary": A.rounded_means(f"{_D} SELECT model_name, count(*) FILTER (delta > 0.01) AS positive, count(*) FILTER (delta < -0.01) AS negative, count(*) FILTER (delta BETWEEN -0.01 AND 0.01) AS neutral, min(delta) AS least, max(delta) AS most, avg(delta) AS mean, quantile_cont(delta, 0.5) AS median FROM deltas GROUP BY model_name", "model_name positive negative neutral", "least most mean median"),
+    "negative_cases": A.rounded_means(f"{_D} SELECT * FROM deltas WHERE delta < -0.01", "model_name source_project target_project", "first_value second_value delta"),
+    "paired_delta": A.rounded_means(f"{_D} SELECT * FROM deltas", "model_name source_project target_project", "first_value second_value delta"),
+    "reverse_pairs": A.rounded_means(
         f"""WITH {A.GRID}, {A.PROJECTS}, {_REVERSE} SELECT b.*, abs(a_to_b - b_to_a) AS asymmetry, x.LoC AS loc_a, y.LoC AS loc_b,
 CASE WHEN x.LoC IS NULL OR y.LoC IS NULL THEN NULL WHEN y.LoC < x.LoC THEN a_to_b > b_to_a ELSE b_to_a > a_to_b END AS smaller_gains FROM both_ways b LEFT JOIN projects x ON x.repo_name = project_a LEFT JOIN projects y ON y.repo_name = project_b""",
         "model_name scenario project_a project_b loc_a loc_b smaller_gains",
         "a_to_b b_to_a asymmetry",
     ),
-    "asymmetry": A.rounded(f"WITH {A.GRID}, {_REVERSE} SELECT project_a, project_b, avg(abs(a_to_b - b_to_a)) AS mean_asymmetry, count(*) AS n FROM both_ways GROUP BY ALL ORDER BY mean_asymmetry DESC, project_a, project_b LIMIT 10", "project_a project_b n", "mean_asymmetry"),
-    "symmetric_lookup": A.rounded(
+    "asymmetry": A.rounded_means(f"WITH {A.GRID}, {_REVERSE} SELECT project_a, project_b, avg(abs(a_to_b - b_to_a)) AS mean_asymmetry, count(*) AS n FROM both_ways GROUP BY ALL ORDER BY mean_asymmetry DESC, project_a, project_b LIMIT 10", "project_a project_b n", "mean_asymmetry"),
+    "symmetric_lookup": A.rounded_means(
         f"""WITH {A.GRID}, {A.DELTAS}, {_GAPS}, g AS (SELECT least(project_a, project_b) AS a, greatest(project_a, project_b) AS b, avg(gap) AS gap FROM gaps GROUP BY ALL)
 SELECT d.*, gap FROM deltas d LEFT JOIN g ON a = least(source_project, target_project) AND b = greatest(source_project, target_project)""",
         "model_name source_project target_project",
@@ -327,7 +327,7 @@ FROM deltas a JOIN deltas b USING (source_project, target_project) WHERE a.model
     + " SELECT source_project, target_project, "
     + ", ".join(f"avg(MRR) FILTER (scenario = '{s}') AS \"{s}\"" for s in J.SCENARIOS)
     + ", count(DISTINCT scenario) AS n FROM grid GROUP BY ALL)",
-    "quartile_grid": A.rounded(
+    "quartile_grid": A.rounded_means(
         f"""WITH {A.GRID}, {A.PROJECTS}, r AS (SELECT MRR, CAST(s.LoC AS DOUBLE) AS x, CAST(t.n_bugs AS DOUBLE) AS y FROM grid LEFT JOIN projects s ON s.repo_name = source_project LEFT JOIN projects t ON t.repo_name = target_project),
 q AS (SELECT list_distinct([quantile_cont(x, 0.0), quantile_cont(x, 0.25), quantile_cont(x, 0.5), quantile_cont(x, 0.75), quantile_cont(x, 1.0)]) AS xs, list_distinct([quantile_cont(y, 0.0), quantile_cont(y, 0.25), quantile_cont(y, 0.5), quantile_cont(y, 0.75), quantile_cont(y, 1.0)]) AS ys FROM r),
 e AS (SELECT list_sort(xs) AS xs, list_sort(ys) AS ys FROM q)
@@ -335,10 +335,10 @@ SELECT len(list_filter(xs[2 : len(xs) - 1], lambda v: v < x)) + 1 AS x_quartile,
         "x_quartile y_quartile n",
         "mean",
     ),
-    "source_quality": A.rounded(f"WITH {A.GRID}, q AS (SELECT model_name, target_project AS p, avg(MRR) AS source_quality FROM grid WHERE scenario = 'WP-large' GROUP BY ALL) SELECT g.model_name, source_project, target_project, source_quality, MRR FROM grid g LEFT JOIN q ON q.model_name = g.model_name AND p = source_project WHERE scenario = 'CP-transfer'", "model_name source_project target_project", "source_quality MRR"),
-    "target_profile": A.rounded(f"WITH {_WIDE} SELECT target_project, avg(cp_transfer) AS mean_mrr, max(tgt_LoC) AS LoC, max(tgt_n_bugs) AS n_bugs, avg(gain) AS mean_gain, avg(CAST(win AS DOUBLE)) AS win_share FROM wide GROUP BY target_project", "target_project LoC n_bugs", "mean_mrr mean_gain win_share"),
-    "scenario_wide": A.rounded(f"WITH {_WIDE} SELECT * FROM wide", "model_name source_project target_project src_LoC src_n_bugs tgt_LoC tgt_n_bugs win beats_large", "cp_transfer wp_small wp_large cold_start gain bug_ratio"),
-    "desirability_evidence": A.rounded(
+    "source_quality": A.rounded_means(f"WITH {A.GRID}, q AS (SELECT model_name, target_project AS p, avg(MRR) AS source_quality FROM grid WHERE scenario = 'WP-large' GROUP BY ALL) SELECT g.model_name, source_project, target_project, source_quality, MRR FROM grid g LEFT JOIN q ON q.model_name = g.model_name AND p = source_project WHERE scenario = 'CP-transfer'", "model_name source_project target_project", "source_quality MRR"),
+    "target_profile": A.rounded_means(f"WITH {_WIDE} SELECT target_project, avg(cp_transfer) AS mean_mrr, max(tgt_LoC) AS LoC, max(tgt_n_bugs) AS n_bugs, avg(gain) AS mean_gain, avg(CAST(win AS DOUBLE)) AS win_share FROM wide GROUP BY target_project", "target_project LoC n_bugs", "mean_mrr mean_gain win_share"),
+    "scenario_wide": A.rounded_means(f"WITH {_WIDE} SELECT * FROM wide", "model_name source_project target_project src_LoC src_n_bugs tgt_LoC tgt_n_bugs win beats_large", "cp_transfer wp_small wp_large cold_start gain bug_ratio"),
+    "desirability_evidence": A.rounded_means(
         f"""WITH {_WIDE}, h AS (SELECT quantile_cont(CAST(tgt_n_bugs AS DOUBLE), 0.5) AS b, quantile_cont(gap, 0.5) AS g FROM wide), e AS (
 SELECT avg(CASE WHEN win THEN 1.0 ELSE 0 END)::DOUBLE AS E1_win_share, avg(CASE WHEN wp_large - cp_transfer <= 0.02 THEN 1.0 ELSE 0 END)::DOUBLE AS E2_close_to_large, avg(CASE WHEN cp_transfer >= wp_large THEN 1.0 ELSE 0 END)::DOUBLE AS E2_at_least_large,
        avg(cold_start / recall_ceiling) AS E3_cold_to_ceiling, avg(cp_transfer / recall_ceiling) AS E3_model_to_ceiling, avg(gain) FILTER (tgt_n_bugs <= b) AS E4_gain_few_bugs, avg(gain) FILTER (tgt_n_bugs > b) AS E4_gain_many_bugs,
@@ -346,55 +346,55 @@ SELECT avg(CASE WHEN win THEN 1.0 ELSE 0 END)::DOUBLE AS E1_win_share, avg(CASE
         "evidence",
         "value",
     ),
-    "median_threshold_profile": A.rounded(
+    "median_threshold_profile": A.rounded_means(
         f"""WITH {A.GRID}, {A.PROJECTS}, r AS (SELECT LoC, MRR, MAP, top_10 FROM grid LEFT JOIN projects ON repo_name = target_project WHERE scenario = 'CP-cold-start'), tall AS (UNPIVOT r ON MRR, MAP, top_10 INTO NAME metric VALUE value),
 o AS (SELECT metric, LoC, value >= CASE metric WHEN 'MRR' THEN 0.5 WHEN 'MAP' THEN 0.4 ELSE 0.51 END AS ok FROM tall)
 SELECT metric, avg(CAST(ok AS DOUBLE)) AS viable_share, max(LoC) FILTER (ok) AS largest_viable, quantile_cont(CAST(LoC AS DOUBLE), 0.5) FILTER (ok) AS median_viable, quantile_cont(CAST(LoC AS DOUBLE), 0.5) FILTER (NOT ok) AS median_other FROM o GROUP BY metric""",
         "metric largest_viable",
         "viable_share median_viable median_other",
     ),
-    "wilcoxon_w": A.rounded(
+    "wilcoxon_w": A.rounded_means(
         f"""{_D}, {_ranks_sql("")}, s AS (SELECT model_name, count(*) AS n, count(*) FILTER (delta = 0) AS n_zero, coalesce(sum(r) FILTER (delta > 0), 0) + coalesce(sum(r) FILTER (delta = 0), 0) / 2 AS w_plus,
 coalesce(sum(r) FILTER (delta < 0), 0) + coalesce(sum(r) FILTER (delta = 0), 0) / 2 AS w_minus, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY model_name)
 SELECT *, (w_plus - n * (n + 1) / 4.0::DOUBLE) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s""",
         "model_name n n_zero",
         "w_plus w_minus z",
     ),
-    "rank_biserial": A.rounded(
+    "rank_biserial": A.rounded_means(
         f"""{_D}, {_ranks_sql("WHERE delta <> 0")}, s AS (SELECT model_name, count(*) AS n, coalesce(sum(r) FILTER (delta > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (delta < 0), 0)::DOUBLE AS w_minus FROM r GROUP BY model_name)
 SELECT *, (w_plus - w_minus) / (w_plus + w_minus) AS rank_biserial FROM s""",
         "model_name n",
         "w_plus w_minus rank_biserial",
     ),
-    "cohens_dz": A.rounded(f"{_D} SELECT model_name, count(delta) AS n, avg(delta) AS mean, stddev_samp(delta) AS std, avg(delta) / stddev_samp(delta) AS dz FROM deltas GROUP BY model_name", "model_name n", "mean std dz"),
-    "avg_rank_spearman": A.rounded(f"WITH {_WIDE} {_spearman_sql('tgt_n_bugs', 'gain').format(by='model_name', rows='wide')}", "model_name n", "rho"),
-    "feature_screen": A.rounded(
+    "cohens_dz": A.rounded_means(f"{_D} SELECT model_name, count(delta) AS n, avg(delta) AS mean, stddev_samp(delta) AS std, avg(delta) / stddev_samp(delta) AS dz FROM deltas GROUP BY model_name", "model_name n", "mean std dz"),
+    "avg_rank_spearman": A.rounded_means(f"WITH {_WIDE} {_spearman_sql('tgt_n_bugs', 'gain').format(by='model_name', rows='wide')}", "model_name n", "rho"),
+    "feature_screen": A.rounded_means(
         f"""WITH {_WIDE}, f AS (SELECT gain, CAST(tgt_n_bugs AS DOUBLE) AS tgt_n_bugs, CAST(tgt_LoC AS DOUBLE) AS tgt_LoC, CAST(src_LoC AS DOUBLE) AS src_LoC, gap, bug_ratio FROM wide),
-tall AS (UNPIVOT f ON tgt_n_bugs, tgt_LoC, src_LoC, gap, bug_ratio INTO NAME feature VALUE value) SELECT * FROM ({_spearman_sql("value", "gain").format(by="feature", rows="tall")}) ORDER BY abs(rho) DESC, feature LIMIT 3""",
+tall AS (UNPIVOT f ON tgt_n_bugs, tgt_LoC, src_LoC, gap, bug_ratio INTO NAME feature VALUE value) SELECT * FROM ({_spearman_sql("value", "gain").format(by="feature", rows="tall")}) ORDER BY round(abs(rho), 9) DESC, feature LIMIT 3""",
         "feature n",
         "rho",
     ),
-    "kendall_tau": A.rounded(
+    "kendall_tau": A.rounded_means(
         f"""WITH {_WIDE}, p AS (SELECT a.model_name, a.target_project, a.source_project, sign(a.src_LoC - b.src_LoC) AS x, sign(a.cp_transfer - b.cp_transfer) AS y FROM wide a JOIN wide b ON a.model_name = b.model_name AND a.target_project = b.target_project AND a.source_project < b.source_project
 WHERE a.src_LoC IS NOT NULL AND b.src_LoC IS NOT NULL)
 SELECT model_name, target_project, count(DISTINCT source_project) + 1 AS n, sum(x * y) / nullif(sqrt(CAST(sum(abs(x)) AS DOUBLE) * CAST(sum(abs(y)) AS DOUBLE)), 0) AS tau FROM p GROUP BY ALL""",
         "model_name target_project n",
         "tau",
     ),
-    "ols_line": A.rounded(f"WITH {_WIDE} SELECT model_name, count(*) AS n, regr_slope(gain, gap) AS slope, regr_intercept(gain, gap) AS intercept, corr(gap, gain) AS r FROM wide WHERE gain IS NOT NULL GROUP BY model_name", "model_name n", "slope intercept r"),
-    "minmax_composite": A.rounded(
+    "ols_line": A.rounded_means(f"WITH {_WIDE} SELECT model_name, count(*) AS n, regr_slope(gain, gap) AS slope, regr_intercept(gain, gap) AS intercept, corr(gap, gain) AS r FROM wide WHERE gain IS NOT NULL GROUP BY model_name", "model_name n", "slope intercept r"),
+    "minmax_composite": A.rounded_means(
         f"""WITH {A.PROJECTS}, b AS (SELECT min(LoC) AS l0, max(LoC) AS l1, min(n_bugs) AS b0, max(n_bugs) AS b1 FROM projects), s AS (SELECT repo_name, coalesce((LoC - l0) / nullif(CAST(l1 - l0 AS DOUBLE), 0), 0) AS LoC, coalesce((n_bugs - b0) / nullif(CAST(b1 - b0 AS DOUBLE), 0), 0) AS n_bugs FROM projects, b)
 SELECT *, 0.5::DOUBLE * n_bugs + 0.25::DOUBLE * LoC AS composite FROM s""",
         "repo_name",
         "LoC n_bugs composite",
     ),
-    "model_agreement": A.rounded(
+    "model_agreement": A.rounded_means(
         f"""{_D}, p AS (SELECT a.model_name AS model_a, b.model_name AS model_b, a.delta AS x, b.delta AS y FROM deltas a JOIN deltas b USING (source_project, target_project) WHERE a.model_name < b.model_name),
 g AS (SELECT model_a, model_b, avg(CASE WHEN {_DIR.format(x="x")} = {_DIR.format(x="y")} THEN 1.0 ELSE 0 END) AS agreement FROM p GROUP BY ALL) SELECT * FROM g JOIN ({_spearman_sql("x", "y").format(by="model_a, model_b", rows="p")}) USING (model_a, model_b)""",
         "model_a model_b n",
         "agreement rho",
     ),
-    "icc": A.rounded(
+    "icc": A.rounded_means(
         f"""{_D}, g AS (SELECT model_name, target_project, CAST(count(delta) AS DOUBLE) AS n, sum(delta) AS s, sum(delta * delta) AS q FROM deltas GROUP BY ALL),
 t AS (SELECT model_name, count(*) AS k, sum(n) AS nn, sum(n * n) AS n2, sum(s) AS s, sum(s * s / n) AS ss, sum(q) AS q FROM g GROUP BY model_name),
 v AS (SELECT model_name, k AS n_groups, CAST(nn AS BIGINT) AS n, s / nn AS mean, (q - ss) / (nn - k) AS var_within, greatest(((ss - s * s / nn) / (k - 1) - (q - ss) / (nn - k)) / ((nn - n2 / nn) / (k - 1)), 0) AS var_between FROM t)
@@ -403,10 +403,10 @@ SELECT *, var_between / (var_between + var_within) AS icc FROM v""",
         "mean var_within var_between icc",
     ),
     "best_source": f"WITH {A.GRID} SELECT model_name, target_project, source_project AS best_source_project, MRR AS best_MRR FROM (SELECT *, row_number() OVER (PARTITION BY model_name, target_project ORDER BY MRR DESC, source_project) AS r FROM grid WHERE scenario = 'CP-transfer' AND MRR IS NOT NULL) WHERE r = 1",
-    "extreme_pairs": A.rounded(
+    "extreme_pairs": A.rounded_means(
         f"""{_D} SELECT * FROM (SELECT *, 'largest' AS "end" FROM deltas ORDER BY delta DESC, model_name, source_project, target_project LIMIT 5) UNION ALL SELECT * FROM (SELECT *, 'smallest' AS "end" FROM deltas ORDER BY delta, model_name, source_project, target_project LIMIT 5)""",
         'model_name source_project target_project "end"',
         "first_value second_value delta",
     ),
-    "shared_pairs": A.rounded(f"{_D} SELECT model_name, source_project, target_project, delta FROM deltas d WHERE (source_project, target_project) IN (SELECT (source_project, target_project) FROM deltas WHERE model_name = 'A' AND delta > 0) AND (model_name <> 'A' OR delta > 0)", "model_name source_project target_project", "delta"),
+    "shared_pairs": A.rounded_means(f"{_D} SELECT model_name, source_project, target_project, delta FROM deltas d WHERE (source_project, target_project) IN (SELECT (source_project, target_project) FROM deltas WHERE model_name = 'A' AND delta > 0) AND (model_name <> 'A' OR delta > 0)", "model_name source_project target_project", "delta"),
 }

@@ -12,11 +12,13 @@ from rlab.operators import metrics as M
 from rlab.operators import profile as P
 from rlab.operators import rank as K
 from rlab.operators import retrieve as R
-from rlab.operators import samples as S
 from rlab.operators.stats import round_columns
 from rlab.plans import adapters as A
+from rlab.sources.io import stored
 
-TOP, POOL, KS = 100, 30, [10, 30, 50, 100]
+TOP, POOL, KS = R.RECALL_KS[-1], 300, R.RECALL_KS
+#: Vectors of one project that are compared with those of another.
+SAMPLE = 1000
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = TOP, **how) -> DataFrame:
@@ -59,11 +61,16 @@ FROM (SELECT DISTINCT query_id FROM truth) LEFT JOIN
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int = TOP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ranking, relevance and queries; items of the query's label are relevant. Labels are compared on the ranked rows, and a
+    query that has other items of its label stands once more without an item."""
     vectors = A.vectors(spark, sf_dir)
     asked = vectors.where(F.col("item_id") % A.QUERY_EVERY == 0).select(F.col("item_id").alias("query_id"), "vec", "label")
-    ranked = R.cosine_topk(asked, vectors, k, exclude_self=True)
-    same = asked.select("query_id", "label").join(vectors.select("item_id", "label"), "label").where("query_id <> item_id").select("query_id", "item_id")
-    return ranked, same, asked
+    ranked = stored(R.cosine_topk(asked, vectors, k, exclude_self=True), "ranked")
+    labels = vectors.select("item_id", F.col("label").alias("_item_label"))
+    hits = ranked.select("query_id", "item_id").join(asked.select("query_id", "label"), "query_id").join(labels, "item_id").where("label = _item_label").select("query_id", "item_id")
+    shared = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    known = asked.select("query_id", "label").join(shared, "label").select("query_id", F.lit(None).cast("long").alias("item_id"))
+    return ranked, hits.union(known), asked
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +90,9 @@ truth AS (SELECT query_id, vec_id AS item_id FROM queries q JOIN embeddings e ON
 
 
 def _two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A baseline, and as the model the same scorer with other constants."""
-    return _bm25(spark, sf_dir), _bm25(spark, sf_dir, k1=0.9, b=0.4)
+    """A baseline, and as the model the same scorer with other constants, over the same postings."""
+    posted = R.postings(A.corpus(spark, sf_dir))
+    return _bm25(spark, sf_dir, posted=posted), _bm25(spark, sf_dir, k1=0.9, b=0.4, posted=posted)
 
 
 _TWO = f"{A.TOKENS}, {A.TRUTH}, {A.bm25_sql('base', TOP)}, {A.bm25_sql('model', TOP, 0.9, 0.4)}"
@@ -112,7 +120,7 @@ def recall_compare_dense_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pair_similarity(A.vectors(spark, sf_dir), "label", "item_id", limit=100)
+    return R.pair_similarity(A.vectors(spark, sf_dir), "label", "item_id", limit=SAMPLE)
 
 
 def domain_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +137,7 @@ def chunk_max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.explode(line_chunks(F.col("text"), 10)).alias("text"))
     asked = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     enc = V.HashEncoder()
-    return K.topk_per_query(R.chunk_max_sim(V.encode(asked, "text", enc), V.encode(chunks, "text", enc)), 20)
+    return round_columns(R.chunk_max_sim(V.encode(asked, "text", enc), V.encode(chunks, "text", enc), 20))
 
 
 def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,32 +151,6 @@ def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.function_features(asked, functions, pairs)
 
 
-def adaptive_ltr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learned weightings on the rank features, one training set for each language of the documents."""
-    features = rank_features(spark, sf_dir)
-    labels = _truth(spark, sf_dir).withColumn("label", F.lit(1))
-    langs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "lang")
-    rows = features.join(labels, ["query_id", "item_id"], "left").withColumn("label", F.coalesce("label", F.lit(0))).join(langs, "item_id")
-    return S.adaptive_ltr(rows, "lang")
-
-
-def function_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("python").alias("language"))
-    return S.function_table(docs).groupBy("id").agg(F.count(F.lit(1)).alias("n_functions"), F.sum(F.length("text")).alias("n_chars"))
-
-
-def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return S.chunk_table(docs).groupBy("id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
-
-
-def ast_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node types of all documents' trees; prose does not parse, and gives one empty node each."""
-    nodes, edges = S.ast_tables(A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    n_edges = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n_edges"))
-    return nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n_nodes"), F.min("type").alias("first_type")).join(n_edges, "id", "left").fillna(0, ["n_edges"])
-
-
 def ground_truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base names of every page as ground truth in its host's snapshot."""
     files = A.paths(spark, sf_dir).where("path <> ''")
@@ -199,7 +181,7 @@ def ext_recall_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_columns(R.ext_recall(ranked, [], [1, 5, 10]))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_recall_at_k, bm25_ranking_metrics, cosine_topk, cosine_recall_at_k, cosine_metrics, pool_restricted_metrics, rank_displacement, ceiling_split, recall_compare_dense_lexical, pair_similarity, domain_gap, encode_pool, chunk_max_sim, rank_features, adaptive_ltr, function_table, chunk_table, ast_tables, ground_truth_match, ground_truth_audit, ext_recall_pivot)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_recall_at_k, bm25_ranking_metrics, cosine_topk, cosine_recall_at_k, cosine_metrics, pool_restricted_metrics, rank_displacement, ceiling_split, recall_compare_dense_lexical, pair_similarity, domain_gap, encode_pool, chunk_max_sim, rank_features, ground_truth_match, ground_truth_audit, ext_recall_pivot)}
 
 _METRIC_COLUMNS = ("n_queries n_with_gt", "top_1 top_5 top_10 mrr map")
 
@@ -237,9 +219,9 @@ SELECT k, one.recall AS recall_1, two.recall AS recall_2, one.recall - two.recal
         "recall_1 recall_2 delta",
     ),
     "pair_similarity": A.rounded(
-        """WITH s AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings),
-n AS (SELECT label, count(*) AS n FROM s WHERE r <= 100 GROUP BY label),
-c AS (SELECT a.label AS project_a, b.label AS project_b, list_cosine_similarity(a.v, b.v) AS c FROM s a JOIN s b ON a.label < b.label WHERE a.r <= 100 AND b.r <= 100)
+        f"""WITH s AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || CAST(vec_id AS VARCHAR)), vec_id) AS r FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM s WHERE r <= {SAMPLE} GROUP BY label),
+c AS (SELECT a.label AS project_a, b.label AS project_b, list_cosine_similarity(a.v, b.v) AS c FROM s a JOIN s b ON a.label < b.label WHERE a.r <= {SAMPLE} AND b.r <= {SAMPLE})
 SELECT project_a, project_b, x.n AS n_a, y.n AS n_b, mean, std, median FROM (SELECT project_a, project_b, avg(c) AS mean, stddev_pop(c) AS std, quantile_cont(c, 0.5) AS median FROM c GROUP BY ALL)
 JOIN n x ON x.label = project_a JOIN n y ON y.label = project_b""",
         "project_a project_b n_a n_b",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -119,14 +120,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``; where it is unset, as on one machine,
-    in a temporary one)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rlab-")
+    """A new path in the folder that all executors share, ``spark.checkpoint.dir``. Where that is unset, a temporary one on a
+    local master, which is one machine; on a cluster that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="rlab-")
     return f"{at.rstrip('/')}/rlab-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once as Parquet in the shared folder and read from there."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_new(df: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Appends the rows whose key is not stored yet, one for each key; returns them. Idempotent; for one writer."""
+    """Appends the rows whose key is not stored yet, one for each key; returns them. Idempotent. Writers that run at the same
+    time may each store a key; ``read_appended`` gives one row for each key whatever they did."""
     spark = df.sparkSession
     new = df.dropDuplicates(key)
     if exists(spark, path):
@@ -135,6 +148,26 @@ def append_new(df: DataFrame, path: str, key: list[str]) -> DataFrame:
     return new
 
 
+def read_appended(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """What ``append_new`` stored, one row for each key: of several the least by all columns, so every reader sees the same."""
+    rows = spark.read.parquet(path)
+    order = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(order).alias("_row")).select("_row.*")
+
+
+def one_file(df: DataFrame, path: str, fmt: str, **options) -> None:
+    """Writes a small table as one file of that very name, as tools that go by file names want it."""
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    df.coalesce(1).write.format(fmt).options(**options).save(parts)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = next(f.getPath() for f in files.listStatus(path_of(parts)) if f.getPath().getName().startswith("part-"))
+    if not files.rename(written, path_of(path)):
+        raise OSError(f"cannot name the file {path}")
+    files.delete(path_of(parts), True)
+
+
 def patch_column(df: DataFrame, summary: DataFrame, keys: list[str], columns: list[str], where: Column) -> tuple[DataFrame, DataFrame]:
     """``df`` with ``columns`` taken from ``summary`` in the rows that match ``where``, and the number of such rows without
     a summary. Applying it twice changes nothing more."""

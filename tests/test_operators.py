@@ -91,7 +91,7 @@ def test_bm25_inside_snapshots_and_negative_idf(spark):
     assert got[0].score == pytest.approx(0.25 * mean)
 
 
-def test_cosine_topk_both_ways(spark):
+def test_cosine_topk_both_ways(spark, monkeypatch):
     vectors = spark.createDataFrame([(k, [float(k % 5), 1.0, float(k % 3)], k % 2) for k in range(60)], "item_id int, vec array<float>, snap int").repartition(4)
     asked = vectors.where("item_id < 6").select(F.col("item_id").alias("query_id"), "vec", "snap")
     got = {(r.query_id, r["rank"]): r.item_id for r in R.cosine_topk(asked, vectors, 7).collect()}
@@ -102,14 +102,62 @@ def test_cosine_topk_both_ways(spark):
         if q < 6:
             want = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 9), i) for i, w in data)[:7]
             assert [got[q, k] for k in range(1, 8)] == [i for _, i in want]
-    inside = R.cosine_topk_by(asked, vectors, "snap", 3, salts=4).collect()
-    assert all(r.query_id % 2 == r.item_id % 2 for r in inside) and len(inside) == 18
+    for sizes in ({}, {"part_rows": 7, "query_rows": 2}):
+        inside = {(r.query_id, r["rank"]): r.item_id for r in R.cosine_topk_by(asked, vectors, "snap", 3, **sizes).collect()}
+        for q, v in data:
+            if q < 6:
+                want = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 9), i) for i, w in data if i % 2 == q % 2)[:3]
+                assert [inside[q, k] for k in range(1, 4)] == [i for _, i in want]
+    monkeypatch.setattr(R, "BLOCK_BYTES", 50)
+    assert {(r.query_id, r["rank"]): r.item_id for r in R.cosine_topk(asked, vectors, 7).collect()} == got
+    own = R.cosine_topk(asked, vectors, 7, exclude_self=True).collect()
+    assert len(own) == 42 and all(r.query_id != r.item_id for r in own)
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    texts = ["x the quick brown fox y", "the quick brown fox", "prethe quick brown foxpost", "the quick  brown fox", "quick", "a\tb\nc d", None, "", "the slow brown fox", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1, texts[1])], "item_id int, text string").repartition(3)
+    asked = ["the quick brown fox", "quick", "uick brow", " quick ", "a\tb\nc", "b", "", None, "  ", "brown fox", "e quick brown f", "nothing of this kind"]
+    got = {(r.query_id, r.item_id) for r in R.containing(spark.createDataFrame(list(enumerate(asked)), "query_id int, text string"), docs).collect()}
+    assert got == {(q, i) for q, p in enumerate(asked) for i, t in enumerate(texts) if p and t and p in t}
+
+
+def test_best_chunks_in_small_batches(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    data = [(rng.randrange(30), [rng.uniform(-1, 1) for _ in range(4)]) for _ in range(300)]
+    chunks = spark.createDataFrame(data, "item_id int, vec array<double>").repartition(8)
+    asked = [(k, [rng.uniform(-1, 1) for _ in range(4)]) for k in range(5)]
+    cos = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in R.chunk_max_sim(spark.createDataFrame(asked, "query_id int, vec array<double>"), chunks, 4).collect()}
+    for q, v in asked:
+        best = {}
+        for i, w in data:
+            best[i] = max(best.get(i, -2.0), cos(v, w))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4]
+        assert [got[q, k][0] for k in range(1, 5)] == [i for i, _ in want]
+
+
+def test_gap_and_similarity_of_projects(spark):
+    import random
+
+    rng = random.Random(5)
+    rows_ = [(k, k % 3, [rng.gauss(3.0 if k % 3 == 2 else 0.0, 1.0), rng.gauss(0, 1)]) for k in range(600)]
+    vectors = spark.createDataFrame(rows_, "id int, project int, vec array<double>")
+    gaps = {(r.project_a, r.project_b): r for r in R.domain_gap(vectors, "project", "id", limit=100).collect()}
+    assert set(gaps) == {(0, 1), (0, 2), (1, 2)} and all((r.n_a, r.n_b) == (200, 200) for r in gaps.values())
+    assert gaps[0, 2].domain_gap_accuracy > 0.85 and gaps[1, 2].domain_gap_accuracy > 0.85 and gaps[0, 1].domain_gap_accuracy < 0.7
+    pairs = {(r.project_a, r.project_b): (r.n_a, r.n_b) for r in R.pair_similarity(vectors, "project", "id", limit=50).collect()}
+    assert pairs == {k: (50, 50) for k in gaps}
 
 
 def test_retrieval_pieces(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vec array<double>")
     chunks = spark.createDataFrame([(5, [0.0, 1.0]), (5, [1.0, 1.0]), (6, [0.0, 0.0])], "item_id int, vec array<double>")
-    assert {r.item_id: round(r.score, 6) for r in R.chunk_max_sim(q, chunks).collect()} == {5: 0.707107, 6: 0.0}
+    assert {r.item_id: round(r.score, 6) for r in R.chunk_max_sim(q, chunks, 2).collect()} == {5: 0.707107, 6: 0.0}
     reports = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 1.0])], "query_id int, summary_vec array<double>, description_vec array<double>")
     functions = spark.createDataFrame([(5, 0, [1.0, 0.0]), (5, 1, [0.0, 1.0]), (5, 99, [9.0, 9.0])], "item_id int, fn_no int, vec array<double>")
     got = {r.item_id: [round(x, 4) for x in (r.f1, r.f2, r.f3, r.f4)] for r in R.function_features(reports, functions, spark.createDataFrame([(1, 5), (1, 6)], "query_id int, item_id int")).collect()}
@@ -184,12 +232,6 @@ def test_training_tables(spark):
     functions = spark.createDataFrame([(k, f) for k in range(30) for f in range(8)], "item_id int, fn_no int")
     pairs = S.finetune_pairs(pos, neg, functions).collect()
     assert sum(r.label for r in pairs) == 15 and len({r.item_id for r in pairs if not r.label and r.query_id == 1}) == 15
-    blobs = spark.createDataFrame([(1, "class A:\n  def f(self):\n    return 1\n", "python"), (2, "public class B { void g(int x) { int y = x + 12345; } }", "java"), (3, "not ( code", "python"), (4, None, "go")], "id int, text string, language string")
-    got = {(r.id, r.fn_no): r.text for r in S.function_table(blobs).collect()}
-    assert got[1, 0].startswith("  def f") and "int y" in got[2, 0] and got[3, 0] == "not ( code" and got[4, 0] == ""
-    assert S.cheapest_cuts(["x", "def f():", "  y", "class A:", "  z"], 4) == [0, 3]
-    nodes, edges = S.ast_tables(blobs, 4)
-    assert nodes.where("id = 1").count() == 4 and edges.where("id = 1").count() == 3 and nodes.where("id = 3").first().type == "empty"
     tree = S.dir_tree(spark.createDataFrame([("c", "a/b/x.py"), ("c", "a/y.py")], "commit_sha string, path string"))
     assert rows(tree, "path", "parent", "is_leaf") == [("a", "", False), ("a/b", "a", False), ("a/b/x.py", "a/b", True), ("a/y.py", "a", True)]
     assert rows(S.children(tree), "path", "children") == [("", ["a"]), ("a", ["a/b", "a/y.py"]), ("a/b", ["a/b/x.py"])]
@@ -261,13 +303,3 @@ def test_quartiles_and_terciles(spark):
     assert [r.tercile for r in P.terciles(df, "v", ["grp"]).orderBy("v").collect()] == ["small"] * 3 + ["medium"] * 3 + ["high"] * 3
     zeros = spark.createDataFrame([("g", 0.0), ("g", 2.0), ("g", 4.0)], "grp string, v double")
     assert rows(P.impute_zero_with_group_median(zeros, "v", ["grp"]), "v") == [(2.0,), (2.0,), (4.0,)]
-
-
-def test_ltr_prefers_the_informative_feature(spark):
-    import random
-
-    rng = random.Random(3)
-    data = [("g", q, i, int(i == 0), 1.0 if i == 0 else rng.random() * 0.9, rng.random(), rng.random(), 0.0) for q in range(20) for i in range(8)]
-    df = spark.createDataFrame(data, "grp string, query_id int, item_id int, label int, f1 double, f2 double, f3 double, f4 double")
-    r = S.adaptive_ltr(df, "grp").first()
-    assert r.map_weighting > 0.7 and r.map_regressor > 0.7
