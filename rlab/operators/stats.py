@@ -167,7 +167,7 @@ def rank_sources(rows: DataFrame, by: list[str], outcome: str, bugs: str, loc: s
     names = ["most_bugs", "most_loc", "small_gap", "composite"]
     best = lambda c: F.max_by(F.struct(outcome, "source_project"), F.struct(F.coalesce(c, F.lit(-1.0)), "_tie"))
     keyed = scored.where(F.col(outcome).isNotNull()).withColumn("_tie", -F.dense_rank().over(Window.partitionBy(*by).orderBy("source_project")))
-    out = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sources"), best(F.col(outcome)).alias("_o"), F.avg(outcome).alias("random"), *[best(F.col(h)).alias(f"_{h}_pick") for h in names])
+    out = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sources"), best(F.col(outcome)).alias("_o"), mean(F.col(outcome)).alias("random"), *[best(F.col(h)).alias(f"_{h}_pick") for h in names])
     out = out.where(F.col("n_sources") >= least).withColumn("oracle", F.col(f"_o.{outcome}"))
     for h in names:
         pick = F.col(f"_{h}_pick")
@@ -179,7 +179,7 @@ def rank_sources(rows: DataFrame, by: list[str], outcome: str, bugs: str, loc: s
 def source_ranking_means(ranked: DataFrame) -> DataFrame:
     """Overall means of ``rank_sources``."""
     names = ["most_bugs", "most_loc", "small_gap", "composite"]
-    return ranked.agg(F.count(F.lit(1)).alias("targets"), F.avg("oracle").alias("oracle"), F.avg("random").alias("random"), *[F.avg(F.col(f"{h}_{k}").cast("double")).alias(f"{h}_{k}") for h in names for k in ("score", "hit", "of_oracle", "tau")])
+    return ranked.agg(F.count(F.lit(1)).alias("targets"), mean(F.col("oracle")).alias("oracle"), mean(F.col("random")).alias("random"), *[mean(F.col(f"{h}_{k}").cast("double")).alias(f"{h}_{k}") for h in names for k in ("score", "hit", "of_oracle", "tau")])
 
 
 def model_pairs(deltas: DataFrame) -> DataFrame:
@@ -217,8 +217,8 @@ def random_intercept(deltas: DataFrame, group: str, by: list[str]) -> DataFrame:
 
 def target_level_test(deltas: DataFrame, by: list[str]) -> DataFrame:
     """The signed-rank test on the mean delta of each target, with the number of positive targets."""
-    means = deltas.groupBy(*by, "target_project").agg(F.avg("delta").alias("delta"))
-    positive = means.groupBy(*by).agg(F.count(F.when(F.col("delta") > 0, 1)).alias("n_positive"), F.avg("delta").alias("mean"))
+    means = deltas.groupBy(*by, "target_project").agg(mean(F.col("delta")).alias("delta"))
+    positive = means.groupBy(*by).agg(F.count(F.when(F.col("delta") > 0, 1)).alias("n_positive"), mean(F.col("delta")).alias("mean"))
     return wilcoxon(means, by, "two-sided", "wilcox").join(positive, by)
 
 

@@ -334,6 +334,14 @@ UNION ALL SELECT doc_id, 0, md5(substring(coalesce(text, ''), 1, 2000)) FROM l W
 v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM usual), b AS (SELECT item_id AS query_id, md5(text) AS commit_sha, regexp_extract_all(lower(text), '[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+')[1:256] AS t FROM benchmark),
 p AS (SELECT query_id, unnest(t) AS token, unnest(range(1, len(t) + 1)) AS k FROM b), c AS (SELECT query_id, list(CAST(coalesce(id, 1) AS VARCHAR) ORDER BY k) AS ids FROM p LEFT JOIN v USING (token) GROUP BY query_id)
 SELECT query_id, array_to_string(list_concat(coalesce(ids, []), list_transform(range(256), lambda x: '0'))[1:256], ' ') AS ids, CAST(greatest(len(t), 1) AS BIGINT) AS length, commit_sha FROM b LEFT JOIN c USING (query_id)""",
+    "word_vector_pool": A.rounded(
+        """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+')) AS word FROM documents), t AS (SELECT item_id, unnest(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+')) AS token FROM benchmark),
+u AS (SELECT DISTINCT token FROM t WHERE token NOT IN (SELECT word FROM w)), p AS (SELECT token, avg(CAST(length(word) AS DOUBLE)) AS x, avg(CAST(length(word) % 3 AS DOUBLE)) AS y FROM (SELECT token, lower(unnest(regexp_extract_all(token, '[A-Z][a-z]*|[a-z]+'))) AS word FROM u) JOIN w USING (word) GROUP BY token)
+SELECT item_id, avg(CASE WHEN word IS NOT NULL THEN CAST(length(token) AS DOUBLE) ELSE coalesce(x, 0) END) AS x, avg(CASE WHEN word IS NOT NULL THEN CAST(length(token) % 3 AS DOUBLE) ELSE coalesce(y, 0) END) AS y
+FROM t LEFT JOIN w ON word = token LEFT JOIN p USING (token) GROUP BY item_id""",
+        "item_id",
+        "x y",
+    ),
     "vec_mean": A.rounded("SELECT label, place, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL", "label place", "x"),
     "similarity_matrix": A.rounded(
         """WITH m AS (SELECT label, place, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL), v AS (SELECT label AS id, list(x ORDER BY place) AS v FROM m GROUP BY label)

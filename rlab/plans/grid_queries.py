@@ -266,6 +266,75 @@ def _spearman_sql(x: str, y: str) -> str:
     return f"SELECT {{by}}, count(*) AS n, corr(rx, ry) AS rho FROM (SELECT {{by}}, {rank(x)} AS rx, {rank(y)} AS ry FROM {{rows}} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY ALL"
 
 
+def _tail(z: str) -> str:
+    """P(Z > z) of the normal law: its power series around 0."""
+    series = f"list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5::DOUBLE) + 0.5::DOUBLE * ln(pi()))))"
+    return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} = 0 THEN 0.5::DOUBLE ELSE 0.5::DOUBLE - sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {series} END)"
+
+
+_P = {"greater": _tail("z"), "less": _tail("(-z)"), "two-sided": f"least(1.0::DOUBLE, 2 * {_tail('abs(z)')})"}
+_STARS = "CASE WHEN p IS NULL THEN NULL WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END"
+
+
+def _signed_rank_sql(name: str, rows: str, alternative: str, zeros: bool) -> str:
+    """CTEs that end in ``name``: the signed-rank test of ``delta`` in the CTE ``rows``, by model."""
+    part = lambda sign: f"coalesce(sum(r) FILTER (delta {sign} 0), 0) + coalesce(sum(r) FILTER (delta = 0), 0) / 2"
+    return f"""{name}_a AS (SELECT *, round(abs(delta), 12) AS m FROM {rows} WHERE delta IS NOT NULL{"" if zeros else " AND delta <> 0"}),
+{name}_r AS (SELECT *, rank() OVER (PARTITION BY model_name ORDER BY m) + (count(*) OVER (PARTITION BY model_name, m) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY model_name, m) AS t FROM {name}_a),
+{name}_s AS (SELECT model_name, count(*) AS n, count(*) FILTER (delta = 0) AS n_zero, {part(">")} AS w_plus, {part("<")} AS w_minus, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM {name}_r GROUP BY model_name),
+{name}_z AS (SELECT *, (w_plus - n * (n + 1) / 4.0::DOUBLE) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM {name}_s),
+{name} AS (SELECT *, CASE WHEN n >= 5 THEN {_P[alternative]} END AS p FROM {name}_z)"""
+
+
+def _paired_sql(name: str, first: str, second: str, metric: str = "MRR") -> str:
+    value = lambda s: f"max({metric}) FILTER (scenario = '{s}')"
+    return f"{name} AS (SELECT model_name, source_project, target_project, {value(first)} - {value(second)} AS delta FROM grid GROUP BY ALL HAVING delta IS NOT NULL)"
+
+
+def _tests_sql() -> str:
+    ctes = [f"{_paired_sql(f'd{k}', a, b)}, {_signed_rank_sql(f't{k}', f'd{k}', 'greater', True)}" for k, (a, b) in enumerate(TESTS)]
+    rows = [f"SELECT model_name, n, n_zero, w_plus, w_minus, z, p, 'normal' AS method, '{a} vs {b}' AS comparison, {_STARS} AS stars FROM t{k}" for k, (a, b) in enumerate(TESTS)]
+    return f"WITH {A.GRID}, {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+def _effects_sql() -> str:
+    ctes, rows = [], []
+    for k, (a, b) in enumerate(TESTS):
+        for m in ("MRR", "MAP"):
+            ctes.append(f"{_paired_sql(f'd{k}{m}', a, b, m)}, {_signed_rank_sql(f't{k}{m}', f'd{k}{m}', 'two-sided', True)}, e{k}{m} AS (SELECT model_name, avg(delta) / stddev_samp(delta) AS dz FROM d{k}{m} GROUP BY model_name)")
+        cell = lambda m: f"(SELECT format('{{:.2f}}', dz) || ' ' || {_STARS} FROM e{k}{m} JOIN t{k}{m} USING (model_name) WHERE model_name = x.model_name) AS {m}"  # noqa: B023, E731
+        rows.append(f"SELECT model_name, '{a} vs {b}' AS comparison, {cell('MRR')}, {cell('MAP')} FROM (SELECT DISTINCT model_name FROM d{k}MRR) x")
+    return A.exact_means(f"WITH {A.GRID}, {', '.join(ctes)} {' UNION ALL '.join(rows)}")
+
+
+def _reps_sql() -> str:
+    ctes, rows = [f"transfer AS (SELECT * FROM grid WHERE scenario = 'CP-transfer')"], []
+    for r in (1, 2, 3):
+        ctes.append(f"d{r} AS (SELECT t.model_name, t.MRR - r.MRR AS delta FROM transfer t JOIN (SELECT DISTINCT model_name, target_project FROM reps) USING (model_name, target_project) LEFT JOIN (SELECT * FROM reps WHERE rep = {r}) r USING (model_name, target_project)), {_signed_rank_sql(f't{r}', f'd{r}', 'two-sided', False)}")
+        rows.append(f"SELECT t.model_name, t.n, t.n_zero, w_plus, w_minus, z, p, 'normal' AS method, (w_plus - w_minus) / (w_plus + w_minus) AS rank_biserial, pct_wins, {r} AS rep FROM t{r} t JOIN (SELECT model_name, 100 * avg(CASE WHEN delta > 0 THEN 1.0::DOUBLE ELSE 0 END) AS pct_wins FROM d{r} GROUP BY model_name) USING (model_name)")
+    return f"WITH {A.GRID}, {A.REPS}, {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+HEURISTICS = ["most_bugs", "most_loc", "small_gap", "composite"]
+
+
+def _ranked_sources_sql() -> str:
+    """CTEs that end in ``ranked``: what ``rank_sources`` gives by model and target."""
+    scaled = lambda c: f"coalesce((CAST({c} AS DOUBLE) - min(CAST({c} AS DOUBLE)) OVER ()) / nullif(max(CAST({c} AS DOUBLE)) OVER () - min(CAST({c} AS DOUBLE)) OVER (), 0), 0)"
+    best = lambda c, of: f"arg_max({of}, (coalesce({c}, -1), -source_project))"
+    picks = ", ".join(f"{best(h, 'o')} AS {h}_score, {best(h, 'source_project')} AS {h}_pick" for h in HEURISTICS)
+    taus = [
+        f"{h}_t AS (SELECT a.model_name, a.target_project, sum(sign(a.{h} - b.{h}) * sign(a.o - b.o)) / nullif(sqrt(CAST(sum(abs(sign(a.{h} - b.{h}))) AS DOUBLE) * CAST(sum(abs(sign(a.o - b.o))) AS DOUBLE)), 0) AS {h}_tau FROM keyed a JOIN keyed b ON a.model_name = b.model_name AND a.target_project = b.target_project AND a.source_project < b.source_project WHERE a.{h} IS NOT NULL AND b.{h} IS NOT NULL GROUP BY ALL)"
+        for h in HEURISTICS
+    ]
+    hits = ", ".join(f"{h}_score, {h}_pick = oracle_pick AS {h}_hit, {h}_score / nullif(oracle, 0) AS {h}_of_oracle, {h}_tau" for h in HEURISTICS)
+    joins = " ".join(f"LEFT JOIN {h}_t USING (model_name, target_project)" for h in HEURISTICS)
+    return f"""{_WIDE}, scaled AS (SELECT model_name, target_project, source_project, cp_transfer AS o, {scaled("src_n_bugs")} AS most_bugs, {scaled("src_LoC")} AS most_loc, 1 - {scaled("gap")} AS small_gap FROM wide),
+keyed AS (SELECT *, 0.5::DOUBLE * most_bugs + 0.25::DOUBLE * most_loc + 0.25::DOUBLE * small_gap AS composite FROM scaled WHERE o IS NOT NULL),
+picked AS (SELECT model_name, target_project, count(*) AS n_sources, {best("o", "o")} AS oracle, {best("o", "source_project")} AS oracle_pick, avg(o) AS random, {picks} FROM keyed GROUP BY ALL HAVING count(*) >= 3),
+{", ".join(taus)}, ranked AS (SELECT model_name, target_project, n_sources, oracle, random, {hits} FROM picked {joins})"""
+
+
 ORACLES = {
     "scenario_means": A.rounded_means(
         f"""WITH {A.GRID}, tall AS (UNPIVOT grid ON MRR, MAP, top_10 INTO NAME metric VALUE value),
@@ -353,6 +422,31 @@ SELECT metric, avg(CAST(ok AS DOUBLE)) AS viable_share, max(LoC) FILTER (ok) AS
         "metric largest_viable",
         "viable_share median_viable median_other",
     ),
+    "wilcoxon_tests": A.rounded(_tests_sql(), "model_name n n_zero method comparison stars", "w_plus w_minus z p"),
+    "rank_sources": A.rounded_means(
+        f"WITH {_ranked_sources_sql()} SELECT * FROM ranked",
+        "model_name target_project n_sources most_bugs_hit small_gap_hit composite_hit",
+        "oracle random most_bugs_score most_bugs_tau small_gap_score small_gap_tau composite_score composite_tau",
+    ),
+    "source_ranking_means": A.rounded_means(
+        f"WITH {_ranked_sources_sql()} SELECT count(*) AS targets, avg(oracle) AS oracle, avg(random) AS random, " + ", ".join(f"avg(CAST({h}_{k} AS DOUBLE)) AS {h}_{k}" for h in HEURISTICS for k in ("score", "hit", "of_oracle", "tau")) + " FROM ranked",
+        "targets",
+        "oracle random " + " ".join(f"{h}_{k}" for h in HEURISTICS for k in ("score", "hit", "of_oracle", "tau")),
+    ),
+    "equivalence": A.rounded(
+        f"""{_D}, low_d AS (SELECT model_name, delta + 0.05::DOUBLE AS delta FROM deltas), high_d AS (SELECT model_name, delta - 0.05::DOUBLE AS delta FROM deltas), {_signed_rank_sql("low", "low_d", "greater", False)}, {_signed_rank_sql("high", "high_d", "less", False)}
+SELECT model_name, low.n AS n, low.p AS p_low, high.p AS p_high, greatest(low.p, high.p) AS p, greatest(low.p, high.p) < 0.05 AS equivalent FROM low JOIN high USING (model_name)""",
+        "model_name n equivalent",
+        "p_low p_high p",
+    ),
+    "effect_grid": _effects_sql(),
+    "rep_sensitivity": A.rounded(_reps_sql(), "model_name n n_zero method rep", "w_plus w_minus z p rank_biserial pct_wins"),
+    "target_level_test": A.rounded_means(
+        f"""{_D}, m AS (SELECT model_name, target_project, avg(delta) AS delta FROM deltas GROUP BY ALL), {_signed_rank_sql("t", "m", "two-sided", False)}
+SELECT model_name, n, n_zero, w_plus, w_minus, z, p, 'normal' AS method, n_positive, mean FROM t JOIN (SELECT model_name, count(*) FILTER (delta > 0) AS n_positive, avg(delta) AS mean FROM m GROUP BY model_name) USING (model_name)""",
+        "model_name n n_zero method n_positive",
+        "w_plus w_minus z p mean",
+    ),
     "wilcoxon_w": A.rounded_means(
         f"""{_D}, {_ranks_sql("")}, s AS (SELECT model_name, count(*) AS n, count(*) FILTER (delta = 0) AS n_zero, coalesce(sum(r) FILTER (delta > 0), 0) + coalesce(sum(r) FILTER (delta = 0), 0) / 2 AS w_plus,
 coalesce(sum(r) FILTER (delta < 0), 0) + coalesce(sum(r) FILTER (delta = 0), 0) / 2 AS w_minus, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY model_name)
