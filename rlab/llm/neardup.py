@@ -268,10 +268,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     linked = stored(linked, "linked")
     linked = linked.union(linked.select("root", "root").distinct()).join(reps.select("node", "text_key"), "node")
     best = stored(linked.groupBy("root").agg(F.min("text_key").alias("best")), "best")
-    linked = linked.join(best, "root").select("node", "root", "best")
+    known_sets = stored(reps.drop("bands").join(linked.join(best, "root").select("node", "root", "best"), "node", "left"), "known-sets")
 
     # what a hot key is joined to is a written table, so that Spark can split the side of many rows
-    placed = signed.drop("bands", "row").join(reps.drop("bands"), _KEY, "left").join(linked, "node", "left")
+    placed = signed.drop("bands", "row").join(known_sets, _KEY, "left")
     known = F.col("doc_id").isNotNull()
     node, least = F.when(known, F.col("node")), F.when(known, F.coalesce("best.doc_id", "text_key.doc_id", "doc_id"))
     return placed.select("doc_id", "sha", "n_shingles", node.alias("node"), F.coalesce("root", "node").alias("root"), least.alias("least"), F.coalesce("best", "text_key").alias("best")), repeated
