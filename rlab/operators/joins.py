@@ -86,21 +86,11 @@ def match_ground_truth(truth: DataFrame, snapshots: DataFrame, mode: str = "all"
     return found.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def asof_latest(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str) -> DataFrame:
-    """``left`` with the last ``value`` of ``right`` at or before its time, by key. Both sides are stacked and a running
-    last value is taken, so nothing is multiplied; at one time, the right side comes first. A key's rows are one
-    window: where a key may hold a large share, bucket its time first with ``asof_bucketed``."""
-    stacked = left.select(F.col(by), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).alias("_v"), F.struct(*left.columns).alias("_row")).unionByName(
-        right.select(F.col(by), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(None).alias("_row"))
-    )
-    order = Window.partitionBy(by).orderBy("_t", "_side", F.col("_v.v")).rowsBetween(Window.unboundedPreceding, 0)
-    latest = stacked.withColumn("_last", F.last("_v", ignorenulls=True).over(order)).where("_side = 1")
-    return latest.select("_row.*", F.col("_last.v").alias(value))
-
-
-def asof_bucketed(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, unit: str = "month") -> DataFrame:
-    """As ``asof_latest``, but a window is one key in one calendar unit; the last value of earlier units is carried by a
-    table of one row for each key and unit. For keys that hold a large share of the rows."""
+def asof_latest(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, unit: str = "month") -> DataFrame:
+    """``left`` with the last ``value`` of ``right`` at or before its time, by key. Both sides are stacked and a running last
+    value is taken inside one calendar unit of a key, so nothing is multiplied and a key of many rows is many windows; the
+    last value of earlier units is carried by a table of one row for each key and unit. At one time, the right side comes
+    first."""
     bucketed = right.withColumn("_unit", F.date_trunc(unit, right_time))
     lasts = bucketed.groupBy(by, "_unit").agg(F.max(F.struct(F.col(right_time).alias("t"), F.col(value).alias("v"))).alias("_m"))
     units = lasts.select(by, "_unit", "_m").unionByName(left.select(by, F.date_trunc(unit, left_time).alias("_unit")).distinct().withColumn("_m", F.lit(None)))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from rlab.functions import text as X
 from rlab.operators.joins import SCENARIOS
+from rlab.sources.io import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found
 
 
 def rounded(sql: str, keep: str, doubles: str = "", places: int = 6) -> str:

@@ -111,7 +111,7 @@ def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = A.table(spark, sf_dir, "orders")
     left = orders.select(F.col("o_custkey").alias("custkey"), "o_orderkey", "o_orderdate")
     right = orders.select(F.col("o_custkey").alias("custkey"), (F.col("o_orderdate") + F.expr("interval 30 days")).alias("known_at"), F.col("o_orderkey").alias("earlier_order"))
-    return J.asof_bucketed(left, right, "custkey", "o_orderdate", "known_at", "earlier_order", "year").select("o_orderkey", "earlier_order")
+    return J.asof_latest(left, right, "custkey", "o_orderdate", "known_at", "earlier_order", "year").select("o_orderkey", "earlier_order")
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,8 +213,10 @@ def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
-    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.overlap_windows(tokens, 512, 462)).alias("chunk_no", "w"))
-    return docs.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("chunk_md5"))
+    digest = lambda w: F.struct(F.size(w).cast("long").alias("n_tokens"), F.md5(F.array_join(w, " ")).alias("chunk_md5"))
+    windows = F.transform(X.overlap_windows(tokens, 512, 462), digest)  # digests are exploded, not windows
+    chunks = A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(windows).alias("chunk_no", "w"))
+    return chunks.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "w.n_tokens", "w.chunk_md5")
 
 
 def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

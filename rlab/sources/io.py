@@ -168,6 +168,13 @@ def one_file(df: DataFrame, path: str, fmt: str, **options) -> None:
     files.delete(path_of(parts), True)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, dealt to all cores where it has fewer partitions than there are cores: one small file
+    would be one task, whatever is done with its texts."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def patch_column(df: DataFrame, summary: DataFrame, keys: list[str], columns: list[str], where: Column) -> tuple[DataFrame, DataFrame]:
     """``df`` with ``columns`` taken from ``summary`` in the rows that match ``where``, and the number of such rows without
     a summary. Applying it twice changes nothing more."""

@@ -177,12 +177,12 @@ def test_ground_truth_matches_at_path_boundaries(spark):
     assert J.match_ground_truth(truth, snap, loose=True).count() == 3
 
 
-@pytest.mark.parametrize("how", [J.asof_latest, J.asof_bucketed])
-def test_asof(spark, how):
+@pytest.mark.parametrize("unit", ["month", "year"])
+def test_asof(spark, unit):
     at = lambda d, h=0: datetime(2024, 1 + d // 28, 1 + d % 28, h)
     left = spark.createDataFrame([("r", 1, at(0)), ("r", 2, at(5)), ("r", 3, at(60)), ("q", 4, at(5))], "repo string, id int, t timestamp")
     right = spark.createDataFrame([("r", "a", at(5)), ("r", "b", at(5)), ("r", "c", at(30)), ("r", "d", at(90))], "repo string, sha string, at timestamp")
-    assert rows(how(left, right, "repo", "t", "at", "sha"), "id", "sha") == [(1, None), (2, "b"), (3, "c"), (4, None)]
+    assert rows(J.asof_latest(left, right, "repo", "t", "at", "sha", unit), "id", "sha") == [(1, None), (2, "b"), (3, "c"), (4, None)]
 
 
 def test_dedup_levels(spark):

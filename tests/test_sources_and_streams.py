@@ -75,6 +75,8 @@ def test_append_patch_and_stores(spark, tmp_path):
     io.append_new(rows, at, ["k"])
     io.append_new(rows.unionByName(spark.createDataFrame([(3, "d")], "k int, v string")), at, ["k"])
     assert sorted(r.k for r in spark.read.parquet(at).collect()) == [1, 2, 3]
+    rows.write.mode("append").parquet(at)  # a second writer that did not see the first one's rows
+    assert sorted(map(tuple, io.read_appended(spark, at, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
     res = spark.createDataFrame([("m", "WP-small", 0.1), ("m", "WP-large", 0.2), ("n", "WP-small", 0.3)], "model string, scenario string, MRR double")
     summary = spark.createDataFrame([("m", 0.9)], "model string, MRR double")
     once, unmatched = io.patch_column(res, summary, ["model"], ["MRR"], F.col("scenario") == "WP-small")
@@ -137,3 +139,19 @@ def test_stream_encode_encodes_new_blobs_once(spark, tmp_path):
     for n in range(2):
         streams.stream_encode(streams.read_stream(spark, str(tmp_path / "in"), schema), HashEncoder(4), store, str(tmp_path / f"cp{n}")).awaitTermination()
     assert sorted(r.blob_sha for r in store.read().collect()) == ["x", "y"]
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        io.scratch_dir(Session, "x")
+    Context.master = "local[4]"
+    assert io.scratch_dir(Session, "x").startswith("file:///tmp")
