@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from rlab.llm.scan import U64, flat, mix, pieces
 
-HIDDEN, WINDOW, MARGIN, BATCH = 8, 128, 16, 1024
-TRAIN_ROWS, TRAIN_WINDOWS, EPOCHS, RATE, SEED, SPARE = 1200, 8_000, 3, 0.012, 5, 4
+HIDDEN, WINDOW, MARGIN, BATCH = 8, 256, 16, 1024
+#: Training takes shorter windows, of which a batch holds more different texts.
+TRAIN_WINDOW = 64
+TRAIN_ROWS, TRAIN_WINDOWS, EPOCHS, RATE, SEED, SPARE = 1200, 12_000, 3, 0.012, 5, 4
 MIN_SCORE = 0.3
 UNKNOWN = "und"
 
@@ -82,6 +84,39 @@ class Network:
             out[:, t] = state
         return out
 
+    def infer(self, data: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """As ``states``, without what training needs: signs of the gates and the bias are folded into the weights, and all
+        steps work in the same few arrays."""
+        h, size, n = self.hidden, *data.shape
+        sign = np.repeat(np.array([-1, 1], np.float32), (2 * h, h))[:, None]
+        table = self.w["table"] * sign
+        bias = np.concatenate((np.zeros((2, 2 * h, 1), np.float32), self.w["bias"]), axis=1)
+        recur = np.concatenate((self.w["recur"] * sign, bias), axis=2)  # the state has a constant row
+        out = np.empty((2, size, h, n), dtype=np.float32)
+        state, x, a = np.zeros((2, h + 1, n), np.float32), np.empty((2, 3 * h, n), np.float32), np.empty((2, 3 * h, n), np.float32)
+        state[:, h] = 1
+        live, gates, cand, inner = state[:, :h], x[:, : 2 * h], x[:, 2 * h :], a[:, 2 * h :]
+        with np.errstate(over="ignore"):
+            for t in range(size):
+                np.take(table[0], data[t], axis=1, out=x[0], mode="clip")
+                np.take(table[1], data[-1 - t], axis=1, out=x[1], mode="clip")
+                np.matmul(recur, state, out=a)
+                gates += a[:, : 2 * h]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                inner *= gates[:, h:]
+                cand += inner
+                np.tanh(cand, out=cand)
+                live -= cand
+                live *= gates[:, :h]
+                live += cand
+                if mask is not None:
+                    live[0] *= mask[t]
+                    live[1] *= mask[-1 - t]
+                out[:, t] = live
+        return out
+
     def probabilities(self, states: np.ndarray, at: slice = slice(None)) -> np.ndarray:
         """(position, language, window) of the positions ``at``"""
         h = self.hidden
@@ -165,7 +200,7 @@ class Network:
             some = order[at : at + BATCH]
             data, mask, core = windows.batch(some)
             plain = bool(whole[some[-1]])
-            p = self.probabilities(self.states(data, None if plain else mask), inner)
+            p = self.probabilities(self.infer(data, None if plain else mask), inner)
             best = p.argmax(axis=1)
             if not plain:
                 p *= core[inner, None, :]
@@ -186,6 +221,7 @@ class Windows:
     data: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    margin: int = MARGIN
 
     @classmethod
     def cut(cls, raw: np.ndarray, offsets: np.ndarray, size: int = WINDOW, margin: int = MARGIN) -> tuple[Windows, np.ndarray]:
@@ -201,13 +237,14 @@ class Windows:
         edge = np.flatnonzero((low > 0) | (high < wide))
         place = np.arange(wide)
         data[edge] *= (place >= low[edge, None]) & (place < high[edge, None])
-        return cls(data, low, high), doc
+        return cls(data, low, high, margin), doc
 
-    def batch(self, some: np.ndarray, size: int = WINDOW, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def batch(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, live positions and those of the windows without their margins (position, window)."""
-        place = np.arange(size + 2 * margin)[:, None]
+        wide = self.data.shape[1]
+        place = np.arange(wide)[:, None]
         mask = ((place >= self.low[some]) & (place < self.high[some])).astype(np.float32)
-        core = mask * ((place >= margin) & (place < margin + size))
+        core = mask * ((place >= self.margin) & (place < wide - self.margin))
         return np.ascontiguousarray(self.data[some].T), mask, core.astype(np.float32)
 
 
@@ -244,7 +281,7 @@ def training_windows(sample: DataFrame, most: int = TRAIN_WINDOWS) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 raw, offsets = flat(piece.column("text"))
-                windows, doc = Windows.cut(raw, offsets)
+                windows, doc = Windows.cut(raw, offsets, TRAIN_WINDOW)
                 place = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 seed = np.array([zlib.crc32(t.as_buffer()) for t in piece.column("text").cast(pa.binary())], dtype=U64)
                 h = mix(mix(seed[doc] + U64(SEED)) + place.astype(U64)) >> U64(1)

@@ -244,8 +244,8 @@ def test_training_windows_cover_whole_texts_and_are_bounded(spark):
     rows = [("en", "".join(chr(97 + k % 26) for k in range(1000))), ("fr", "é" * 10)]
     sample = spark.createDataFrame(rows, "lang string, text string")
     got = langid.training_windows(sample).collect()
-    inner = sorted(bytes(r.data)[max(r.low, langid.MARGIN) : min(r.high, langid.MARGIN + langid.WINDOW)] for r in got)
-    assert inner == sorted(t.encode()[k : k + langid.WINDOW] for _, t in rows for k in range(0, len(t.encode()), langid.WINDOW))
+    inner = sorted(bytes(r.data)[max(r.low, langid.MARGIN) : min(r.high, langid.MARGIN + langid.TRAIN_WINDOW)] for r in got)
+    assert inner == sorted(t.encode()[k : k + langid.TRAIN_WINDOW] for _, t in rows for k in range(0, len(t.encode()), langid.TRAIN_WINDOW))
     assert langid.training_windows(sample, 3).count() == 3
 
 
