@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rlab.llm import chat, decontaminate, langid, mixing, neardup, quality, shards, substring, tokencount, warc
+from rlab.sources.io import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_repeated_bytes": substring.ORACLE,
     "op5_warc_index": warc.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op9_benchmark_hits": decontaminate.ORACLE,

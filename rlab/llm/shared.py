@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rlab.sources.io import scratch_dir as fresh_dir
+from rlab.sources.io import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where that is unset, a new temporary one on a local master, which is one
-    machine; on a cluster that is an error, as executors would each write to their own disk."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="rlab-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used. Everything of one application lies below one folder there,
-    which can be dropped when the application has ended."""
-    return f"{shared_dir(spark)}/rlab-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once as a Parquet table in the shared folder. Cuts the lineage: a lost executor costs a
-    re-read, not a recomputation."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_dir", "parts_for", "stored", "text_bytes"]
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

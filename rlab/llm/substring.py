@@ -391,3 +391,26 @@ def without_spans(text: str | None, spans: list[dict]) -> str | None:
         kept.append(data[at : span["start"]])
         at = span["stop"]
     return b"".join([*kept, data[at:]]).decode("utf-8", "ignore")
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), c AS (
+  SELECT doc_id, base, least(500, n - 49 - base) AS m, substring(h, 2 * base + 1, 1100) AS piece FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 500)) AS base FROM d WHERE n >= 50)
+), w AS (
+  SELECT doc_id, base + j AS k, substring(piece, 2 * j + 1, 100) AS s FROM (SELECT doc_id, base, piece, unnest(range(0, m)) AS j FROM c)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM w GROUP BY s
+), hit AS (
+  SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (s) WHERE first < doc_id
+), spans AS (
+  SELECT doc_id, run, min(k) AS a, max(k) + 50 AS b FROM (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM hit) GROUP BY ALL
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS removed, count(*) AS n_spans
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS done FROM spans) JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
