@@ -18,6 +18,8 @@ from rlab.sources.io import scratch_dir, stored
 RECALL_KS = [30, 40, 50, 60, 70, 80, 90, 100, 200, 300, 400, 500, 700]
 #: Most bytes of query vectors in one broadcast block.
 BLOCK_BYTES = 32 << 20
+#: Scores (item x query) that a task adds up at once.
+CELLS = 4_000_000
 #: Vectors in one part of a snapshot, and queries in one block, of ``cosine_topk_by``.
 PART_ROWS, QUERY_ROWS = 20_000, 2_000
 
@@ -43,12 +45,8 @@ def term_statistics(corpus: DataFrame, by: list[str], posted: DataFrame) -> tupl
     return terms, both.withColumn("avgdl", F.coalesce("_all", F.lit(0)) / F.col("n_docs")).drop("_all")
 
 
-def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None) -> DataFrame:
-    """(by, query_id, item_id, score, n_terms) of all pairs that share a term. ``queries`` and ``corpus`` have an id and
-    ``tokens``; a query's repeated tokens count each; n_terms: distinct terms shared. Okapi BM25: terms of negative idf
-    get ``eps`` times the mean idf of the whole vocabulary. ``posted``: the corpus' postings, where several scorers share
-    them. Postings are cut to query terms before they are shuffled."""
-    by = by or []
+def _bm25_weights(queries: DataFrame, corpus: DataFrame, by: list[str], k1: float, b: float, eps: float, posted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(by, query_id, term, qtf) of the queries, and (by, item_id, term, weight) of the postings of their terms."""
     posted = postings(corpus, by) if posted is None else posted
     query_terms = queries.select(*by, "query_id", F.explode("tokens").alias("term")).groupBy(*by, "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms, sizes = term_statistics(corpus, by, posted)
@@ -60,15 +58,116 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = No
     wanted = wanted.join(mean, by) if by else attach(wanted, mean)
     wanted = wanted.select(*by, "term", "avgdl", F.when(F.col("raw_idf") < 0, eps * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    pairs = posted.join(wanted, [*by, "term"]).withColumn("weight", weight).join(query_terms, [*by, "term"])
+    return query_terms, posted.join(wanted, [*by, "term"]).select(*by, "item_id", "term", weight.alias("weight"))
+
+
+def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None) -> DataFrame:
+    """(by, query_id, item_id, score, n_terms) of all pairs that share a term. ``queries`` and ``corpus`` have an id and
+    ``tokens``; a query's repeated tokens count each; n_terms: distinct terms shared. Okapi BM25: terms of negative idf
+    get ``eps`` times the mean idf of the whole vocabulary. ``posted``: the corpus' postings, where several scorers share
+    them. Postings are cut to query terms before they are shuffled."""
+    by = by or []
+    query_terms, weights = _bm25_weights(queries, corpus, by, k1, b, eps, posted)
+    pairs = weights.join(query_terms, [*by, "term"])
     return pairs.groupBy(*by, "query_id", "item_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"), F.count(F.lit(1)).alias("n_terms"))
 
 
+class _Block:
+    """Query terms of one block as arrays: of each term the queries that have it and how often."""
+
+    def __init__(self, rows: pd.DataFrame, names: list[str]):
+        codes = rows.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+        self.queries = rows[names].drop_duplicates().reset_index(drop=True)
+        term, keys = pd.factorize(rows["_key"])
+        order = np.argsort(term, kind="stable")
+        self.code = {key: k for k, key in enumerate(keys)}
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(keys)))))
+        self.query, self.qtf = codes[order], rows["qtf"].to_numpy(dtype=np.float64)[order]
+        #: Items whose scores are added up at once.
+        self.items = max(1, min(CELLS // max(1, len(self.queries)), 4 * CELLS // max(1, len(rows))))
+
+    def score(self, items: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
+        """(query number, item_id, score, n_terms) of all pairs that share a term."""
+        item, names = pd.factorize(items)
+        term, found = pd.factorize(keys)
+        code = np.array([self.code.get(key, -1) for key in found], dtype=np.int64)[term]
+        known = np.flatnonzero(code >= 0)
+        code = code[known]
+        counts = self.starts[code + 1] - self.starts[code]
+        row = np.repeat(known, counts)
+        at = np.repeat(self.starts[code] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        cell = item[row] * len(self.queries) + self.query[at]
+        n_terms = np.bincount(cell, minlength=1)
+        some = np.flatnonzero(n_terms)
+        scores = np.bincount(cell, weights=weights[row] * self.qtf[at], minlength=1)[some]
+        return pd.DataFrame({"_q": some % len(self.queries), "item_id": names[some // len(self.queries)], "score": np.round(scores, 9), "n_terms": n_terms[some]})
+
+
+def _cut(rows: list[pd.DataFrame], k: int) -> list[pd.DataFrame]:
+    """The k best rows of each query, ties by item."""
+    return [pd.concat(rows).sort_values(["_q", "score", "item_id"], ascending=[True, False, True]).groupby("_q").head(k)] if rows else []
+
+
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None) -> DataFrame:
-    """The k best items of every query with rank and score. Items that share no term are not listed. Scores are rounded
-    to 9 places before they are ranked, so that the order does not hang on the order of a sum."""
-    scores = bm25_scores(queries, corpus, by, k1, b, eps, posted).withColumn("score", F.round("score", 9))
-    return topk_per_query(scores, k)
+    """The k best items of every query with rank, score and n_terms, as ``bm25_scores`` has them. Items that share no term are
+    not listed. Scores are rounded to 9 places before they are ranked, so that the order does not hang on the order of a sum.
+
+    The postings of query terms are sorted by item, and query terms go out in blocks of bounded size, one at a time; a task
+    adds up the scores of some items at once and keeps its own k best, so the pairs that share a term are never rows of a
+    shuffle."""
+    by = by or []
+    query_terms, weights = _bm25_weights(queries, corpus, by, k1, b, eps, posted)
+    spark, names = corpus.sparkSession, [*by, "query_id"]
+    key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by], "term").alias("_key")
+    asked = stored(query_terms.select(*names, key, "qtf"), "query-terms")
+    blocks = max(1, -(-asked.count() * 100 // BLOCK_BYTES))
+    by_item = weights.select("item_id", key, "weight").repartition("item_id").sortWithinPartitions("item_id")
+    by_item = by_item if blocks == 1 else stored(by_item, "weights")
+    kinds = [f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in names] + [f"item_id {corpus.schema['item_id'].dataType.simpleString()}", "score double", "n_terms long"]
+
+    def of_block(rows: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(rows.toPandas())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block = _Block(shared.value, names)
+            best: list[pd.DataFrame] = []
+            for items, keys, values in _whole_items(batches, block.items):
+                best.append(block.score(items, keys, values))
+                if sum(map(len, best)) > CELLS:
+                    best = _cut(best, k)
+            for found in _cut(best, k):
+                owners = block.queries.iloc[found["_q"].to_numpy()].reset_index(drop=True)
+                yield pd.concat([owners, found.drop(columns="_q").reset_index(drop=True)], axis=1)[[*names, "item_id", "score", "n_terms"]]
+
+        return topk_per_query(by_item.mapInPandas(run, ", ".join(kinds)), k)
+
+    if blocks == 1:
+        return of_block(asked)
+    path = scratch_dir(spark, "topk")
+    for n in range(blocks):
+        of_block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _whole_items(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows sorted by item, regrouped so that an item is never split, ``most`` items at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        rows = pd.concat(held)
+        items = rows["item_id"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+        at = 0
+        while len(starts) - at > most:  # the last item may go on in the next batch
+            part = rows.iloc[starts[at] : starts[at + most]]
+            yield part["item_id"].to_numpy(), part["_key"].to_numpy(), part["weight"].to_numpy()
+            at += most
+        held = [rows.iloc[starts[at] :]]
+    if held:
+        rows = held[0]
+        yield rows["item_id"].to_numpy(), rows["_key"].to_numpy(), rows["weight"].to_numpy()
 
 
 def _best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:

@@ -82,6 +82,23 @@ def test_bm25_by_hand(spark):
     assert got == pytest.approx({(7, 1): 2 * weight("a", 2, 3), (8, 2): weight("c", 1, 2), (8, 3): weight("c", 1, 1)}, abs=1e-8)
 
 
+def test_bm25_topk_is_the_top_of_all_scores(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    docs = spark.createDataFrame([("su"[k % 2], f"i{k}", rng.choices("abcdefgh", k=rng.randint(0, 30))) for k in range(120)], "snap string, item_id string, tokens array<string>").repartition(6)
+    asked = spark.createDataFrame([("su"[k % 2], k, rng.choices("abchxyz", k=rng.randint(0, 5))) for k in range(9)], "snap string, query_id int, tokens array<string>")
+    for by in (None, ["snap"]):
+        want = {}
+        for r in R.bm25_scores(asked, docs, by).collect():
+            want.setdefault(r.query_id, []).append((-round(r.score, 9), r.item_id, r.n_terms))
+        want = {(q, k): (i, n) for q, rows_ in want.items() for k, (_, i, n) in enumerate(sorted(rows_)[:7], 1)}
+        for cells, block in ((4_000_000, 32 << 20), (20, 300)):
+            monkeypatch.setattr(R, "BLOCK_BYTES", block)
+            monkeypatch.setattr(R, "CELLS", cells)
+            assert {(r.query_id, r["rank"]): (r.item_id, r.n_terms) for r in R.bm25_topk(asked, docs, 7, by).collect()} == want
+
+
 def test_bm25_inside_snapshots_and_negative_idf(spark):
     docs = spark.createDataFrame([("s", k, ["a", f"t{k}"]) for k in range(4)] + [("u", 9, ["a"])], "snap string, item_id int, tokens array<string>")
     asked = spark.createDataFrame([("s", 1, ["a"]), ("u", 2, ["t1"])], "snap string, query_id int, tokens array<string>")
