@@ -11,14 +11,14 @@ def empty() -> Column:
     return F.array().cast("array<string>")
 
 
+# The patterns of tokens, parts of identifiers, paths and patches in this module define the results.
 def _words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
 
 
 def code_tokens(text: Column) -> Column:
     """Alphanumeric ASCII runs, cut where a lower-case letter or digit meets a capital, in lower case."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")
-    return F.transform(F.filter(F.split(cut, "[^a-zA-Z0-9]+"), lambda t: t != ""), F.lower)
+    return F.transform(_words(text, "[A-Z]+[a-z0-9]*|[a-z0-9]+"), F.lower)
 
 
 def text_tokens(text: Column) -> Column:
