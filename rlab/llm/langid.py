@@ -233,7 +233,7 @@ class Windows:
         wide = size + 2 * margin
         low, high = np.maximum(0, margin - at), np.minimum(wide, lengths[doc] - at + margin)
         padded = np.concatenate((np.zeros(margin, np.uint8), raw, np.zeros(wide, np.uint8)))
-        data = padded[(offsets[doc] + at)[:, None] + np.arange(wide)]
+        data = np.lib.stride_tricks.sliding_window_view(padded, wide)[offsets[doc] + at]
         edge = np.flatnonzero((low > 0) | (high < wide))
         place = np.arange(wide)
         data[edge] *= (place >= low[edge, None]) & (place < high[edge, None])
