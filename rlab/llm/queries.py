@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rlab.llm import chat, decontaminate, langid, mixing, neardup, quality, shards, substring, tokencount, warc
+from rlab.llm import audit, chat, decontaminate, langid, mixing, neardup, quality, shards, substring, tokencount, warc
 from rlab.sources.io import spread
 
 
@@ -56,6 +56,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_temperature_mix,
         op9_benchmark_hits,
         op10_near_duplicates,
+        op12_filter_audit,
     )
 }
 
@@ -78,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": chat.ORACLE,
     "op9_benchmark_hits": decontaminate.ORACLE,
     "op10_near_duplicates": neardup.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
 }
