@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rlab.llm import audit, chat, decontaminate, langid, mixing, neardup, quality, shards, substring, tokencount, warc
+from rlab.llm import audit, chat, decontaminate, langid, mixing, neardup, negatives, quality, shards, substring, tokencount, warc
 from rlab.sources.io import spread
 
 
@@ -60,6 +61,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_benchmark_hits,
         op10_near_duplicates,
         op12_filter_audit,
+        op13_hard_negatives,
     )
 }
 
@@ -84,4 +92,5 @@ ORACLES: dict[str, str] = {
     "op9_benchmark_hits": decontaminate.ORACLE,
     "op10_near_duplicates": neardup.ORACLE,
     "op12_filter_audit": audit.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
