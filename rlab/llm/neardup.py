@@ -221,10 +221,10 @@ def _confirm_group(threshold: int) -> Callable[[pa.Table], pa.Table]:
 
 
 _SIGNED = "doc_id long, sha binary, n_shingles long, h1 long, h2 long, bands binary"
-_KEY = ["n_shingles", "h1", "h2"]
+KEY = ["n_shingles", "h1", "h2"]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("sha"), text.alias("text"))
 
@@ -233,13 +233,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     """Every row (doc_id, sha, n_shingles, node, root, least, best): node is the row that stands for its set, root the least
     node linked to it, least the smallest id with its set, best the (doc_id, sha) that stays of all texts linked to it.
     And the ids of more than one row."""
-    slim = _keyed(docs, id_col, text_col)
+    slim = keyed_texts(docs, id_col, text_col)
     # rows are numbered in a written table, so that the numbers hold if a task runs again
     signed = stored(slim.mapInArrow(_sign(shingle, threshold, rows), _SIGNED).withColumn("row", F.monotonically_increasing_id()), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "sha", "row")).alias("r")
-    reps = full.groupBy(*_KEY).agg(first, F.first("bands").alias("bands"))
-    reps = stored(reps.select(*_KEY, F.col("r.row").alias("node"), F.struct("r.doc_id", "r.sha").alias("text_key"), "bands"), "sets")
+    reps = full.groupBy(*KEY).agg(first, F.first("bands").alias("bands"))
+    reps = stored(reps.select(*KEY, F.col("r.row").alias("node"), F.struct("r.doc_id", "r.sha").alias("text_key"), "bands"), "sets")
     found = reps.select("node", "bands").mapInArrow(_stars, "key long, a long, b long")
     heads = found.where("key is not null").select("key", "a")
     centres = heads.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "b")
@@ -253,7 +253,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     # merged at every size: the members of families grow with the documents, so they are never a broadcast side
     texts = slim.join(members.hint("merge"), (slim["doc_id"] == members["_id"]) & (slim["sha"] == members["_sha"])).select("family", "blocks", "node", "text")
     sets = texts.mapInArrow(_sets(shingle), "family long, blocks int, node long, shingles binary")
-    repeated = stored(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+    repeated = repeated_ids(signed)
     if not repeated.isEmpty():  # equal rows of one id: one of them stands for the set
         sets = sets.dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -265,30 +265,47 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
         linked = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     else:
         linked = components(links, "links").where("id <> component").select(F.col("id").alias("node"), F.col("component").alias("root"))
+    return place(signed, reps, linked), repeated
+
+
+def repeated_ids(signed: DataFrame) -> DataFrame:
+    """The ids of more than one row."""
+    return stored(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+
+
+def place(signed: DataFrame, reps: DataFrame, linked: DataFrame) -> DataFrame:
+    """Every row of ``signed`` with its node, root, least id and best text, from ``linked`` (node, root) of nodes that are
+    linked to a smaller one."""
     linked = stored(linked, "linked")
     linked = linked.union(linked.select("root", "root").distinct()).join(reps.select("node", "text_key"), "node")
     best = stored(linked.groupBy("root").agg(F.min("text_key").alias("best")), "best")
     known_sets = stored(reps.drop("bands").join(linked.join(best, "root").select("node", "root", "best"), "node", "left"), "known-sets")
 
     # what a hot key is joined to is a written table, so that Spark can split the side of many rows
-    placed = signed.drop("bands", "row").join(known_sets, _KEY, "left")
+    placed = signed.select("doc_id", "sha", *KEY).join(known_sets, KEY, "left")
     known = F.col("doc_id").isNotNull()
     node, least = F.when(known, F.col("node")), F.when(known, F.coalesce("best.doc_id", "text_key.doc_id", "doc_id"))
-    return placed.select("doc_id", "sha", "n_shingles", node.alias("node"), F.coalesce("root", "node").alias("root"), least.alias("least"), F.coalesce("best", "text_key").alias("best")), repeated
+    return placed.select("doc_id", "sha", "n_shingles", node.alias("node"), F.coalesce("root", "node").alias("root"), least.alias("least"), F.coalesce("best", "text_key").alias("best"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row. ``shingle``: words; ``threshold``: percent; ``rows``: bins of
-    a band."""
-    placed, repeated = _classes(docs, id_col, text_col, shingle, threshold, rows)
+def merge_ids(placed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, least) of every row: the texts of one id are one, so their components are joined."""
     placed = placed.select("doc_id", "n_shingles", "node", "least")
-    if not repeated.isEmpty():  # the texts of one id are one: their components are joined
+    if not repeated.isEmpty():
         placed = stored(placed, "placed")
         own = stored(placed.where("node is not null").join(repeated, "doc_id", "left_semi").select("doc_id", "least").distinct(), "own")
         heads = stored(own.groupBy("doc_id").agg(F.min("least").alias("_head")), "heads")
         merged = components(own.join(heads, "doc_id").select(F.col("least").alias("a"), F.col("_head").alias("b")), "merged")
         merged = merged.select(F.col("id").alias("_from"), F.col("component").alias("_to"))
         placed = placed.join(heads, "doc_id", "left").withColumn("_from", F.coalesce("_head", "least")).join(merged, "_from", "left").withColumn("least", F.coalesce("_to", "_from"))
+    return placed.select("doc_id", "n_shingles", "least")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row. ``shingle``: words; ``threshold``: percent; ``rows``: bins of
+    a band."""
+    placed, repeated = _classes(docs, id_col, text_col, shingle, threshold, rows)
+    placed = merge_ids(placed, repeated)
     return placed.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("least"), F.lit(True)).alias("kept"))
 
 

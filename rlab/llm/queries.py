@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rlab.llm import audit, chat, decontaminate, langid, mixing, neardup, negatives, quality, shards, substring, tokencount, warc
+from rlab.llm import audit, chat, decontaminate, langid, mixing, neardup, negatives, ngramjoin, quality, shards, substring, tokencount, warc
 from rlab.sources.io import spread
 
 
@@ -57,6 +57,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(_table(spark, sf_dir, "documents"), shingle=4, threshold=85)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_temperature_mix,
         op9_benchmark_hits,
         op10_near_duplicates,
+        op11_ngram_join,
         op12_filter_audit,
         op13_hard_negatives,
     )
@@ -91,6 +96,7 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": chat.ORACLE,
     "op9_benchmark_hits": decontaminate.ORACLE,
     "op10_near_duplicates": neardup.ORACLE,
+    "op11_ngram_join": ngramjoin.ORACLE,
     "op12_filter_audit": audit.ORACLE,
     "op13_hard_negatives": negatives.ORACLE,
 }
