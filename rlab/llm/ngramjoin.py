@@ -54,7 +54,9 @@ SAMPLE, SHORT = 4, 64
 RANGE_BYTES = 64 << 20
 #: Covered texts are fetched by a broadcast of their ids up to this many, else by a merge of all texts.
 BROADCAST_IDS = 500_000
-_PIECE_BYTES, _PIECE_ROWS = 4 << 20, 60_000
+_PIECE_BYTES, _PIECE_ROWS = 2 << 20, 60_000
+#: Sets that a task cuts into segments, or into rows of n-grams, at once.
+_CUT_ROWS = 500
 #: In place of a row: an n-gram that is not counted for any, and one that is known to occur in several.
 _WITNESS, _SEVERAL = 65_535, 65_534
 
@@ -149,9 +151,11 @@ def _met(table: pa.Table) -> pa.Table:
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = batch.column("shingles").to_pylist()
-        nodes = np.repeat(batch.column("node").to_numpy(), [len(s) // 8 for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.frombuffer(b"".join(sets), np.int64))], names=["node", "gram"])
+        for at in range(0, batch.num_rows, _CUT_ROWS):
+            part = batch.slice(at, _CUT_ROWS)
+            sets = part.column("shingles").to_pylist()
+            nodes = np.repeat(part.column("node").to_numpy(), [len(s) // 8 for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.frombuffer(b"".join(sets), np.int64))], names=["node", "gram"])
 
 
 def _sets(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -219,23 +223,29 @@ def _cut(bounds: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                df = np.array([g["df"] for g in row["grams"]], dtype=np.int64)
-                gram = np.array([g["gram"] for g in row["grams"]], dtype=np.int64)
-                fragment = np.zeros(len(df), dtype=np.int64)
-                for bound_df, bound_gram in bounds:
-                    fragment += (df > bound_df) | ((df == bound_df) & (gram > bound_gram))
-                for k, at in zip(*np.unique(fragment, return_index=True), strict=True):
-                    own = np.sort(gram[fragment == k])
-                    out.append((row["family"], row["node"], row["n"], int(k), int(at), len(df) - int(at) - len(own), own.tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["family", "node", "n", "fragment", "before", "after", "grams"])
+            for at in range(0, batch.num_rows, _CUT_ROWS):
+                yield _cut_rows(batch.slice(at, _CUT_ROWS), bounds)
 
     return run
 
 
+def _cut_rows(batch: pa.RecordBatch, bounds: list[tuple[int, int]]) -> pa.RecordBatch:
+    lists = batch.column("grams")
+    sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+    df, gram, of = flat.field("df").to_numpy(), flat.field("gram").to_numpy(), owners(sizes)
+    fragment = np.zeros(len(df), dtype=np.int32)
+    for bound_df, bound_gram in bounds:
+        fragment += (df > bound_df) | ((df == bound_df) & (gram > bound_gram))
+    head = np.flatnonzero(np.concatenate(([True], (np.diff(of) != 0) | (np.diff(fragment) != 0)))) if len(df) else np.zeros(0, np.int64)
+    ends = np.append(head[1:], len(df))
+    row = of[head]
+    before = head - (np.cumsum(sizes) - sizes)[row]
+    grams = np.ascontiguousarray(gram[np.lexsort((gram, fragment, of))])
+    cut = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((np.append(head, len(df)) * 8).astype(np.int32)), pa.py_buffer(grams)])
+    columns = [*(batch.column(c).take(pa.array(row)) for c in ("family", "node", "n")), pa.array(fragment[head]), pa.array(before.astype(np.int32)), pa.array((sizes[row] - before - (ends - head)).astype(np.int32)), cut]
+    return pa.RecordBatch.from_arrays(columns, names=["family", "node", "n", "fragment", "before", "after", "grams"])
+
+
 def segments(ordered: DataFrame, members: DataFrame, fragments: int) -> DataFrame:
     """The segments of all members of families; fragments hold about equal numbers of n-grams."""
     listed = ordered.join(members, "node")
