@@ -20,8 +20,8 @@ and ranges there are; they are built and read as whole columns. Segments are equ
 
 Equal texts are found first by digest; of these only the smallest id takes part, so thousands of copies cost one. An
 anchor that more than ``HOT_GROUPS`` groups hold is dealt out by whole windows instead of by anchor, so no bucket gathers
-a common passage with all its surroundings. Groups are dealt by a hash of the id, and each scan reuses one shuffle of the
-texts.
+a common passage with all its surroundings. Groups are dealt by a hash of id and text, so rows without
+an id are spread, and each scan reuses one shuffle of the texts.
 
 Defined cases: a null or empty text has no bytes and nothing is removed from it; texts below ``LENGTH`` are left alone;
 rows that repeat an id are judged each, and never against each other; a row without id counts as larger than all;
@@ -32,7 +32,6 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -134,10 +133,11 @@ class Group:
         docs = docs.take(pa.array(order)).combine_chunks()
         texts = docs.column("text").combine_chunks()
         kinds = side.column("kind").to_numpy()
-        copies = set(zip(side.column("slot").filter(kinds == 0).to_pylist(), side.column("n").filter(kinds == 0).to_pylist(), strict=True))
+        copies = set(zip(side.column("slot").filter(kinds == 0).to_pylist(), side.column("data").filter(kinds == 0).to_pylist(), strict=True))
         self.ids, self.all_texts = docs.column("id").to_numpy(), texts
         if copies:
-            marks = [(i, zlib.crc32(t.as_buffer()) if t.is_valid else 0) in copies for i, t in zip(self.ids.tolist(), texts.cast(pa.binary()), strict=True)]
+            some = {i for i, _ in copies}
+            marks = [i in some and t.is_valid and (i, hashlib.sha256(t.as_buffer()).digest()) in copies for i, t in zip(self.ids.tolist(), texts.cast(pa.binary()), strict=True)]
             self.copy = np.array(marks, dtype=bool)
         else:
             self.copy = np.zeros(len(self.ids), dtype=bool)
@@ -366,13 +366,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     total = text_bytes(docs, text_col)
     groups, ranges = parts_for(total, group_bytes), parts_for(total, range_bytes)
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    texts = slim.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "id", "text")
+    group = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int").alias("g")
+    texts = slim.select(group, "id", "text")
 
-    digests = slim.where(F.octet_length("text") >= LENGTH).select("id", F.unhex(F.sha2("text", 256)).alias("sha"), F.crc32(F.col("text").cast("binary")).alias("n"))
+    digests = slim.where(F.octet_length("text") >= LENGTH).select(group, "id", F.unhex(F.sha2("text", 256)).alias("sha"))
     # a written table, so that Spark can split the copies of a very common text in the join
     firsts = stored(digests.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("_c")).where("_c > 1").select("sha", "least"), "firsts")
     none = F.lit(None).cast("binary")
-    copies = digests.join(firsts, "sha").where("id > least").select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("id").alias("slot"), "n", none.alias("data"), none.alias("more"))
+    copies = digests.join(firsts, "sha").where("id > least").select("g", F.lit(0).alias("kind"), F.col("id").alias("slot"), F.lit(0).cast("long").alias("n"), F.col("sha").alias("data"), none.alias("more"))
     by_group = texts.groupBy("g")
     anchors = by_group.cogroup(copies.groupBy("g")).applyInArrow(_send_anchors(ranges), _SIDE_SQL)
     repeated = anchors.groupBy("slot").applyInArrow(_find_repeated(hot_groups), _SIDE_SQL)

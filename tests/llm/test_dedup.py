@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,44 @@ def test_repeats_in_two_rows_of_one_id_do_not_count(spark):
     assert got == {(1, False, False), (2, True, True), (None, False, True)}
 
 
+def _crc_twins(n):
+    """Two texts of n random letters with one CRC-32: the CRC is linear, so a sum of some differences is none."""
+    rng = np.random.default_rng(5)
+    plain = bytes(rng.choice(np.frombuffer(b"ABCDEFGH", np.uint8), n))
+    basis = {}  # leading bit of a difference of CRCs to (difference, changed places)
+    for k in range(n):
+        other = plain[:k] + bytes([plain[k] ^ 32]) + plain[k + 1 :]
+        diff, places = zlib.crc32(plain) ^ zlib.crc32(other), {k}
+        while diff and diff.bit_length() in basis:
+            more, theirs = basis[diff.bit_length()]
+            diff, places = diff ^ more, places ^ theirs
+        if not diff:
+            twin = bytearray(plain)
+            for at in places:
+                twin[at] ^= 32
+            return plain.decode(), twin.decode()
+        basis[diff.bit_length()] = diff, places
+    raise AssertionError
+
+
+def test_copies_are_told_apart_where_checksums_are_equal(spark):
+    a, b = _crc_twins(70)
+    assert a != b and zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    df = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed) for r in substring.repeats(df).collect())
+    longest = max(len(list(g)) for same, g in itertools.groupby(x == y for x, y in zip(a, b, strict=True)) if same)
+    assert longest < substring.LENGTH and got == [(1, 0), (2, 0), (2, 70)]
+
+
+def test_rows_without_an_id_are_spread_and_judged_each(spark):
+    rng = np.random.default_rng(1)
+    text = lambda: "".join(rng.choice(list("abcdefghij"), 120))
+    common = text()
+    rows = [(5, common + text())] + [(None, text() + (common if k % 2 else "")) for k in range(30)]
+    got = Counter(r.n_removed for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=500).collect())
+    assert got[0] == 16 and sum(v for k, v in got.items() if k >= 120) == 15
+
+
 def test_repeats_of_nothing(no_docs):
     assert substring.repeats(no_docs).collect() == []
 
