@@ -6,7 +6,8 @@ that it expands to. The template marks turns; control strings inside texts and r
 is formatted by itself, with the spans that training loss falls on, so no conversation has to fit into one row: a
 conversation is its segments in order.
 
-Escaping: a backslash is doubled, and a backslash is put behind the first character of every control string. Reading
+Escaping: a backslash is doubled, and a backslash is put behind the first character of every control string. Text parts
+that follow each other are escaped as one text, so no control string can be put together from several of them. Reading
 back, a backslash and the character behind it stand for that character.
 
 Defined cases: null texts and parts are empty, a null role is an empty role; turns are ordered by turn (null first), and
@@ -38,7 +39,7 @@ MOST_TOKENS = 1 << 53
 PARTS = "array<struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
 SEGMENTS = (
     "conv_id long, turn long, segment string, loss array<struct<start:int,stop:int>>, "
-    "attachments array<struct<placeholder:string,kind:string,uri:string,tokens:long>>"
+    "attachments array<struct<placeholder:string,kind:string,uri:string,tokens:long>>, head int"
 )
 
 
@@ -52,29 +53,35 @@ def unescape(text: str) -> str:
 
 
 class PartVisitor:
-    """Flattens the parts of one turn. ``at`` is the length of what the turn holds so far."""
+    """Flattens the parts of one turn. ``at`` is the length of what the turn holds so far; text waits in ``held`` until a
+    part of another type or the end of the turn closes it."""
 
     def __init__(self, at: int):
-        self.at, self.out, self.text_spans, self.attachments = at, [], [], []
+        self.at, self.out, self.held, self.text_spans, self.attachments = at, [], [], [], []
 
     def visit(self, part: dict) -> None:
         visit = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
         visit.get(part.get("type") or "text", self.visit_other)(part)
 
+    def close(self) -> None:
+        text = escape("".join(self.held))
+        self.held = []
+        if text:
+            self.text_spans.append({"start": self.at, "stop": self.at + len(text)})
+            self._add(text)
+
     def _add(self, text: str) -> None:
         self.out.append(text)
         self.at += len(text)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.close()
         mark = f"<|{kind}:{len(self.attachments)}|>"
         self.attachments.append({"placeholder": mark, "kind": kind, "uri": part.get("uri") or "", "tokens": min(tokens, MOST_TOKENS)})
         self._add(mark)
 
     def visit_text(self, part: dict) -> None:
-        text = escape(part.get("text") or "")
-        if text:
-            self.text_spans.append({"start": self.at, "stop": self.at + len(text)})
-            self._add(text)
+        self.held.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         self._attach("image", part, _patches(part.get("width")) * _patches(part.get("height")))
@@ -102,14 +109,15 @@ def _units(size: float | None, each: int) -> int:
     return math.ceil(min(_size(size) * each, MOST_TOKENS))
 
 
-def format_turn(role: str | None, parts: list[dict] | None) -> tuple[str, list[dict], list[dict]]:
-    """The segment of one turn, the spans under the loss mask and the attachments."""
+def format_turn(role: str | None, parts: list[dict] | None) -> tuple[str, list[dict], list[dict], int]:
+    """The segment of one turn, the spans under the loss mask, the attachments and the length of the turn's head."""
     head = TURN + escape(role or "").replace("\n", "\\\n") + "\n"
     visitor = PartVisitor(len(head))
     for part in parts or ():
         visitor.visit(part or {})
+    visitor.close()
     loss = visitor.text_spans if role == LOSS_ROLE else []
-    return head + "".join(visitor.out) + END + "\n", loss, visitor.attachments
+    return head + "".join(visitor.out) + END + "\n", loss, visitor.attachments, len(head)
 
 
 _HEAD = re.compile(re.escape(TURN) + r"((?:\\.|[^\\\n])*)\n", re.DOTALL)
@@ -139,8 +147,9 @@ def format_turns(turns: DataFrame, content: str = "text") -> DataFrame:
                     pa.array([r[0] for r in rows], pa.string()),
                     pa.array([r[1] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                     pa.array([r[2] for r in rows], pa.list_(pa.struct([("placeholder", pa.string()), ("kind", pa.string()), ("uri", pa.string()), ("tokens", pa.int64())]))),
+                    pa.array([r[3] for r in rows], pa.int32()),
                 ],
-                names=["conv_id", "turn", "segment", "loss", "attachments"],
+                names=["conv_id", "turn", "segment", "loss", "attachments", "head"],
             )
 
     slim = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), content)
@@ -195,7 +204,11 @@ def digest(segments: DataFrame) -> DataFrame:
     def _table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(_DIGEST), _DIGEST, strict=True)], schema=_DIGEST)
 
-    ordered = segments.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "segment")
+    plain = lambda text: F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    head, whole = F.col("head"), F.length("segment")
+    role = plain(F.substring("segment", F.lit(len(TURN) + 1), head - len(TURN) - 1))
+    text = plain(F.substring("segment", head + 1, whole - head - len(END) - 1))
+    ordered = segments.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", role, text)
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attachment_tokens long")
 
 
