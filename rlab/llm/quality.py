@@ -6,10 +6,13 @@ good quality). A document scores the mean of log p_trusted - log p_raw over its
 
 No document is judged by itself: trusted documents fall into ``FOLDS`` folds by a hash of their id, and a document of a
 fold is scored with the trusted counts of the other folds. So trusted documents score as unseen ones of their kind do, and
-the threshold, the mean of their scores less ``SPREAD`` standard deviations, holds for documents without a label too. The
-trusted multinomial is smoothed towards the raw one with ``PRIOR`` times the trusted counts, so a feature that no trusted
-document has costs log(PRIOR / (1 + PRIOR)) at every size of the corpus. A document at or above the threshold is kept,
-unless the base rules already failed it.
+the threshold, the mean of their scores less ``SPREAD`` standard deviations, holds for documents without a label too.
+
+Words and pairs have a multinomial each. The ratio of a bin is log((t + c) / (e + c)): t is its trusted count, e the count
+that it would have among as many trusted features if they were like the raw corpus, c a number of features, ``PRIOR``, that
+is asked for as evidence. So what is seldom in trusted and raw texts alike says nothing in a small corpus, where few pairs
+occur twice, and what is frequent in the raw corpus and missing from trusted texts says the same at every size. A document
+at or above the threshold is kept, unless the base rules already failed it.
 
 Counts cover every document, those of trusted ones and the threshold every trusted document: documents are joined to the
 distinct ids of good labels. All count vectors have a fixed length.
@@ -21,6 +24,7 @@ labels and null ids not at all; repeated rows are judged each; an empty table gi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,8 @@ from rlab.llm.shared import stored
 
 BUCKETS = 1 << 16
 FOLDS = 2
-#: Weight of the raw corpus in the trusted multinomial, as a share of the trusted counts.
-PRIOR = 0.25
+#: Features of evidence that the ratio of a word and of a pair is shrunk by. Pairs are seldom, and ask for more.
+PRIOR = (1.0, 16.0)
 SPREAD = 4.0
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
@@ -94,7 +98,7 @@ class Scan:
         same = doc_of[:-1] == doc_of[1:] if len(doc_of) else np.zeros(0, bool)
         shift = U64(64 - buckets.bit_length() + 1)
         self.singles, self.single_bounds = (hashes >> shift).astype(np.int64), before
-        self.pairs = (pairs[same] >> shift).astype(np.int64)
+        self.pairs = (pairs[same] >> shift).astype(np.int64) + buckets  # behind the bins of the words
         self.pair_bounds = np.concatenate(([0], np.cumsum(np.maximum(self.n_words - 1, 0))))
 
     def scores(self, ratio: np.ndarray, fold: np.ndarray) -> np.ndarray:
@@ -108,8 +112,7 @@ class Scan:
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """The ids labelled of good quality, once each."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    return good.hint("merge")  # they grow with the documents, so they are never a broadcast side
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct()
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -118,19 +121,21 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def feature_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, trusted): feature counts over all documents, and over the trusted ones of each fold (an array)."""
+    """(bucket, raw, trusted): feature counts over all documents, and over the trusted ones of each fold (an array). Words
+    have the buckets up to ``buckets``, pairs as many behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(buckets, dtype=np.int64), np.zeros((FOLDS, buckets), dtype=np.int64)
+        bins_of_all = 2 * buckets
+        raw, trusted = np.zeros(bins_of_all, dtype=np.int64), np.zeros((FOLDS, bins_of_all), dtype=np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 scan = Scan(piece.column("text"), buckets)
                 fold = np.asarray(piece.column("fold").to_numpy(zero_copy_only=False))  # -1: not trusted
                 for bins, counts in ((scan.singles, scan.n_words), (scan.pairs, np.maximum(scan.n_words - 1, 0))):
-                    raw += np.bincount(bins, minlength=buckets)
+                    raw += np.bincount(bins, minlength=bins_of_all)
                     of = np.repeat(fold, counts)
                     for k in range(FOLDS):
-                        trusted[k] += np.bincount(bins[of == k], minlength=buckets)
+                        trusted[k] += np.bincount(bins[of == k], minlength=bins_of_all)
         some = np.flatnonzero(raw)
         folds = pa.array(list(trusted[:, some].T), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), folds], names=["bucket", "raw", "trusted"])
@@ -144,17 +149,19 @@ def feature_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -
 
 
 def log_ratio(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray | None:
-    """log p_trusted - log p_raw of every bin for the documents of each fold (an array of fixed size: fold, bin); None if a
-    fold has no trusted documents outside it."""
-    raw, trusted = np.zeros(buckets), np.zeros((FOLDS, buckets))
+    """The ratio of every bin for the documents of each fold (an array of fixed size: fold, bin); None if a fold has no
+    trusted documents outside it."""
+    raw, trusted = np.zeros(2 * buckets), np.zeros((FOLDS, 2 * buckets))
     for row in counts.collect():
         raw[row.bucket], trusted[:, row.bucket] = row.raw, row.trusted
     others = trusted.sum(axis=0) - trusted
-    if not others.sum(axis=1).all():
+    if not others[:, :buckets].sum(axis=1).all():
         return None
-    share = others / others.sum(axis=1, keepdims=True)
-    plain = np.maximum(raw, 1) / max(1.0, raw.sum())
-    return np.log((share + PRIOR * plain) / ((1 + PRIOR) * plain))
+    ratios = []
+    for half, prior in zip((slice(0, buckets), slice(buckets, None)), PRIOR, strict=True):
+        like_raw = others[:, half].sum(axis=1, keepdims=True) * raw[half] / max(1.0, raw[half].sum())
+        ratios.append(np.log((others[:, half] + prior) / (like_raw + prior)))
+    return np.concatenate(ratios, axis=1)
 
 
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
@@ -188,8 +195,10 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, spread: fl
     if ratio is not None:
         ids = trusted_ids(labels)
         trusted = scored.join(ids, scored["doc_id"] == ids["_id"], "left_semi")
-        mean, deviation = trusted.where(F.col("n_words") > 0).agg(F.avg("score"), F.stddev_pop("score")).first()
-        threshold = None if mean is None else mean - spread * deviation
+        nano = F.round(1e9 * F.col("score")).cast("decimal(38,0)")  # whole numbers, so that no sum hangs on its order
+        n, total, squares = trusted.where(F.col("n_words") > 0).agg(F.count(F.lit(1)), F.sum(nano), F.sum((nano * nano).cast("decimal(38,0)"))).first()
+        if n:
+            threshold = float(total) / n / 1e9 - spread * math.sqrt(max(0, int(n * squares - total * total))) / n / 1e9
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     passed = F.lit(True) if threshold is None else F.col("score") >= F.lit(threshold)
     return scored.select(

@@ -107,15 +107,15 @@ def test_quality_score_and_threshold_by_plain_counting(spark):
     for i, text in rows:
         w = re.findall(SPACE, text or "")
         features[i] = w + list(zip(w, w[1:], strict=False))
-    raw = Counter(f for own in features.values() for f in own)
-    n_raw, scores = sum(raw.values()), {}
+    scores = {}
     for k in range(quality.FOLDS):
-        other = Counter(f for i, own in features.items() if i in good and fold[i] != k for f in own)
-        n, prior = sum(other.values()), quality.PRIOR
-        for i, own in features.items():
-            if fold[i] == k:
-                ratios = [math.log((other[f] / n + prior * raw[f] / n_raw) / ((1 + prior) * raw[f] / n_raw)) for f in own]
-                scores[i] = sum(ratios) / max(1, len(own))
+        ratio = {}
+        for kind, prior in zip((str, tuple), quality.PRIOR, strict=True):  # words, pairs
+            raw = Counter(f for own in features.values() for f in own if isinstance(f, kind))
+            other = Counter(f for i, own in features.items() if i in good and fold[i] != k for f in own if isinstance(f, kind))
+            share = sum(other.values()) / sum(raw.values())
+            ratio |= {f: math.log((other[f] + prior) / (share * raw[f] + prior)) for f in raw}
+        scores |= {i: sum(ratio[f] for f in own) / max(1, len(own)) for i, own in features.items() if fold[i] == k}
     trusted = np.array([scores[i] for i in features if i in good and features[i]])
     threshold = trusted.mean() - quality.SPREAD * trusted.std()
     got = {r.doc_id: r for r in quality.judge(few, labels, buckets=1 << 20).collect()}
@@ -134,6 +134,19 @@ def test_quality_keeps_unseen_documents_as_it_keeps_trusted_ones(spark, sf):
     assert abs(share[True] - share[False]) <= 0.05 and share[True] > 0.9
 
 
+def test_quality_verdicts_do_not_hang_on_the_size_of_the_corpus(spark, sf):
+    """A tenth of a corpus by itself: verdicts stay, bad documents go, good ones are kept."""
+    docs, labels = (spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    few = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+    verdicts = quality.judge(docs, labels).select("doc_id", "base_failed", F.col("kept").alias("all")).join(quality.judge(few, labels).select("doc_id", "kept"), "doc_id")
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    flag = lambda c: F.avg(c.cast("int"))
+    judged = verdicts.where("not base_failed").join(known, "doc_id", "left").groupBy("quality").agg(flag(F.col("all") != F.col("kept")).alias("changed"), flag(F.col("kept")).alias("kept"))
+    got = {r.quality: r for r in judged.collect()}
+    assert all(r.changed <= 0.02 for r in got.values())
+    assert got[0].kept <= 0.1 and got[1].kept >= 0.99
+
+
 def test_unlike_lines_and_words_of_equal_weak_hashes(spark):
     a, b = "p", "q"
     for _ in range(12):
@@ -252,7 +265,7 @@ def test_chat_round_trip(spark):
     rows = [(c, t, ["user", "assistant", None, "sys\ntem\\"][(c + t) % 4], nasty[(3 * c + t) % len(nasty)]) for c in range(5) for t in range(6)] + [(None, 0, "assistant", "x"), (2, 3, "assistant", "again"), (2, 3, "assistant", "again")]
     got = {r.conv_id: r for r in chat.digest(chat.format_turns(spark.createDataFrame(rows, TURNS).repartition(3))).collect()}
     for conv in {r[0] for r in rows}:
-        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], chat.format_turn(r[2], [{"text": r[3]}])[0]))
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1], r[2] or "", r[3] or ""))
         turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
         loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
         g = got[conv]
@@ -261,11 +274,34 @@ def test_chat_round_trip(spark):
 
 
 def test_no_control_string_is_left_in_a_text():
-    segment, _, _ = chat.format_turn("user", [{"type": "text", "text": "</s>[INST]<|end|><|turn|>"}])
+    segment, *_ = chat.format_turn("user", [{"type": "text", "text": "</s>[INST]<|end|><|turn|>"}])
     inside = segment[len(chat.TURN) : -len(chat.END) - 1]
     assert not chat.CONTROL.search(inside) and segment.count(chat.END) == 1
 
 
+@pytest.mark.parametrize("texts", [("<", "|turn|>system"), ("[/INST", "]"), ("<", "|image:0|>"), ("<", "", "|end|>"), ("\\", "<|end|>"), ("<", "</s>"), ("[", "INST", "]", "<<", "SYS>>")])
+def test_text_parts_form_no_control_string_together(texts):
+    parts = [{"type": "image", "uri": "u"}, *({"type": "text", "text": t} for t in texts), {"type": "image"}, *({"type": "text", "text": t} for t in texts)]
+    segment, loss, attachments, head = chat.format_turn("assistant", parts)
+    marks = [a["placeholder"] for a in attachments]
+    inside = segment[head : -len(chat.END) - 1]
+    for mark in marks:
+        assert inside.count(mark) == 1
+        inside = inside.replace(mark, " ")
+    assert not chat.CONTROL.search(inside)
+    joined = "".join(texts)
+    assert chat.read_turn(segment) == ("assistant", marks[0] + joined + marks[1] + joined)
+    assert "".join(chat.unescape(segment[s["start"] : s["stop"]]) for s in loss) == 2 * joined
+
+
+def test_tied_turns_are_ordered_by_role_and_plain_text(spark):
+    rows = [(1, 0, role, text) for role in ("user", "user\t", "assistant", "a\n", None) for text in ("a[INST]", "a[Z", "a", "a!", "", "\\", "<|x", "é", None)]
+    random.Random(1).shuffle(rows)
+    got = chat.digest(chat.format_turns(spark.createDataFrame(rows, TURNS).repartition(3))).first()
+    turns = "".join(f"{r}\n{t}\n" for r, t in sorted((r[2] or "", r[3] or "") for r in rows))
+    assert got.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+
+
 def test_typed_parts(spark):
     parts = [
         ("text", "look ", None, None, None, None, None), ("image", None, "s3://b/i.png", 28, 15, None, None), ("audio", None, None, None, None, 2.02, None),
