@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning, and the components of its links.
 
-A document's set is its distinct word n-grams. All n-grams have one global order, rare ones first; the order is cut into
-``FRAGMENTS`` fragments, so every set falls into segments. Overlaps are counted fragment by fragment, from the segments of
+A document's set is its distinct word n-grams. All n-grams have one global order, rare ones first (by the class of their
+count, a power of two, then by hash); the order is cut into ``FRAGMENTS`` fragments, so every set falls into segments. Overlaps are counted fragment by fragment, from the segments of
 that fragment alone, and the partial counts of a pair are summed. Two sets are linked when 100 * overlap >= threshold *
 union. Nothing is estimated: what is left out below cannot be linked.
 
@@ -9,8 +9,8 @@ union. Nothing is estimated: what is left out below cannot be linked.
    occur in another document is linked with nothing. This is tested on a quarter of all n-grams, chosen by hash (all, for
    short sets): the n-grams that a set may miss could all be in that quarter, and are allowed for. N-grams are dealt by
    ranges of their hash; an n-gram met twice in one batch moves once, so a passage of very many documents stays small.
-2. Order. N-grams of the covered sets are counted and ordered by count, then hash; those of one set count for nothing but
-   the set's size. Again sets with too few shared n-grams go.
+2. Order. N-grams of the covered sets are counted and ordered; those of one set count for nothing but the set's size. Again
+   sets with too few shared n-grams go.
 3. Families. Linked sets share one of their first size - ceil(threshold * size) + 1 n-grams. For each such n-gram, all
    sets that hold it are joined to the least of them: a star. The components of the stars are families; links do not leave
    them.
@@ -32,6 +32,7 @@ rows; other columns, of any name, are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,10 +52,12 @@ BLOCK, WIDE = 256, 2048
 #: N-grams whose hash is 0 modulo this are tested for cover; sets of up to ``SHORT`` n-grams are tested with all.
 SAMPLE, SHORT = 4, 64
 #: Bytes of text for each range of hashes, so that a range holds about two million n-grams.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES, LEAST_RANGES = 64 << 20, 16
 #: Covered texts are fetched by a broadcast of their ids up to this many, else by a merge of all texts.
 BROADCAST_IDS = 500_000
 _PIECE_BYTES, _PIECE_ROWS = 2 << 20, 60_000
+#: The global order is summed up in this many bits of the hash, by class.
+_PART_BITS = 6
 #: Sets that a task cuts into segments, or into rows of n-grams, at once.
 _CUT_ROWS = 500
 #: In place of a row: an n-gram that is not counted for any, and one that is known to occur in several.
@@ -110,7 +113,7 @@ def _scan_piece(piece: pa.RecordBatch, base: int, shingle: int, threshold: int,
     credit += np.bincount(rows[several & (rows < _SEVERAL)], minlength=m)
     grams, rows = grams[head], np.where(count > 1, _SEVERAL, rows[head]).astype(np.uint16)
     short = (grams >> U64(32 - bits)).astype(np.uint32)
-    ends = np.searchsorted(grams >> U64(64 - bits), np.arange(1, (1 << bits) + 1, dtype=U64)) if bits else np.array([len(grams)])
+    ends = np.searchsorted(grams >> U64(64 - bits), np.arange(1, (1 << bits) + 1, dtype=U64)) 
     starts = np.concatenate(([0], ends[:-1]))
     ranges = np.flatnonzero(ends > starts)
     head_bytes = np.array([base], dtype=np.int64).tobytes()
@@ -154,8 +157,8 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for at in range(0, batch.num_rows, _CUT_ROWS):
             part = batch.slice(at, _CUT_ROWS)
             sets = part.column("shingles").to_pylist()
-            nodes = np.repeat(part.column("node").to_numpy(), [len(s) // 8 for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.frombuffer(b"".join(sets), np.int64))], names=["node", "gram"])
+            row = pa.array(owners(np.array([len(s) // 8 for s in sets], dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("node").take(row), part.column("n").take(row), pa.array(np.frombuffer(b"".join(sets), np.int64))], names=["node", "n", "gram"])
 
 
 def _sets(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -174,7 +177,7 @@ def covered_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, thre
     """All rows (row, doc_id, sha, n_shingles, h1, h2), all different sets (KEY, node, text_key), and the sets that may be
     linked (node, n, shingles)."""
     slim = keyed_texts(docs, id_col, text_col)
-    bits = min(24, max(1, (parts_for(text_bytes(slim), RANGE_BYTES, 1) - 1).bit_length()))
+    bits = min(24, (parts_for(text_bytes(slim), RANGE_BYTES, LEAST_RANGES) - 1).bit_length())
     # rows are numbered in a written table, so that the numbers hold if a task runs again
     scanned = stored(slim.mapInArrow(_scan(shingle, threshold, bits), _SCANNED), "ngrams")
     signed = scanned.where("row is not null").select("row", "doc_id", "sha", *KEY)
@@ -195,20 +198,65 @@ def covered_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, thre
     return signed, reps, sets
 
 
-def ordered_sets(sets: DataFrame, threshold: int) -> DataFrame:
-    """(node, n, grams): of each set the n-grams that others have too, in the global order, where they are enough for a link;
-    grams is an array of (df, gram)."""
-    grams = sets.select("node", "shingles").mapInArrow(_explode_sets, "node long, gram long")
-    counts = stored(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "gram-counts")
-    shared = grams.join(counts.hint("merge"), "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
-    need = F.ceil(F.lit(threshold) * F.col("n") / 100)
-    return stored(shared.join(sets.select("node", "n"), "node").where(F.size("grams") >= need), "ordered-sets")
+def _pack(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by set and global order as one row for each set that has enough of them for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, (None,)):
+            if batch is not None and not batch.num_rows:
+                continue
+            columns = None if batch is None else [batch.column(c).to_numpy() for c in ("node", "n", "class", "gram")]
+            if held is not None and columns is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            columns = columns or held
+            if columns is None:
+                return
+            starts = [a for a, _ in _runs(columns[:1])]
+            end = len(columns[0]) if batch is None else starts[-1]  # the last set may go on in the next batch
+            held = [c[end:] for c in columns]
+            bounds = [*(a for a in starts if a < end), end]
+            node, n, size = columns[0][bounds[:-1]], columns[1][bounds[:-1]], np.diff(bounds)
+            for at in np.array_split(np.flatnonzero(size >= needed(n, threshold)), max(1, end // 1_000_000)):
+                cut = lambda data: pa.array([data[bounds[k] : bounds[k + 1]].tobytes() for k in at], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(n[at]), pa.array(size[at]), cut(columns[2].astype(np.uint8)), cut(columns[3])], names=["node", "n", "size", "classes", "grams"])
+
+    return run
+
+
+def ordered_sets(sets: DataFrame, threshold: int, fragments: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(node, n, size, classes, grams): of each set the n-grams that others have too, in the global order, where they are
+    enough for a link; size is their number. And the bounds (class, gram) of the fragments, which hold about equally many
+    n-grams: the order is summed up in parts of each class, at most some thousand in all."""
+    grams = sets.mapInArrow(_explode_sets, "node long, n long, gram long")
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counts = stored(counts.select("gram", "df", F.floor(F.log2("df")).cast("int").alias("class")), "gram-counts")
+    parts = counts.groupBy("class", F.shiftright("gram", 64 - _PART_BITS).alias("part")).agg(F.sum("df").alias("n")).orderBy("class", "part").collect()
+    total, seen, bounds = sum(r.n for r in parts), 0, []
+    for r in parts:
+        seen += r.n
+        if len(bounds) + 1 < fragments and seen * fragments >= total * (len(bounds) + 1):
+            bounds.append((r["class"], (r.part + 1 << 64 - _PART_BITS) - 1))
+    shared = grams.join(counts.select("gram", "class").hint("merge"), "gram").select("node", "n", "class", "gram")
+    shared = shared.repartition("node").sortWithinPartitions("node", "class", "gram")
+    return stored(shared.mapInArrow(_pack(threshold), "node long, n long, size long, classes binary, grams binary"), "ordered-sets"), bounds
+
+
+def _prefixes(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One of the first size - needed + 1 n-grams of a set is shared with whatever it is linked to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.column("size").to_numpy() - needed(batch.column("n").to_numpy(), threshold) + 1
+            heads = [g[: 8 * k] for g, k in zip(batch.column("grams").to_pylist(), count.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), count)), pa.array(np.frombuffer(b"".join(heads), np.int64))], names=["node", "gram"])
+
+    return run
 
 
 def families(ordered: DataFrame, threshold: int) -> DataFrame:
     """(node, family): components of sets that share an n-gram of their prefixes. Sets without such a one are not listed."""
-    prefix = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") / 100) + 1 - (F.col("n") - F.size("grams"))).cast("int")
-    posted = stored(ordered.select("node", F.explode(F.slice("grams", F.lit(1), prefix)).alias("g")).select("node", F.col("g.gram").alias("gram")), "postings")
+    posted = stored(ordered.select("node", "n", "size", "grams").mapInArrow(_prefixes(threshold), "node long, gram long"), "postings")
     heads = stored(posted.groupBy("gram").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram", "b"), "stars")
     stars = posted.join(heads, "gram").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     return components(stars, "families").select(F.col("id").alias("node"), F.col("component").alias("family"))
@@ -230,34 +278,33 @@ def _cut(bounds: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _cut_rows(batch: pa.RecordBatch, bounds: list[tuple[int, int]]) -> pa.RecordBatch:
-    lists = batch.column("grams")
-    sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
-    df, gram, of = flat.field("df").to_numpy(), flat.field("gram").to_numpy(), owners(sizes)
-    fragment = np.zeros(len(df), dtype=np.int32)
-    for bound_df, bound_gram in bounds:
-        fragment += (df > bound_df) | ((df == bound_df) & (gram > bound_gram))
-    head = np.flatnonzero(np.concatenate(([True], (np.diff(of) != 0) | (np.diff(fragment) != 0)))) if len(df) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(df))
+    sizes = batch.column("size").to_numpy()
+    of = owners(sizes)
+    kind, gram = np.frombuffer(b"".join(batch.column("classes").to_pylist()), np.uint8), np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.int64)
+    fragment = np.zeros(len(gram), dtype=np.int32)
+    for bound_class, bound_gram in bounds:
+        fragment += (kind > bound_class) | ((kind == bound_class) & (gram > bound_gram))
+    runs = np.array(_runs([of, fragment]), dtype=np.int64).reshape(-1, 2)
+    head, length = runs[:, 0], runs[:, 1] - runs[:, 0]
     row = of[head]
     before = head - (np.cumsum(sizes) - sizes)[row]
     grams = np.ascontiguousarray(gram[np.lexsort((gram, fragment, of))])
-    cut = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((np.append(head, len(df)) * 8).astype(np.int32)), pa.py_buffer(grams)])
-    columns = [*(batch.column(c).take(pa.array(row)) for c in ("family", "node", "n")), pa.array(fragment[head]), pa.array(before.astype(np.int32)), pa.array((sizes[row] - before - (ends - head)).astype(np.int32)), cut]
+    cut = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((np.append(head, len(gram)) * 8).astype(np.int32)), pa.py_buffer(grams)])
+    columns = [*(batch.column(c).take(pa.array(row)) for c in ("family", "node", "n")), pa.array(fragment[head]), pa.array(before.astype(np.int32)), pa.array((sizes[row] - before - length).astype(np.int32)), cut]
     return pa.RecordBatch.from_arrays(columns, names=["family", "node", "n", "fragment", "before", "after", "grams"])
 
 
-def segments(ordered: DataFrame, members: DataFrame, fragments: int) -> DataFrame:
-    """The segments of all members of families; fragments hold about equal numbers of n-grams."""
-    listed = ordered.join(members, "node")
-    high = F.shiftright(F.col("g.gram"), 32) + F.lit(1 << 31)  # the upper half of a gram, from 0
-    cuts = listed.select(F.explode("grams").alias("g")).agg(F.percentile_approx(F.col("g.df") * F.lit(1 << 32) + high, [k / fragments for k in range(1, fragments)], 1000)).first()[0] or []
-    bounds = [(cut >> 32, ((cut & 0xFFFFFFFF) - (1 << 31) << 32) | 0xFFFFFFFF) for cut in sorted(set(cuts))]
-    return stored(listed.select("family", "node", "n", "grams").mapInArrow(_cut(bounds), _SEGMENT), "segments")
+def segments(ordered: DataFrame, members: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """The segments of all members of families."""
+    listed = ordered.join(members, "node").select("family", "node", "n", "size", "classes", "grams")
+    return stored(listed.mapInArrow(_cut(bounds), _SEGMENT), "segments")
 
 
 def _runs(keys: list[np.ndarray]) -> list[tuple[int, int]]:
     """Ranges of neighbours with equal keys."""
     n = len(keys[0])
+    if not n:
+        return []
     new = np.zeros(n, dtype=bool)
     new[:1] = True
     for key in keys:
@@ -288,7 +335,7 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def centre_links(cut: DataFrame, ordered: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """(a, b): the members of each family that are linked to one of its centres."""
-    spare = (F.col("n") - F.size("grams")) / F.col("n")
+    spare = (F.col("n") - F.col("size")) / F.col("n")
     rank = F.row_number().over(Window.partitionBy("family").orderBy("spare", "node"))
     ranked = ordered.select("node", "n", spare.alias("spare")).join(members, "node").withColumn("place", rank)
     centres = stored(ranked.where(F.col("place") <= CENTRES).select("family", "node", "n", "place"), "centres")
@@ -369,9 +416,9 @@ def block_links(cut: DataFrame, members: DataFrame, links: DataFrame, threshold:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, fragments: int = FRAGMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row. ``shingle``: words; ``threshold``: percent."""
     signed, reps, sets = covered_sets(docs, id_col, text_col, shingle, threshold)
-    ordered = ordered_sets(sets, threshold)
+    ordered, bounds = ordered_sets(sets, threshold, fragments)
     members = stored(families(ordered, threshold), "members")
-    cut = segments(ordered, members, fragments)
+    cut = segments(ordered, members, bounds)
     links = stored(centre_links(cut, ordered, members, threshold), "centre-links")
     more = block_links(cut, members, links, threshold)
     if more is not None:
