@@ -105,10 +105,12 @@ def dedupe_hierarchical(reports: DataFrame, arrival: str = "arrival") -> DataFra
 
 
 def content_dedupe(df: DataFrame, content: str, order: str) -> DataFrame:
-    """One row for each content, that of the least ``order`` (of equal ones all). Contents are compared by digest."""
+    """One row for each content, that of the least ``order`` (of equal ones all). Rows without an order come after all
+    others, and stay where a content has no other. Contents are compared by digest."""
     keyed = df.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(content), F.lit("")), 256)))
-    firsts = keyed.groupBy("_sha").agg(F.min(order).alias(order))
-    return keyed.join(firsts, ["_sha", order], "left_semi").drop("_sha")
+    firsts = keyed.groupBy("_sha").agg(F.min(order).alias("_first"))
+    same = (keyed["_sha"] == firsts["_sha"]) & keyed[order].eqNullSafe(firsts["_first"])
+    return keyed.join(firsts, same, "left_semi").drop("_sha")
 
 
 def distinct_ids(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rlab.functions import text as X
 from rlab.functions import vectors as V
+from rlab.operators.kbest import LISTED, KBest, offer_products
 from rlab.operators.rank import topk_per_query
-from rlab.sources.io import scratch_dir, stored
+from rlab.sources.io import stored
 
 #: Depths at which recall is reported.
 RECALL_KS = [30, 40, 50, 60, 70, 80, 90, 100, 200, 300, 400, 500, 700]
@@ -29,12 +32,28 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each row and distinct token, with the number of its tokens; all other columns go along."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            lists = part.column("tokens")
+            sizes = np.diff(lists.offsets.to_numpy())
+            terms = lists.flatten().dictionary_encode()
+            cell, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(terms.dictionary)) + terms.indices.to_numpy(), return_counts=True)
+            row = cell // max(1, len(terms.dictionary))
+            others = [n for n in part.schema.names if n != "tokens"]
+            columns = [*(part.column(n).take(pa.array(row)) for n in others), pa.array(sizes[row].astype(np.int32)), terms.dictionary.take(pa.array(cell % max(1, len(terms.dictionary)))), pa.array(tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "dl", "term", "tf"])
+
+
 def postings(corpus: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, item_id, dl, term, tf) of a corpus with a ``tokens`` column: texts are cut into tokens once, and all statistics
-    come from this written table. ``dl``: tokens of the item."""
-    by = by or []
-    tall = corpus.select(*by, "item_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return stored(tall.groupBy(*by, "item_id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf")), "postings")
+    """(by, item_id, dl, term, tf) of a corpus with a ``tokens`` column: texts are cut into tokens once, a row's tokens are
+    counted where the row is, and all statistics come from this written table. ``dl``: tokens of the item. An item is one row."""
+    names = [*(by or []), "item_id"]
+    kinds = [f"`{n}` {corpus.schema[n].dataType.simpleString()}" for n in names]
+    tall = corpus.where("tokens is not null").select(*names, F.filter("tokens", lambda t: t.isNotNull()).alias("tokens"))
+    return stored(tall.mapInArrow(_count_terms, ", ".join([*kinds, "dl int", "term string", "tf long"])), "postings")
 
 
 def term_statistics(corpus: DataFrame, by: list[str], posted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,39 +92,69 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = No
 
 
 class _Block:
-    """Query terms of one block as arrays: of each term the queries that have it and how often."""
+    """Query terms of one block as arrays: of each term the queries that have it, how often, and the most that it can add to
+    their scores.
+
+    Terms of a query that cannot lift an item to the query's floor, all together, are its minor ones. Items are found by the
+    other terms; minor ones are looked up only where an item, with all of them, could reach the floor."""
 
     def __init__(self, rows: pd.DataFrame, names: list[str]):
-        codes = rows.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
         self.queries = rows[names].drop_duplicates().reset_index(drop=True)
+        codes = rows.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
         term, keys = pd.factorize(rows["_key"])
         order = np.argsort(term, kind="stable")
         self.code = {key: k for k, key in enumerate(keys)}
-        self.starts = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(keys)))))
-        self.query, self.qtf = codes[order], rows["qtf"].to_numpy(dtype=np.float64)[order]
+        self.term, self.query, self.qtf = term[order], codes[order], rows["qtf"].to_numpy(dtype=np.float64)[order]
+        self.most = np.maximum(rows["most"].to_numpy(dtype=np.float64)[order] * self.qtf, 0)
+        self.by_most = np.lexsort((self.most, self.query))
         #: Items whose scores are added up at once.
         self.items = max(1, min(CELLS // max(1, len(self.queries)), 4 * CELLS // max(1, len(rows))))
-
-    def score(self, items: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> pd.DataFrame:
-        """(query number, item_id, score, n_terms) of all pairs that share a term."""
+        self.split(np.full(len(self.queries), -np.inf))
+
+    def split(self, floor: np.ndarray) -> None:
+        """Sets the minor terms of each query by its floor."""
+        self.floor = floor.copy()
+        query, most = self.query[self.by_most], self.most[self.by_most]
+        total = np.cumsum(most)
+        start = np.searchsorted(query, np.arange(len(floor)))
+        total -= (total - most)[start][query] if len(query) else 0
+        minor = np.zeros(len(query), dtype=bool)
+        minor[self.by_most] = total < floor[query] - 1e-6
+        self.rest = np.bincount(self.query[minor], weights=self.most[minor], minlength=len(floor))
+        self.major, self.minor = (self._lists(np.flatnonzero(m)) for m in (~minor, minor))
+
+    def _lists(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.searchsorted(self.term[which], np.arange(len(self.code) + 1))
+        return starts, self.query[which], self.qtf[which]
+
+    def _cells(self, lists: tuple[np.ndarray, np.ndarray, np.ndarray], item: np.ndarray, code: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each posting once for each query that has its term: the cell (item x query) and what it adds."""
+        starts, query, qtf = lists
+        counts = starts[code + 1] - starts[code]
+        row = np.repeat(np.arange(len(code)), counts)
+        at = np.repeat(starts[code] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return item[row] * len(self.queries) + query[at], weights[row] * qtf[at]
+
+    def score(self, items: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """query, score, item and n_terms of all pairs that share a term and may reach the query's floor."""
         item, names = pd.factorize(items)
         term, found = pd.factorize(keys)
         code = np.array([self.code.get(key, -1) for key in found], dtype=np.int64)[term]
         known = np.flatnonzero(code >= 0)
-        code = code[known]
-        counts = self.starts[code + 1] - self.starts[code]
-        row = np.repeat(known, counts)
-        at = np.repeat(self.starts[code] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        cell = item[row] * len(self.queries) + self.query[at]
-        n_terms = np.bincount(cell, minlength=1)
-        some = np.flatnonzero(n_terms)
-        scores = np.bincount(cell, weights=weights[row] * self.qtf[at], minlength=1)[some]
-        return pd.DataFrame({"_q": some % len(self.queries), "item_id": names[some // len(self.queries)], "score": np.round(scores, 9), "n_terms": n_terms[some]})
-
-
-def _cut(rows: list[pd.DataFrame], k: int) -> list[pd.DataFrame]:
-    """The k best rows of each query, ties by item."""
-    return [pd.concat(rows).sort_values(["_q", "score", "item_id"], ascending=[True, False, True]).groupby("_q").head(k)] if rows else []
+        item, code, weights = item[known], code[known], weights[known]
+        size = len(names) * len(self.queries)
+        cell, adds = self._cells(self.major, item, code, weights)
+        n_terms, scores = np.bincount(cell, minlength=size), np.bincount(cell, weights=adds, minlength=size)
+        floor = np.tile(self.floor, len(names))
+        if len(self.minor[1]):
+            alive = (n_terms > 0) & (scores + np.tile(self.rest, len(names)) >= floor - 1e-6)
+            some = np.flatnonzero(alive.reshape(len(names), -1).any(axis=1)[item])
+            cell, adds = self._cells(self.minor, item[some], code[some], weights[some])
+            inside = alive[cell]
+            n_terms = n_terms * alive + np.bincount(cell[inside], minlength=size)
+            scores += np.bincount(cell[inside], weights=adds[inside], minlength=size)
+        good = np.flatnonzero((n_terms > 0) & (scores >= floor - 1e-9))
+        return good % len(self.queries), np.round(scores[good], 9), names[good // len(self.queries)], n_terms[good]
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None) -> DataFrame:
@@ -114,15 +163,19 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | Non
 
     The postings of query terms are sorted by item, and query terms go out in blocks of bounded size, one at a time; a task
     adds up the scores of some items at once and keeps its own k best, so the pairs that share a term are never rows of a
-    shuffle."""
+    shuffle. The k-th score so far bounds what is looked up at all: with the largest weight of each term, an item that
+    cannot reach it is left out before its frequent terms are read. Each block's result is a written table of its own."""
     by = by or []
     query_terms, weights = _bm25_weights(queries, corpus, by, k1, b, eps, posted)
     spark, names = corpus.sparkSession, [*by, "query_id"]
     key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by], "term").alias("_key")
-    asked = stored(query_terms.select(*names, key, "qtf"), "query-terms")
-    blocks = max(1, -(-asked.count() * 100 // BLOCK_BYTES))
-    by_item = weights.select("item_id", key, "weight").repartition("item_id").sortWithinPartitions("item_id")
-    by_item = by_item if blocks == 1 else stored(by_item, "weights")
+    weights = stored(weights.select("item_id", key, "weight"), "weights")
+    asked = query_terms.select(*names, key, "qtf").join(weights.groupBy("_key").agg(F.max("weight").alias("most")), "_key")
+    asked = stored(asked, "query-terms")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).alias("queries")).first()
+    blocks = max(1, -(-size.n * 100 // BLOCK_BYTES), -(-size.queries * k // LISTED))
+    by_item = weights.repartition("item_id").sortWithinPartitions("item_id")
+    by_item = by_item if blocks == 1 else stored(by_item, "weights-by-item")
     kinds = [f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in names] + [f"item_id {corpus.schema['item_id'].dataType.simpleString()}", "score double", "n_terms long"]
 
     def of_block(rows: DataFrame) -> DataFrame:
@@ -130,23 +183,29 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | Non
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             block = _Block(shared.value, names)
-            best: list[pd.DataFrame] = []
+            best = KBest(len(block.queries), k)
             for items, keys, values in _whole_items(batches, block.items):
-                best.append(block.score(items, keys, values))
-                if sum(map(len, best)) > CELLS:
-                    best = _cut(best, k)
-            for found in _cut(best, k):
-                owners = block.queries.iloc[found["_q"].to_numpy()].reset_index(drop=True)
-                yield pd.concat([owners, found.drop(columns="_q").reset_index(drop=True)], axis=1)[[*names, "item_id", "score", "n_terms"]]
+                best.offer(*block.score(items, keys, values))
+                if (best.floor > block.floor).any():
+                    block.split(best.floor)
+            found = best.rows()
+            for at in range(0, len(found[0]) if found else 0, 100_000):
+                query, score, item, n_terms = (c[at : at + 100_000] for c in found)
+                owners = block.queries.iloc[query].reset_index(drop=True)
+                yield pd.concat([owners, pd.DataFrame({"item_id": item, "score": score, "n_terms": n_terms})], axis=1)[[*names, "item_id", "score", "n_terms"]]
 
         return topk_per_query(by_item.mapInPandas(run, ", ".join(kinds)), k)
 
+    return _blockwise(of_block, asked, blocks)
+
+
+def _blockwise(of_block: Callable[[DataFrame], DataFrame], asked: DataFrame, blocks: int) -> DataFrame:
+    """The results of all blocks of queries. Blocks run one after another, each into a table of its own, so one that is tried
+    again finds nothing of the first try."""
     if blocks == 1:
         return of_block(asked)
-    path = scratch_dir(spark, "topk")
-    for n in range(blocks):
-        of_block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    parts = [stored(of_block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)), "topk") for n in range(blocks)]
+    return reduce(DataFrame.union, parts)
 
 
 def _whole_items(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,17 +229,9 @@ def _whole_items(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[n
         yield rows["item_id"].to_numpy(), rows["_key"].to_numpy(), rows["weight"].to_numpy()
 
 
-def _best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best items of each query in a matrix of scores (query, item), ties by item."""
-    order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
-    best = np.take_along_axis(scores, order, axis=1)
-    found = np.isfinite(best)
-    return pd.DataFrame({"query_id": np.repeat(ids, found.sum(axis=1)), "item_id": items[order[found]], "score": best[found]})
-
-
 def _best_of_batches(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False, several: bool = False) -> DataFrame:
-    """(query_id, item_id, score, rank). Query vectors go out in blocks of bounded size, one at a time; each Arrow batch of
-    vectors is one matrix product and keeps its own k best items, which hold every item that can be among the k best.
+    """(query_id, item_id, score, rank). Query vectors go out in blocks, one at a time, bounded by their bytes and by the
+    entries of their lists; a task multiplies tiles of queries and vectors and keeps running lists of the k best.
     ``several``: an item may have several vectors, of which the best counts."""
     spark = vectors.sparkSession
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {vectors.schema['item_id'].dataType.simpleString()}, score double"
@@ -193,31 +244,23 @@ def _best_of_batches(queries: DataFrame, vectors: DataFrame, k: int, exclude_sel
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, left = shared.value
+            if left is None:
+                return
+            best = KBest(len(ids), k, once=several)
             for batch in batches:
-                if left is None or not len(batch):
-                    continue
-                items = batch["item_id"].to_numpy()
-                scores = np.round(left @ _unit(np.stack(batch["vec"].to_numpy()).astype(np.float64)).T, 9)
-                if several:
-                    names, place = np.unique(items, return_inverse=True)
-                    order = np.argsort(place, kind="stable")
-                    scores = np.maximum.reduceat(scores[:, order], np.searchsorted(place[order], np.arange(len(names))), axis=1)
-                    items = names
-                if exclude_self:
-                    scores[ids[:, None] == items[None, :]] = -np.inf
-                yield _best(ids, items, scores, k)
+                if len(batch):
+                    items = batch["item_id"].to_numpy()
+                    offer_products(best, left, _unit(np.stack(batch["vec"].to_numpy()).astype(np.float64)), items, ids if exclude_self else None)
+            found = best.rows()
+            for at in range(0, len(found[0]) if found else 0, 100_000):
+                query, score, item = (c[at : at + 100_000] for c in found)
+                yield pd.DataFrame({"query_id": ids[query], "item_id": item, "score": score})
 
         found = known.mapInPandas(run, schema)
         return topk_per_query(found.groupBy("query_id", "item_id").agg(F.max("score").alias("score")) if several else found, k)
 
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("dim")).first()
-    blocks = max(1, -(-size.n * 8 * size.dim // BLOCK_BYTES))
-    if blocks == 1:
-        return of_block(asked)
-    path = scratch_dir(spark, "topk")
-    for b in range(blocks):
-        of_block(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return _blockwise(of_block, asked, max(1, -(-size.n * 8 * size.dim // BLOCK_BYTES), -(-size.n * k // LISTED)))
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
@@ -246,12 +289,11 @@ def cosine_topk_by(queries: DataFrame, vectors: DataFrame, by: str, k: int, part
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype({"query_id": q["query_id"].dtype, "item_id": v["item_id"].dtype})
-        items, found = v["item_id"].to_numpy(), []
-        right_units = _unit(np.stack(v["vec"].to_numpy()).astype(np.float64)).T
-        for at in range(0, len(q), 256):
-            scores = np.round(_unit(np.stack(q["_vec"].to_numpy()[at : at + 256]).astype(np.float64)) @ right_units, 9)
-            found.append(_best(q["query_id"].to_numpy()[at : at + 256], items, scores, k))
-        return pd.concat(found)
+        left, right = (_unit(np.stack(c.to_numpy()).astype(np.float64)) for c in (q["_vec"], v["vec"]))
+        best = KBest(len(q), k)
+        offer_products(best, left, right, v["item_id"].to_numpy())
+        query, score, item = best.rows()
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[query], "item_id": item, "score": score})
 
     key = ["_by", "_block", "_part"]
     return topk_per_query(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema), k)
@@ -259,18 +301,21 @@ def cosine_topk_by(queries: DataFrame, vectors: DataFrame, by: str, k: int, part
 
 def containing(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, item_id) of all items whose text holds the query's whole text. The words of a passage but its first and
-    last are whole words wherever it stands, so items are found by an equi-join on the longest of these, and verified.
-    Passages of fewer than three words have no such word and are held against every item."""
+    last are whole words wherever it stands, so items are found by an equi-join on the one of these that the fewest items
+    have (the longest of equal ones), and verified. Passages of fewer than three words have no such word and are held against
+    every item."""
     cut = lambda c: F.split(c, r"[ \t\n]+")
     passages = queries.where(F.length("text") > 0).select("query_id", F.col("text").alias("_passage"), cut(F.col("text")).alias("_words"))
-    inner = F.transform(F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0))), lambda w: F.struct(F.length(w), w.alias("w")))
-    anchored = passages.select("query_id", "_passage", F.array_max(inner)["w"].alias("_word"))
-    anchors = anchored.where("_word <> ''").select("query_id", "_word").distinct()
+    inner = F.filter(F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0))), lambda w: w != "")
+    asked = stored(passages.select("query_id", F.explode(F.array_distinct(inner)).alias("_word")), "passage-words")
     words = corpus.select("item_id", F.explode(F.array_distinct(cut(F.col("text")))).alias("_word"))
-    found = words.join(anchors, "_word").select("query_id", "item_id").distinct()
+    wanted = stored(words.join(asked.select("_word").distinct(), "_word", "left_semi"), "passage-postings")
+    counts = wanted.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = asked.join(counts, "_word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), -F.length("_word"), F.col("_word").alias("w")))["w"].alias("_word"))
+    found = wanted.join(ranked, "_word").select("query_id", "item_id").distinct()
     texts, held = corpus.select("item_id", "text"), F.contains(F.col("text"), F.col("_passage"))
-    sure = found.join(anchored.select("query_id", "_passage"), "query_id").join(texts, "item_id").where(held)
-    short = texts.join(anchored.where("_word is null or _word = ''").select("query_id", "_passage"), held)
+    sure = found.join(passages.select("query_id", "_passage"), "query_id").join(texts, "item_id").where(held)
+    short = texts.join(passages.where(F.size(inner) == 0).select("_passage", "query_id"), held)
     return sure.select("query_id", "item_id").union(short.select("query_id", "item_id")).distinct()
 
 

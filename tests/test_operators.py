@@ -17,6 +17,7 @@ from rlab.operators import rank as K
 from rlab.operators import retrieve as R
 from rlab.operators import samples as S
 from rlab.operators import stats as T
+from rlab.operators.kbest import KBest
 
 
 def rows(df, *columns):
@@ -320,3 +321,82 @@ def test_quartiles_and_terciles(spark):
     assert [r.tercile for r in P.terciles(df, "v", ["grp"]).orderBy("v").collect()] == ["small"] * 3 + ["medium"] * 3 + ["high"] * 3
     zeros = spark.createDataFrame([("g", 0.0), ("g", 2.0), ("g", 4.0)], "grp string, v double")
     assert rows(P.impute_zero_with_group_median(zeros, "v", ["grp"]), "v") == [(2.0,), (2.0,), (4.0,)]
+
+
+@pytest.mark.parametrize("held", [0, 7, 10**6])
+@pytest.mark.parametrize("once", [False, True])
+def test_running_lists_are_the_best_of_all(held, once):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(held)
+    offers = [(rng.randrange(6), float(rng.randrange(12)), f"i{rng.randrange(15)}" if once else f"i{k}") for k in range(400)]
+    best = KBest(7, 5, once, held)
+    for at in range(0, len(offers), 40):
+        q, s, i = zip(*offers[at : at + 40], strict=True)
+        best.offer(np.array(q), np.array(s), np.array(i, dtype=object))
+    got = list(zip(*(c.tolist() for c in best.rows()), strict=True))
+    want = []
+    for query in range(7):
+        own = [(s, i) for q, s, i in offers if q == query]
+        if once:
+            own = [(max(s for s, j in own if j == i), i) for i in {i for _, i in own}]
+        want += [(query, s, i) for s, i in sorted(own, key=lambda x: (-x[0], x[1]))[:5]]
+    assert got == want
+
+
+def test_tiles_of_products_give_the_best_of_all(monkeypatch):
+    import numpy as np
+
+    from rlab.operators import kbest
+
+    monkeypatch.setattr(kbest, "TILE", 64)
+    rng = np.random.default_rng(3)
+    asked, vectors = rng.integers(-2, 3, (9, 3)).astype(float), rng.integers(-2, 3, (100, 3)).astype(float)
+    best = KBest(9, 6, held=10)
+    for at in range(0, 100, 30):
+        kbest.offer_products(best, asked, vectors[at : at + 30], np.arange(at, min(100, at + 30)), np.arange(9))
+    want = [(q, s, i) for q in range(9) for s, i in sorted(((float(asked[q] @ vectors[i]), i) for i in range(100) if i != q), key=lambda x: (-x[0], x[1]))[:6]]
+    assert list(zip(*(c.tolist() for c in best.rows()), strict=True)) == want
+
+
+def test_minor_terms_change_no_list():
+    """Scores with and without the bounds of terms, many items at a time and one at a time."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    weight = {(i, t): float(w) for i in range(300) for t, w in zip(rng.choice(40, 8, replace=False), rng.normal(1, 1.2, 8), strict=True)}
+    terms = pd.DataFrame([(q, f"t{t}", int(rng.integers(1, 3))) for q in range(12) for t in rng.choice(45, 6, replace=False)], columns=["query_id", "_key", "qtf"])
+    most = {}
+    for (_, t), w in weight.items():
+        most[f"t{t}"] = max(most.get(f"t{t}", -9.0), w)
+    terms["most"] = terms["_key"].map(most).fillna(0.0)
+    tall = pd.DataFrame([(i, f"t{t}", w) for (i, t), w in sorted(weight.items())], columns=["item_id", "_key", "weight"])
+    lists, met = [], []
+    for step, bounded in ((300, False), (10, True), (1, True)):
+        block, best, seen = R._Block(terms, ["query_id"]), KBest(12, 4, held=0), 0
+        for at in range(0, 300, step):
+            part = tall[(tall.item_id >= at) & (tall.item_id < at + step)]
+            found = block.score(part["item_id"].to_numpy(), part["_key"].to_numpy(), part["weight"].to_numpy())
+            seen += len(found[0])
+            best.offer(*found)
+            if bounded and (best.floor > block.floor).any():
+                block.split(best.floor)
+        lists.append([c.tolist() for c in best.rows()])
+        met.append(seen)
+    assert lists[0] == lists[1] == lists[2] and met[2] < met[0] / 2
+    plain = {}
+    for q, key, qtf, _ in terms.itertuples(index=False):
+        for (i, t), w in weight.items():
+            if f"t{t}" == key:
+                plain.setdefault(q, {}).setdefault(i, []).append(w * qtf)
+    want = [(q, round(s, 6), i, n) for q in range(12) for s, i, n in sorted(((sum(w), i, len(w)) for i, w in plain[q].items()), key=lambda x: (-round(x[0], 9), x[1]))[:4]]
+    assert [(q, round(s, 6), i, n) for q, s, i, n in zip(*lists[0], strict=True)] == want
+
+
+def test_contents_without_an_order_are_kept(spark):
+    df = spark.createDataFrame([(None, "x"), (None, "x"), (3, "y"), (None, "y"), (2, "y"), (None, None)], "at int, text string")
+    got = sorted(((r["at"], r["text"]) for r in L.content_dedupe(df, "text", "at").collect()), key=str)
+    assert got == sorted([(None, "x"), (None, "x"), (2, "y"), (None, None)], key=str)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -154,4 +155,4 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         io.scratch_dir(Session, "x")
     Context.master = "local[4]"
-    assert io.scratch_dir(Session, "x").startswith("file:///tmp")
+    assert io.scratch_dir(Session, "x").startswith(f"file://{tempfile.gettempdir()}")
