@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from rlab.llm.components import components
 from rlab.llm.neardup import KEY, keyed_texts, merge_ids, place, repeated_ids, shingle_sets
 from rlab.llm.scan import U64, mix, owners, pieces
-from rlab.llm.shared import parts_for, stored, text_bytes
+from rlab.llm.shared import lookup, parts_for, stored, text_bytes
 
 SHINGLE, THRESHOLD = 4, 85
 FRAGMENTS, CENTRES = 8, 8
@@ -53,8 +53,6 @@ BLOCK, WIDE = 256, 2048
 SAMPLE, SHORT = 4, 64
 #: Bytes of text for each range of hashes, so that a range holds about two million n-grams.
 RANGE_BYTES, LEAST_RANGES = 64 << 20, 16
-#: Covered texts are fetched by a broadcast of their ids up to this many, else by a merge of all texts.
-BROADCAST_IDS = 500_000
 _PIECE_BYTES, _PIECE_ROWS = 2 << 20, 60_000
 #: The global order is summed up in this many bits of the hash, by class.
 _PART_BITS = 6
@@ -190,9 +188,7 @@ def covered_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, thre
     reps = stored(reps, "sets")
     keys = full.join(alive, "row", "left_semi").select(*KEY).distinct()
     chosen = stored(reps.join(keys, KEY, "left_semi").select("node", F.col("text_key.doc_id").alias("_id"), F.col("text_key.sha").alias("_sha")), "covered")
-    near = slim
-    if chosen.count() <= BROADCAST_IDS:
-        near = slim.join(F.broadcast(chosen.select(F.col("_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    near = slim.join(lookup(stored(chosen.select(F.col("_id").alias("doc_id")).distinct(), "covered-ids")), "doc_id", "left_semi")
     texts = near.join(chosen.hint("merge"), (near["doc_id"] == chosen["_id"]) & (near["sha"] == chosen["_sha"])).select("node", "text")
     sets = stored(texts.mapInArrow(_sets(shingle), "node long, n long, shingles binary").dropDuplicates(["node"]), "covered-sets")
     return signed, reps, sets

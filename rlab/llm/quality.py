@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rlab.llm.scan import NOT_SPACE, U64, flat, mix, ngrams, owners, pieces, prefix_hash, span_hash, words
-from rlab.llm.shared import stored
+from rlab.llm.shared import lookup, stored
 
 BUCKETS = 1 << 16
 FOLDS = 2
@@ -111,8 +111,8 @@ class Scan:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """The ids labelled of good quality, once each."""
-    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    """The ids labelled of good quality, once each, as a written table."""
+    return stored(labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct(), "trusted-ids")
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -120,9 +120,9 @@ def fold_of(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(FOLDS)), F.lit(FOLDS)), F.lit(0)).cast("int")
 
 
-def feature_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, trusted): feature counts over all documents, and over the trusted ones of each fold (an array). Words
-    have the buckets up to ``buckets``, pairs as many behind them."""
+def feature_counts(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw, trusted): feature counts over all documents, and over the trusted ones (``ids``) of each fold (an array).
+    Words have the buckets up to ``buckets``, pairs as many behind them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins_of_all = 2 * buckets
@@ -140,7 +140,7 @@ def feature_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -
         folds = pa.array(list(trusted[:, some].T), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), folds], names=["bucket", "raw", "trusted"])
 
-    ids = trusted_ids(labels)
+    ids = lookup(ids)
     slim = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
     fold = F.when(F.col("_id").isNotNull(), fold_of(F.col("_doc"))).otherwise(-1)
     flagged = slim.join(ids, F.col("_doc") == F.col("_id"), "left").select("text", fold.alias("fold"))
@@ -189,11 +189,11 @@ def score_documents(docs: DataFrame, ratio: np.ndarray | None, buckets: int = BU
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, spread: float = SPREAD) -> DataFrame:
     """Base counts, score, base_failed, threshold and kept of every document."""
-    ratio = log_ratio(feature_counts(docs, labels, buckets), buckets)
+    ids = trusted_ids(labels)
+    ratio = log_ratio(feature_counts(docs, ids, buckets), buckets)
     threshold = None
     scored = stored(score_documents(docs, ratio, buckets), "scored")
     if ratio is not None:
-        ids = trusted_ids(labels)
         trusted = scored.join(ids, scored["doc_id"] == ids["_id"], "left_semi")
         nano = F.round(1e9 * F.col("score")).cast("decimal(38,0)")  # whole numbers, so that no sum hangs on its order
         n, total, squares = trusted.where(F.col("n_words") > 0).agg(F.count(F.lit(1)), F.sum(nano), F.sum((nano * nano).cast("decimal(38,0)"))).first()

@@ -79,8 +79,8 @@ def test_quality_base_counts_and_verdict(docs, rows, spark):
 
 def test_quality_counts_do_not_depend_on_partitions(docs, spark):
     labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
-    one = quality.log_ratio(quality.feature_counts(docs.coalesce(1), labels))
-    two = quality.log_ratio(quality.feature_counts(docs.repartition(7), labels))
+    one = quality.log_ratio(quality.feature_counts(docs.coalesce(1), quality.trusted_ids(labels)))
+    two = quality.log_ratio(quality.feature_counts(docs.repartition(7), quality.trusted_ids(labels)))
     assert (one == two).all()
 
 
@@ -88,7 +88,7 @@ def test_quality_takes_every_trusted_row(spark):
     n = 20_500
     docs = spark.range(n + 500).selectExpr("id AS doc_id", "concat_ws(' ', 'w', concat('x', id % 11), concat('y', id % 700), 'z') AS text")
     labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
-    counts = quality.feature_counts(docs, labels.union(labels)).agg(F.sum("raw").alias("raw"), F.sum(F.col("trusted")[0] + F.col("trusted")[1]).alias("trusted")).first()
+    counts = quality.feature_counts(docs, quality.trusted_ids(labels.union(labels))).agg(F.sum("raw").alias("raw"), F.sum(F.col("trusted")[0] + F.col("trusted")[1]).alias("trusted")).first()
     assert (counts.raw, counts.trusted) == (7 * (n + 500), 7 * n)  # four words and three pairs of each
     out = quality.judge(docs, labels)
     mean, deviation = out.where(f"doc_id < {n}").agg(F.avg("score"), F.stddev_pop("score")).first()
