@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rlab.functions.classify import VIABLE, direction, domain_type, mean
 from rlab.operators.joins import SCENARIOS, paired_delta, reps_wide, reverse_pairs
+from rlab.operators.order import quantiles
 from rlab.operators.rank import quartile_bins
 
 METRICS = ["MRR", "MAP", "top_10"]
@@ -19,7 +20,8 @@ def unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 def scenario_means(results: DataFrame, metrics: list[str] = METRICS, scenarios: list[str] = SCENARIOS) -> DataFrame:
     """Mean, median and sample deviation of every metric by model and scenario; absent cells stay with n = 0."""
     tall = unpivot(results, ["model_name", "scenario"], metrics)
-    found = tall.groupBy("model_name", "scenario", "metric").agg(F.count("value").alias("n"), mean(F.col("value")).alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("std"))
+    found = tall.groupBy("model_name", "scenario", "metric").agg(F.count("value").alias("n"), mean(F.col("value")).alias("mean"), F.stddev_samp("value").alias("std"))
+    found = found.join(quantiles(tall, "value", ["model_name", "scenario", "metric"], [0.5], "_q"), ["model_name", "scenario", "metric"], "left").withColumn("median", F.col("_q")[0]).drop("_q")
     grid = results.select("model_name").distinct().withColumn("scenario", F.explode(F.array(*map(F.lit, scenarios)))).withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
     return grid.join(found, ["model_name", "scenario", "metric"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rlab.functions import classify as C
 from rlab.functions import text as X
+from rlab.operators.order import join_on, quantiles
 
 PERCENTILES = (50, 75, 80, 85, 90, 95, 99)
 CONTEXT_SIZES = (1024, 2048, 4096, 8192, 16384)
@@ -56,11 +57,10 @@ def ext_keys(df: DataFrame, literal: str, by: list[str]) -> DataFrame:
 
 def date_profile(df: DataFrame, when: str) -> DataFrame:
     """Least, largest and median time, rows in 1970 and rows without a time."""
-    seconds = F.unix_timestamp(F.col(when).cast("timestamp")).cast("double")
-    return df.agg(
-        F.min(when).alias("first"), F.max(when).alias("last"), F.percentile(seconds, F.lit(0.5)).alias("median_epoch"),
-        F.count(F.when(F.year(when) == 1970, 1)).alias("in_1970"), F.count(F.when(F.col(when).isNull(), 1)).alias("missing"),
-    )
+    seconds = df.select(F.unix_timestamp(F.col(when).cast("timestamp")).cast("double").alias("_s"))
+    median = quantiles(seconds, "_s", [], [0.5]).agg(F.first("quantiles")[0].alias("median_epoch"))
+    out = df.agg(F.min(when).alias("first"), F.max(when).alias("last"), F.count(F.when(F.year(when) == 1970, 1)).alias("in_1970"), F.count(F.when(F.col(when).isNull(), 1)).alias("missing"))
+    return out.join(F.broadcast(median)).select("first", "last", "median_epoch", "in_1970", "missing")
 
 
 def year_counts(df: DataFrame, when: str, top: int = 15) -> DataFrame:
@@ -105,8 +105,9 @@ def latest_snapshot(df: DataFrame, by: list[str], commit: str, when: str) -> Dat
 
 
 def tercile_bounds(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    cuts = F.percentile(F.col(value).cast("double"), F.array(F.lit(1.0 / 3), F.lit(2.0 / 3)))
-    return df.groupBy(*by).agg(cuts.alias("_q")).select(*by, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    """(by, low, high): the thirds of each group; null bounds where a group has no value."""
+    cuts = quantiles(df, value, by, [1.0 / 3, 2.0 / 3], "_q")
+    return join_on(df.select(*by).distinct(), cuts, by, "left").select(*by, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
 def terciles(df: DataFrame, value: str, by: list[str], name: str = "tercile") -> DataFrame:
@@ -118,8 +119,8 @@ def terciles(df: DataFrame, value: str, by: list[str], name: str = "tercile") ->
 
 def impute_zero_with_group_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Zeros become the group's median, which is taken before, zeros included."""
-    medians = df.groupBy(*by).agg(F.percentile(F.col(value).cast("double"), F.lit(0.5)).alias("_median"))
-    return df.join(medians, by).withColumn(value, F.when(F.col(value) == 0, F.col("_median")).otherwise(F.col(value).cast("double"))).drop("_median")
+    medians = quantiles(df, value, by, [0.5], "_q").select(*by, F.col("_q")[0].alias("_median"))
+    return df.join(medians, by, "left").withColumn(value, F.when(F.col(value) == 0, F.col("_median")).otherwise(F.col(value).cast("double"))).drop("_median")
 
 
 def fix_type_counts(df: DataFrame, by: list[str], bug: str, files: str, primary: str) -> DataFrame:
@@ -163,23 +164,24 @@ def ground_truth_audit(matches: DataFrame, truth: DataFrame, commits: DataFrame,
 def length_report(lengths: DataFrame, value: str, by: str, percents: tuple[int, ...] = tuple(range(50, 97, 2))) -> DataFrame:
     """(by, percent, value): whole-number percentiles by category, and over all as category `all`."""
     both = lengths.select(F.col(by).cast("string").alias(by), F.col(value).cast("double").alias("_v")).withColumn("_c", F.explode(F.array(F.col(by), F.lit("all"))))
-    cuts = both.groupBy("_c").agg(F.percentile("_v", F.array(*[F.lit(p / 100) for p in percents])).alias("_q"))
+    cuts = quantiles(both, "_v", ["_c"], [p / 100 for p in percents], "_q")
     spread = cuts.select(F.col("_c").alias(by), F.posexplode("_q").alias("_k", "_x"))
     return spread.select(by, F.element_at(F.array(*map(F.lit, percents)), F.col("_k") + 1).alias("percent"), F.floor(F.round("_x", 6)).cast("long").alias("value"))
 
 
 def token_stats(df: DataFrame, tokens: Column, project: str, language: str) -> DataFrame:
     """Count, mean, median, population deviation, range, percentiles, a recommended size (the 90th percentile, whole) and
-    the share that fits common context sizes: overall, by project and by language. Each level is one aggregate over rows
-    that are expanded once."""
+    the share that fits common context sizes: overall, by project and by language. Rows are expanded once, for one aggregate and
+    one selection of percentiles."""
     rows = df.select(F.col(project).alias("_p"), F.col(language).alias("_l"), tokens.cast("double").alias("_n"))
     rows = rows.select("_n", F.explode(F.array(F.struct(F.lit("overall").alias("level"), F.lit("all").alias("name")), F.struct(F.lit("project").alias("level"), F.col("_p").alias("name")), F.struct(F.lit("language").alias("level"), F.col("_l").alias("name")))).alias("_g"))
-    n = F.col("_n")
-    out = rows.groupBy("_g.level", "_g.name").agg(
+    rows, n = rows.select("_g.level", "_g.name", "_n"), F.col("_n")
+    out = rows.groupBy("level", "name").agg(
         F.count(n).alias("n"), F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_pop(n), 6).alias("std"), F.min(n).alias("least"), F.max(n).alias("most"),
-        F.percentile(n, F.array(*[F.lit(p / 100) for p in PERCENTILES])).alias("_q"),
         *[F.round(100.0 * F.avg(F.when(n <= size, 1.0).otherwise(0.0)), 6).alias(f"pct_le_{size}") for size in CONTEXT_SIZES],
     )
+    found = quantiles(rows, "_n", ["level", "name"], [p / 100 for p in PERCENTILES], "_q")
+    out = join_on(out, found, ["level", "name"], "left")
     cuts = [F.round(F.col("_q")[k], 6).alias(f"p{p}") for k, p in enumerate(PERCENTILES)]
     return out.select("level", "name", "n", "mean", "std", "least", "most", *cuts, F.col("_q")[PERCENTILES.index(90)].cast("int").alias("recommended"), *[f"pct_le_{s}" for s in CONTEXT_SIZES])
 

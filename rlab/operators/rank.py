@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rlab.operators.order import average_ranks, join_on, quantiles
+from rlab.sources.io import stored
+
 
 def rank_candidates(scores: DataFrame, query: str = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
     """1-based rank of every candidate of a query, best first, ties by item."""
@@ -29,16 +32,18 @@ def running_precision(ranked: DataFrame, query: str = "query_id") -> DataFrame:
     return ranked.where("relevant").withColumn("precision", F.count(F.lit(1)).over(order) / F.col("rank"))
 
 
-def avg_rank(value: Column, by: list[str | Column]) -> Column:
-    """Rank of a value in its group, from 1, ascending; ties share the mean of their ranks."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
+def avg_rank(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with the rank of a value in its group, from 1, ascending; ties share the mean of their ranks, nulls have none.
+    Ranks come from the counts of distinct values, so no window holds a group."""
+    ranks = stored(average_ranks(df, value, by, "_rank"), "ranks")
+    return join_on(df, ranks, [*by, value], "left").withColumnRenamed("_rank", name)
 
 
 def quartile_bins(df: DataFrame, value: str, name: str = "quartile") -> DataFrame:
     """Quartile of a value by edges pooled over the whole table; bins are right-closed, the least value is in the first,
     and edges that coincide make one bin."""
-    edges = df.agg(F.array_distinct(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))).alias("_edges"))
+    found = quantiles(df, value, [], [0.0, 0.25, 0.5, 0.75, 1.0]).agg(F.first("quantiles").alias("_all"))
+    edges = found.select(F.array_distinct("_all").alias("_edges"))
     inner = F.filter(F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0))), lambda e: e < F.col(value).cast("double"))
     return df.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), F.size(inner) + 1)).drop("_edges")
 

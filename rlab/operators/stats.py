@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from rlab.functions.classify import agreement, direction, mean, stars
 from rlab.operators.joins import paired_delta, reps_wide
-from rlab.operators.rank import avg_rank
+from rlab.operators.order import concordance, positions, rank_correlation
 
 
 @F.pandas_udf(T.DoubleType())
@@ -53,10 +53,13 @@ def signed_ranks(deltas: DataFrame, by: list[str], zero: str = "wilcox") -> Data
     ``zsplit`` ranks them and gives half their ranks to each side. z: normal approximation with tie correction."""
     rows = deltas.where(F.col("delta").isNotNull())
     rows = rows if zero == "zsplit" else rows.where("delta <> 0")
-    ranked = rows.withColumn("_abs", F.round(F.abs("delta"), 12)).withColumn("_r", avg_rank(F.col("_abs"), by)).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, "_abs")))
-    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("_r"))), F.lit(0.0))
-    d, t = F.col("delta"), F.col("_t").cast("double")
-    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(d == 0, 1)).alias("n_zero"), (part(d > 0) + part(d == 0) / 2).alias("w_plus"), (part(d < 0) + part(d == 0) / 2).alias("w_minus"), F.sum((t * t - 1)).alias("_ties"))
+    d, signs = F.col("delta"), {"_plus": F.col("delta") > 0, "_minus": F.col("delta") < 0, "_zero": F.col("delta") == 0}
+    counts = [F.count(F.when(c, 1)).alias(k) for k, c in signs.items()]
+    placed = positions(rows.select(*by, "delta", F.round(F.abs(d), 12).alias("_abs")), "_abs", by, *counts)
+    rank, t = F.col("before") + (F.col("n") + 1) / 2, F.col("n").cast("double")
+    side = lambda c: F.coalesce(F.sum(rank * (F.col(c) + F.col("_zero") / 2)), F.lit(0.0))
+    sums = placed.groupBy(*by).agg(F.sum("n").alias("_rows"), F.sum("_zero").alias("n_zero"), side("_plus").alias("w_plus"), side("_minus").alias("w_minus"), F.sum(t * (t * t - 1)).alias("_ties"))
+    sums = sums.select(*by, F.coalesce("_rows", F.lit(0)).alias("n"), F.coalesce("n_zero", F.lit(0)).alias("n_zero"), "w_plus", "w_minus", "_ties")
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = F.when(variance > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(variance))
@@ -121,26 +124,21 @@ def bootstrap_ci(deltas: DataFrame, by: list[str], key: list[str], n_boot: int =
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> DataFrame:
     """(by, n, rho, p): rank correlation of rows where both are there; null below ``least`` pairs. p by Student's t."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.select(*by, avg_rank(F.col(x), by).alias("_x"), avg_rank(F.col(y), by).alias("_y"))
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("_r"))
-    rho = F.when((F.col("n") >= least) & ~F.isnan("_r"), F.col("_r"))
-    out = out.select(*by, "n", rho.alias("rho"))
+    out = rank_correlation(df, x, y, by)
+    out = out.select(*by, "n", F.when(F.col("n") >= least, F.col("rho")).alias("rho"))
     df_ = (F.col("n") - 2).cast("double")
     t = F.col("rho") * F.sqrt(df_ / F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(1e-15)))
     return out.withColumn("p", F.when(F.col("rho").isNotNull(), t_tail(F.coalesce(t, F.lit(0.0)), df_)))
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, by: list[str], item: str) -> DataFrame:
-    """(by, n, tau): tau-b of two columns over the items of a group, positive where they agree. Concordance is counted
-    over the pairs of a group's items, which are the projects of one target."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(item).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    other = rows.select(*by, *[F.col(c).alias(c + "2") for c in ("_i", "_x", "_y")])
-    pairs = rows.join(other, by).where("_i < _i2") if by else rows.join(other, F.col("_i") < F.col("_i2"))
-    sx, sy = F.signum(F.col("_x") - F.col("_x2")), F.signum(F.col("_y") - F.col("_y2"))
-    sums = pairs.groupBy(*by).agg(F.sum(sx * sy).alias("_c"), F.sum(F.abs(sx)).alias("_nx"), F.sum(F.abs(sy)).alias("_ny"), F.countDistinct("_i").alias("_n"))
-    size = F.sqrt(F.col("_nx") * F.col("_ny"))
-    return sums.select(*by, (F.col("_n") + 1).alias("n"), F.when(size > 0, F.col("_c") / size).alias("tau"))
+def kendall_tau(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by, n, tau): tau-b of two columns over the rows of a group, positive where they agree; null where a column is
+    constant. Groups of one row are left out. Discordant pairs are counted by merging blocks, so no pair is a row."""
+    c = concordance(df, x, y, by).where("n > 1")
+    n = lambda k: F.col(k).cast("double")
+    agree = F.col("pairs") - F.col("tied_x") - F.col("tied_y") + F.col("tied_both") - 2 * F.col("discordant")
+    size = F.sqrt((F.col("pairs") - F.col("tied_x")).cast("double") * (n("pairs") - n("tied_y")))
+    return c.select(*by, "n", F.when(size > 0, agree.cast("double") / size).alias("tau"))
 
 
 def ols_line(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -172,8 +170,9 @@ def rank_sources(rows: DataFrame, by: list[str], outcome: str, bugs: str, loc: s
     for h in names:
         pick = F.col(f"_{h}_pick")
         out = out.withColumns({f"{h}_score": pick[outcome], f"{h}_hit": pick["source_project"] == F.col("_o.source_project"), f"{h}_of_oracle": F.try_divide(pick[outcome], F.col("oracle"))})
-        out = out.join(kendall_tau(keyed, h, outcome, by, "source_project").select(*by, F.col("tau").alias(f"{h}_tau")), by, "left")
-    return out.drop("_o", *[f"_{h}_pick" for h in names])
+    tall = keyed.select(*by, F.col(outcome).alias("_y"), *[F.col(h).cast("double").alias(h) for h in names]).unpivot([*by, "_y"], names, "_h", "_x")
+    taus = kendall_tau(tall, "_x", "_y", [*by, "_h"]).groupBy(*by).agg(*[F.max(F.when(F.col("_h") == h, F.col("tau"))).alias(f"{h}_tau") for h in names])
+    return out.drop("_o", *[f"_{h}_pick" for h in names]).join(taus, by, "left")
 
 
 def source_ranking_means(ranked: DataFrame) -> DataFrame:

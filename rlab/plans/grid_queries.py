@@ -206,7 +206,7 @@ def feature_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By model and target: agreement of the source's size with its transfer score."""
-    return round_columns(S.kendall_tau(_wide(spark, sf_dir), "src_LoC", "cp_transfer", ["model_name", "target_project"], "source_project"))
+    return round_columns(S.kendall_tau(_wide(spark, sf_dir), "src_LoC", "cp_transfer", ["model_name", "target_project"]))
 
 
 def ols_line(spark: SparkSession, sf_dir: str) -> DataFrame:

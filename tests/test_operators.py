@@ -284,7 +284,7 @@ def test_effect_sizes_and_correlations(spark):
     xy = spark.createDataFrame([(1.0, 2.0, "a"), (2.0, 1.0, "b"), (3.0, 4.0, "c"), (4.0, 3.0, "d"), (5.0, 5.0, "e"), (None, 9.0, "f")], "x double, y double, i string")
     r = T.spearman(xy, "x", "y", []).first()
     assert (r.n, r.rho) == (5, pytest.approx(0.8)) and r.p == pytest.approx(0.104088, abs=1e-5)
-    assert T.kendall_tau(xy, "x", "y", [], "i").first().tau == pytest.approx(0.6)
+    assert T.kendall_tau(xy, "x", "y", []).first().tau == pytest.approx(0.6)
     line = T.ols_line(xy, "x", "y", []).first()
     assert line.slope == pytest.approx(0.8) and line.intercept == pytest.approx(0.6)
     assert T.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7) and T.t_two_sided(0.0, 4) == pytest.approx(1.0)
