@@ -72,10 +72,16 @@ def reverse_pairs(results: DataFrame, metric: str = "MRR", loc: DataFrame | None
 
 def match_ground_truth(truth: DataFrame, snapshots: DataFrame, mode: str = "all", loose: bool = False) -> DataFrame:
     """truth (.., commit_sha, gt) with the paths of the snapshot that end with it. The match is at a path boundary, which
-    makes it an equi-join on commit and base name; ``loose`` takes any suffix. ``first`` keeps the least path of each."""
+    makes it an equi-join on commit and base name; ``loose`` takes any suffix, by an equi-join on the hash of a path's last n
+    characters for each length n that a ground-truth path of the commit has, and verifies. ``first`` keeps the least path of
+    each."""
     base = lambda c: F.substring_index(c, "/", -1)
     if loose:
-        found = truth.join(snapshots, "commit_sha").where(F.endswith("path", F.col("gt")))
+        lengths = truth.where(F.col("gt").isNotNull()).groupBy("commit_sha").agg(F.collect_set(F.length("gt")).alias("_lengths"))
+        fits = F.filter("_lengths", lambda n: n <= F.length("path"))
+        ends = snapshots.join(lengths, "commit_sha").withColumn("_n", F.explode(fits)).drop("_lengths")
+        ends = ends.withColumn("_end", F.xxhash64(F.substring("path", F.length("path") - F.col("_n") + 1, F.col("_n")))).drop("_n")
+        found = truth.withColumn("_end", F.xxhash64("gt")).join(ends, ["commit_sha", "_end"]).where(F.endswith("path", F.col("gt"))).drop("_end")
     else:
         keyed = snapshots.withColumn("_base", base("path"))
         found = truth.withColumn("_base", base("gt")).join(keyed, ["commit_sha", "_base"])

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from rlab.functions.classify import agreement, direction, mean, stars
 from rlab.operators.joins import paired_delta, reps_wide
 from rlab.operators.order import concordance, positions, rank_correlation
+from rlab.operators.resample import resampled_sums
 
 
 @F.pandas_udf(T.DoubleType())
@@ -103,21 +104,13 @@ def cohens_dz(deltas: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("dz", F.when((F.col("n") >= 2) & (F.col("std") > 0), F.col("mean") / F.col("std")))
 
 
-def bootstrap_ci(deltas: DataFrame, by: list[str], key: list[str], n_boot: int = 10_000, level: float = 0.95, seed: int = 11) -> DataFrame:
-    """Percentile interval of dz by resampling pairs. Each group's deltas are numbered by ``key`` and packed into one
-    array, bounded by the results grid; each resample draws positions by hash and adds them up in its own row, so no
-    draws are shuffled and resamples are spread over tasks."""
-    order = F.array_sort(F.collect_list(F.struct(*key, "delta")))
-    packed = deltas.where(F.col("delta").isNotNull()).groupBy(*by).agg(order.alias("_all")).select(*by, F.col("_all.delta").alias("_d"))
-    boots = deltas.sparkSession.range(n_boot).select(F.col("id").alias("boot"))
-    n = F.size("_d")
-    draw = lambda k: F.get("_d", F.pmod(F.xxhash64(F.lit(seed), F.col("boot"), k), n).cast("int"))
-    x = F.transform(F.sequence(F.lit(1), n), draw)
-    grown = boots.join(F.broadcast(packed)).select(*by, "boot", n.cast("double").alias("_n"), x.alias("_x"))
-    add = lambda f: F.aggregate("_x", F.lit(0.0), lambda s, v: s + f(v))
-    sums = grown.select(*by, "boot", "_n", add(lambda v: v).alias("_s"), add(lambda v: v * v).alias("_q"))
-    variance = (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1)
-    dz = F.when((F.col("_n") > 1) & (variance > 1e-18), F.col("_s") / F.col("_n") / F.sqrt(variance))
+def bootstrap_ci(deltas: DataFrame, by: list[str], n_boot: int = 10_000, level: float = 0.95, seed: int = 11) -> DataFrame:
+    """(by, low, high, n_boot): percentile interval of dz by resampling the rows of a group; resamples without spread have no
+    dz and are not counted. See ``resample``: draws are counts of distinct values, so a group may be of any size."""
+    sums = resampled_sums(deltas, "delta", by, n_boot, seed)
+    n = F.col("n").cast("double")
+    variance = (F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)
+    dz = F.when((n > 1) & (variance > 1e-18), F.col("s") / n / F.sqrt(variance))
     tail = (1 - level) / 2
     return sums.groupBy(*by).agg(F.percentile(dz, F.lit(tail)).alias("low"), F.percentile(dz, F.lit(1 - tail)).alias("high"), F.count(dz).alias("n_boot"))
 

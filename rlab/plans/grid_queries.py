@@ -237,7 +237,7 @@ def icc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_columns(S.bootstrap_ci(_deltas(spark, sf_dir), ["model_name"], ["source_project", "target_project"]))
+    return round_columns(S.bootstrap_ci(_deltas(spark, sf_dir), ["model_name"]))
 
 
 def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,12 +131,13 @@ def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patch_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small-budget scores replaced by the means of the repetitions, twice; rows without a summary keep theirs."""
+    """Small-budget scores of a stored table replaced by the means of the repetitions, twice; rows without a summary keep
+    theirs."""
     summary = A.reps(spark, sf_dir).where("target_project <> 5").groupBy("model_name", "target_project").agg(F.max("MRR").alias("MRR"))
-    small = F.col("scenario") == "WP-small"
-    once, unmatched = io.patch_column(A.grid(spark, sf_dir), summary, ["model_name", "target_project"], ["MRR"], small)
-    twice, _ = io.patch_column(once, summary, ["model_name", "target_project"], ["MRR"], small)
-    return round_columns(twice.crossJoin(F.broadcast(unmatched)).select("model_name", "source_project", "target_project", "scenario", "MRR", "unmatched"))
+    small, path = F.col("scenario") == "WP-small", io.scratch_dir(spark, "results")
+    A.grid(spark, sf_dir).write.parquet(path)
+    unmatched = [io.patch_table(spark, path, summary, ["model_name", "target_project"], ["MRR"], small) for _ in range(2)]
+    return round_columns(spark.read.parquet(path).select("model_name", "source_project", "target_project", "scenario", "MRR", F.lit(max(unmatched)).alias("unmatched")))
 
 
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,6 +186,94 @@ def patch_column(df: DataFrame, summary: DataFrame, keys: list[str], columns: li
     return joined.select(*df.columns), unmatched
 
 
+class _Folder:
+    """Names of one stored table in its file system."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.path = path.rstrip("/")
+        self.files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, suffix: str = ""):
+        return self._path(self.path + suffix)
+
+    def has(self, suffix: str = "") -> bool:
+        return self.files.exists(self.at(suffix))
+
+    def move(self, suffix: str, to: str) -> None:
+        if not self.files.rename(self.at(suffix), self.at(to)):
+            raise OSError(f"cannot move {self.path}{suffix} to {self.path}{to}")
+
+    def drop(self, suffix: str) -> None:
+        self.files.delete(self.at(suffix), True)
+
+
+class TableBusy(RuntimeError):
+    """Another writer holds the table."""
+
+
+def publish(df: DataFrame, path: str, rows: int | None = None) -> None:
+    """Replaces the stored table at ``path``, which ``df`` may read, by two renames. The new version is written beside the old
+    one and its rows are counted first (against ``rows``, where given); the old one stays until the new one has its place and is
+    put back if that fails. A second writer is refused while a first one is at work: the lock is a file that only one can
+    create. What a writer that died has left is cleared by ``recover``."""
+    spark = df.sparkSession
+    table = _Folder(spark, path)
+    try:
+        table.files.create(table.at(".lock"), False).close()
+    except Exception as refused:
+        if table.has(".lock"):
+            raise TableBusy(f"{path} is being written") from refused
+        raise
+    try:
+        table.drop(".staging")
+        df.write.parquet(f"{table.path}.staging")
+        written = spark.read.parquet(f"{table.path}.staging").count()
+        if rows is not None and written != rows:
+            raise ValueError(f"{written} rows were written, {rows} are wanted")
+        _swap(table)
+    finally:
+        table.drop(".staging")
+        table.drop(".lock")
+
+
+def _swap(table: _Folder) -> None:
+    old = table.has()
+    if old:
+        table.drop(".old")
+        table.move("", ".old")
+    try:
+        table.move(".staging", "")
+    except Exception:
+        if old:
+            table.move(".old", "")
+        raise
+    table.drop(".old")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a writer died: puts the old version back if the table has none, and clears its lock and staging folder. To be
+    called only when no writer is at work."""
+    table = _Folder(spark, path)
+    if not table.has() and table.has(".old"):
+        table.move(".old", "")
+    for suffix in (".staging", ".old", ".lock"):
+        table.drop(suffix)
+
+
+def patch_table(spark: SparkSession, path: str, summary: DataFrame, keys: list[str], columns: list[str], where: Column) -> int:
+    """``patch_column`` on a stored table, published as a whole; the number of rows that match ``where`` without a summary. A
+    summary with a key twice is refused, as it would add rows. Applying it again changes nothing."""
+    if not summary.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        raise ValueError("the summary has a key more than once")
+    table = spark.read.parquet(path)
+    patched, unmatched = patch_column(table, summary, keys, columns, where)
+    missing = unmatched.first()[0]
+    publish(patched, path, table.count())
+    spark.catalog.refreshByPath(path)
+    return missing
+
+
 class VectorStore:
     """Vectors by project in Parquet; a blob is stored once."""
 

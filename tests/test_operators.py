@@ -288,7 +288,7 @@ def test_effect_sizes_and_correlations(spark):
     line = T.ols_line(xy, "x", "y", []).first()
     assert line.slope == pytest.approx(0.8) and line.intercept == pytest.approx(0.6)
     assert T.t_two_sided(2.0, 10) == pytest.approx(0.07338803, abs=1e-7) and T.t_two_sided(0.0, 4) == pytest.approx(1.0)
-    ci = T.bootstrap_ci(deltas(spark, [1, 2, 3, 2, 1, 2, 3, 2]), ["model_name"], ["source_project"], 500).first()
+    ci = T.bootstrap_ci(deltas(spark, [1, 2, 3, 2, 1, 2, 3, 2]), ["model_name"], 500).first()
     assert ci.low < 2 / 0.755929 < ci.high
 
 

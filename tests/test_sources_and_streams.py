@@ -156,3 +156,60 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
         io.scratch_dir(Session, "x")
     Context.master = "local[4]"
     assert io.scratch_dir(Session, "x").startswith(f"file://{tempfile.gettempdir()}")
+
+
+@pytest.fixture
+def results(spark, tmp_path):
+    path = f"file://{tmp_path}/results"
+    spark.createDataFrame([("a", "s", 1.0), ("a", "t", 2.0), ("b", "s", 3.0), ("c", "s", 4.0)], "model string, scenario string, MRR double").write.parquet(path)
+    return path
+
+
+def stored_rows(spark, path):
+    return sorted(tuple(r) for r in spark.read.parquet(path).collect())
+
+
+def test_patched_table_is_published_as_a_whole(spark, results, tmp_path):
+    summary = spark.createDataFrame([("a", 9.0), ("b", None)], "model string, MRR double")
+    for _ in range(2):
+        assert io.patch_table(spark, results, summary, ["model"], ["MRR"], F.col("scenario") == "s") == 1
+        assert stored_rows(spark, results) == [("a", "s", 9.0), ("a", "t", 2.0), ("b", "s", 3.0), ("c", "s", 4.0)]
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("results")] == ["results"]
+    with pytest.raises(ValueError, match="more than once"):
+        io.patch_table(spark, results, summary.union(summary), ["model"], ["MRR"], F.lit(True))
+
+
+@pytest.mark.parametrize("fails", ["write", "count", "first rename", "second rename"])
+def test_a_failed_patch_leaves_the_old_table(spark, results, tmp_path, monkeypatch, fails):
+    before = stored_rows(spark, results)
+    move = io._Folder.move
+
+    def broken(self, suffix, to):
+        if (fails, suffix) in (("first rename", ""), ("second rename", ".staging")):
+            raise OSError("lost")
+        move(self, suffix, to)
+
+    monkeypatch.setattr(io._Folder, "move", broken)
+    new = spark.createDataFrame([("z", "s", 0.0)], "model string, scenario string, MRR double")
+    if fails == "write":
+        new = new.withColumn("MRR", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost|wanted"):
+        io.publish(new, results, 2 if fails == "count" else None)
+    assert stored_rows(spark, results) == before
+    monkeypatch.undo()
+    io.publish(spark.createDataFrame([("z", "s", 0.0)], "model string, scenario string, MRR double"), results, 1)
+    assert stored_rows(spark, results) == [("z", "s", 0.0)]
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("results")] == ["results"]
+
+
+def test_a_second_writer_is_refused_and_a_dead_one_cleared(spark, results):
+    folder = io._Folder(spark, results)
+    before = stored_rows(spark, results)
+    folder.files.create(folder.at(".lock"), False).close()
+    with pytest.raises(io.TableBusy):
+        io.publish(spark.read.parquet(results), results)
+    folder.move("", ".old")  # it died between the renames
+    io.recover(spark, results)
+    assert stored_rows(spark, results) == before
+    io.publish(spark.read.parquet(results).where("model = 'a'"), results, 2)
+    assert len(stored_rows(spark, results)) == 2
