@@ -233,12 +233,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_results_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream itself, run over all events: one row for each user and day is kept. Its keys are compared; which of a
-    key's rows comes first is not fixed."""
+    """The stream itself, run over all events: of each user and day the event of least time, then least id."""
     rows = _events(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     out = scratch_dir(spark, "stream-results")
-    streams.stream_results(rows, ["user_id", "day"], "ts", f"{out}/rows", f"{out}/checkpoint", "400 days").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("user_id", "day")
+    streams.stream_results(rows, ["user_id", "day"], "ts", f"{out}/rows", f"{out}/checkpoint", ["event_id"]).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("user_id", "day", "event_id", "event_type", F.unix_micros("ts").alias("ts_us"))
 
 
 def stream_scores_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +354,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
         "query_id item_id rank",
         "score",
     ),
-    "stream_results_run": "SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d') AS day FROM events",
+    "stream_results_run": """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, event_type, epoch_us(ts) AS ts_us FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) = 1""",
     "stream_scores_run": A.rounded("WITH w AS (SELECT CAST(ts AS DATE) AS d, event_type, avg(value) AS mean, count(value) AS n FROM events GROUP BY ALL) SELECT strftime(d, '%Y-%m-%d') AS day, event_type, mean, n FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)", "day event_type n", "mean"),
 }

@@ -57,15 +57,17 @@ def read_keyed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_xml_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns as bug reports in XML, and some in a folder that is to be left out."""
+    """All turns as bug reports in XML, with their whole texts, and some in a folder that is to be left out. The format cannot
+    hold control characters, and reading takes the blanks around a text away."""
     at = io.scratch_dir(spark, "xml")
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]", "?")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x1F\x7F]", " ")
     info = F.struct(text.alias("summary"), F.lit("d").alias("description"), F.lit("1").alias("version"), F.lit("2").alias("fixedVersion"))
-    bugs = A.table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("_id"), F.lit("2020-01-02 03:04:05").alias("_opendate"), F.lit("x").alias("_fixdate"), F.lit("Fixed").alias("_resolution"), info.alias("buginformation"), F.struct(F.array(F.lit("A.java"), F.concat("role", F.lit(".java"))).alias("file")).alias("fixedFiles"))
-    for folder, some in (("now", bugs), ("Previous", bugs.where("_id % 2 = 0"))):
-        some.write.format("xml").option("rootTag", "bugs").option("rowTag", "bug").save(f"{at}/{folder}")
+    key = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    bugs = A.table(spark, sf_dir, "conversations").select(key.alias("_id"), F.lit("2020-01-02 03:04:05").alias("_opendate"), F.lit("x").alias("_fixdate"), F.lit("Fixed").alias("_resolution"), info.alias("buginformation"), F.struct(F.array(F.lit("A.java"), F.concat("role", F.lit(".java"))).alias("file")).alias("fixedFiles"), "turn")
+    for folder, some in (("now", bugs), ("Previous", bugs.where("turn % 2 = 0"))):
+        some.drop("turn").write.format("xml").option("rootTag", "bugs").option("rowTag", "bug").save(f"{at}/{folder}")
     out = io.read_xml_reports(spark, f"{at}/*", "CHAT")
-    return out.select("repo_name", "bug_id", F.length("summary").cast("long").alias("n_chars"), F.array_join("fixed_files", ",").alias("files"), F.unix_timestamp("report_date").alias("opened"), F.col("fix_date").isNull().alias("unfixed"), "status", "fixed_version")
+    return out.select("repo_name", "bug_id", F.length("summary").cast("long").alias("n_chars"), F.md5("summary").alias("text_md5"), F.array_join("fixed_files", ",").alias("files"), F.unix_timestamp("report_date").alias("opened"), F.col("fix_date").isNull().alias("unfixed"), "status", "fixed_version")
 
 
 def read_commented_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +107,12 @@ def read_recall_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_corpus_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of all documents in text files; files of other extensions are not read."""
+    """The whole texts of all documents in text files; files of other extensions are not read."""
     at, docs = io.scratch_dir(spark, "corpus"), A.table(spark, sf_dir, "documents")
-    docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("value")).write.option("maxRecordsPerFile", 10_000).text(f"{at}/text")
+    docs.select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1_000).text(f"{at}/text")
     docs.select("doc_id").write.json(f"{at}/other")
     out = io.read_corpus_dir(spark, at, [".txt"])
-    return out.agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(X.line_count(F.col("text")).cast("long")).alias("n_lines"))
+    return out.agg(F.sum(F.octet_length("text")).alias("n_bytes"), F.sum(F.length("text").cast("long")).alias("n_chars"), F.sum(X.line_count(F.col("text")).cast("long")).alias("n_lines"), F.sum(X.word_count(F.col("text")).cast("long")).alias("n_words"))
 
 
 def write_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +153,9 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as samples whose blob is a document."""
+    """Turns as samples whose blob is the document of the conversation's id; each blob is stored once."""
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_sha"), "text")
-    samples = A.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("bug_id"), (F.col("conv_id") % 50).alias("blob_sha"))
+    samples = A.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("bug_id"), F.col("conv_id").alias("blob_sha"))
     return round_columns(io.write_training_cache(samples, docs, io.scratch_dir(spark, "cache")))
 
 
@@ -188,13 +190,15 @@ def token_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_encode_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream of documents run to its end twice into a vector store; squared lengths are 1, or 0 without a word."""
+    """The stream of documents run to its end twice into a vector store, and whether each vector is that of a plain run."""
     store, at = io.VectorStore(spark, io.scratch_dir(spark, "encoded")), io.scratch_dir(spark, "encode-checkpoint")
     docs = A.table(spark, sf_dir, "documents")
     for run in range(2):
         rows = streams.read_stream(spark, f"{sf_dir}/documents.parque[t]", docs.schema).select(F.col("doc_id").alias("blob_sha"), F.col("source").alias("project"), "text")
         streams.stream_encode(rows, V.HashEncoder(), store, f"{at}/{run}").awaitTermination()
-    return store.read().select(F.col("blob_sha").alias("doc_id"), F.size("vec").cast("long").alias("dim"), F.round(V.dot(F.col("vec"), F.col("vec")), 3).alias("square"))
+    plain = V.encode(docs.select("doc_id", "text"), "text", V.HashEncoder(), "plain").select("doc_id", "plain")
+    kept = store.read().select(F.col("blob_sha").alias("doc_id"), "vec")
+    return kept.join(plain, "doc_id", "full").select("doc_id", F.size("vec").cast("long").alias("dim"), F.coalesce(F.col("vec") == F.col("plain"), F.lit(False)).alias("same"))
 
 
 def raw_report_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,13 +248,14 @@ ORACLES = {
     "read_splits": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ALL",
     "read_results_csv": A.rounded(f"WITH {A.GRID} SELECT model_name, 'p/' || source_project AS source_project, 'p/' || target_project AS target_project, scenario, NULL AS top_1, top_10, MAP, MRR FROM grid", "model_name source_project target_project scenario", "top_1 top_10 MAP MRR"),
     "read_keyed_files": A.rounded_means(f"WITH {A.GRID} SELECT model_name, scenario, count(*) AS n, avg(MRR) AS mean FROM grid GROUP BY ALL", "model_name scenario n", "mean"),
-    "read_xml_reports": r"""SELECT 'CHAT' AS repo_name, 'CHAT-' || conv_id AS bug_id, CAST(length(trim(text, chr(32))) AS BIGINT) AS n_chars, 'A.java,' || role || '.java' AS files, 1577934245 AS opened, true AS unfixed, 'Fixed' AS status, '2' AS fixed_version
-FROM (SELECT *, regexp_replace(coalesce(text, ''), '[^\x20-\x7E]', '?', 'g') AS text FROM conversations WHERE turn = 0)""",
+    "read_xml_reports": r"""SELECT 'CHAT' AS repo_name, 'CHAT-' || conv_id || '.' || turn AS bug_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5, 'A.java,' || role || '.java' AS files, 1577934245 AS opened, true AS unfixed, 'Fixed' AS status, '2' AS fixed_version
+FROM (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[\x00-\x1F\x7F]', ' ', 'g'), ' ') AS text FROM conversations)""",
     "read_commented_json": "SELECT o_orderstatus || '.json' AS file, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_orderstatus",
     "read_diagnostics": f"""SELECT CASE l_partkey % 2 WHEN 0 THEN 'a/b' ELSE 'c_d/e' END AS source_project, CASE l_partkey % 2 WHEN 0 THEN 'c_d/e' ELSE 'a/b' END AS target_project, {_SCENARIO} AS scenario,
 count(*) AS n, count(*) FILTER (l_suppkey % 5 <> 0) AS n_ranked, CAST(sum(CAST(l_quantity * 3 AS INT)) AS BIGINT) AS rank_sum FROM lineitem GROUP BY ALL""",
     "read_recall_dir": A.rounded("SELECT 'own/' || l_returnflag || '_x' AS project, count(*) FILTER (l_quantity <= 30) / CAST(count(*) AS DOUBLE) AS recall_30 FROM lineitem GROUP BY l_returnflag", "project", "recall_30"),
-    "read_corpus_dir": "SELECT 33 * count(*) AS n_bytes, count(*) AS n_lines FROM documents",
+    "read_corpus_dir": r"""SELECT CAST(sum(strlen(t) + 1) AS BIGINT) AS n_bytes, CAST(sum(length(t) + 1) AS BIGINT) AS n_chars, CAST(sum(length(t) - length(replace(t, chr(10), '')) + 1) AS BIGINT) AS n_lines,
+CAST(sum(len(regexp_extract_all(t, '\S+'))) AS BIGINT) AS n_words FROM (SELECT coalesce(text, '') AS t FROM documents)""",
     "write_parquet": "SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY lang",
     "append_new": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0",
     "patch_column": A.rounded(
@@ -261,7 +266,8 @@ SELECT model_name, source_project, target_project, scenario, CASE WHEN scenario
     ),
     "vector_store": """SELECT label AS project, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, (SELECT count(*) FROM embeddings WHERE vec_id % 2 <> 0 AND vec_id % 3 <> 0) AS n_missing
 FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0 GROUP BY label""",
-    "training_cache": A.rounded("SELECT n_samples, n_blobs, n_samples / CAST(n_blobs AS DOUBLE) AS dedup_ratio FROM (SELECT count(*) AS n_samples FROM conversations), (SELECT count(*) AS n_blobs FROM documents WHERE doc_id IN (SELECT conv_id % 50 FROM conversations))", "n_samples n_blobs", "dedup_ratio"),
+    "training_cache": A.rounded("SELECT n_samples, n_blobs, n_samples / CAST(n_blobs AS DOUBLE) AS dedup_ratio FROM (SELECT count(*) AS n_samples FROM conversations), (SELECT count(*) AS n_blobs FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations))", "n_samples n_blobs", "dedup_ratio"),
+    "stream_encode_run": f"SELECT doc_id, CAST({V.HashEncoder().dim} AS BIGINT) AS dim, true AS same FROM documents",
     "row_rules": f"""WITH {A.PATHS}, p AS (SELECT page_id, path || (['.py', '.tsx', '.html'])[page_id % 3 + 1] AS path FROM paths)
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE CASE WHEN page_id % 2 = 0 THEN 'java' ELSE 'python' END END AS language, page_id % 3 = 0 AND length(path) * 30000 <= 2000000 AS indexable, replace(path, '/', '_') AS name FROM p""",
     "joint_direction": f"""WITH {A.GRID}, d AS (SELECT model_name, source_project, target_project, {_GAIN.format(m="MRR")} AS x, {_GAIN.format(m="MAP")} AS y FROM grid GROUP BY ALL HAVING x IS NOT NULL AND y IS NOT NULL)

@@ -28,10 +28,22 @@ def first_of_each(stream: DataFrame, key: list[str], when: str, late: str) -> Da
     return with_event_time(stream, when).withWatermark(when, late).dropDuplicatesWithinWatermark(key)
 
 
-def stream_results(stream: DataFrame, key: list[str], when: str, out: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
-    """Appends each key's first row; a key that an earlier run stored is skipped, so restarts do not repeat rows."""
-    once = first_of_each(stream, key, when, late)
-    return once.writeStream.foreachBatch(lambda batch, _: append_new(batch, out, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def least_of_each(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of the rows of each key the one of least ``order``, and of all columns where that ties."""
+    rest = [c for c in batch.columns if c not in order]
+    least = F.min(F.struct(*order, *rest)).alias("_row")
+    return batch.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(least).select(*[F.col(f"_row.{c}").alias(c) for c in batch.columns])
+
+
+def stream_results(stream: DataFrame, key: list[str], when: str, out: str, checkpoint: str, order: list[str] | None = None) -> StreamingQuery:
+    """Appends one row for each key: of the first batch that has the key, the row of least time, then least ``order``, then of
+    all columns. A key that an earlier batch or run stored is skipped, so restarts do not repeat rows; the store itself is the
+    state, and none is held in memory."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        append_new(least_of_each(batch, key, [when, *(order or [])]), out, key)
+
+    return with_event_time(stream, when).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_encode(stream: DataFrame, encoder, store: VectorStore, checkpoint: str, text: str = "text") -> StreamingQuery:

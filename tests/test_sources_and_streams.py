@@ -110,10 +110,21 @@ def events(spark, tmp_path):
 def test_stream_results_keep_one_row_for_each_key(spark, tmp_path, events):
     schema, path = events
     for _ in range(2):  # the second run finds nothing new
-        streams.stream_results(streams.read_stream(spark, path, schema, 1), ["id"], "ts", str(tmp_path / "out"), str(tmp_path / "cp"), "10 days").awaitTermination()
+        streams.stream_results(streams.read_stream(spark, path, schema, 1), ["id"], "ts", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(150))
 
 
+def test_of_rows_of_a_key_the_least_wins(spark, tmp_path):
+    schema = "id int, key string, ts timestamp_ntz, value double"
+    day = datetime(2024, 1, 1)
+    rows = [(4, "a", day + timedelta(hours=2), 1.0), (3, "a", day + timedelta(hours=1), 9.0), (2, "a", day + timedelta(hours=1), 5.0), (2, "a", day + timedelta(hours=1), 4.0), (1, "b", day, None)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(0, "a", day - timedelta(hours=9), 0.0), (7, "c", day, 7.0)], schema).coalesce(1).write.parquet(str(tmp_path / "later"))
+    for k, folder in enumerate(("in", "later")):  # an earlier row that comes later does not replace what is stored
+        streams.stream_results(streams.read_stream(spark, str(tmp_path / folder), schema), ["key"], "ts", str(tmp_path / "out"), str(tmp_path / f"cp{k}"), ["id"]).awaitTermination()
+    assert sorted((r.key, r.id, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 2, 4.0), ("b", 1, None), ("c", 7, 7.0)]
+
+
 def test_stream_scores_equal_the_batch_answer(spark, tmp_path, events):
     schema, path = events
     out = streams.run_available(streams.stream_scores(streams.read_stream(spark, path, schema), "ts", "value", ["model"], "0 seconds"), str(tmp_path / "w"), str(tmp_path / "cp2"))
