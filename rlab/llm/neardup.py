@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from rlab.llm.components import components
 from rlab.llm.scan import NOT_SPACE, U64, flat, mix, ngrams, owners, pieces, prefix_hash, span_hash, words
-from rlab.llm.shared import stored
+from rlab.llm.shared import lookup, stored
 
 SHINGLE = 3
 THRESHOLD = 85  # percent
@@ -250,8 +250,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     members = families.join(reps.select("node", "n_shingles", "text_key"), "node")
     total = stored(members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")), "families")
     members = stored(members.join(total, "family").select("node", "family", "blocks", F.col("text_key.doc_id").alias("_id"), F.col("text_key.sha").alias("_sha")), "members")
-    # merged at every size: the members of families grow with the documents, so they are never a broadcast side
-    texts = slim.join(members.hint("merge"), (slim["doc_id"] == members["_id"]) & (slim["sha"] == members["_sha"])).select("family", "blocks", "node", "text")
+    # the rows of members by their ids first, then only these by id and digest
+    near = slim.join(lookup(stored(members.select(F.col("_id").alias("doc_id")).distinct(), "member-ids")), "doc_id", "left_semi")
+    texts = near.join(members.hint("merge"), (near["doc_id"] == members["_id"]) & (near["sha"] == members["_sha"])).select("family", "blocks", "node", "text")
     sets = texts.mapInArrow(_sets(shingle), "family long, blocks int, node long, shingles binary")
     repeated = repeated_ids(signed)
     if not repeated.isEmpty():  # equal rows of one id: one of them stands for the set
