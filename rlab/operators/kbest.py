@@ -79,5 +79,5 @@ def offer_products(best: KBest, queries: np.ndarray, vectors: np.ndarray, items:
         if not best.once and scores.shape[1] > best.k:
             fresh = np.flatnonzero(np.isneginf(least))
             least[fresh] = -np.partition(-scores[fresh], best.k - 1, axis=1)[:, best.k - 1]
-        query, at = np.nonzero((scores >= (least - 1e-9)[:, None]) & np.isfinite(scores))
-        best.offer(low + query, np.round(scores[query, at], 9), items[at])
+        good = np.flatnonzero(scores >= np.maximum(least - 1e-9, -1e300)[:, None])
+        best.offer(low + good // len(vectors), np.round(scores.ravel()[good], 9), items[good % len(vectors)])
