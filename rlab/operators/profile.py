@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,11 +205,35 @@ def vocab(tokens: DataFrame, most: int = 50_000, min_freq: int = 2, forced: tupl
     return fixed.unionByName(ranked.select("token", "id", "n"))
 
 
-def encode_tokens(texts: DataFrame, table: DataFrame, max_len: int, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """(id, ids, length): token ids of the first ``max_len`` tokens, unknown ones 1, padded with 0; length is at least 1."""
+#: A vocabulary of at most this many tokens is sent to every task; a larger one is joined.
+SENT_TOKENS = 200_000
+
+
+def encode_tokens(texts: DataFrame, table: DataFrame, max_len: int, id_col: str = "id", tokens_col: str = "tokens", sent_tokens: int = SENT_TOKENS) -> DataFrame:
+    """(id, ids, length): token ids of the first ``max_len`` tokens, unknown ones 1, padded with 0; length is at least 1. The
+    tokens of a row are looked up where the row is, if the vocabulary, which is counted, has at most ``sent_tokens``; else each
+    token is joined to it."""
     short = texts.select(F.col(id_col).alias("id"), F.slice(F.coalesce(F.col(tokens_col), X.empty()), 1, max_len).alias("_t"))
-    places = short.select("id", F.posexplode_outer("_t").alias("_at", "token")).join(table.select("token", F.col("id").alias("_code")), "token", "left")
-    code = F.struct("_at", F.coalesce("_code", F.lit(1)).alias("c"))
-    packed = places.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), code))).alias("_all"))  # at most max_len in each
-    ids = F.col("_all.c")
-    return packed.select("id", X.pad_ids(ids, max_len).alias("ids"), F.greatest(F.size(ids), F.lit(1)).alias("length"))
+    known = table.where("token is not null").select("token", F.col("id").cast("int").alias("_code"))
+    first = known.limit(sent_tokens + 1).toArrow()
+    if first.num_rows > sent_tokens:
+        places = short.select("id", F.posexplode_outer("_t").alias("_at", "token")).join(known, "token", "left")
+        code = F.struct("_at", F.coalesce("_code", F.lit(1)).alias("c"))
+        packed = places.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), code))).alias("_all"))  # at most max_len in each
+        ids = F.col("_all.c")
+        return packed.select("id", X.pad_ids(ids, max_len).alias("ids"), F.greatest(F.size(ids), F.lit(1)).alias("length"))
+    shared = texts.sparkSession.sparkContext.broadcast((first.column("token").combine_chunks(), first.column("_code").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, codes = shared.value
+        for batch in batches:
+            lists = batch.column("_t")
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            place = pc.fill_null(pc.index_in(flat.cast(tokens.type), value_set=tokens), -1).to_numpy(zero_copy_only=False)
+            ids = np.zeros((len(sizes), max_len), dtype=np.int32)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            ids[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.where(place >= 0, np.append(codes, 1)[place], 1)
+            packed = pa.ListArray.from_arrays(np.arange(0, ids.size + 1, max_len, dtype=np.int32), ids.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), packed, pa.array(np.maximum(sizes, 1).astype(np.int32))], names=["id", "ids", "length"])
+
+    return short.mapInArrow(run, f"id {short.schema['id'].dataType.simpleString()}, ids array<int>, length int")

@@ -400,3 +400,14 @@ def test_contents_without_an_order_are_kept(spark):
     df = spark.createDataFrame([(None, "x"), (None, "x"), (3, "y"), (None, "y"), (2, "y"), (None, None)], "at int, text string")
     got = sorted(((r["at"], r["text"]) for r in L.content_dedupe(df, "text", "at").collect()), key=str)
     assert got == sorted([(None, "x"), (None, "x"), (2, "y"), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("sent", [0, 10])
+def test_tokens_are_encoded_where_they_are_or_by_a_join(spark, sent):
+    texts = [(1, ["a", "b", "zz", "a", "b", "b"]), (2, []), (3, None), (4, ["c", None, "a"]), (5, ["zz"])]
+    df = spark.createDataFrame(texts, "id int, tokens array<string>").repartition(3)
+    table = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4), ("<PAD>", 0)], "token string, id int")
+    got = {r.id: (list(r.ids), r.length) for r in P.encode_tokens(df, table, 4, sent_tokens=sent).collect()}
+    code = {"a": 2, "b": 3, "c": 4}
+    want = {i: (([code.get(t, 1) for t in (own or [])] + [0] * 4)[:4], max(1, min(4, len(own or [])))) for i, own in texts}
+    assert got == want
