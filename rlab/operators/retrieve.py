@@ -196,7 +196,8 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | Non
 
         return topk_per_query(by_item.mapInPandas(run, ", ".join(kinds)), k)
 
-    return _blockwise(of_block, asked, blocks)
+    # a written table: rankings are small against what they are made of, and are read more than once
+    return stored(of_block(asked), "topk") if blocks == 1 else _blockwise(of_block, asked, blocks)
 
 
 def _blockwise(of_block: Callable[[DataFrame], DataFrame], asked: DataFrame, blocks: int) -> DataFrame:
