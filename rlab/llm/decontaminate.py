@@ -5,9 +5,10 @@ Texts are lower-cased (A-Z only) and cut into words of digits, ASCII letters and
 document is looked up by its 64-bit hash; hits are verified word by word. Words inside hits can be removed as spans,
 or the documents that have any can be dropped.
 
-The broadcast set is bounded: windows are dealt into blocks of about ``BLOCK_WINDOWS`` (they are counted first). One block
-is one pass. With more, each pass gives only the texts that it hits, by digest; these are merged and joined to the
-documents, with the same spans whatever the size of a block.
+The broadcast set is bounded: up to ``BLOCK_WINDOWS`` windows of at most ``BLOCK_BYTES`` (both are counted first) go out with
+their texts, in one pass. Beyond either, only 8-byte hashes go out, ``HASHES`` for each window of a block in one pass; a pass
+gives the windows that it finds, and these are verified by a join with the benchmark's on the words themselves. Such hits are
+merged by the text's digest and joined to the documents. The rows are the same either way.
 
 Defined cases: a null or empty text has no words, no hits and is kept; null or wordless items never occur; repeated
 items each count; equal windows of several items count for each of them; empty tables give no hits or no rows;
@@ -17,6 +18,7 @@ rows that repeat a doc_id are judged each on its own text; extra columns are kep
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,10 @@ from rlab.llm.scan import ALNUM, flat, ngrams, owners, pieces, prefix_hash, span
 from rlab.llm.shared import stored
 
 WINDOW = 10
-#: Most windows in one broadcast block: about 16 MB of hashes and texts of 10 words.
-BLOCK_WINDOWS = 100_000
+#: Most windows that are broadcast with their texts, and most bytes of these (words may be long).
+BLOCK_WINDOWS, BLOCK_BYTES = 100_000, 16 << 20
+#: Hashes that one pass broadcasts for each window of a block: 16 MB at the default.
+HASHES = 20
 
 _SPANS = "array<struct<start:int,stop:int>>"
 HITS = f"n_words long, n_hit long, item_ids array<long>, spans {_SPANS}"
@@ -46,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item
 
 
 class WindowSet:
-    """Sorted window hashes of one block, by number of words, with their texts and items."""
+    """Sorted window hashes of the benchmark, by number of words, with their texts and items."""
 
     def __init__(self, rows: list[tuple[int, int, str]]):
         self.by_size: dict[int, tuple[np.ndarray, list[str], list[list[int]]]] = {}
@@ -138,15 +142,60 @@ def _scan_block(docs: DataFrame, rows: list[tuple[int, int, str]]) -> DataFrame:
     return docs.mapInArrow(run, f"{kept}, {HITS}")
 
 
-def _hits_by_text(texts: DataFrame, windows: DataFrame, blocks: int) -> DataFrame:
-    """(_sha, item_ids, spans) of every text (_sha, text) that any block hits."""
-    dealt = windows.withColumn("_b", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    passes = None
-    for b in range(blocks):  # equal windows share a block; a block holds about as many windows as are asked, whatever the total
-        hit = _scan_block(texts, [tuple(r) for r in dealt.where(F.col("_b") == b).drop("_b").collect()]).where("n_hit > 0").select("_sha", "item_ids", "spans")
-        passes = hit if passes is None else passes.unionByName(hit)
+def _window_hashes(windows: DataFrame) -> DataFrame:
+    """(n_win, hash) of all distinct windows, as texts are looked up by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "window"):
+                raw, offsets = flat(piece.column("window"))
+                starts, ends, before = words(raw, offsets, ALNUM)
+                hashes, sizes = span_hash(prefix_hash(raw), starts, ends), piece.column("n_win").to_numpy()
+                found = np.zeros(len(sizes), dtype=np.int64)
+                for size in np.unique(sizes):
+                    own = np.flatnonzero(sizes == size)
+                    found[own] = ngrams(hashes, int(size))[before[own]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([piece.column("n_win"), pa.array(found)], names=["n_win", "hash"])
+
+    return windows.select("n_win", "window").mapInArrow(run, "n_win int, hash long").distinct()
+
+
+def _candidates(texts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(_sha, start, stop, window) of every run of words of a text (_sha, text) whose hash is among ``hashes``."""
+    table = hashes.toArrow()
+    sizes, known = table.column("n_win").to_numpy(), table.column("hash").to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast({int(n): np.sort(known[sizes == n]) for n in np.unique(sizes)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                raw, offsets = flat(piece.column("text"), lower=True)
+                starts, ends, before = words(raw, offsets, ALNUM)
+                hashes, doc_of = span_hash(prefix_hash(raw), starts, ends), owners(np.diff(before))
+                for size, wanted in shared.value.items():
+                    grams = ngrams(hashes, size)
+                    if not len(grams):
+                        continue
+                    at = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
+                    hits = np.flatnonzero((wanted[at] == grams) & (doc_of[: len(grams)] == doc_of[size - 1 :]))
+                    if len(hits):
+                        low = hits - before[doc_of[hits]]
+                        found = [b" ".join(raw[starts[j] : ends[j]].tobytes() for j in range(k, k + size)).decode() for k in hits]
+                        columns = [piece.column("_sha").take(pa.array(doc_of[hits])), pa.array(low.astype(np.int32)), pa.array((low + size).astype(np.int32)), pa.array(found, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["_sha", "start", "stop", "window"])
+
+    return texts.mapInArrow(run, "_sha binary, start int, stop int, window string")
+
+
+def _hits_by_text(texts: DataFrame, windows: DataFrame, most: int) -> DataFrame:
+    """(_sha, n_hit, item_ids, spans) of every text (_sha, text) that any window hits; one pass for each ``most`` hashes."""
+    hashes = stored(_window_hashes(windows), "window-hashes")
+    passes = max(1, -(-hashes.count() // most))
+    dealt = hashes.withColumn("_b", F.pmod(F.xxhash64("hash"), F.lit(passes)))
+    found = reduce(DataFrame.unionByName, [_candidates(texts, dealt.where(F.col("_b") == b).drop("_b")) for b in range(passes)])
+    sure = found.join(windows, "window").select("_sha", F.array("item_id").alias("item_ids"), F.array(F.struct("start", "stop")).alias("spans"))
     # equal texts give equal hits, so sets of them are what one of them has
-    merged = passes.groupBy("_sha").agg(F.flatten(F.collect_set("item_ids")).alias("item_ids"), F.flatten(F.collect_set("spans")).alias("spans"))
+    merged = sure.groupBy("_sha").agg(F.flatten(F.collect_set("item_ids")).alias("item_ids"), F.flatten(F.collect_set("spans")).alias("spans"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,12 +210,12 @@ def _hits_by_text(texts: DataFrame, windows: DataFrame, blocks: int) -> DataFram
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", n: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: ``id_cols``, n_words, n_hit, item_ids (sorted) and the merged spans of hit words."""
     slim = docs.select(*id_cols, F.col(text_col).alias("text"))
-    windows = benchmark_windows(benchmark, n)
-    blocks = max(1, -(-windows.count() // block))
-    if blocks == 1:
+    windows = stored(benchmark_windows(benchmark, n), "windows")
+    size = windows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("n_bytes")).first()
+    if size.n <= block and size.n_bytes <= BLOCK_BYTES:
         return _scan_block(slim, [tuple(r) for r in windows.collect()])
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    hits = _hits_by_text(slim.select(sha.alias("_sha"), "text"), windows, blocks)
+    hits = _hits_by_text(slim.select(sha.alias("_sha"), "text"), windows, HASHES * block)
     counted = _scan_block(slim.select(*id_cols, sha.alias("_sha"), "text"), []).drop("n_hit", "item_ids", "spans")
     joined = counted.join(hits, "_sha", "left")
     none = [F.array().cast(kind) for kind in ("array<long>", _SPANS)]

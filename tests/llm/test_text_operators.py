@@ -192,7 +192,7 @@ def hits_by_hand(text, items, n=10):
     return len(words), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 40, 5])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 40, 1])
 def test_benchmark_hits(docs, rows, spark, block):
     long = rows[-1][1]
     items = [*ITEMS, (20, rows[5][1][3:150]), (21, rows[6][1]), (22, rows[6][1]), (23, long[70_000:70_200]), (24, long[-90:])]
@@ -237,6 +237,22 @@ def test_copies_and_overlaps_in_any_block(spark, block):
     assert sorted(r.doc_id for r in decontaminate.clean(docs.withColumn("m", F.create_map(F.lit(1), F.lit(2))), bench, block=block).collect()) == [3, 4]
 
 
+def test_long_words_are_not_broadcast(spark, monkeypatch):
+    """Windows above the byte bound go by their hashes, with the same rows; equal hashes alone are no hit."""
+    long = "ab" * 50_000
+    bench = spark.createDataFrame([(1, f"{long} x"), (2, f"{long}c"), (3, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{long.upper()}, x"), (2, f"{long}d x"), (3, f"{long}c")], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(decontaminate, "ngrams", lambda hashes, n: np.zeros(max(0, len(hashes) - n + 1), np.uint64))
+    texts = docs.select(F.col("doc_id").cast("string").cast("binary").alias("_sha"), "text")
+    all_runs = decontaminate._hits_by_text(texts, decontaminate.benchmark_windows(bench), 1).collect()
+    assert {(int(r["_sha"]), tuple(r.item_ids)) for r in all_runs} == {(1, (1, 3)), (2, (3,)), (3, (2,))}
+    monkeypatch.undo()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    found = decontaminate.find_hits(docs, bench).collect()
+    assert {(r.doc_id, r.n_hit, tuple(r.item_ids)) for r in found} == {(1, 2, (1, 3)), (2, 1, (3,)), (3, 1, (2,))}
+
+
 def test_clean_keeps_columns_of_any_name(docs, rows, spark):
     bench = spark.createDataFrame([(20, rows[5][1])], "item_id long, text string")
     odd = docs.withColumnRenamed("lang", "n_words").withColumnRenamed("source", "spans").withColumn("_row", F.lit(1))
