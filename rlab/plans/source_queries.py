@@ -88,10 +88,8 @@ def read_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, li = io.scratch_dir(spark, "diagnostics"), A.table(spark, sf_dir, "lineitem")
     base, model = (F.col("l_quantity") * 3).cast("int"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_linenumber").cast("int"))
     rows = li.select(F.col("l_orderkey").cast("string").alias("bug_id"), F.col("l_partkey").cast("string").alias("gt_blob_sha"), base.alias("faiss_rank"), model.alias("model_rank"), (base - model).alias("rank_displacement"), F.lit(0.5).alias("faiss_score"), F.lit(0.25).alias("model_score"), (F.col("l_partkey") % 2).alias("_pair"), (F.col("l_linenumber") % 4).alias("_scenario"))
-    for k, (source, target) in enumerate(_PAIRS):
-        for s, scenario in enumerate(J.SCENARIOS):
-            name = f"{source}_{target}_{scenario}_diagnostics.csv".replace("/", "_")
-            io.one_file(io.diagnostics_sink(rows.where((F.col("_pair") == k) & (F.col("_scenario") == s)).drop("_pair", "_scenario")), f"{at}/{name}", "csv", header=True)
+    names = [F.when((F.col("_pair") == k) & (F.col("_scenario") == s), f"{source}_{target}_{scenario}_diagnostics.csv".replace("/", "_")) for k, (source, target) in enumerate(_PAIRS) for s, scenario in enumerate(J.SCENARIOS)]
+    io.named_folders(io.diagnostics_sink(rows.withColumn("name", F.coalesce(*names)).where("name is not null").drop("_pair", "_scenario")), at, "name", "csv", header=True)
     projects = spark.createDataFrame([(p,) for p in _PAIRS[0]], "repo_name string")
     out = io.read_diagnostics(spark, at, projects, J.SCENARIOS)
     return out.groupBy("source_project", "target_project", "scenario").agg(F.count(F.lit(1)).alias("n"), F.count("model_rank").alias("n_ranked"), F.sum("faiss_rank").alias("rank_sum"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,14 +76,19 @@ def read_commented_json(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_diagnostics(spark: SparkSession, directory: str, projects: DataFrame, scenarios: list[str]) -> DataFrame:
     """Diagnostics named source_target_scenario, where names have underscores of their own: the part before the scenario
-    is looked up among the joined names of all pairs of known projects, so every split point is tried at once."""
-    rows = spark.read.csv(f"{directory}/*_diagnostics.csv", header=True, schema=DIAGNOSTICS).withColumn("_file", file_name())
+    is looked up among the joined names of all pairs of known projects, so every split point is tried at once. A name may be
+    that of a file or of a folder of files."""
+    rows = spark.read.csv(f"{directory}/*_diagnostics.csv", header=True, schema=DIAGNOSTICS)
+    # names are taken apart once for each file; rows are looked up by the end of their path
+    ends = sorted({"/".join(f.rsplit("/", 2)[1:]) for f in rows.inputFiles()})
+    names = [(end, unquote(next(part for part in reversed(end.split("/")) if part.endswith("_diagnostics.csv")))) for end in ends]
     pattern = f"^(.*)_({'|'.join(scenarios)})_diagnostics\\.csv$"
-    named = rows.withColumn("_pair", F.regexp_extract("_file", pattern, 1)).withColumn("scenario", F.regexp_extract("_file", pattern, 2)).drop("_file")
+    files = spark.createDataFrame(names, "_end string, _file string").select("_end", F.regexp_extract("_file", pattern, 1).alias("_pair"), F.regexp_extract("_file", pattern, 2).alias("scenario"))
     one = projects.select(F.col("repo_name").alias("source_project")).distinct()
     pairs = one.crossJoin(one.withColumnRenamed("source_project", "target_project")).withColumn("_pair", F.concat_ws("_", safe_name(F.col("source_project")), safe_name(F.col("target_project"))))
     clean = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)  # noqa: E731  -1 stands for absent
-    joined = named.join(pairs, "_pair").drop("_pair")
+    named = F.broadcast(files.join(pairs, "_pair").drop("_pair"))
+    joined = rows.withColumn("_end", F.substring_index(F.col("_metadata.file_path"), "/", -2)).join(named, "_end").drop("_end")
     return joined.select(*[clean(c) if c in ("faiss_rank", "model_rank") else F.col(c) for c in joined.columns])
 
 
@@ -168,6 +174,22 @@ def one_file(df: DataFrame, path: str, fmt: str, **options) -> None:
     files.delete(path_of(parts), True)
 
 
+def named_folders(df: DataFrame, directory: str, name: str, fmt: str, **options) -> None:
+    """Writes the rows of each value of the column ``name`` as a folder of that very name. Every task writes its own rows of all
+    names, so the rows are read once and none gathers those of a name."""
+    spark = df.sparkSession
+    staged = f"{directory}.parts"
+    df.write.partitionBy(name).format(fmt).options(**options).save(staged)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path_of(directory))
+    for folder in (f.getPath() for f in files.listStatus(path_of(staged)) if f.isDirectory()):
+        value = unquote(folder.getName().split("=", 1)[1])
+        if not files.rename(folder, path_of(path_of(directory), value)):
+            raise OSError(f"cannot name the folder {value}")
+    files.delete(path_of(staged), True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table as read from files, dealt to all cores where it has fewer partitions than there are cores: one small file
     would be one task, whatever is done with its texts."""

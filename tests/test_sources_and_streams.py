@@ -60,6 +60,18 @@ def test_diagnostics_names_are_split_by_known_projects(spark, tmp_path):
     assert io.diagnostics_sink(spark.createDataFrame([(None,)], "model_rank int")).first().model_rank == -1
 
 
+def test_diagnostics_in_folders_of_many_files(spark, tmp_path):
+    head = "bug_id,gt_blob_sha,faiss_rank,model_rank,rank_displacement,faiss_score,model_score\n"
+    put(tmp_path / "one" / "a_b+c d_CP-transfer_diagnostics.csv", head + "1,s,2,4,,0.5,0.6\n")
+    rows = spark.range(0, 400, 1, 4).select("id", F.col("id").cast("string").alias("bug_id"), F.lit("s").alias("gt_blob_sha"), *[F.col("id").cast("int").alias(c) for c in ("faiss_rank", "model_rank", "rank_displacement")], F.lit(0.5).alias("faiss_score"), F.lit(0.6).alias("model_score"))
+    name = F.when(F.col("id") % 2 == 0, "a_b+c d_CP-transfer_diagnostics.csv").otherwise("b+c d_a_WP-small_diagnostics.csv")
+    io.named_folders(rows.withColumn("name", name).drop("id"), str(tmp_path / "many"), "name", "csv", header=True)
+    assert [len(list(f.glob("part-*"))) for f in (tmp_path / "many").iterdir() if f.is_dir()] == [4, 4]
+    projects = spark.createDataFrame([("a",), ("b+c d",)], "repo_name string")
+    got = {folder: sorted((r.source_project, r.scenario, r["count"]) for r in io.read_diagnostics(spark, str(tmp_path / folder), projects, SCENARIOS).groupBy("source_project", "scenario").count().collect()) for folder in ("one", "many")}
+    assert got == {"one": [("a", "CP-transfer", 1)], "many": [("a", "CP-transfer", 200), ("b+c d", "WP-small", 200)]}
+
+
 def test_recall_and_corpus_dirs(spark, tmp_path):
     put(tmp_path / "r" / "semantic_search_numpy_numpy_results.csv", "Recall@30,Recall@300\n0.1,0.6\n")
     assert tuple(io.read_recall_dir(spark, f"{tmp_path}/r/*.csv", 300).first()) == ("numpy/numpy", 0.6)
