@@ -1,7 +1,10 @@
-"""Column functions on text: tokens, paths, reports, chunks. All of them are built-in expressions."""
+"""Column functions on text: tokens, paths, reports, chunks. All of them are built-in expressions but
+``cut_code_tokens``, which scans the bytes of a batch."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,30 @@ def code_tokens(text: Column) -> Column:
     return F.transform(_words(text, "[A-Z]+[a-z0-9]*|[a-z0-9]+"), F.lower)
 
 
+_UPPER, _LOWER = (np.isin(np.arange(256), [*map(ord, chars)]) for chars in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789"))
+_FOLDED = np.where(_UPPER, np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+
+
+def cut_code_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``code_tokens`` of a batch of texts without nulls, by scans of its bytes: the number of tokens of each text, and all
+    tokens in order. No byte of a character outside ASCII is one of ASCII."""
+    texts = pa.concat_arrays([texts]).cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    upper, lower = _UPPER[data], _LOWER[data]
+    word = upper | lower
+    starts = word.copy()
+    starts[1:] &= ~word[:-1] | (upper[1:] & lower[:-1])
+    first = ends[:-1][ends[:-1] < len(data)]  # a text begins a token of its own
+    starts[first] = word[first]
+    at = np.flatnonzero(starts)
+    places = np.concatenate(([0], np.cumsum(word)))  # of each byte among those of words
+    offsets = np.append(places[at], places[-1]).astype(np.int64)
+    tokens = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(_FOLDED[data[word]])])
+    return np.diff(np.searchsorted(at, ends)), tokens
+
+
 def text_tokens(text: Column) -> Column:
     """Identifiers and numbers of the lower-cased text."""
     return _words(F.lower(text), r"[a-zA-Z_]\w*|\d+")

@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rlab.functions import text as X
@@ -21,6 +21,8 @@ from rlab.sources.io import stored
 RECALL_KS = [30, 40, 50, 60, 70, 80, 90, 100, 200, 300, 400, 500, 700]
 #: Most bytes of query vectors in one broadcast block.
 BLOCK_BYTES = 32 << 20
+#: Most rows of a table that others are looked up in by broadcast.
+BROADCAST_IDS = 500_000
 #: Scores (item x query) that a task adds up at once.
 CELLS = 4_000_000
 #: Vectors in one part of a snapshot, and queries in one block, of ``cosine_topk_by``.
@@ -34,26 +36,44 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each row and distinct token, with the number of its tokens; all other columns go along."""
+    for part in _slices(batches):
+        lists = part.column("tokens")
+        yield _counted(part, np.diff(lists.offsets.to_numpy()), lists.flatten())
+
+
+def _count_code_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_count_terms``, of texts in the column ``tokens`` that are cut here as ``functions.text.code_tokens`` cuts them."""
+    for part in _slices(batches):
+        yield _counted(part, *X.cut_code_tokens(part.column("tokens")))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            lists = part.column("tokens")
-            sizes = np.diff(lists.offsets.to_numpy())
-            terms = lists.flatten().dictionary_encode()
-            cell, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(terms.dictionary)) + terms.indices.to_numpy(), return_counts=True)
-            row = cell // max(1, len(terms.dictionary))
-            others = [n for n in part.schema.names if n != "tokens"]
-            columns = [*(part.column(n).take(pa.array(row)) for n in others), pa.array(sizes[row].astype(np.int32)), terms.dictionary.take(pa.array(cell % max(1, len(terms.dictionary)))), pa.array(tf.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "dl", "term", "tf"])
-
-
-def postings(corpus: DataFrame, by: list[str] | None = None) -> DataFrame:
+            yield batch.slice(at, 1000)
+
+
+def _counted(part: pa.RecordBatch, sizes: np.ndarray, tokens: pa.Array) -> pa.RecordBatch:
+    terms = tokens.dictionary_encode()
+    n = max(1, len(terms.dictionary))
+    cell, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + terms.indices.to_numpy(), return_counts=True)
+    row = cell // n
+    others = [c for c in part.schema.names if c != "tokens"]
+    columns = [*(part.column(c).take(pa.array(row)) for c in others), pa.array(sizes[row].astype(np.int32)), terms.dictionary.take(pa.array(cell % n)), pa.array(tf.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=[*others, "dl", "term", "tf"])
+
+
+def postings(corpus: DataFrame, by: list[str] | None = None, text: str | None = None) -> DataFrame:
     """(by, item_id, dl, term, tf) of a corpus with a ``tokens`` column: texts are cut into tokens once, a row's tokens are
-    counted where the row is, and all statistics come from this written table. ``dl``: tokens of the item. An item is one row."""
+    counted where the row is, and all statistics come from this written table. ``dl``: tokens of the item. An item is one row.
+    ``text``: a column of texts to be cut into code tokens here, batch by batch, instead of ``tokens``."""
     names = [*(by or []), "item_id"]
     kinds = [f"`{n}` {corpus.schema[n].dataType.simpleString()}" for n in names]
-    tall = corpus.where("tokens is not null").select(*names, F.filter("tokens", lambda t: t.isNotNull()).alias("tokens"))
-    return stored(tall.mapInArrow(_count_terms, ", ".join([*kinds, "dl int", "term string", "tf long"])), "postings")
+    if text is not None:
+        tall, count = corpus.where(F.col(text).isNotNull()).select(*names, F.col(text).alias("tokens")), _count_code_tokens
+    else:
+        tall, count = corpus.where("tokens is not null").select(*names, F.filter("tokens", lambda t: t.isNotNull()).alias("tokens")), _count_terms
+    return stored(tall.mapInArrow(count, ", ".join([*kinds, "dl int", "term string", "tf long"])), "postings")
 
 
 def term_statistics(corpus: DataFrame, by: list[str], posted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,20 +84,34 @@ def term_statistics(corpus: DataFrame, by: list[str], posted: DataFrame) -> tupl
     return terms, both.withColumn("avgdl", F.coalesce("_all", F.lit(0)) / F.col("n_docs")).drop("_all")
 
 
-def _bm25_weights(queries: DataFrame, corpus: DataFrame, by: list[str], k1: float, b: float, eps: float, posted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(by, query_id, term, qtf) of the queries, and (by, item_id, term, weight) of the postings of their terms."""
+def query_postings(queries: DataFrame, corpus: DataFrame, by: list[str] | None = None, posted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What scorers with any constants share: (by, query_id, code, qtf) of the queries, and (by, item_id, code, dl, tf, avgdl,
+    raw_idf, mean_idf) of the postings of their terms; ``code`` is a number of a term and ``by``. Terms are counted once. Up to
+    ``BROADCAST_IDS`` query terms are looked up where the postings are, so only postings of query terms move."""
+    by = by or []
     posted = postings(corpus, by) if posted is None else posted
     query_terms = queries.select(*by, "query_id", F.explode("tokens").alias("term")).groupBy(*by, "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms, sizes = term_statistics(corpus, by, posted)
-    terms = terms.join(sizes, by) if by else attach(terms, sizes)
-    idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = terms.withColumn("raw_idf", idf)
+    terms, sizes = stored(terms, "terms"), stored(sizes, "sizes")
+    terms = terms.join(F.broadcast(sizes), by) if by else attach(terms, sizes)
+    terms = terms.withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = terms.groupBy(*by).agg(F.avg("raw_idf").alias("mean_idf"))
     wanted = terms.join(query_terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
     wanted = wanted.join(mean, by) if by else attach(wanted, mean)
-    wanted = wanted.select(*by, "term", "avgdl", F.when(F.col("raw_idf") < 0, eps * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return query_terms, posted.join(wanted, [*by, "term"]).select(*by, "item_id", "term", weight.alias("weight"))
+    # numbers are given when the table is written, so all who read it see the same
+    wanted = lookup(stored(wanted.select(*by, "term", F.monotonically_increasing_id().alias("code"), "avgdl", "raw_idf", "mean_idf"), "wanted-terms"))
+    asked = stored(query_terms.join(wanted, [*by, "term"]).select(*by, "query_id", "code", "qtf"), "query-terms")
+    return asked, stored(posted.join(wanted, [*by, "term"]).select(*by, "item_id", "code", "dl", "tf", "avgdl", "raw_idf", "mean_idf"), "query-postings")
+
+
+def lookup(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A stored table that others are looked up in: broadcast up to a counted number of rows, beyond that left to a merge."""
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
+def _weights(k1: float, b: float, eps: float) -> Column:
+    idf = F.when(F.col("raw_idf") < 0, eps * F.col("mean_idf")).otherwise(F.col("raw_idf"))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
 
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None) -> DataFrame:
@@ -86,8 +120,8 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = No
     get ``eps`` times the mean idf of the whole vocabulary. ``posted``: the corpus' postings, where several scorers share
     them. Postings are cut to query terms before they are shuffled."""
     by = by or []
-    query_terms, weights = _bm25_weights(queries, corpus, by, k1, b, eps, posted)
-    pairs = weights.join(query_terms, [*by, "term"])
+    query_terms, found = query_postings(queries, corpus, by, posted)
+    pairs = found.select("item_id", "code", _weights(k1, b, eps).alias("weight")).join(query_terms, "code")
     return pairs.groupBy(*by, "query_id", "item_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"), F.count(F.lit(1)).alias("n_terms"))
 
 
@@ -157,19 +191,20 @@ class _Block:
         return good % len(self.queries), np.round(scores[good], 9), names[good // len(self.queries)], n_terms[good]
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, posted: DataFrame | None = None, shared: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best items of every query with rank, score and n_terms, as ``bm25_scores`` has them. Items that share no term are
     not listed. Scores are rounded to 9 places before they are ranked, so that the order does not hang on the order of a sum.
 
     The postings of query terms are sorted by item, and query terms go out in blocks of bounded size, one at a time; a task
     adds up the scores of some items at once and keeps its own k best, so the pairs that share a term are never rows of a
     shuffle. The k-th score so far bounds what is looked up at all: with the largest weight of each term, an item that
-    cannot reach it is left out before its frequent terms are read. Each block's result is a written table of its own."""
+    cannot reach it is left out before its frequent terms are read. Each block's result is a written table of its own. ``shared``:
+    what ``query_postings`` gives, where several scorers share it."""
     by = by or []
-    query_terms, weights = _bm25_weights(queries, corpus, by, k1, b, eps, posted)
+    query_terms, found = query_postings(queries, corpus, by, posted) if shared is None else shared
     spark, names = corpus.sparkSession, [*by, "query_id"]
-    key = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by], "term").alias("_key")
-    weights = stored(weights.select("item_id", key, "weight"), "weights")
+    key = F.col("code").alias("_key")
+    weights = found.select("item_id", key, _weights(k1, b, eps).alias("weight"))
     asked = query_terms.select(*names, key, "qtf").join(weights.groupBy("_key").agg(F.max("weight").alias("most")), "_key")
     asked = stored(asked, "query-terms")
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).alias("queries")).first()
@@ -317,7 +352,8 @@ def containing(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     texts, held = corpus.select("item_id", "text"), F.contains(F.col("text"), F.col("_passage"))
     sure = found.join(passages.select("query_id", "_passage"), "query_id").join(texts, "item_id").where(held)
     short = texts.join(passages.where(F.size(inner) == 0).select("_passage", "query_id"), held)
-    return sure.select("query_id", "item_id").union(short.select("query_id", "item_id")).distinct()
+    # a written table: metrics read the ground truth several times
+    return stored(sure.select("query_id", "item_id").union(short.select("query_id", "item_id")).distinct(), "containing")
 
 
 def mark_relevant(ranked: DataFrame, truth: DataFrame) -> DataFrame:

@@ -180,8 +180,9 @@ def scenario_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labeled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.bm25_topk(A.queries(spark, sf_dir), A.corpus(spark, sf_dir), POOL)
-    return round_columns(S.labeled_samples(ranked, R.containing(A.queries(spark, sf_dir), A.corpus(spark, sf_dir))))
+    corpus = A.corpus(spark, sf_dir)
+    ranked = R.bm25_topk(A.queries(spark, sf_dir), corpus, POOL, posted=R.postings(corpus, text="text"))
+    return round_columns(S.labeled_samples(ranked, R.containing(A.queries(spark, sf_dir), corpus)))
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,10 @@ SAMPLE = 1000
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = TOP, **how) -> DataFrame:
-    return R.bm25_topk(A.queries(spark, sf_dir), A.corpus(spark, sf_dir), k, **how)
+    corpus = A.corpus(spark, sf_dir)
+    if "shared" not in how:
+        how["posted"] = R.postings(corpus, text="text")
+    return R.bm25_topk(A.queries(spark, sf_dir), corpus, k, **how)
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +93,10 @@ truth AS (SELECT query_id, vec_id AS item_id FROM queries q JOIN embeddings e ON
 
 
 def _two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A baseline, and as the model the same scorer with other constants, over the same postings."""
-    posted = R.postings(A.corpus(spark, sf_dir))
-    return _bm25(spark, sf_dir, posted=posted), _bm25(spark, sf_dir, k1=0.9, b=0.4, posted=posted)
+    """A baseline, and as the model the same scorer with other constants, over the same postings of query terms."""
+    corpus = A.corpus(spark, sf_dir)
+    shared = R.query_postings(A.queries(spark, sf_dir), corpus, posted=R.postings(corpus, text="text"))
+    return _bm25(spark, sf_dir, shared=shared), _bm25(spark, sf_dir, k1=0.9, b=0.4, shared=shared)
 
 
 _TWO = f"{A.TOKENS}, {A.TRUTH}, {A.bm25_sql('base', TOP)}, {A.bm25_sql('model', TOP, 0.9, 0.4)}"

@@ -19,7 +19,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical candidates of every passage with their features, and whether they hold it."""
     asked, corpus = A.queries(spark, sf_dir), A.corpus(spark, sf_dir)
     terms = asked.select("query_id", F.size(F.array_distinct("tokens")).alias("_terms"))
-    found = R.mark_relevant(R.bm25_topk(asked, corpus, POOL), R.containing(asked, corpus)).join(terms, "query_id")
+    found = R.mark_relevant(R.bm25_topk(asked, corpus, POOL, posted=R.postings(corpus, text="text")), R.containing(asked, corpus)).join(terms, "query_id")
     return found.select(
         "query_id", "item_id", F.col("relevant").cast("int").alias("label"), F.round("score", 6).alias("lexical"), F.col("n_terms").cast("double").alias("shared"),
         F.round(F.col("n_terms") / F.col("_terms"), 6).alias("coverage"), F.round(1.0 / F.col("rank"), 6).alias("place"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,12 @@ def test_languages_of_files(spark):
     assert values(spark, ["x.unknown"], lambda c: C.file_language(c, F.lit("java"))) == ["java"]
     assert values(spark, ["x.py", "x.java", "py"], lambda c: C.is_indexable(c, F.lit(10), F.lit("python"))) == [True, False, False]
     assert values(spark, ["x.py"], lambda c: C.is_indexable(c, F.lit(2_000_001), F.lit("python"))) == [False]
+
+
+def test_code_tokens_by_bytes(spark):
+    texts = ["", "fooBar9Baz XMLHttp", "A", "a", "B", "caf\u00e9Bar \u6f22zZ9", "aB\ncD--e", "", "zz"]
+    batch = pa.array([*texts, "not Read"])
+    for at in range(len(texts)):
+        sizes, tokens = X.cut_code_tokens(batch.slice(at, len(texts) - at))
+        want = [r.t for r in spark.createDataFrame(list(enumerate(texts[at:])), "k int, s string").select("k", X.code_tokens(F.col("s")).alias("t")).orderBy("k").collect()]
+        assert sizes.tolist() == [len(w) for w in want] and tokens.to_pylist() == [w for row in want for w in row]

@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from rlab.functions import text as X
 from rlab.operators import clean as L
 from rlab.operators import compare as C
 from rlab.operators import joins as J
@@ -32,6 +33,24 @@ def ranking(spark):
     return K.rank_candidates(ranked), truth, queries
 
 
+def test_scorers_share_the_postings_of_query_terms(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alphaBeta gamma gamma"), (3, "delta"), (4, None)], "item_id long, text string").withColumn("tokens", X.code_tokens(F.col("text")))
+    asked = spark.createDataFrame([(7, ["alpha", "gamma", "gamma"]), (8, ["beta", "none"])], "query_id long, tokens array<string>")
+    posted = R.postings(docs, text="text")
+    assert sorted(map(tuple, posted.collect())) == sorted(map(tuple, R.postings(docs).collect()))
+    shared = R.query_postings(asked, docs, posted=posted)
+    assert shared[1].select("code").distinct().count() == 3 and shared[1].count() == 5  # delta is no query term
+    for how in ({}, {"k1": 0.9, "b": 0.4}):
+        assert R.bm25_topk(asked, docs, 3, shared=shared, **how).orderBy("query_id", "rank").collect() == R.bm25_topk(asked, docs, 3, **how).orderBy("query_id", "rank").collect()
+
+
+def test_ground_truth_is_found_once(spark):
+    docs = spark.createDataFrame([(1, "a bc d"), (2, "x a bc d y"), (3, "bc")], "item_id int, text string")
+    found = R.containing(spark.createDataFrame([(5, "a bc d"), (6, "bc")], "query_id int, text string"), docs)
+    assert sorted(map(tuple, found.collect())) == [(5, 1), (5, 2), (6, 1), (6, 2), (6, 3)]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # each reader would search again
+
+
 def test_metrics_by_hand(ranking):
     got = M.ranking_metrics(*ranking).first()
     assert (got.n_queries, got.n_with_gt) == (5, 3)
