@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Candidates that wait before they are merged into the lists.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Entries of all lists of one task; searches deal their queries into blocks that stay below it.
-LISTED = 1 << 22
+LISTED = 1 << 20
 #: Scores of one tile of queries and vectors.
 TILE = 1 << 20
 

@@ -430,3 +430,22 @@ def test_tokens_are_encoded_where_they_are_or_by_a_join(spark, sent):
     code = {"a": 2, "b": 3, "c": 4}
     want = {i: (([code.get(t, 1) for t in (own or [])] + [0] * 4)[:4], max(1, min(4, len(own or [])))) for i, own in texts}
     assert got == want
+
+
+def test_memory_of_full_lists_is_bounded():
+    import tracemalloc
+
+    import numpy as np
+
+    from rlab.operators import kbest
+
+    n, rng = kbest.LISTED // 700, np.random.default_rng(5)
+    best, queries = KBest(n, 700), np.arange(n)
+    tracemalloc.start()
+    try:
+        for at in range(0, 1000, 100):
+            best.offer(np.repeat(queries, 100), rng.random(n * 100), np.tile(np.arange(at, at + 100), n))
+        found, peak = best.rows(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found[0]) == n * 700 and peak < 250e6
