@@ -6,10 +6,13 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Texts that an encoder is given at once.
+ENCODED = 256
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -55,17 +58,22 @@ class HashEncoder:
         return out
 
 
-def encode(df: DataFrame, text: str, encoder, name: str = "vec", normalise: bool = True) -> DataFrame:
-    """``df`` with the vectors of a text column. The encoder is loaded once in each task and called batch by batch."""
-    columns = df.columns
+def encode(df: DataFrame, text: str, encoder, name: str = "vec", normalise: bool = True, keep_text: bool = True) -> DataFrame:
+    """``df`` with the vectors of a text column. The encoder is loaded once in each task and called with at most ``ENCODED`` texts
+    at a time; all other columns pass by as they came. ``keep_text``: whether the texts go along."""
+    columns = [c for c in df.columns if keep_text or c != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = np.asarray(encoder(batch[text].tolist()), dtype=np.float32).reshape(len(batch), -1)
-            if normalise:
-                sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
-                vectors = vectors / np.where(sizes == 0, 1, sizes)
-            yield batch.assign(**{name: list(vectors)})
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.select(*columns).mapInPandas(run, f"{kept}, {name} array<float>")
+            for at in range(0, batch.num_rows, ENCODED):
+                part = batch.slice(at, ENCODED)
+                vectors = np.asarray(encoder(part.column(text).to_pylist()), dtype=np.float32).reshape(part.num_rows, -1)
+                if normalise:
+                    sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
+                    vectors = vectors / np.where(sizes == 0, 1, sizes)
+                places = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * vectors.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(places, pa.array(vectors.ravel(), pa.float32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists], names=[*columns, name])
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in columns)
+    return df.mapInArrow(run, f"{kept}{name} array<float>")

@@ -194,7 +194,7 @@ def stream_encode_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in range(2):
         rows = streams.read_stream(spark, f"{sf_dir}/documents.parque[t]", docs.schema).select(F.col("doc_id").alias("blob_sha"), F.col("source").alias("project"), "text")
         streams.stream_encode(rows, V.HashEncoder(), store, f"{at}/{run}").awaitTermination()
-    plain = V.encode(docs.select("doc_id", "text"), "text", V.HashEncoder(), "plain").select("doc_id", "plain")
+    plain = V.encode(docs.select("doc_id", "text"), "text", V.HashEncoder(), "plain", keep_text=False)
     kept = store.read().select(F.col("blob_sha").alias("doc_id"), "vec")
     return kept.join(plain, "doc_id", "full").select("doc_id", F.size("vec").cast("long").alias("dim"), F.coalesce(F.col("vec") == F.col("plain"), F.lit(False)).alias("same"))
 

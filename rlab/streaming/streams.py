@@ -51,7 +51,7 @@ def stream_encode(stream: DataFrame, encoder, store: VectorStore, checkpoint: st
 
     def add(batch: DataFrame, _: int) -> None:
         new = store.missing(batch.dropDuplicates(["blob_sha"]))
-        store.write(encode(new.select("blob_sha", "project", text), text, encoder).drop(text))
+        store.write(encode(new.select("blob_sha", "project", text), text, encoder, keep_text=False))
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

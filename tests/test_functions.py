@@ -128,3 +128,16 @@ def test_code_tokens_by_bytes(spark):
         sizes, tokens = X.cut_code_tokens(batch.slice(at, len(texts) - at))
         want = [r.t for r in spark.createDataFrame(list(enumerate(texts[at:])), "k int, s string").select("k", X.code_tokens(F.col("s")).alias("t")).orderBy("k").collect()]
         assert sizes.tolist() == [len(w) for w in want] and tokens.to_pylist() == [w for row in want for w in row]
+
+
+def test_encoder_gets_few_texts_at_a_time(spark):
+    class Sizes:
+        def __call__(self, texts):
+            return [[len(texts), len(t or "")] for t in texts]
+
+    texts = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") != 5, F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("t"))
+    out = V.encode(texts, "t", Sizes(), normalise=False, keep_text=False)
+    assert out.columns == ["id", "vec"]
+    found = {r.id: r.vec for r in out.collect()}
+    assert len(found) == 1000 and max(v[0] for v in found.values()) <= V.ENCODED and all(v[1] == (k if k != 5 else 0) for k, v in found.items())
+    assert V.encode(texts, "t", Sizes()).select("t").count() == 1000
