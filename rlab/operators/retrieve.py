@@ -376,15 +376,18 @@ def chunk_max_sim(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return _best_of_batches(queries, chunks, k, several=True)
 
 
-def function_features(reports: DataFrame, functions: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
+def function_features(reports: DataFrame, functions: DataFrame, pairs: DataFrame, most: int | None = 20) -> DataFrame:
     """(query_id, item_id, f1..f4): largest and mean cosine of a report's summary and description to the first ``most``
-    functions of a file. reports: query_id, summary_vec, description_vec; functions: item_id, fn_no, vec; pairs of
-    files without functions get zeros."""
-    heads = functions.where(F.col("fn_no") < most).select("item_id", "vec")
-    sims = pairs.join(reports, "query_id").join(heads, "item_id", "left")
-    s, d = (V.cosine(F.col(c), F.col("vec"), guard=1e-8) for c in ("summary_vec", "description_vec"))
-    aggs = [f(x) for x in (s, d) for f in (F.max, F.avg)]
-    return sims.groupBy("query_id", "item_id").agg(*[F.coalesce(a, F.lit(0.0)).alias(f"f{k}") for k, a in enumerate(aggs, 1)])
+    functions of a file, by ``fn_no``, or with None to all of them. reports: query_id, summary_vec, description_vec;
+    functions: item_id, fn_no, vec; pairs of files without functions get zeros."""
+    taken = functions if most is None else functions.where(F.col("fn_no") < most)
+    # lengths are taken once for a vector and each cosine once for a pair: files may have any number of functions
+    sized = taken.select("item_id", "vec", V.norm(F.col("vec")).alias("_size"))
+    asked = reports.select("*", *[V.norm(F.col(f"{c}_vec")).alias(f"_{c}_size") for c in ("summary", "description")])
+    sims = pairs.join(asked, "query_id").join(sized, "item_id", "left")
+    cosines = [(V.dot(F.col(f"{c}_vec"), F.col("vec")) / (F.col(f"_{c}_size") * F.col("_size") + 1e-8)).alias(f"_{c}") for c in ("summary", "description")]
+    aggs = [f(x) for x in ("_summary", "_description") for f in (F.max, F.avg)]
+    return sims.select("query_id", "item_id", *cosines).groupBy("query_id", "item_id").agg(*[F.coalesce(a, F.lit(0.0)).alias(f"f{k}") for k, a in enumerate(aggs, 1)])
 
 
 def recall_at_k(ranked: DataFrame, truth: DataFrame, queries: DataFrame, ks: list[int], by: list[str] | None = None, denominator: str = "valid") -> DataFrame:

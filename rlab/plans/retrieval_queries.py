@@ -145,14 +145,14 @@ def chunk_max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """f1..f4 of the lexical candidates of every passage."""
+    """f1..f4 of the lexical candidates of every passage, from all chunks of their texts."""
     enc = V.HashEncoder()
     parts = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), split_report(F.col("text")).alias("r")).select("query_id", "r.summary", "r.description")
     asked = V.encode(V.encode(parts, "summary", enc, "summary_vec"), "description", enc, "description_vec")
     pairs = _bm25(spark, sf_dir, 50).select("query_id", "item_id")
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text").join(pairs.select("item_id").distinct(), "item_id", "left_semi")
-    functions = V.encode(docs.select("item_id", F.posexplode(line_chunks(F.col("text"), 5)).alias("fn_no", "text")), "text", enc)
-    return R.function_features(asked, functions, pairs)
+    functions = V.encode(docs.select("item_id", F.explode(line_chunks(F.col("text"), 5)).alias("text")), "text", enc, keep_text=False)
+    return R.function_features(asked, functions, pairs, most=None)
 
 
 def ground_truth_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rlab.functions import text as X
+from rlab.functions import vectors as V
 from rlab.operators import clean as L
 from rlab.operators import compare as C
 from rlab.operators import joins as J
@@ -19,6 +21,7 @@ from rlab.operators import retrieve as R
 from rlab.operators import samples as S
 from rlab.operators import stats as T
 from rlab.operators.kbest import KBest
+from rlab.plans import retrieval_queries
 
 
 def rows(df, *columns):
@@ -206,6 +209,30 @@ def test_retrieval_pieces(spark):
     assert R.similarity_matrix(ids, ids).count() == 4
 
 
+def test_ranking_features_of_whole_texts(spark, tmp_path):
+    passage = "needle words\nstand near the end"
+    filler = [f"line {k} of many" for k in range(200)]
+    texts = {1: [*filler, "stand near the end", *[""] * 4, "needle words"], 2: ["needle words", *filler[:30]], 3: filler[:7], 4: [*filler, " ", "the needle"]}
+    spark.createDataFrame([(k, "\n".join(lines)) for k, lines in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    enc = V.HashEncoder()
+    asked, want = enc(passage.split("\n")), {}
+    for k in (1, 2, 4):
+        chunks = enc(["\n".join(texts[k][at : at + 5]) for at in range(0, len(texts[k]), 5)])
+        cosines = [chunks @ a / (np.linalg.norm(chunks, axis=1) * np.linalg.norm(a)) for a in asked]
+        want[k] = [float(f(c)) for c in cosines for f in (np.max, np.mean)]
+    got = {r.item_id: [r.f1, r.f2, r.f3, r.f4] for r in retrieval_queries.rank_features(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert got[1][0] == pytest.approx(1, abs=1e-6) and got[1][2] == pytest.approx(1, abs=1e-6)  # chunks 41 and 42
+
+
+def test_function_features_of_any_number_of_functions(spark):
+    reports = spark.createDataFrame([(1, [1.0, 0.0], [0.0, 0.0])], "query_id int, summary_vec array<double>, description_vec array<double>")
+    functions = spark.createDataFrame([(5, [0.0, 1.0])] * 39 + [(5, [2.0, 0.0])], "item_id int, vec array<double>")
+    got = R.function_features(reports, functions, spark.createDataFrame([(1, 5), (1, 6)], "query_id int, item_id int"), most=None)
+    assert {r.item_id: [round(x, 4) for x in (r.f1, r.f2, r.f3, r.f4)] for r in got.collect()} == {5: [1.0, 0.025, 0.0, 0.0], 6: [0.0] * 4}
+
+
 def test_ground_truth_matches_at_path_boundaries(spark):
     truth = spark.createDataFrame([("b", "c", "utils.py")], "bug_id string, commit_sha string, gt string")
     snap = spark.createDataFrame([("c", "src/utils.py"), ("c", "xutils.py"), ("c", "a/utils.py"), ("d", "utils.py")], "commit_sha string, path string")
